@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tubula.llm import lm
+from tubula.llm import dedup, lm
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
+    "op2_exact_dedup": dedup.op2_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": dedup.OP2_SQL,
 }
-ORACLES: dict[str, str] = {}
