@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tubula.llm import dedup, htmltext, langid, lm, media, toxicity
+from tubula.llm import dedup, htmltext, langid, lm, media, neardup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
     "op2_exact_dedup": dedup.op2_exact_dedup,
     "op4_media_columns": media.op4_media_columns,
+    "op5_near_dedup": neardup.op5_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op9_html_text": htmltext.op9_html_text,
     "op10_language_id": langid.op10_language_id,
