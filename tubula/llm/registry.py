@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tubula.llm import dedup, htmltext, langid, lm, media, neardup, toxicity
+from tubula.llm import dedup, htmltext, langid, lm, media, mixing, neardup, pieces, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_media_columns": media.op4_media_columns,
     "op5_near_dedup": neardup.op5_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_html_text": htmltext.op9_html_text,
     "op10_language_id": langid.op10_language_id,
 }
