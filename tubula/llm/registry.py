@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tubula.llm import dedup, htmltext, langid, lm, media, mixing, neardup, pieces, toxicity
+from tubula.llm import dedup, htmltext, langid, lm, media, mixing, neardup, pieces, tokencounts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
     "op2_exact_dedup": dedup.op2_exact_dedup,
+    "op3_token_counts": tokencounts.op3_token_counts,
     "op4_media_columns": media.op4_media_columns,
     "op5_near_dedup": neardup.op5_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
