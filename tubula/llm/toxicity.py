@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tubula.llm.common import fold, per_row, read, slices, split_words, word_codes
+from tubula.llm.common import fold, per_row, read, slices, split_words, stored, word_codes
 
 #: Decay of the kernel, the widest span of a subsequence, and the longest run of characters in an instance.
 DECAY, SPAN, LONGEST = 0.6, 5, 24
@@ -42,7 +42,10 @@ DECAY, SPAN, LONGEST = 0.6, 5, 24
 LANDMARKS, WITNESSES, CLEAN_WORDS, ROUNDS = 256, 600, 4000, 3
 #: Words that may become witnesses, before their contexts are counted.
 SUSPECTS = 4000
-#: Texts of either label that may enter the logistic curve's fit: a documented bound on labelled rows.
+#: Labels that may be broadcast (64 MB); with more, the labelled texts are joined by shuffle and stored.
+BROADCAST_LABELS = 4_000_000
+#: About so many clean texts, and a quarter of it toxic ones, chosen by a hash of the id, enter the
+#: logistic curve's fit: a documented bound on labelled rows.
 CURVE_TEXTS = 4000
 #: Margins below this count as this; no word of a clean text needs a finer value.
 FLOOR = -1.0
@@ -304,7 +307,8 @@ def train(labelled: DataFrame) -> Model | None:
     bad_texts, good_texts = n.get(1, 0), n.get(0, 0)
     if not bad_texts or not good_texts:
         return None
-    words = labelled.select("text", "toxic").mapInArrow(_document_frequency, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter((F.length("word") >= 3) & (F.length("word") <= LONGEST)).persist()
+    words = labelled.select("text", "toxic").mapInArrow(_document_frequency, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter((F.length("word") >= 3) & (F.length("word") <= LONGEST))
+    words = stored(words, "toxic-words")
     odds = F.log((F.col("bad") + 0.2) / (bad_texts + 1.0)) - F.log((F.col("good") + 0.2) / (good_texts + 1.0))
     weight = odds * F.sqrt(F.col("bad"))
     suspects = [r["word"] for r in words.filter((F.col("bad") >= 2) & (odds > 1.5)).orderBy(F.desc(weight), "word").limit(SUSPECTS).select("word").collect()]
@@ -315,7 +319,6 @@ def train(labelled: DataFrame) -> Model | None:
     witnesses = [r["word"] for r in toxic if r["good"] == 0 or r["bad"] * good_texts > 20 * r["good"] * bad_texts]
     harmless = list(dict.fromkeys(r["word"] for r in clean if r["word"] not in set(witnesses)))
     if not witnesses or not harmless:
-        words.unpersist()
         return None
     marks = spread(features(witnesses), LANDMARKS * 3 // 4) + spread(features(harmless[: 4 * LANDMARKS]), LANDMARKS // 4)
     value, vector = np.linalg.eigh(kernel(marks, marks))
@@ -340,8 +343,8 @@ def train(labelled: DataFrame) -> Model | None:
             hard = list(dict.fromkeys(harmless + [r["word"] for r in close if r["word"] not in often]))
             margin = word_margins(witnesses, model, -9.0)
             chosen = [w for w, m in zip(witnesses, margin, strict=True) if m > 0 or w in often] or chosen
-    words.unpersist()
-    sample = labelled.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(CURVE_TEXTS // 4).unionByName(labelled.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(CURVE_TEXTS))
+    part = F.when(F.col("toxic") == 1, CURVE_TEXTS / 4 / bad_texts).otherwise(CURVE_TEXTS / good_texts)
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -383,7 +386,13 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labelled rows whose crc32(doc_id) mod 5 isn't 0 and score all docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), (fold("doc_id", 5) == 0).alias("held_out"))
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return score_toxicity(docs, train(docs.filter(~F.col("held_out")).join(known, "doc_id").select("doc_id", "text", "toxic")))
+    known = stored(known, "toxic-labels")
+    training = docs.filter(~F.col("held_out"))
+    if known.count() <= BROADCAST_LABELS:
+        training = training.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    else:
+        training = stored(training.join(known, "doc_id").select("doc_id", "text", "toxic"), "toxic-training")
+    return score_toxicity(docs, train(training))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
