@@ -7,12 +7,17 @@
    ``matches_needed`` coordinates. Postings that only one text has can't collide, so a text with too few
    shared postings is skipped, and of the others only the prefix is merged: the rarest shared postings,
    as many as leave one short of the threshold behind. Any pair above the threshold meets in a prefix.
-3. In each prefix posting every text is paired with the posting's smallest one (a star, not all pairs);
-   pairs with enough collisions are confirmed on the full sets, and links make components.
-4. Pairs across components that share a prefix posting are then all tried: texts of a posting and
-   component go into blocks, blocks of different components meet, their signatures are compared, and
-   what passes is confirmed on the full sets. Pairs inside a component are never made, so a large group
-   of near copies costs one star, and no candidate is left out.
+3. Each prefix posting's smallest text is its centre; every other text of it is compared with the
+   centre only (a star, not all pairs). Texts with enough collisions leave the posting, the rest gets
+   the next centre, and so on; a short rest is compared in blocks. The number of coordinates in which
+   signatures differ is a distance, so two texts that collide often enough have either a common centre
+   that both are within twice the limit of, or both stay for the next round: no candidate is lost.
+   Stars are confirmed on the full sets, and links make components.
+4. The texts around one centre, at most twice the limit away, may link across components. They go into
+   blocks, and blocks are multiplied: each text is held as its difference from the centre's set, and
+   common elements of two differences give the exact size of the intersection. A component that fills
+   blocks of its own isn't compared with itself, and a pair of blocks returns the components that it
+   joins, not the pairs; so a large group of near copies costs one star and a few products.
 
 MinHash can miss a link: with 64 coordinates and a threshold 3.5 standard deviations below the mean,
 a pair just at the limit is missed with a probability of about 1/4000, pairs above it less. Confirmed
@@ -39,8 +44,10 @@ from tubula.llm.common import mix64, read, slices, split_words, stored, word_cod
 from tubula.operators.components import star_components
 
 COORDINATES = 64
-#: Texts in a block of step 4.
-BLOCK = 256
+#: Texts in a block, and bytes of differences in it.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
+#: Rounds of centres; after LEAST rounds a rest of short postings is compared in blocks.
+LEAST_ROUNDS, MOST_ROUNDS, SHORT = 3, 12, 64
 #: Representatives whose ids may be broadcast (16 MB); beyond that the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _RNG = np.random.default_rng(7)
@@ -122,62 +129,129 @@ def _sets(width: int):
     return run
 
 
-def _collide(percent: int, needed: int):
-    """Pairs whose signatures collide often enough and whose sizes allow the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Collisions of the signatures of pairs."""
+    for batch in batches:
+        if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            good = pa.array(((x == y).sum(1) >= needed) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(1), pa.int32())], ["a", "b", "hits"])
 
 
-def _block_pairs(percent: int, needed: int):
-    """Pairs of texts across two blocks, by comparing the blocks' signatures row by row."""
+def _block_candidates(needed: int):
+    """Pairs of texts of two blocks (or one) whose signatures collide often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                (ia, na, sa), (ib, nb, sb) = (
-                    (np.array([r["doc_id"] for r in own]), np.array([r["n_shingles"] for r in own]), np.frombuffer(b"".join(r["sig"] for r in own), "<u4").reshape(-1, COORDINATES)) for own in (left, right)
-                )
-                a, b = [], []
-                for i in range(len(ia)):
-                    good = ((sb == sa[i]).sum(1) >= needed) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
-                    b.append(ib[good])
-                    a.append(np.full(len(b[-1]), ia[i]))
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+                (ia, sa), (ib, sb) = ((np.array([r["doc_id"] for r in own]), np.frombuffer(b"".join(r["sig"] for r in own), "<u4").reshape(-1, COORDINATES)) for own in (left, right))
+                hit = [(np.full(len(found), i), found) for i, row in zip(ia, sa, strict=True) if len(found := ib[((sb == row).sum(1) >= needed) & (ib != i)])]
+                if hit:
+                    a, b = np.concatenate([x[0] for x in hit]), np.concatenate([x[1] for x in hit])
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
 
 
 def _confirm(percent: int):
-    """Pairs that reach the similarity on their full sets."""
+    """Whether pairs reach the similarity on their full sets, and how b differs from a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set_a"):
-            good = []
+            out: list[tuple] = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["src", "dst"])
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
+                out.append((100 * both >= percent * (len(x) + len(y) - both), len(x), len(x) - both, len(y) - both, apart.tobytes()))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], ["a", "b", "linked", "n_a", "removed", "added", "apart"])
+
+    return run
+
+
+def _common(apart: list[np.ndarray], split: int, chunk: int = 16384) -> np.ndarray:
+    """Sizes of the intersections of the first ``split`` sorted sets with the others, by products of
+    incidence matrices over chunks of the elements that several sets have."""
+    flat, owner = np.concatenate(apart), np.repeat(np.arange(len(apart)), [len(x) for x in apart])
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, at = owner[n[at] > 1], at[n[at] > 1]
+    _, at = np.unique(at, return_inverse=True)
+    out = np.zeros((split, len(apart) - split), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int(at.max(initial=-1)) + 1, chunk):
+        a, b = np.searchsorted(at, [low, low + chunk])
+        has = np.zeros((len(apart), chunk), np.float32)
+        has[owner[a:b], at[a:b] - low] = 1
+        out += has[:split] @ has[split:].T
+    return out
+
+
+def _joined(percent: int):
+    """Components that links between two blocks around one centre join, without detours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for left, right, n in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "n_a")), strict=True):
+                (ca, ra, pa_), (cb, rb, pb) = (tuple(np.array([r[c] for r in own], np.int64) for c in ("component", "removed", "added")) for own in (left, right))
+                common = _common([np.frombuffer(r["apart"], "<u8") for r in left + right], len(left)).astype(np.int64)
+                both = n - ra[:, None] - rb[None] + common
+                sizes = (n - ra + pa_)[:, None] + (n - rb + pb)[None]
+                i, j = np.nonzero((100 * both >= percent * (sizes - both)) & (ca[:, None] != cb[None]))
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for x, y in np.unique(np.stack([ca[i], cb[j]], 1), axis=0).tolist():
+                    if (p := find(x)) != (q := find(y)):
+                        root[max(p, q)] = min(p, q)
+                        src.append(x)
+                        dst.append(y)
+            yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed pairs (src, dst) of pairs (a, b). The set of a text in many pairs is read once for each
-    of them; the join's skewed side is split by adaptive execution."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with what _confirm says. The set of a text in many pairs is read once for each of
+    them; the join's skewed side is split by adaptive execution."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "src long, dst long"), "near-links")
+    return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long, linked boolean, n_a long, removed long, added long, apart binary"), "near-stars")
+
+
+def _met(blocks: DataFrame, key: str, *more: str) -> DataFrame:
+    """Pairs of blocks (key, block, own) of one key, each block with itself too."""
+    other = blocks.select(key, F.col("block").alias("block2"), F.col("own").alias("right"))
+    return blocks.select(key, "block", F.col("own").alias("left"), *more).join(other, key).filter("block <= block2")
+
+
+def _stars(prefix: DataFrame, wanted: DataFrame, needed: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (centre, text) at most twice the limit apart, of all rounds, and candidate pairs of the
+    postings that are left."""
+    lists, near = prefix, []
+    limit = COORDINATES - needed
+    sig = wanted.select("doc_id", "sig")
+    for k in range(MOST_ROUNDS):
+        lists = lists.join(lists.groupBy("posting").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "posting").filter("doc_id <> a")
+        star = lists.select("a", F.col("doc_id").alias("b")).distinct().join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        hits = stored(star.select("a", "b", "sig_a", "sig_b").mapInArrow(_collide, "a long, b long, hits int"), "near-hits")
+        near.append(hits.filter(F.col("hits") >= COORDINATES - 2 * limit).select("a", "b"))
+        gone = hits.filter(F.col("hits") >= needed)
+        lists = stored(lists.join(gone, (lists["a"] == gone["a"]) & (lists["doc_id"] == gone["b"]), "left_anti").select("posting", "doc_id"), "near-lists")
+        longest = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if longest < 2 or k + 1 >= LEAST_ROUNDS and longest <= SHORT:
+            break
+    sized = lists.join(lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "posting").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))
+    blocks = stored(sized.join(sig, "doc_id").groupBy("posting", "block").agg(F.collect_list(F.struct("doc_id", "sig")).alias("own")), "near-blocks")
+    rest = _met(blocks, "posting").select("left", "right").mapInArrow(_block_candidates(needed), "a long, b long").distinct()
+    stars = near[0]
+    for more in near[1:]:
+        stars = stars.unionByName(more)
+    return stars.distinct(), rest
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -201,24 +275,22 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     chosen = F.broadcast(chosen) if wanted.count() <= BROADCAST_IDS else chosen
     sets = stored(docs.join(chosen, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
 
-    star = prefix.join(prefix.groupBy("posting").agg(F.min("doc_id").alias("a")), "posting").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    signed = star.join(wanted.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-    first = _links(signed.mapInArrow(_collide(percent, needed), "a long, b long"), sets, percent)
-    label = stored(star_components(first), "near-labels").select(F.col("node").alias("doc_id"), "component")
-
-    lists = prefix.join(label, "doc_id", "left").select("posting", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counts = stored(lists.groupBy("posting", "component").agg(F.count(F.lit(1)).alias("n")), "near-lists")
-    mixed = counts.join(counts.groupBy("posting").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "posting", "left_semi")
-    blocks = (
-        lists.join(mixed, ["posting", "component"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))
-        .join(wanted, "doc_id").groupBy("posting", "component", "block").agg(F.collect_list(F.struct("doc_id", "n_shingles", "sig")).alias("own"))
-    )
-    blocks = stored(blocks, "near-blocks")
-    met = blocks.select("posting", F.col("component").alias("c"), F.col("own").alias("left")).join(blocks.select("posting", "component", F.col("own").alias("right")), "posting").filter("c < component")
-    rest = met.select("left", "right").mapInArrow(_block_pairs(percent, needed), "a long, b long").distinct()
-    second = _links(rest, sets, percent)
-    bridges = second.join(label.withColumnRenamed("component", "p"), second["src"] == label["doc_id"], "left").select(F.coalesce("p", "src").alias("src"), "dst")
-    bridges = bridges.join(label.withColumnRenamed("component", "q"), bridges["dst"] == label["doc_id"], "left").select("src", F.coalesce("q", "dst").alias("dst")).distinct()
+    pairs, rest = _stars(prefix, wanted, needed)
+    stars = _confirmed(pairs, sets, percent)
+    links = stars.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = links.unionByName(_confirmed(rest, sets, percent).filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    label = stored(star_components(links), "near-labels").select(F.col("node").alias("doc_id"), "component")
+
+    around = stars.select("a", F.col("b").alias("doc_id"), "n_a", "removed", "added", "apart").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = stored(around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("apart")).alias("bytes")), "near-lists")
+    big = (F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)
+    tally = counts.groupBy("a").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(~big, F.col("n")).otherwise(0)).alias("small_n"), F.sum(F.when(~big, F.col("bytes")).otherwise(0)).alias("small_bytes")).filter("parts > 1")
+    many = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES))
+    placed = counts.join(tally, "a").select("a", "component", big.alias("big"), F.when(big, many("n", "bytes")).otherwise(many("small_n", "small_bytes")).alias("blocks"))
+    block = F.struct(F.when(F.col("big"), F.col("component")).alias("own"), F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1))).alias("part"))
+    blocks = around.join(placed, ["a", "component"]).groupBy("a", block.alias("block")).agg(F.first("n_a").alias("n_a"), F.collect_list(F.struct("component", "removed", "added", "apart")).alias("own"))
+    met = _met(stored(blocks, "near-blocks"), "a", "n_a").filter("not (block.own <=> block2.own and block.own is not null)")
+    bridges = met.select("left", "right", "n_a").mapInArrow(_joined(percent), "src long, dst long")
     over = stored(star_components(bridges), "near-labels").select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
     whole = label.join(over, "component", "left").select(F.col("doc_id").alias("rep"), F.coalesce("whole", "component").alias("component_id"))
