@@ -57,6 +57,11 @@ def curve_curvature(points: DataFrame) -> DataFrame:
     return points.withColumns({f"_d{n}": gradient(F.col(f"t{n}")) for n in "xyz"}).withColumn("curvature", norm(vec("_d"))).drop("_dx", "_dy", "_dz")
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, where an expression uses it several times."""
+    return F.transform(F.array(value), f)[0]
+
+
 def transported_frames(points: DataFrame) -> DataFrame:
     """Adds nx..nz and bx..bz: rotation-minimising normals and binormals by double reflection. The
     recurrence is a fold over the ordered array of a cell. Needs tangents."""
@@ -69,19 +74,23 @@ def transported_frames(points: DataFrame) -> DataFrame:
     size = F.nullif(norm(start), F.lit(0.0))
     first = three(*(F.coalesce(c / size, F.lit(0.0)) for c in start))
 
+    dots = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    less = lambda a, b: F.array(*(a[i] - b[i] for i in range(3)))
+
+    def mirror(a: Column, v: Column) -> Column:
+        """a reflected at the plane across v; a itself if v is about zero."""
+        k = lambda m: F.array(*(a[i] - v[i] * m for i in range(3)))
+        return _let(dots(v, v), lambda c: F.when(c < 1e-20, a).otherwise(_let(2 * dots(v, a) / F.nullif(c, F.lit(0.0)), k)))
+
+    def to_unit(a: Column) -> Column:
+        return _let(F.nullif(F.sqrt(dots(a, a)), F.lit(0.0)), lambda m: F.array(*(F.coalesce(a[i] / m, a[i]) for i in range(3))))
+
     def step(acc: Column, c: Column) -> Column:
-        p, t, q, n = take(acc["p"]), take(acc["t"]), take(c["p"]), take(acc["n"])
-        v1 = sub(q, p)
-        c1 = dot(v1, v1)
-        mirror = lambda a, v, k: tuple(x - y * 2 * dot(v, a) / F.nullif(k, F.lit(0.0)) for x, y in zip(a, v, strict=True))
-        nl, tl = mirror(n, v1, c1), mirror(t, v1, c1)
-        v2 = sub(take(c["t"]), tl)
-        c2 = dot(v2, v2)
-        nr = tuple(F.when(c2 < 1e-20, a).otherwise(b) for a, b in zip(nl, mirror(nl, v2, c2), strict=True))
-        size = F.nullif(norm(nr), F.lit(0.0))
-        moved = three(*(F.coalesce(x / size, y) for x, y in zip(nr, n, strict=True)))
-        normal = F.when(c1 < 1e-20, acc["n"]).otherwise(moved)
-        return F.struct(c["p"].alias("p"), c["t"].alias("t"), normal.alias("n"), F.concat(acc["out"], F.array(normal)).alias("out"))
+        def turned(v1: Column) -> Column:
+            return _let(mirror(acc["n"], v1), lambda nl: _let(less(c["t"], mirror(acc["t"], v1)), lambda v2: _let(mirror(nl, v2), to_unit)))
+
+        normal = _let(less(c["p"], acc["p"]), lambda v1: F.when(dots(v1, v1) < 1e-20, acc["n"]).otherwise(turned(v1)))
+        return _let(normal, lambda n: F.struct(c["p"].alias("p"), c["t"].alias("t"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out")))
 
     init = F.struct(F.col("pts")[0]["p"].alias("p"), F.col("pts")[0]["t"].alias("t"), first.alias("n"), F.array(first).alias("out"))
     folded = cells.withColumn("normals", F.aggregate(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), init, step)["out"])
@@ -116,7 +125,7 @@ def local_curvature(points: DataFrame) -> DataFrame:
         df = df.withColumn(name, c)
 
     for k in "xyz":
-        named(f"_p{k}", F.transform("_pts", lambda s, k=k: s[k]))
+        named(f"_p{k}", F.col(f"_pts.{k}"))
         named(f"_r{k}", F.when(size >= 3, grad(F.col(f"_p{k}"))))
     speed = lambda i: F.nullif(F.sqrt(F.col("_rx")[i] * F.col("_rx")[i] + F.col("_ry")[i] * F.col("_ry")[i] + F.col("_rz")[i] * F.col("_rz")[i]), F.lit(0.0))
     for k in "xyz":
@@ -127,8 +136,12 @@ def local_curvature(points: DataFrame) -> DataFrame:
     named("_k", F.transform("_sx", lambda v, i: size_k(i)))
     for k in "xyz":
         named(f"_n{k}", F.transform(f"_s{k}", lambda v, i: v / F.nullif(F.col("_k")[i], F.lit(0.0))))
-    for k, (a, b) in zip("xyz", (("y", "z"), ("z", "x"), ("x", "y")), strict=True):
-        named(f"_b{k}", F.transform(f"_t{k}", lambda v, i, a=a, b=b: F.col(f"_t{a}")[i] * F.col(f"_n{b}")[i] - F.col(f"_t{b}")[i] * F.col(f"_n{a}")[i]))
+
+    def binormal(a: str, b: str) -> Column:
+        return F.transform("_tx", lambda v, i: F.col(f"_t{a}")[i] * F.col(f"_n{b}")[i] - F.col(f"_t{b}")[i] * F.col(f"_n{a}")[i])
+
+    for k, a, b in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")):
+        named(f"_b{k}", binormal(a, b))
     at = F.col("_at").cast("int")
     torsion = sum((F.get(grad(F.col(f"_b{k}")), at) * F.get(F.col(f"_n{k}"), at) for k in "xyz"), F.lit(0.0)) / F.get(F.transform("_rx", lambda v, i: speed(i)), at)
     out = df.withColumn("local_curvature", F.get("_k", at)).withColumn("local_torsion", -torsion)
@@ -201,9 +214,8 @@ def peaks(points: DataFrame, column: str, height: float, width: float) -> DataFr
         F.min_by(F.struct("r", "v"), F.when((F.col("r") >= F.col("peak")) & (v <= F.col("level")), F.col("r"))).alias("hi"),
         F.min("r").alias("first"), F.max("r").alias("last"),
     )
-    nxt = rows.select(*KEYS, F.col("r").alias("r2"), F.col("v").alias("v2"))
-    s = sides.join(nxt.withColumnRenamed("v2", "lv"), [*(sides[k] == nxt[k] for k in KEYS), F.col("r2") == F.col("lo.r") + 1], "left").drop(*(nxt[k] for k in KEYS), "r2")
-    s = s.join(nxt.withColumnRenamed("v2", "hv"), [*(s[k] == nxt[k] for k in KEYS), F.col("r2") == F.col("hi.r") - 1], "left").drop(*(nxt[k] for k in KEYS), "r2")
+    s = sides.withColumns({"_lo": F.col("lo.r") + 1, "_hi": F.col("hi.r") - 1})
+    s = s.join(rows.select(*KEYS, F.col("r").alias("_lo"), F.col("v").alias("lv")), [*KEYS, "_lo"], "left").join(rows.select(*KEYS, F.col("r").alias("_hi"), F.col("v").alias("hv")), [*KEYS, "_hi"], "left")
     left = F.coalesce(F.col("lo.r") + F.try_divide(F.col("level") - F.col("lo.v"), F.col("lv") - F.col("lo.v")), F.col("first"))
     right = F.coalesce(F.col("hi.r") - F.try_divide(F.col("level") - F.col("hi.v"), F.col("hv") - F.col("hi.v")), F.col("last"))
     found = s.withColumn("width", right - left).filter(F.col("width") >= width)

@@ -38,8 +38,8 @@ def diameter_stats(points: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def end_nodes(points: DataFrame, level: str = "point_idx", keys: list[str] = KEYS, blanked: bool = True) -> DataFrame:
     """Proximal = first of the lowest level, distal = last of the highest level, among rows that aren't
     blanked (all rows if there are none): struct columns proximal and distal."""
-    row = F.struct(level, "point_idx", *"xyz", "radius")
-    low = F.struct(F.col(level), F.col("point_idx"))
+    row = F.struct(F.col(level).alias("level"), "point_idx", *"xyz", "radius")
+    low = F.struct(F.col(level).alias("level"), F.col("point_idx"))
     pick = lambda f: F.coalesce(f(row, F.when(_open(), low)), f(row, low)) if blanked else f(row, low)
     return points.groupBy(*keys).agg(pick(F.min_by).alias("proximal"), pick(F.max_by).alias("distal"))
 

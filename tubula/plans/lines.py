@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -33,10 +32,10 @@ def affine(c: str = "case_id"):
 AFF = "CASE WHEN case_id % 3 > 0 THEN -0.4 ELSE 0.4 END::DOUBLE AS sx, CASE WHEN case_id % 3 > 1 THEN -0.5 ELSE 0.5 END::DOUBLE AS sy, 0.8::DOUBLE AS sz, (case_id % 10)::DOUBLE AS ox, (case_id % 7)::DOUBLE AS oy, (case_id % 5)::DOUBLE AS oz"
 
 
-@query("q2_3_1_ijk_ras", f"WITH {PTS}, a AS (SELECT *, {AFF} FROM points) SELECT case_id, cell_id, point_idx, round(sx * x + ox, 6) AS rx, round(sy * y + oy, 6) AS ry, round(sz * z + oz, 6) AS rz, CAST(trunc((x - ox) / sx) AS INTEGER) AS ti, CAST(trunc((z - oz) / sz) AS INTEGER) AS tk, round((y - oy) / sy, 6) AS fj FROM a")
+@query("q2_3_1_ijk_ras", f"WITH {PTS}, a AS (SELECT *, {AFF} FROM points) SELECT case_id, cell_id, point_idx, round(sx * x + ox, 6) AS rx, round(sy * y + oy, 6) AS ry, round(sz * z + oz, 6) AS rz, CAST(trunc((x + 0.05 - ox) / sx) AS INTEGER) AS ti, CAST(trunc((z + 0.05 - oz) / sz) AS INTEGER) AS tk, round((y - oy) / sy, 6) AS fj FROM a")
 def ijk_ras(spark, d):
-    p = points(spark, d).withColumn("a", affine())
-    ras, back, exact = G.to_ras(*G.vec(), F.col("a")), G.to_ijk(G.vec(), F.col("a"), "trunc"), G.to_ijk(G.vec(), F.col("a"))
+    p = points(spark, d).join(_cases(spark, d), "case_id")
+    ras, back, exact = G.to_ras(*G.vec(), F.col("a")), G.to_ijk(tuple(c + 0.05 for c in G.vec()), F.col("a"), "trunc"), G.to_ijk(G.vec(), F.col("a"))
     return p.select(*K, *(F.round(c, 6).alias(n) for n, c in zip(("rx", "ry", "rz"), ras, strict=True)), back[0].alias("ti"), back[2].alias("tk"), F.round(exact[1], 6).alias("fj"))
 
 
@@ -65,7 +64,7 @@ def voxel_volume(spark, d):
 
 @query("q2_3_5_orientation_convert", f"WITH {PTS}, a AS (SELECT *, {AFF} FROM points) SELECT case_id, cell_id, point_idx, CAST(CASE WHEN sx > 0 THEN x ELSE 511 - x END AS BIGINT) AS i, CAST(CASE WHEN sy > 0 THEN round(y) ELSE 511 - round(y) END AS BIGINT) AS j, CAST(round(z) AS BIGINT) AS k FROM a")
 def orientation_convert(spark, d):
-    p = points(spark, d).withColumn("a", affine()).withColumn("code", G.axis_codes(F.col("a")))
+    p = points(spark, d).join(_cases(spark, d).withColumn("code", G.axis_codes(F.col("a"))), "case_id")
     out = G.flip_indices(F.col("x"), F.round("y"), F.round("z"), F.lit(512), F.lit(512), F.col("code"))
     return p.select(*K, *(c.cast("bigint").alias(n) for n, c in zip("ijk", out, strict=True)))
 
@@ -127,11 +126,11 @@ def plane_projection(spark, d):
     return points(spark, d).select(*K, F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
-@query("q2_3_16_root_centred_position", f"WITH {PTS} SELECT case_id, cell_id, point_idx, {', '.join(f'round(({n} - first_value({n}) OVER w) / 100, 6) AS {n}' for n in 'xyz')} FROM points WINDOW w AS (PARTITION BY case_id ORDER BY radius DESC, cell_id, point_idx)")
+@query("q2_3_16_root_centred_position", f"WITH {PTS} SELECT case_id, cell_id, point_idx, {', '.join(f'round(({n} - first_value({n}) OVER w) / 100, 8) AS {n}' for n in 'xyz')} FROM points WINDOW w AS (PARTITION BY case_id ORDER BY radius DESC, cell_id, point_idx)")
 def root_centred_position(spark, d):
     p = points(spark, d)
     root = p.groupBy("case_id").agg(F.min_by(F.struct(*"xyz"), F.struct(-F.col("radius"), "cell_id", "point_idx")).alias("o"))
-    return p.join(root, "case_id").select(*K, *(F.round((F.col(n) - F.col(f"o.{n}")) / 100, 6).alias(n) for n in "xyz"))
+    return p.join(root, "case_id").select(*K, *(F.round((F.col(n) - F.col(f"o.{n}")) / 100, 8).alias(n) for n in "xyz"))
 
 
 @query("q2_3_17_sinusoidal_position", f"WITH {PTS} SELECT case_id, cell_id, point_idx, round(sin(point_idx), 6) AS s0, round(cos(point_idx), 6) AS c0, round(sin(point_idx / 100.0), 6) AS s1, round(cos(point_idx / 100.0), 6) AS c1 FROM points")
@@ -218,7 +217,7 @@ def first_local_minimum(spark, d):
     return P.first_local_minimum(events_line(spark, d), "y").select("case_id", "point_idx", *r6("value"))
 
 
-@query("q2_4_13_flag_after_transition", f"WITH {EVT}, t AS (SELECT case_id, min(point_idx) AS at FROM evt WHERE y > 100 GROUP BY 1) SELECT case_id, point_idx, CASE WHEN point_idx > at THEN 1 ELSE 0 END AS after FROM evt LEFT JOIN t USING (case_id)")
+@query("q2_4_13_flag_after_transition", f"WITH {EVT}, t AS (SELECT case_id, min(point_idx) AS at0 FROM evt WHERE y > 100 GROUP BY 1) SELECT case_id, point_idx, CASE WHEN point_idx > at0 THEN 1 ELSE 0 END AS after FROM evt LEFT JOIN t USING (case_id)")
 def flag_after_transition(spark, d):
     e = events_line(spark, d)
     at = e.filter("y > 100").groupBy("case_id", "cell_id").agg(F.min("point_idx").alias("point_idx"))
@@ -276,10 +275,10 @@ def bulb_span(spark, d):
 pc AS (SELECT *, row_number() OVER (PARTITION BY case_id, cell_id ORDER BY arc DESC, point_idx DESC) = 1 AS fin FROM nx WHERE arc2 > arc),
 g AS (SELECT case_id, cell_id, len, CAST(ceil(len / 5) AS BIGINT) AS k, unnest(range(CAST(ceil(len / 5) AS BIGINT) + 1)) AS i FROM c WHERE len > 5 AND n >= 2), s AS (SELECT *, len * i / k AS s FROM g),
 j AS (SELECT s.case_id, s.cell_id, CAST(i AS INTEGER) AS point_idx, least(1.0, (s - arc) / (arc2 - arc)) AS t, pc.* EXCLUDE (case_id, cell_id, point_idx) FROM s JOIN pc USING (case_id, cell_id) WHERE s >= arc AND (s < arc2 OR fin))
-SELECT case_id, cell_id, point_idx, round(x + t * (x2 - x), 4) AS x, round(y + t * (y2 - y), 4) AS y, round(z + t * (z2 - z), 4) AS z, round(greatest(0.0, radius + t * (r2 - radius)), 4) AS radius FROM j
-UNION ALL SELECT p.case_id, p.cell_id, point_idx, round(x, 4), round(y, 4), round(z, 4), round(radius, 4) FROM points p JOIN c USING (case_id, cell_id) WHERE NOT (len > 5 AND n >= 2)""")
+SELECT case_id, cell_id, point_idx, round(x + t * (x2 - x), 8) AS x, round(y + t * (y2 - y), 8) AS y, round(z + t * (z2 - z), 8) AS z, round(greatest(0.0, radius + t * (r2 - radius)), 8) AS radius FROM j
+UNION ALL SELECT p.case_id, p.cell_id, point_idx, round(x, 8), round(y, 8), round(z, 8), round(radius, 8) FROM points p JOIN c USING (case_id, cell_id) WHERE NOT (len > 5 AND n >= 2)""")
 def resample_linear(spark, d):
-    return P.resample_linear(points(spark, d), 5.0).select(*K, *(F.round(n, 4).alias(n) for n in ("x", "y", "z", "radius")))
+    return P.resample_linear(points(spark, d), 5.0).select(*K, *(F.round(n, 8).alias(n) for n in ("x", "y", "z", "radius")))
 
 
 @query("q2_4_22_neighbour_points", f"WITH {PTS} SELECT case_id, cell_id, point_idx, CAST(count(*) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS INTEGER) AS n, min(point_idx) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS first FROM points")
