@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tubula.functions.geom import cosine, dist
 from tubula.functions.runtime import cut_lineage
 from tubula.operators.components import star_components
-from tubula.operators.polyline import KEYS, ORDER
+from tubula.operators.polyline import KEYS, order
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def cell_graph(points: DataFrame, digits: int = 2) -> DataFrame:
 
 def dense_graph(points: DataFrame) -> DataFrame:
     """Edges between consecutive points: case_id, cell_id, src_idx, dst_idx, length."""
-    p = points.withColumns({f"_{n}": F.lag(n).over(ORDER) for n in ("point_idx", "x", "y", "z")}).filter("_point_idx is not null")
+    p = points.withColumns({f"_{n}": F.lag(n).over(order()) for n in ("point_idx", "x", "y", "z")}).filter("_point_idx is not null")
     return p.select(*KEYS, F.col("_point_idx").alias("src_idx"), F.col("point_idx").alias("dst_idx"), dist(tuple(F.col(n) for n in "xyz"), tuple(F.col(f"_{n}") for n in "xyz")).alias("length"))
 
 
@@ -206,12 +206,12 @@ def join_components(nodes: DataFrame, edges: DataFrame, parent: dict[str, str],
 def split_at_branches(points: DataFrame) -> DataFrame:
     """Adds piece: cells of a case that share their first points are cut where they part. A point's prefix
     is the chain of all points up to it; a piece is a stretch shared by the same number of cells."""
-    prefix = F.sha2(F.concat_ws("|", F.collect_list(F.concat_ws(",", *"xyz")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))), 256)
+    prefix = F.sha2(F.concat_ws("|", F.collect_list(F.concat_ws(",", *"xyz")).over(order().rowsBetween(Window.unboundedPreceding, 0))), 256)
     p = points.withColumn("_p", prefix)
     shared = p.groupBy("case_id", "_p").agg(F.count(F.lit(1)).alias("sharing"), F.min("cell_id").alias("owner"))
     j = p.join(shared, ["case_id", "_p"])
-    change = F.coalesce(F.col("sharing") != F.lag("sharing").over(ORDER), F.lit(False)).cast("int")
-    return j.withColumn("_c", change).withColumn("piece", F.sum("_c").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_c")
+    change = F.coalesce(F.col("sharing") != F.lag("sharing").over(order()), F.lit(False)).cast("int")
+    return j.withColumn("_c", change).withColumn("piece", F.sum("_c").over(order().rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_c")
 
 
 def merge_degree_2(cells: DataFrame) -> DataFrame:

@@ -5,20 +5,33 @@ from __future__ import annotations
 
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tubula.functions.geom import Vec, clamp, cross, dist, dot, norm, sub, vec
 
 KEYS = ["case_id", "cell_id"]
-ORDER = Window.partitionBy(*KEYS).orderBy("point_idx")
-WHOLE = Window.partitionBy(*KEYS)
-UP_TO = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-AFTER = ORDER.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+
+def order() -> WindowSpec:
+    """A cell's points in their order: the one ordering that all windows here share."""
+    return Window.partitionBy(*KEYS).orderBy("point_idx")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
+
+
+def up_to() -> WindowSpec:
+    return order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def after() -> WindowSpec:
+    return order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def _lag(p: Vec, n: int = 1) -> Vec:
-    return tuple(F.lag(c, n).over(ORDER) for c in p)
+    return tuple(F.lag(c, n).over(order()) for c in p)
 
 
 def step_length(p: Vec | None = None) -> Column:
@@ -29,12 +42,12 @@ def step_length(p: Vec | None = None) -> Column:
 
 def arc_length(points: DataFrame) -> DataFrame:
     """Adds arc: length along the cell from its first point."""
-    return points.withColumn("_step", step_length()).withColumn("arc", F.sum("_step").over(UP_TO)).drop("_step")
+    return points.withColumn("_step", step_length()).withColumn("arc", F.sum("_step").over(up_to())).drop("_step")
 
 
 def gradient(c: Column) -> Column:
     """Central difference inside, one-sided at both ends, 0 for a single point."""
-    before, after = F.lag(c).over(ORDER), F.lead(c).over(ORDER)
+    before, after = F.lag(c).over(order()), F.lead(c).over(order())
     return F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).otherwise(F.coalesce(after - c, c - before, F.lit(0.0)))
 
 
@@ -49,7 +62,7 @@ def turn_angle(points: DataFrame) -> DataFrame:
     """Adds turn (degrees between a tangent and the one before, 0 at the start) and turn_sum. Needs tangents."""
     t = vec("t")
     angle = F.coalesce(F.degrees(F.acos(clamp(dot(t, _lag(t))))), F.lit(0.0))
-    return points.withColumn("turn", angle).withColumn("turn_sum", F.sum("turn").over(UP_TO))
+    return points.withColumn("turn", angle).withColumn("turn_sum", F.sum("turn").over(up_to()))
 
 
 def curve_curvature(points: DataFrame) -> DataFrame:
@@ -109,10 +122,10 @@ def local_curvature(points: DataFrame) -> DataFrame:
     """Adds local_curvature and local_torsion from the 3 to 5 points around each one (two to either
     side, three at the ends), by nested gradients; torsion is NULL where curvature is 0 and for cells
     of fewer than three points both are NULL."""
-    near = F.collect_list(F.struct("point_idx", "x", "y", "z")).over(ORDER.rowsBetween(-2, 2))
-    first, last = F.lag("x").over(ORDER).isNull(), F.lead("x").over(ORDER).isNull()
-    n = F.count(F.lit(1)).over(WHOLE)
-    place = F.row_number().over(ORDER)
+    near = F.collect_list(F.struct("point_idx", "x", "y", "z")).over(order().rowsBetween(-2, 2))
+    first, last = F.lag("x").over(order()).isNull(), F.lead("x").over(order()).isNull()
+    n = F.count(F.lit(1)).over(whole())
+    place = F.row_number().over(order())
     df = points.withColumns({"_pts": near, "_first": first, "_last": last, "_n": n, "_place": place})
     df = df.withColumn("_at", F.when(F.col("_first"), 1).when(F.col("_last"), F.size("_pts") - 2).otherwise(F.least(F.col("_place") - 1, F.lit(2))))
     size = F.size("_pts")
@@ -150,7 +163,7 @@ def local_curvature(points: DataFrame) -> DataFrame:
 
 def mean_step(points: DataFrame) -> DataFrame:
     """Adds mean_step: mean length of the steps among a point and its two neighbours to either side."""
-    return points.withColumn("_step", dist(vec(), _lag(vec()))).withColumn("mean_step", F.avg("_step").over(ORDER.rowsBetween(-1, 2))).drop("_step")
+    return points.withColumn("_step", dist(vec(), _lag(vec()))).withColumn("mean_step", F.avg("_step").over(order().rowsBetween(-1, 2))).drop("_step")
 
 
 def savgol_weights(window: int, order: int) -> list[float]:
@@ -195,8 +208,8 @@ def peaks(points: DataFrame, column: str, height: float, width: float) -> DataFr
     prominence is at least ``width``: keys, point_idx, value, prominence, width. The nearest higher row
     on either side bounds the search, inside a cell; positions count rows."""
     v = F.col("v")
-    rows = points.select(*KEYS, "point_idx", F.col(column).alias("v"), F.row_number().over(ORDER).alias("r"))
-    change = rows.withColumn("run", F.sum(F.when(v == F.lag("v").over(ORDER), 0).otherwise(1)).over(UP_TO))
+    rows = points.select(*KEYS, "point_idx", F.col(column).alias("v"), F.row_number().over(order()).alias("r"))
+    change = rows.withColumn("run", F.sum(F.when(v == F.lag("v").over(order()), 0).otherwise(1)).over(up_to()))
     runs = change.groupBy(*KEYS, "run").agg(F.first("v").alias("v"), F.min("r").alias("a"), F.max("r").alias("b"))
     by_run = Window.partitionBy(*KEYS).orderBy("run")
     tops = runs.withColumn("p", F.lag("v").over(by_run)).withColumn("q", F.lead("v").over(by_run)).filter((F.col("p") < v) & (F.col("q") < v) & (v >= height)).select(*KEYS, v.alias("top"), F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("peak"))
@@ -226,18 +239,18 @@ def peaks(points: DataFrame, column: str, height: float, width: float) -> DataFr
 def curve_ids(points: DataFrame, column: str, height: float = 0.03, width: float = 10) -> DataFrame:
     """Adds curve_id: a cell is cut at the smallest value between consecutive peaks (the first on ties)."""
     found = peaks(points, column, height, width).select(*KEYS, "point_idx")
-    pairs = found.withColumn("next", F.lead("point_idx").over(ORDER)).filter("next is not null").select(*KEYS, F.col("point_idx").alias("_a"), "next")
+    pairs = found.withColumn("next", F.lead("point_idx").over(order())).filter("next is not null").select(*KEYS, F.col("point_idx").alias("_a"), "next")
     between = points.select(*KEYS, "point_idx", column).join(pairs, KEYS).filter((F.col("point_idx") > F.col("_a")) & (F.col("point_idx") < F.col("next")))
     cuts = between.groupBy(*KEYS, "_a").agg(F.min_by("point_idx", F.struct(column, "point_idx")).alias("point_idx")).select(*KEYS, "point_idx", F.lit(1).alias("_cut"))
-    return points.join(cuts, [*KEYS, "point_idx"], "left").withColumn("curve_id", F.sum(F.coalesce("_cut", F.lit(0))).over(UP_TO)).drop("_cut")
+    return points.join(cuts, [*KEYS, "point_idx"], "left").withColumn("curve_id", F.sum(F.coalesce("_cut", F.lit(0))).over(up_to())).drop("_cut")
 
 
 def first_local_minimum(points: DataFrame, column: str, limit: float = 20.0, slack: float = 5.0) -> DataFrame:
     """For each cell the first local minimum (the derivative turns from falling, the second derivative is
     positive) below ``limit`` that is within ``slack`` of the lowest such one: keys, point_idx, value."""
     d = points.withColumn("_d", gradient(F.col(column))).withColumn("_dd", gradient(F.col("_d")))
-    hit = d.filter((F.col("_d") <= 0) & (F.col("_next") > 0)) if "_next" in d.columns else d.withColumn("_next", F.lead("_d").over(ORDER)).filter((F.col("_d") <= 0) & (F.col("_next") > 0))
-    hit = hit.filter((F.col("_dd") > 0) & (F.col(column) < limit)).withColumn("_low", F.min(column).over(WHOLE)).filter(F.col(column) <= F.col("_low") + slack)
+    hit = d.filter((F.col("_d") <= 0) & (F.col("_next") > 0)) if "_next" in d.columns else d.withColumn("_next", F.lead("_d").over(order())).filter((F.col("_d") <= 0) & (F.col("_next") > 0))
+    hit = hit.filter((F.col("_dd") > 0) & (F.col(column) < limit)).withColumn("_low", F.min(column).over(whole())).filter(F.col(column) <= F.col("_low") + slack)
     return hit.groupBy(*KEYS).agg(F.min("point_idx").alias("point_idx"), F.min_by(column, "point_idx").alias("value"))
 
 
@@ -250,7 +263,7 @@ def flag_after(points: DataFrame, at: DataFrame) -> DataFrame:
 def longest_run(points: DataFrame, predicate: Column) -> DataFrame:
     """The longest run of rows for which the predicate holds (the first on ties): keys, start, end, n."""
     p = points.select(*KEYS, "point_idx", F.coalesce(predicate, F.lit(False)).alias("p"))
-    runs = p.withColumn("change", F.when(F.col("p") == F.lag("p").over(ORDER), 0).otherwise(1)).withColumn("run", F.sum("change").over(UP_TO)).filter("p")
+    runs = p.withColumn("change", F.when(F.col("p") == F.lag("p").over(order()), 0).otherwise(1)).withColumn("run", F.sum("change").over(up_to())).filter("p")
     sizes = runs.groupBy(*KEYS, "run").agg(F.min("point_idx").alias("start"), F.max("point_idx").alias("end"), F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy(*KEYS).orderBy(F.desc("n"), "start")
     return sizes.withColumn("k", F.row_number().over(best)).filter("k = 1").select(*KEYS, "start", "end", "n")
@@ -258,7 +271,7 @@ def longest_run(points: DataFrame, predicate: Column) -> DataFrame:
 
 def trim_tail(points: DataFrame, flag: str) -> DataFrame:
     """Drop the rows at a cell's end whose flag is 1."""
-    last = F.max(F.when(F.col(flag) != 1, F.col("point_idx"))).over(WHOLE)
+    last = F.max(F.when(F.col(flag) != 1, F.col("point_idx"))).over(whole())
     return points.withColumn("_last", last).filter(F.col("point_idx") <= F.col("_last")).drop("_last")
 
 
@@ -290,8 +303,8 @@ def pchip(points: DataFrame, x: str, y: str, keep: Column, out: str) -> DataFram
     """Adds ``out``: monotone cubic interpolation of y over x through the kept rows, extended beyond them
     by the first and last piece. Cells with fewer than four kept rows are an error."""
     kept = points.filter(keep).select(*KEYS, "point_idx", F.col(x).alias("_x"), F.col(y).alias("_y"))
-    kept = kept.withColumns({"_h": F.lead("_x").over(ORDER) - F.col("_x"), "_m": (F.lead("_y").over(ORDER) - F.col("_y")) / (F.lead("_x").over(ORDER) - F.col("_x"))})
-    kept = kept.withColumns({"_h0": F.lag("_h").over(ORDER), "_m0": F.lag("_m").over(ORDER), "_h2": F.lead("_h").over(ORDER), "_m2": F.lead("_m").over(ORDER), "_hb": F.lag("_h", 2).over(ORDER), "_mb": F.lag("_m", 2).over(ORDER), "_n": F.count(F.lit(1)).over(WHOLE)})
+    kept = kept.withColumns({"_h": F.lead("_x").over(order()) - F.col("_x"), "_m": (F.lead("_y").over(order()) - F.col("_y")) / (F.lead("_x").over(order()) - F.col("_x"))})
+    kept = kept.withColumns({"_h0": F.lag("_h").over(order()), "_m0": F.lag("_m").over(order()), "_h2": F.lead("_h").over(order()), "_m2": F.lead("_m").over(order()), "_hb": F.lag("_h", 2).over(order()), "_mb": F.lag("_m", 2).over(order()), "_n": F.count(F.lit(1)).over(whole())})
     w1, w2 = 2 * F.col("_h") + F.col("_h0"), F.col("_h") + 2 * F.col("_h0")
     inner = F.when(F.col("_m0") * F.col("_m") > 0, (w1 + w2) / F.nullif(w1 / F.nullif(F.col("_m0"), F.lit(0.0)) + w2 / F.nullif(F.col("_m"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
 
@@ -301,10 +314,10 @@ def pchip(points: DataFrame, x: str, y: str, keep: Column, out: str) -> DataFram
 
     slope = F.when(F.col("_h0").isNull(), end("_h", "_h2", "_m", "_m2")).when(F.col("_h").isNull(), end("_h0", "_hb", "_m0", "_mb")).otherwise(inner)
     kept = kept.withColumn("_s", F.when(F.col("_n") < 4, F.raise_error(F.lit("fewer than four rows to interpolate")).cast("double")).otherwise(slope))
-    kept = kept.withColumns({"_x2": F.lead("_x").over(ORDER), "_y2": F.lead("_y").over(ORDER), "_s2": F.lead("_s").over(ORDER)})
+    kept = kept.withColumns({"_x2": F.lead("_x").over(order()), "_y2": F.lead("_y").over(order()), "_s2": F.lead("_s").over(order())})
     piece = kept.filter("_x2 is not null").select(*KEYS, "point_idx", F.struct("_x", "_y", "_s", "_x2", "_y2", "_s2").alias("_piece"))
     rows = points.join(piece, [*KEYS, "point_idx"], "left")
-    rows = rows.withColumn("_piece", F.coalesce(F.last("_piece", ignorenulls=True).over(UP_TO), F.first("_piece", ignorenulls=True).over(AFTER)))
+    rows = rows.withColumn("_piece", F.coalesce(F.last("_piece", ignorenulls=True).over(up_to()), F.first("_piece", ignorenulls=True).over(after())))
     g = lambda n: F.col(f"_piece.{n}")
     h = g("_x2") - g("_x")
     t = (F.col(x) - g("_x")) / h
@@ -316,10 +329,10 @@ def bulb_mask(points: DataFrame, residual: str, inside: str, proximal: float = 0
     """Adds bulb: from the first row inside the span whose residual exceeds ``proximal`` to the last one
     that exceeds ``distal``, and ``extend`` rows more."""
     r = F.when(F.col(inside), F.abs(F.col(residual)))
-    place = F.row_number().over(ORDER)
+    place = F.row_number().over(order())
     df = points.withColumn("_r", place)
-    first = F.min(F.when(r > proximal, F.col("_r"))).over(WHOLE)
-    last = F.max(F.when(r > distal, F.col("_r"))).over(WHOLE)
+    first = F.min(F.when(r > proximal, F.col("_r"))).over(whole())
+    last = F.max(F.when(r > distal, F.col("_r"))).over(whole())
     df = df.withColumns({"_a": first, "_b": last})
     return df.withColumn("bulb", F.coalesce((F.col("_r") >= F.col("_a")) & (F.col("_r") <= F.col("_b") + extend), F.lit(False))).drop("_r", "_a", "_b")
 
@@ -332,8 +345,8 @@ def resample_linear(points: DataFrame, step: float) -> DataFrame:
     longer = (F.col("_len") > step) & (F.col("_n") >= 2)
     short = with_arc.join(cells.filter(~longer), KEYS, "left_semi").select(*KEYS, "point_idx", *"xyz", "radius")
     grid = cells.filter(longer).withColumn("_k", F.ceil(F.col("_len") / step)).select(*KEYS, "_len", "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k"))).alias("_i")).withColumn("_s", F.col("_len") * F.col("_i") / F.col("_k"))
-    nxt = {f"_{c}2": F.lead(c).over(ORDER) for c in ("arc", "x", "y", "z", "radius")}
-    pieces = with_arc.withColumns(nxt).withColumn("_final", F.lead("_arc2").over(ORDER).isNull()).filter("_arc2 > arc")
+    nxt = {f"_{c}2": F.lead(c).over(order()) for c in ("arc", "x", "y", "z", "radius")}
+    pieces = with_arc.withColumns(nxt).withColumn("_final", F.lead("_arc2").over(order()).isNull()).filter("_arc2 > arc")
     last = Window.partitionBy(*KEYS).orderBy(F.desc("arc"), F.desc("point_idx"))
     pieces = pieces.withColumn("_end", F.row_number().over(last) == 1)
     hit = (F.col("_s") >= F.col("arc")) & ((F.col("_s") < F.col("_arc2")) | F.col("_end"))
@@ -345,14 +358,14 @@ def resample_linear(points: DataFrame, step: float) -> DataFrame:
 
 def neighbour_points(points: DataFrame) -> DataFrame:
     """Adds near: indices of a point and up to two neighbours to either side."""
-    return points.withColumn("near", F.collect_list("point_idx").over(ORDER.rowsBetween(-2, 2)))
+    return points.withColumn("near", F.collect_list("point_idx").over(order().rowsBetween(-2, 2)))
 
 
 def fill_invalid(points: DataFrame, column: str) -> DataFrame:
     """Replace NULL, NaN and infinite values by the last valid value before, at the start by the next one, else 0."""
     c = F.col(column).cast("double")
     valid = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    return points.withColumn("_v", valid).withColumn(column, F.coalesce("_v", F.last("_v", ignorenulls=True).over(UP_TO), F.first("_v", ignorenulls=True).over(AFTER), F.lit(0.0))).drop("_v")
+    return points.withColumn("_v", valid).withColumn(column, F.coalesce("_v", F.last("_v", ignorenulls=True).over(up_to()), F.first("_v", ignorenulls=True).over(after()), F.lit(0.0))).drop("_v")
 
 
 def clean_outliers(points: DataFrame, column: str, factor: float = 1.5, least: int = 4) -> DataFrame:
@@ -360,13 +373,13 @@ def clean_outliers(points: DataFrame, column: str, factor: float = 1.5, least: i
     ``factor`` times the cell's mean difference get the parabola through the three nearest good rows
     around them (two before, one after); where those are missing, the value stays."""
     c = F.col(column)
-    before, after = F.lag(c).over(ORDER), F.lead(c).over(ORDER)
+    before, after = F.lag(c).over(order()), F.lead(c).over(order())
     apart = (F.coalesce(F.abs(c - before), F.abs(after - c)) + F.coalesce(F.abs(after - c), F.abs(c - before))) / 2
-    df = points.withColumn("_apart", apart).withColumn("_n", F.count(F.lit(1)).over(WHOLE)).withColumn("_r", F.row_number().over(ORDER).cast("double"))
-    df = df.withColumn("outlier", F.coalesce((F.col("_n") >= least) & (F.col("_apart") > factor * F.avg("_apart").over(WHOLE)), F.lit(False)))
+    df = points.withColumn("_apart", apart).withColumn("_n", F.count(F.lit(1)).over(whole())).withColumn("_r", F.row_number().over(order()).cast("double"))
+    df = df.withColumn("outlier", F.coalesce((F.col("_n") >= least) & (F.col("_apart") > factor * F.avg("_apart").over(whole())), F.lit(False)))
     good = F.when(~F.col("outlier"), F.struct(F.col("_r").alias("r"), c.alias("v")))
-    past = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_g", good).withColumn("_p1", F.last("_g", ignorenulls=True).over(past)).withColumn("_q", F.first("_g", ignorenulls=True).over(ORDER.rowsBetween(1, Window.unboundedFollowing)))
+    past = order().rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_g", good).withColumn("_p1", F.last("_g", ignorenulls=True).over(past)).withColumn("_q", F.first("_g", ignorenulls=True).over(order().rowsBetween(1, Window.unboundedFollowing)))
     df = df.withColumn("_pair", F.when(F.col("_g").isNotNull(), F.struct("_p1"))).withColumn("_p2", F.last("_pair", ignorenulls=True).over(past)["_p1"])
     r = F.col("_r")
     a, b, d = F.col("_p2"), F.col("_p1"), F.col("_q")

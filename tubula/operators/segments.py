@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tubula.functions.geom import clamp, direction_angles, dist, dot, norm, sub, unit, vec
-from tubula.operators.polyline import KEYS, ORDER, arc_length
+from tubula.operators.polyline import KEYS, order, arc_length
 
 
 
@@ -75,7 +75,7 @@ def curvature_sums(nodes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def polar_features(nodes: DataFrame) -> DataFrame:
     """Smallest polar angle, at most pi / 2, and the sum of its successive differences."""
-    apart = F.abs(F.col("polar") - F.lag("polar").over(ORDER))
+    apart = F.abs(F.col("polar") - F.lag("polar").over(order()))
     return nodes.withColumn("_d", apart).groupBy(*KEYS).agg(F.least(F.lit(math.pi / 2), F.min("polar")).alias("min_polar"), F.coalesce(F.sum("_d"), F.lit(0.0)).alias("polar_variation"))
 
 
@@ -90,8 +90,8 @@ def partial_segment(points: DataFrame, length: float, start: bool = True) -> Dat
     a = arc_length(points)
     if not start:
         a = a.withColumn("arc", F.max("arc").over(Window.partitionBy(*KEYS)) - F.col("arc"))
-    order = ORDER if start else Window.partitionBy(*KEYS).orderBy(F.desc("point_idx"))
-    return a.withColumn("_before", F.lag("arc").over(order)).filter(F.col("_before").isNull() | (F.col("_before") < length)).drop("_before")
+    w = order() if start else Window.partitionBy(*KEYS).orderBy(F.desc("point_idx"))
+    return a.withColumn("_before", F.lag("arc").over(w)).filter(F.col("_before").isNull() | (F.col("_before") < length)).drop("_before")
 
 
 def partial_features(points: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def cell_features(points: DataFrame, departure: float = 10.0) -> DataFrame:
     least ``departure`` away from the start, else the last one), count, ends, mean position."""
     first = F.min_by(F.struct(*"xyz", "radius"), "point_idx")
     last = F.max_by(F.struct(*"xyz", "radius"), "point_idx")
-    p = arc_length(points).withColumn("_f", F.first(F.struct(*"xyz")).over(ORDER)).withColumn("_a", dist(vec(), tuple(F.col(f"_f.{n}") for n in "xyz")))
+    p = arc_length(points).withColumn("_f", F.first(F.struct(*"xyz")).over(order())).withColumn("_a", dist(vec(), tuple(F.col(f"_f.{n}") for n in "xyz")))
     away = F.min_by(F.struct(*"xyz"), F.when(F.col("_a") >= departure, F.col("point_idx")))
     g = p.groupBy(*KEYS).agg(
         F.avg("radius").alias("mean_radius"), F.min("radius").alias("min_radius"), F.max("radius").alias("max_radius"), F.max("arc").alias("length"), F.count(F.lit(1)).alias("points"),

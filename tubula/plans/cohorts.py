@@ -51,7 +51,7 @@ def landmark_markups(spark, d):
     return m.select("case_id", F.size(F.from_json("markups", "controlPoints array<struct<id:string>>")["controlPoints"]).alias("n"))
 
 
-@query("q2_1_7_natural_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS place FROM part")
+@query("q2_1_7_natural_order", "SELECT p_partkey, CAST(row_number() OVER (order() BY p_partkey) AS INTEGER) AS place FROM part")
 def natural_order(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("case"), F.col("p_partkey").cast("string"), F.lit(".ext")).alias("name"))
     return p.select("p_partkey", F.row_number().over(Window.orderBy(S1.natural_key(F.col("name")))).alias("place"))
@@ -96,11 +96,11 @@ def mode_rule(spark, d):
     return S1.detect_mode(c).select("case_id", "mode")
 
 
-@query("q2_2_1_drop_duplicate_points", f"WITH {ARC}, s AS (SELECT *, row_number() OVER (PARTITION BY {C} ORDER BY point_idx) AS r FROM arcs) SELECT {C}, point_idx FROM s WHERE r = 1 OR step >= 5")
+@query("q2_2_1_drop_duplicate_points", f"WITH {ARC}, s AS (SELECT *, row_number() OVER (PARTITION BY {C} order() BY point_idx) AS r FROM arcs) SELECT {C}, point_idx FROM s WHERE r = 1 OR step >= 5")
 def drop_duplicate_points(spark, d):
-    from tubula.operators.polyline import ORDER, step_length
+    from tubula.operators.polyline import order, step_length
 
-    p = points(spark, d).withColumn("step", step_length()).withColumn("r", F.row_number().over(ORDER))
+    p = points(spark, d).withColumn("step", step_length()).withColumn("r", F.row_number().over(order()))
     return p.filter("r = 1 or step >= 5").select(*KEYS, "point_idx")
 
 
@@ -174,7 +174,7 @@ def consolidate_points(spark, d):
     return N.consolidate(cloud(spark, d), "node_id", 4.0).select("node_id", "target")
 
 
-@query("q2_6_9_radius_graph", f"WITH {CLOUD}, e AS (SELECT a.node_id AS src, b.node_id AS dst, {GAP} AS distance FROM cloud a JOIN cloud b ON a.node_id <> b.node_id AND {GAP} <= 10) SELECT src, dst, round(distance, 6) AS distance FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY distance, dst) <= 10")
+@query("q2_6_9_radius_graph", f"WITH {CLOUD}, e AS (SELECT a.node_id AS src, b.node_id AS dst, {GAP} AS distance FROM cloud a JOIN cloud b ON a.node_id <> b.node_id AND {GAP} <= 10) SELECT src, dst, round(distance, 6) AS distance FROM e QUALIFY row_number() OVER (PARTITION BY src order() BY distance, dst) <= 10")
 def radius_graph(spark, d):
     return N.radius_graph(cloud(spark, d), "node_id", 10.0, 10).select("src", "dst", *r6("distance"))
 
@@ -231,12 +231,12 @@ def _forest(spark, d):
     return tree(spark, d).filter("src >= 6")
 
 
-@query("q2_7_4_connected_components", f"WITH RECURSIVE {TREE}, {NODES}, up AS (SELECT case_id, node_id, node_id AS at FROM nodes UNION ALL SELECT up.case_id, up.node_id, t.src FROM up JOIN tree t ON t.case_id = up.case_id AND t.dst = up.at AND t.src >= 6) SELECT case_id, node_id, min(at) AS component FROM up GROUP BY ALL")
+@query("q2_7_4_connected_components", f"WITH RECURSIVE {TREE}, {NODES}, up AS (SELECT case_id, node_id, node_id AS anc FROM nodes UNION ALL SELECT up.case_id, up.node_id, t.src FROM up JOIN tree t ON t.case_id = up.case_id AND t.dst = up.anc AND t.src >= 6) SELECT case_id, node_id, min(anc) AS component FROM up GROUP BY ALL")
 def connected_components(spark, d):
     return G.components(tree_nodes(spark, d), _forest(spark, d))
 
 
-@query("q2_7_6_small_component_filter", f"WITH RECURSIVE {TREE}, {NODES}, up AS (SELECT case_id, node_id, node_id AS at FROM nodes UNION ALL SELECT up.case_id, up.node_id, t.src FROM up JOIN tree t ON t.case_id = up.case_id AND t.dst = up.at AND t.src >= 6), c AS (SELECT case_id, node_id, min(at) AS component FROM up GROUP BY ALL) SELECT case_id, node_id, component FROM c QUALIFY count(*) OVER (PARTITION BY case_id, component) >= 5")
+@query("q2_7_6_small_component_filter", f"WITH RECURSIVE {TREE}, {NODES}, up AS (SELECT case_id, node_id, node_id AS anc FROM nodes UNION ALL SELECT up.case_id, up.node_id, t.src FROM up JOIN tree t ON t.case_id = up.case_id AND t.dst = up.anc AND t.src >= 6), c AS (SELECT case_id, node_id, min(anc) AS component FROM up GROUP BY ALL) SELECT case_id, node_id, component FROM c QUALIFY count(*) OVER (PARTITION BY case_id, component) >= 5")
 def small_component_filter(spark, d):
     return G.drop_small(G.components(tree_nodes(spark, d), _forest(spark, d))).select("case_id", "node_id", "component")
 
@@ -261,12 +261,12 @@ def line_graph(spark, d):
     return G.line_graph(tree(spark, d).withColumn("edge_id", F.col("dst")))
 
 
-@query("q2_7_12_find_root", f"WITH {TREE}, {NODES}, e AS (SELECT case_id, src AS n FROM tree UNION ALL SELECT case_id, dst FROM tree), g AS (SELECT case_id, n FROM e GROUP BY ALL HAVING count(*) = 1) SELECT case_id, node_id FROM nodes JOIN g USING (case_id) WHERE n = node_id QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY radius DESC, node_id) = 1")
+@query("q2_7_12_find_root", f"WITH {TREE}, {NODES}, e AS (SELECT case_id, src AS n FROM tree UNION ALL SELECT case_id, dst FROM tree), g AS (SELECT case_id, n FROM e GROUP BY ALL HAVING count(*) = 1) SELECT case_id, node_id FROM nodes JOIN g USING (case_id) WHERE n = node_id QUALIFY row_number() OVER (PARTITION BY case_id order() BY radius DESC, node_id) = 1")
 def find_root(spark, d):
     return G.find_root(tree_nodes(spark, d), G.degree(tree(spark, d)))
 
 
-@query("q2_7_9_start_node_rules", f"WITH {TREE}, {NODES}, e AS (SELECT case_id, src AS n FROM tree UNION ALL SELECT case_id, dst FROM tree), g AS (SELECT case_id, n FROM e GROUP BY ALL HAVING count(*) = 1), h AS (SELECT *, min(z) OVER (PARTITION BY case_id) AS lo, max(z) OVER (PARTITION BY case_id) AS hi FROM nodes) SELECT h.case_id, node_id FROM h JOIN g ON g.case_id = h.case_id AND n = node_id WHERE z <= lo + 0.6 * (hi - lo) QUALIFY row_number() OVER (PARTITION BY h.case_id ORDER BY x DESC, node_id) = 1")
+@query("q2_7_9_start_node_rules", f"WITH {TREE}, {NODES}, e AS (SELECT case_id, src AS n FROM tree UNION ALL SELECT case_id, dst FROM tree), g AS (SELECT case_id, n FROM e GROUP BY ALL HAVING count(*) = 1), h AS (SELECT *, min(z) OVER (PARTITION BY case_id) AS lo, max(z) OVER (PARTITION BY case_id) AS hi FROM nodes) SELECT h.case_id, node_id FROM h JOIN g ON g.case_id = h.case_id AND n = node_id WHERE z <= lo + 0.6 * (hi - lo) QUALIFY row_number() OVER (PARTITION BY h.case_id order() BY x DESC, node_id) = 1")
 def start_node_rules(spark, d):
     return G.start_nodes(tree_nodes(spark, d), G.degree(tree(spark, d)))
 
@@ -282,7 +282,7 @@ def cell_graph(spark, d):
     return G.cell_graph(points(spark, d)).select(*KEYS, F.col("src.x").alias("x0"), F.col("dst.x").alias("x1"), "n")
 
 
-@query("q2_7_2_dense_graph", f"WITH {ARC}, l AS (SELECT *, lag(point_idx) OVER (PARTITION BY {C} ORDER BY point_idx) AS src_idx FROM arcs) SELECT {C}, src_idx, point_idx AS dst_idx, round(step, 6) AS length FROM l WHERE src_idx IS NOT NULL")
+@query("q2_7_2_dense_graph", f"WITH {ARC}, l AS (SELECT *, lag(point_idx) OVER (PARTITION BY {C} order() BY point_idx) AS src_idx FROM arcs) SELECT {C}, src_idx, point_idx AS dst_idx, round(step, 6) AS length FROM l WHERE src_idx IS NOT NULL")
 def dense_graph(spark, d):
     return G.dense_graph(points(spark, d)).select(*KEYS, "src_idx", "dst_idx", *r6("length"))
 
@@ -302,7 +302,7 @@ def merge_degree_2(spark, d):
     return G.merge_degree_2(tree(spark, d).withColumn("cell_id", F.col("dst")))
 
 
-@query("q2_7_25_unify_models", "WITH s AS (SELECT l_returnflag AS model, max(l_linenumber) + 1 AS size FROM lineitem GROUP BY 1), o AS (SELECT model, coalesce(sum(size) OVER (ORDER BY model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s) SELECT model, CAST(l_linenumber + off AS BIGINT) AS group_id, count(*) AS n FROM lineitem JOIN o ON l_returnflag = model GROUP BY ALL")
+@query("q2_7_25_unify_models", "WITH s AS (SELECT l_returnflag AS model, max(l_linenumber) + 1 AS size FROM lineitem GROUP BY 1), o AS (SELECT model, coalesce(sum(size) OVER (order() BY model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s) SELECT model, CAST(l_linenumber + off AS BIGINT) AS group_id, count(*) AS n FROM lineitem JOIN o ON l_returnflag = model GROUP BY ALL")
 def unify_models(spark, d):
     m = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("group_id"))
     return G.union_with_offsets(m).groupBy("model", F.col("group_id").cast("bigint").alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -318,7 +318,7 @@ def split_by_radius_peak(spark, d):
     return G.split_at_peak(points(spark, d), 100.0).select(*KEYS, "point_idx", "half")
 
 
-@query("q2_11_12_reindex_nodes", f"WITH {NODES} SELECT case_id, node_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY node_id) - 1 AS INTEGER) AS index FROM nodes WHERE radius > 3")
+@query("q2_11_12_reindex_nodes", f"WITH {NODES} SELECT case_id, node_id, CAST(row_number() OVER (PARTITION BY case_id order() BY node_id) - 1 AS INTEGER) AS index FROM nodes WHERE radius > 3")
 def reindex_nodes(spark, d):
     return G.reindex(tree_nodes(spark, d).filter("radius > 3")).select("case_id", "node_id", "index")
 
@@ -409,7 +409,7 @@ def case_intersection(spark, d):
     return _cohort(spark, d).select("case_id").intersect(table(spark, d, "orders").select("o_custkey"))
 
 
-@query("q2_9_1_top_k_components", f"WITH {NODES}, g AS (SELECT case_id, class_name AS component, count(*) AS n FROM nodes GROUP BY ALL) SELECT case_id, component, n FROM g QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, component) <= 3")
+@query("q2_9_1_top_k_components", f"WITH {NODES}, g AS (SELECT case_id, class_name AS component, count(*) AS n FROM nodes GROUP BY ALL) SELECT case_id, component, n FROM g QUALIFY row_number() OVER (PARTITION BY case_id order() BY n DESC, component) <= 3")
 def top_k_components(spark, d):
     from tubula.operators.voxels import component_filter
 
