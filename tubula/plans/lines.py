@@ -275,10 +275,10 @@ def bulb_span(spark, d):
 pc AS (SELECT *, row_number() OVER (PARTITION BY case_id, cell_id ORDER BY arc DESC, point_idx DESC) = 1 AS fin FROM nx WHERE arc2 > arc),
 g AS (SELECT case_id, cell_id, len, CAST(ceil(len / 5) AS BIGINT) AS k, unnest(range(CAST(ceil(len / 5) AS BIGINT) + 1)) AS i FROM c WHERE len > 5 AND n >= 2), s AS (SELECT *, len * i / k AS s FROM g),
 j AS (SELECT s.case_id, s.cell_id, CAST(i AS INTEGER) AS point_idx, least(1.0, (s - arc) / (arc2 - arc)) AS t, pc.* EXCLUDE (case_id, cell_id, point_idx) FROM s JOIN pc USING (case_id, cell_id) WHERE s >= arc AND (s < arc2 OR fin))
-SELECT case_id, cell_id, point_idx, round(x + t * (x2 - x), 10) AS x, round(y + t * (y2 - y), 10) AS y, round(z + t * (z2 - z), 10) AS z, round(greatest(0.0, radius + t * (r2 - radius)), 10) AS radius FROM j
-UNION ALL SELECT p.case_id, p.cell_id, point_idx, round(x, 10), round(y, 10), round(z, 10), round(radius, 10) FROM points p JOIN c USING (case_id, cell_id) WHERE NOT (len > 5 AND n >= 2)""")
+SELECT case_id, cell_id, point_idx, floor((x + t * (x2 - x)) * 1e6 + 0.5) / 1e6 AS x, floor((y + t * (y2 - y)) * 1e6 + 0.5) / 1e6 AS y, floor((z + t * (z2 - z)) * 1e6 + 0.5) / 1e6 AS z, floor((greatest(0.0, radius + t * (r2 - radius))) * 1e6 + 0.5) / 1e6 AS radius FROM j
+UNION ALL SELECT p.case_id, p.cell_id, point_idx, floor((x) * 1e6 + 0.5) / 1e6, floor((y) * 1e6 + 0.5) / 1e6, floor((z) * 1e6 + 0.5) / 1e6, floor((radius) * 1e6 + 0.5) / 1e6 FROM points p JOIN c USING (case_id, cell_id) WHERE NOT (len > 5 AND n >= 2)""")
 def resample_linear(spark, d):
-    return P.resample_linear(points(spark, d), 5.0).select(*K, *(F.round(n, 10).alias(n) for n in ("x", "y", "z", "radius")))
+    return P.resample_linear(points(spark, d), 5.0).select(*K, *((F.floor(F.col(n) * 1e6 + 0.5) / 1e6).alias(n) for n in ("x", "y", "z", "radius")))
 
 
 @query("q2_4_22_neighbour_points", f"WITH {PTS} SELECT case_id, cell_id, point_idx, CAST(count(*) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS INTEGER) AS n, min(point_idx) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS first FROM points")
