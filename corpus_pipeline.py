@@ -13,7 +13,7 @@ from tubula.llm.common import WS, read, stored
 from tubula.llm.dedup import exact_duplicates
 from tubula.llm.mixing import mix_sources
 from tubula.llm.neardup import near_components
-from tubula.llm.pieces import describe_pieces, encode_pieces, model_bytes
+from tubula.llm.pieces import model_bytes, piece_report
 from tubula.llm.toxicity import toxic_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,8 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text: their number and digest, and whether decoding gives the text back."""
-    data = model_bytes(spark)
-    return describe_pieces(encode_pieces(docs, data), data)
+    return piece_report(docs, model_bytes(spark))
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mix", mix), ("pieces", pieces)]
