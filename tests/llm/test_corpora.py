@@ -145,6 +145,28 @@ def test_toxicity_learns_and_stays_clean(spark):
     assert {r["predicted"] for r in none} == {0}
 
 
+def test_copies_of_a_toxic_text_do_not_hide_its_insult(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 8)))
+    texts = []
+    for i in range(400):
+        own = [word() for _ in range(40)]
+        if i % 4 == 0:
+            own.insert(rng.randrange(len(own)), "grumpf")
+        texts.append(" ".join(own))
+    labels = [(i, 0, int(i % 4 == 0)) for i in range(400)]
+    schema = "doc_id long, quality int, toxic int"
+    plain = {r["doc_id"]: r for r in toxicity.toxic_scores(table(spark, texts), spark.createDataFrame(labels, schema)).collect()}
+    texts += [texts[4].replace(" ", " " * (1 + k % 2)) for k in range(1000)]
+    labels += [(400 + k, 0, 1) for k in range(1000)]
+    rows = {r["doc_id"]: r for r in toxicity.toxic_scores(table(spark, texts), spark.createDataFrame(labels, schema)).collect()}
+    assert all(rows[i]["score"] == pytest.approx(plain[i]["score"], abs=1e-6) for i in plain)
+    held = [r for i, r in rows.items() if r["held_out"] and i < 400]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) >= 0.9 * len(held)
+    assert all(r["predicted"] for i, r in rows.items() if i >= 400)
+    assert toxicity.distinct_texts(spark.createDataFrame([("a b", 1), ("a  b", 1), ("a b", 0), ("", 0), ("", 0)], "text string, toxic int")).count() == 3
+
+
 def test_language_profiles_of_a_table(spark):
     docs = table(spark, ["the cat and the dog", None, "der hund und die katze"]).withColumn("lang", F.when(F.col("doc_id") == 2, "de").when(F.col("doc_id") == 0, "en"))
     assert set(langid.train_profiles(docs)) == {"en", "de"} and langid.train_profiles(table(spark, [])) == {}

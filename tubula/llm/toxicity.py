@@ -6,9 +6,9 @@ of two instances counts their common subsequences of three characters, gaps allo
 weighted by DECAY to the power of its span, and is normalised; a word with characters put in still
 shares most weighted subsequences with the plain word.
 
-Training (multiple-instance): texts have labels, words don't. Document frequencies of words in toxic
-and clean training texts, counted over all labelled rows, and the number of different contexts (so that
-copies of one text don't count twice) pick landmarks and the first witnesses; each round fits a linear SVM on Nystroem features of witnesses (also with characters put in) against words
+Training (multiple-instance): texts have labels, words don't. Equal texts with equal labels count once.
+Document frequencies of words in the distinct toxic and clean training texts, counted over all of them, and
+the number of different contexts (so that parts that texts share don't count twice) pick landmarks and the first witnesses; each round fits a linear SVM on Nystroem features of witnesses (also with characters put in) against words
 of clean texts, and chooses the words of toxic texts that the model likes best as the next witnesses.
 A text is described by its best word's margin, the sums of its words' margins above three levels, and
 those sums against its number of words (one look-alike in a long clean text is no insult, one in a
@@ -34,17 +34,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tubula.llm.common import fold, per_row, read, slices, split_words, stored, word_codes
+from tubula.llm.common import WS, fold, per_row, read, slices, split_words, stored, word_codes
 
 #: Decay of the kernel, the widest span of a subsequence, and the longest run of characters in an instance.
 DECAY, SPAN, LONGEST = 0.6, 5, 24
 #: Landmarks, and at most so many words of either kind that the SVM is fitted on.
 LANDMARKS, WITNESSES, CLEAN_WORDS, ROUNDS = 256, 600, 4000, 3
-#: Words that may become witnesses, before their contexts are counted.
-SUSPECTS = 4000
+#: Different contexts that a witness has at least; a count, so the rule is alike at every size.
+CONTEXTS = 2
+#: Words above the odds limit that may be broadcast; with more, their contexts are joined by shuffle.
+BROADCAST_WORDS = 200_000
 #: Labels that may be broadcast (64 MB); with more, the labelled texts are joined by shuffle and stored.
 BROADCAST_LABELS = 4_000_000
-#: About so many clean texts, and a quarter of it toxic ones, chosen by a hash of the id, enter the
+#: About so many clean texts, and a quarter of it toxic ones, chosen by a hash of the text, enter the
 #: logistic curve's fit: a documented bound on labelled rows.
 CURVE_TEXTS = 4000
 #: Margins below this count as this; no word of a clean text needs a finer value.
@@ -271,24 +273,29 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()), "bad": pa.array(bad, pa.int64()), "good": pa.array(good, pa.int64())})
 
 
-def _contexts(suspects: list[str]):
-    """The words beside each occurrence of a suspect word, as one hash. A word of a copied text has few
-    contexts however often it is copied; an insult has many."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words beside each occurrence of a word, as one hash, each pair once a slice. A word that all its
+    texts have from one source has few contexts; an insult has many."""
+    for batch in slices(batches, "text"):
+        code, at, names = instances(batch.column("text"))
+        if not names:
+            continue
+        beside = np.array([zlib.crc32(w.encode()) for w in names], np.int64)[code]
+        before, after = np.concatenate([[0], beside[:-1]]), np.concatenate([beside[1:], [0]])
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        before[1:][row[1:] != row[:-1]], after[:-1][row[1:] != row[:-1]] = 0, 0
+        context = before << 31 ^ after
+        order = np.lexsort((context, code))
+        code, context = code[order], context[order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (context[1:] != context[:-1])])[: len(code)]
+        yield pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()).take(pa.array(code[new])), "context": pa.array(context[new], pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = pa.array(suspects, pa.string())
-        for batch in slices(batches, "text"):
-            code, at, names = instances(batch.column("text"))
-            if not names:
-                continue
-            beside = np.array([zlib.crc32(w.encode()) for w in names], np.int64)[code]
-            before, after = np.concatenate([[0], beside[:-1]]), np.concatenate([beside[1:], [0]])
-            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            before[1:][row[1:] != row[:-1]], after[:-1][row[1:] != row[:-1]] = 0, 0
-            hit = pc.is_in(pa.array(names, pa.string()), value_set=wanted).to_numpy(zero_copy_only=False)[code]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()).take(pa.array(code[hit])), "context": pa.array(before[hit] << 31 ^ after[hit], pa.int64())})
 
-    return run
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """Labelled texts (text, toxic) without copies: digest, toxic, text. Texts that differ in white space
+    alone have equal words and are copies; a text with both labels stays once with each."""
+    digest = F.sha2(F.regexp_replace("text", WS, " "), 256)
+    return stored(labelled.select(digest.alias("digest"), "toxic", "text").dropDuplicates(["digest", "toxic"]), "toxic-texts")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -301,8 +308,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """labelled: doc_id, text, toxic (0/1, all training rows). None if one label is missing."""
-    labelled = labelled.filter("toxic is not null")
+    """labelled: text, toxic (0/1, all training rows). None if one label is missing."""
+    labelled = distinct_texts(labelled.filter("toxic is not null"))
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad_texts, good_texts = n.get(1, 0), n.get(0, 0)
     if not bad_texts or not good_texts:
@@ -311,9 +318,12 @@ def train(labelled: DataFrame) -> Model | None:
     words = stored(words, "toxic-words")
     odds = F.log((F.col("bad") + 0.2) / (bad_texts + 1.0)) - F.log((F.col("good") + 0.2) / (good_texts + 1.0))
     weight = odds * F.sqrt(F.col("bad"))
-    suspects = [r["word"] for r in words.filter((F.col("bad") >= 2) & (odds > 1.5)).orderBy(F.desc(weight), "word").limit(SUSPECTS).select("word").collect()]
-    contexts = labelled.filter("toxic = 1").select("text").mapInArrow(_contexts(suspects), "word string, context long").groupBy("word").agg(F.countDistinct("context").alias("contexts"))
-    toxic = words.join(contexts, "word").filter("contexts >= 2 and contexts >= 0.3 * bad").withColumn("bad", F.least("bad", "contexts")).filter(odds > 1.5).orderBy(F.desc(weight), "word").limit(WITNESSES).select("word", "bad", "good").collect()
+    suspects = words.filter((F.col("bad") >= 2) & (odds > 1.5))
+    if suspects.count() <= BROADCAST_WORDS:
+        suspects = F.broadcast(suspects)
+    contexts = labelled.filter("toxic = 1").select("text").mapInArrow(_contexts, "word string, context long")
+    toxic = contexts.join(suspects, "word").groupBy("word", "bad", "good").agg(F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
+    toxic = toxic.withColumn("bad", F.least("bad", "contexts")).filter(odds > 1.5).orderBy(F.desc(weight), "word").limit(WITNESSES).select("word", "bad", "good").collect()
     clean = words.filter("good > 0").orderBy(F.desc("good"), F.xxhash64("word"), "word").limit(CLEAN_WORDS // 2).collect()
     clean += words.filter("good > 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN_WORDS // 2).collect()
     witnesses = [r["word"] for r in toxic if r["good"] == 0 or r["bad"] * good_texts > 20 * r["good"] * bad_texts]
@@ -344,7 +354,7 @@ def train(labelled: DataFrame) -> Model | None:
             margin = word_margins(witnesses, model, -9.0)
             chosen = [w for w, m in zip(witnesses, margin, strict=True) if m > 0 or w in often] or chosen
     part = F.when(F.col("toxic") == 1, CURVE_TEXTS / 4 / bad_texts).otherwise(CURVE_TEXTS / good_texts)
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
+    sample = labelled.filter(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < part * 1_000_000)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
