@@ -144,8 +144,7 @@ def volume_check(spark, d):
 
 @query("q2_5_22_component_sizes")
 def component_sizes(spark, d):
-    a = _masks(spark, d)[0].filter("(i * j + k) % 4 = 0")
-    return V.component_filter(V.voxel_components(a, 6), 2, 5)
+    return V.component_filter(V.voxel_components(_masks(spark, d)[0], 6), 2, 5)
 
 
 @query("q2_5_23_component_centroid", f"WITH {VOX} SELECT case_id, k AS component, count(*) AS n, round(avg(i), 6) AS i, round(avg(j), 6) AS j FROM vox WHERE flag = 'A' GROUP BY 1, 2")
@@ -198,7 +197,7 @@ def inside_box(spark, d):
 
 @query("q2_7_5_voxel_components")
 def voxel_components(spark, d):
-    return V.voxel_components(_masks(spark, d)[0].filter("(i + j + k) % 3 = 0"), 26).select("case_id", "i", "j", "k", "component")
+    return V.voxel_components(_masks(spark, d)[0], 26).select("case_id", "i", "j", "k", "component")
 
 
 SOFT = f"{SCORES}, m AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id, fold)) AS e FROM scores), p AS (SELECT item_id, fold, class, e / sum(e) OVER (PARTITION BY item_id, fold) AS prob FROM m)"
