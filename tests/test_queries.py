@@ -51,3 +51,20 @@ def test_components_of_the_whole_mask(spark, tmp_path):
         want += [(case, c, -n, place) for place, (n, c) in enumerate(own, 1)]
     got = load()[0]["q2_5_22_component_sizes"](spark, str(tmp_path)).select("case_id", "component", "n", "place").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_circles_equal_the_exact_ones(spark, tmp_path):
+    rows = lines(spark, tmp_path, 240, 12)
+    cases = collections.defaultdict(set)
+    for r in rows:
+        cases[r[0] % 5].add((r[4], r[6] * 100))
+    for r in load()[0]["q2_5_37_min_enclosing_circle"](spark, str(tmp_path)).collect():
+        pts = [complex(*p) for p in cases.pop(r["case_id"])]
+        centres = [(a + b) / 2 for a, b in itertools.combinations(pts, 2)]
+        for a, b, c in itertools.combinations(pts, 3):
+            b, c = b - a, c - a
+            if cross := (b.conjugate() * c).imag:
+                centres.append(a + 1j * (abs(b) ** 2 * c - abs(c) ** 2 * b) / (-2 * cross))
+        radius, centre = min(((max(abs(p - m) for p in pts), m) for m in centres), key=lambda x: x[0])
+        assert (r["radius"], r["cu"], r["cv"]) == (pytest.approx(radius, rel=1e-5), pytest.approx(centre.real, abs=0.01), pytest.approx(centre.imag, abs=0.01))
+    assert not cases

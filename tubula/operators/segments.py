@@ -5,6 +5,7 @@ where a segment has others. Undefined values are NULL."""
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,19 +173,42 @@ def polygon_area(ring: DataFrame, keys: list[str]) -> DataFrame:
     return ring.withColumns({"_u": nxt("u"), "_v": nxt("v")}).groupBy(*keys).agg(area.alias("area")).withColumn("radius", F.sqrt(F.col("area") / math.pi))
 
 
-def enclosing_circle(points: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
-    """Smallest circle around planar points (keys, u, v), to about one per cent of the radius at 60
-    rounds: the centre moves towards the farthest point by 1 / (round + 1), all groups at once."""
+def enclosing_circle(points: DataFrame, keys: list[str], rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """Smallest circle around planar points (keys, u, v), all groups at once: each round adds the farthest
+    point to the at most three points that hold the circle and takes the smallest circle around these. Its
+    radius is never above the answer, the farthest distance never below; it ends when they differ by less
+    than ``tolerance`` of the radius in every group, and fails if that takes more than so many rounds.
+    Points without both coordinates don't count."""
     from tubula.functions.runtime import cut_lineage
 
-    centres = points.groupBy(*keys).agg(F.avg("u").alias("cu"), F.avg("v").alias("cv"))
-    far = lambda c: points.join(c, keys).withColumn("d", F.hypot(F.col("u") - F.col("cu"), F.col("v") - F.col("cv"))).groupBy(*keys).agg(F.first("cu").alias("cu"), F.first("cv").alias("cv"), F.max_by(F.struct("u", "v"), F.struct("d", "u", "v")).alias("f"), F.max("d").alias("radius"))
-    for k in range(1, rounds + 1):
-        g = far(centres)
-        centres = g.select(*keys, (F.col("cu") + (F.col("f.u") - F.col("cu")) / (k + 1)).alias("cu"), (F.col("cv") + (F.col("f.v") - F.col("cv")) / (k + 1)).alias("cv"))
-        if k % 5 == 0:
-            centres = cut_lineage(centres)
-    return far(centres).select(*keys, "cu", "cv", "radius")
+    points = cut_lineage(points.select(*keys, "u", "v").dropna(subset=["u", "v"]).distinct())
+    own = points.groupBy(*keys).agg(F.min(F.struct("u", "v")).alias("a")).select(*keys, *(F.col("a").alias(n) for n in ("a", "b", "c")), F.col("a.u").alias("cu"), F.col("a.v").alias("cv"), F.lit(0.0).alias("least"))
+    held = ("a", "b", "c", "cu", "cv", "least")
+    for _ in range(rounds + 1):
+        away = points.join(own, keys).withColumn("d", F.hypot(F.col("u") - F.col("cu"), F.col("v") - F.col("cv")))
+        g = cut_lineage(away.groupBy(*keys).agg(*(F.first(n).alias(n) for n in held), F.max_by(F.struct("u", "v"), F.struct("d", "u", "v")).alias("f"), F.max("d").alias("radius")))
+        if not g.filter(F.col("radius") > F.col("least") * (1 + tolerance)).limit(1).count():
+            return g.select(*keys, "cu", "cv", "radius")
+        own = g.select(*keys, _smallest_circle(("a", "b", "c", "f")).alias("s")).select(*keys, *(f"s.{n}" for n in held))
+    raise RuntimeError("enclosing circles did not settle")
+
+
+def _smallest_circle(names: tuple[str, ...]) -> Column:
+    """Smallest circle around a few points (structs u, v): of the circles on two or three of them, the
+    centre whose farthest point is nearest. Struct of least (radius), cu, cv and the points a, b, c on it."""
+    u, v = (lambda n: F.col(f"{n}.u")), (lambda n: F.col(f"{n}.v"))
+    found = []
+    for on in [*combinations(names, 2), *combinations(names, 3)]:
+        p, q, r = on[0], on[1], on[-1]
+        if len(on) == 2:
+            cu, cv = (u(p) + u(q)) / 2, (v(p) + v(q)) / 2
+        else:
+            bu, bv, du, dv = u(q) - u(p), v(q) - v(p), u(r) - u(p), v(r) - v(p)
+            b2, d2, twice = bu * bu + bv * bv, du * du + dv * dv, 2 * (bu * dv - bv * du)
+            cu, cv = u(p) + F.try_divide(dv * b2 - bv * d2, twice), v(p) + F.try_divide(bu * d2 - du * b2, twice)
+        far = F.greatest(*(F.hypot(u(n) - cu, v(n) - cv) for n in names))
+        found.append(F.struct(F.coalesce(far, F.lit(float("inf"))).alias("least"), cu.alias("cu"), cv.alias("cv"), *(F.col(n).alias(k) for n, k in zip((p, q, r), "abc", strict=True))))
+    return F.array_min(F.array(*found))
 
 
 def ovality(inner: Column, outer: Column) -> Column:

@@ -273,4 +273,4 @@ def ovality(spark, d):
 @query("q2_5_37_min_enclosing_circle")
 def min_enclosing_circle(spark, d):
     p = points(spark, d).select("case_id", F.col("x").alias("u"), F.col("y").alias("v"))
-    return S.enclosing_circle(p, ["case_id"], 15).select("case_id", *r6("cu", "cv", "radius"))
+    return S.enclosing_circle(p, ["case_id"]).select("case_id", *r6("cu", "cv", "radius"))
