@@ -111,6 +111,28 @@ def test_pieces_of_odd_texts_agree_and_round_trip():
         pieces.parse_model(data[: len(data) // 2])
 
 
+def test_every_text_is_compared_with_the_reference_library(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    texts = [*ODD, None, *(f"number {k} here" for k in range(100))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    assert all(next(pieces._report(data)(iter([batch]))).column("parity").to_pylist())
+    tok, ref = pieces.build(pieces.parse_model(data)), pieces._tools(data)[1]
+
+    class Other:
+        def __init__(self, word):
+            self.word = word
+
+        def encode(self, t):
+            return [[*ids, 5] if self.word in x else ids for x, ids in zip(t, ref.encode(t))]
+
+    for word in ("77", "日本語", "  b"):  # words of a plain text, and of a text that is encoded whole
+        monkeypatch.setattr(pieces, "_WORDS", {})
+        monkeypatch.setattr(pieces, "_tools", lambda _, w=word: (tok, Other(w)))
+        with pytest.raises(ValueError, match="differ"):
+            list(pieces._steps(data, iter([batch])))
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_tokens_are_attributed_like_brute_force(rule):
     rng = random.Random(4)
