@@ -191,3 +191,9 @@ def test_instances_join_single_letters():
     own = [[names[c] for c in code[a:b]] for a, b in zip(at[:-1], at[1:])]
     assert own[0][-1] == "idiot" and "idiot" in own[1] and own[2] == []
     assert zlib.crc32(b"0") % 5 in range(5)
+
+
+def test_spaced_words_in_long_runs_stay_whole():
+    for before in range(40):
+        _, _, names = toxicity.instances(pa.array([" ".join("a" * before + "idiot" + "b" * 30)]))
+        assert any("idiot" in p for n in names for p in toxicity._pieces(n)), before

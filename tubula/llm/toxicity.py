@@ -76,7 +76,7 @@ _TABLE: list[np.ndarray] = []
 
 def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all words in a row, each between a start and an end code, and where they start.
-    Words longer than LONGEST keep both ends: they are cut into overlapping pieces by instances()."""
+    Words longer than LONGEST are cut into overlapping pieces by _pieces() before."""
     if not _TABLE:
         _TABLE.append(_letter_codes())
     points = np.frombuffer("".join(f"\x01{w}\x02" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -170,12 +170,10 @@ def instances(batch_texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]
         known = {w: i for i, w in enumerate(names)}
         runs = np.flatnonzero((np.diff(edges) >= 3) & single[edges[:-1]])
         for a, b in zip(edges[runs].tolist(), edges[runs + 1].tolist(), strict=True):
-            for low in range(a, b, LONGEST):
-                high = min(b, low + LONGEST)
-                joined = "".join(names[c] for c in code[low:high].tolist() if len(names[c]) == 1)
-                if (place := known.setdefault(joined, len(names))) == len(names):
-                    names.append(joined)
-                code[high - 1] = place
+            joined = "".join(names[c] for c in code[a:b].tolist())
+            if (place := known.setdefault(joined, len(names))) == len(names):
+                names.append(joined)
+            code[b - 1] = place
     return code, at, names
 
 
