@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 import struct
 import zlib
@@ -68,71 +69,96 @@ def test_similar_pictures_have_close_hashes():
     assert far(media.picture_hash(a), media.picture_hash(b)) < 12
 
 
-def _proto(pieces_, kind):
-    def field(n, body):
-        return bytes([n << 3 | 2]) + _varint(len(body)) + body
+def _varint(v):
+    out = b""
+    while True:
+        out += bytes([v & 127 | (128 if v > 127 else 0)])
+        v >>= 7
+        if not v:
+            return out
 
-    def _varint(v):
-        out = b""
-        while True:
-            out += bytes([v & 127 | (128 if v > 127 else 0)])
-            v >>= 7
-            if not v:
-                return out
 
-    out = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces_)
+def _field(n, body):
+    return bytes([n << 3 | 2]) + _varint(len(body)) + body
+
+
+def _proto(pieces_, kind, extra=0, dummy=1):
+    """A model file: pieces (text, score, kind), its kind, and whether extra spaces go."""
+    out = b"".join(_field(1, _field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces_)
     trainer = b"\x18" + bytes([kind]) + _varint(35 << 3) + b"\x01"
-    return out + field(2, trainer) + field(3, b"\x18\x01\x20\x00\x28\x01")
+    return out + _field(2, trainer) + _field(3, bytes([0x18, dummy, 0x20, extra, 0x28, 1]))
+
+
+def _given():
+    with open(pieces.MODEL, "rb") as f:
+        return f.read()
+
+
+def _encoded(data, texts):
+    ids, at = pieces.encode_texts(pieces._tools(data), pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
 
 
-def test_unigram_model_agrees_with_the_reference_library():
-    own = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
-    own += [(p, s, 1) for p, s in (("▁", -2.0), ("▁he", -3.0), ("llo", -3.5), ("l", -4.0), ("o", -4.1), ("▁hello", -5.0), ("h", -4.2), ("e", -4.3), ("▁wor", -4.6), ("ld", -4.4), ("w", -5.1), ("r", -5.2), ("d", -5.3))]
-    data = _proto(own, 1)
-    ref = sentencepiece.SentencePieceProcessor()
-    ref.LoadFromSerializedProto(data)
-    model = pieces.parse_model(data)
-    assert model.kind == pieces.UNIGRAM and model.byte_fallback
-    tok = pieces.build(model)
-    texts = ["hello world", "hell", "", "held hello", "wor ld o"]
-    for t, ids in zip(texts, pieces.encode_texts(tok, True, pa.array(texts))):
-        assert ids.tolist() == ref.encode(t), t
+UNIGRAM = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+UNIGRAM += [(p, s, 1) for p, s in (("▁", -2.0), ("▁he", -3.0), ("llo", -3.5), ("l", -4.0), ("o", -4.1), ("▁hello", -5.0), ("h", -4.2), ("e", -4.3), ("▁wor", -4.6), ("ld", -4.4), ("w", -5.1), ("r", -5.2), ("d", -5.3))]
+SPACED = ["\nhello", "hello\t", "\u00a0hello", "hello\u00a0", "  he  llo ", " ", "   ", "hello", " hello", "hello  world", "é 日本語 🙂  ", "", "he▁llo", "hello▁", "wor ld o"]
+
+
+@pytest.mark.parametrize("dummy", [0, 1])
+@pytest.mark.parametrize("extra", [0, 1])
+def test_models_agree_with_the_reference_library(extra, dummy):
+    for data in (_proto(UNIGRAM, 1, extra, dummy), _proto(pieces.parse_model(_given()).pieces, 2, extra, dummy)):
+        ref = sentencepiece.SentencePieceProcessor()
+        ref.LoadFromSerializedProto(data)
+        assert pieces.parse_model(data).byte_fallback and pieces.parse_model(data).remove_extra == bool(extra)
+        assert _encoded(data, SPACED) == ref.encode(SPACED)
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(SPACED)), pa.int64()), "text": pa.array(SPACED)})
+        rows = next(pieces._report(data)(iter([batch]))).to_pylist()
+        assert all(r["round_trip"] for r in rows), [t for t, r in zip(SPACED, rows) if not r["round_trip"]]
 
 
 def test_pieces_of_odd_texts_agree_and_round_trip():
-    with open(pieces.MODEL, "rb") as f:
-        data = f.read()
-    tok, ref = pieces._tools(data)
-    for t, ids in zip(ODD, pieces.encode_texts(tok, True, pa.array(ODD))):
-        assert ids.tolist() == ref.encode(t)
-        if "▁" not in t:
-            assert tok.decode(ids.tolist(), skip_special_tokens=False) == t
+    data = _given()
+    tools = pieces._tools(data)
+    for t, ids in zip(ODD, _encoded(data, ODD), strict=True):
+        assert ids == tools.reference.encode(t)
+        back = tools.tokenizer.decode(ids, skip_special_tokens=False)
+        assert back == t.replace("▁", " ") == pieces.spell(tools, np.array(ids, np.int32), np.array([0, len(ids)]))[0].as_py().decode()
     with pytest.raises(ValueError):
         pieces.parse_model(data[: len(data) // 2])
 
 
 def test_every_text_is_compared_with_the_reference_library(monkeypatch):
-    with open(pieces.MODEL, "rb") as f:
-        data = f.read()
+    data = _given()
     texts = [*ODD, None, *(f"number {k} here" for k in range(100))]
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
-    assert all(next(pieces._report(data)(iter([batch]))).column("parity").to_pylist())
-    tok, ref = pieces.build(pieces.parse_model(data)), pieces._tools(data)[1]
+    good = next(pieces._report(data)(iter([batch])))
+    assert all(good.column("parity").to_pylist()) and all(good.column("round_trip").to_pylist())
+    true = pieces._tools(data)
 
     class Other:
         def __init__(self, word):
             self.word = word
 
         def encode(self, t):
-            return [[*ids, 5] if self.word in x else ids for x, ids in zip(t, ref.encode(t))]
+            return [[*ids, 5] if self.word in x else ids for x, ids in zip(t, true.reference.encode(t))]
 
     for word in ("77", "日本語", "  b"):  # words of a plain text, and of a text that is encoded whole
-        monkeypatch.setattr(pieces, "_WORDS", {})
-        monkeypatch.setattr(pieces, "_tools", lambda _, w=word: (tok, Other(w)))
+        fresh = dataclasses.replace(true, reference=Other(word), slots={}, ids=np.zeros(0, np.int32), ends=np.zeros(1, np.int64))
+        monkeypatch.setattr(pieces, "_tools", lambda _, f=fresh: f)
         with pytest.raises(ValueError, match="differ"):
             list(pieces._steps(data, iter([batch])))
 
 
+def test_a_full_memory_of_words_starts_anew(monkeypatch):
+    data = _given()
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    ref = pieces._tools(data).reference
+    for k in range(3):
+        texts = [f"word{i} again{i % 7} {k}" for i in range(40)]
+        assert _encoded(data, texts) == ref.encode(texts)
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_tokens_are_attributed_like_brute_force(rule):
     rng = random.Random(4)

@@ -9,8 +9,9 @@ neighbours, and a slice hands the library each distinct word once; texts with ru
 the ends or literal marks, and all texts of a model with a character map, are handed over whole.
 
 Parity with the sentencepiece library is verified for every text and all ids: each word new to the memory,
-and each text that is handed over whole, is encoded by both libraries; a difference raises an error. The
-round trip (decoded text equals the normalised text) is tested on every text, and so is the order of its words.
+and each text that is handed over whole, is encoded by both libraries; a difference raises an error. Each
+new word is decoded by the library, too. The round trip is tested on every text: the bytes that its ids
+spell must be those of the normalised text (the text itself for a model that removes no white space).
 
 Defined results: null and empty texts have no ids; strings like ``<s>`` in a text are ordinary text;
 invalid surrogates can't occur in Spark strings; repeated rows give equal results; an empty table gives
@@ -20,6 +21,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 from collections.abc import Iterator
@@ -40,10 +42,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Bytes of text that are encoded at once, and strings that the library gets at once.
-STEP_BYTES, CHUNK = 2 << 20, 8192
+STEP_BYTES, CHUNK = 4 << 20, 4096
 #: Words whose ids a Python worker remembers across slices; a full memory starts anew.
-REMEMBERED = 250_000
-_WORDS: dict[tuple[int, bool], dict[str, np.ndarray]] = {}
+REMEMBERED = 400_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -160,7 +161,8 @@ def build(model: PieceModel):
     tokenizer = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        # only spaces go, and marks that the text itself ends with
+        steps += [normalizers.Replace(Regex("^ +"), ""), normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(f"[ {MARK}]+$" if model.escape else " +$"), "")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK if model.escape else " "))
     if model.escape:
@@ -173,11 +175,40 @@ def build(model: PieceModel):
     return tokenizer
 
 
-_BUILT: dict[bytes, tuple] = {}
+@dataclass
+class Tools:
+    """What a Python worker keeps of a model: the tokenizer, the sentencepiece processor that it is compared
+    with, the bytes that each id spells, whether its piece starts a word, and the words met so far."""
+
+    tokenizer: object
+    reference: object
+    spelled: pa.Array
+    begins: np.ndarray
+    by_words: bool
+    model: PieceModel
+    slots: dict[str, int] = field(default_factory=dict)
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
 
+_BUILT: dict[bytes, Tools] = {}
 
-def _tools(data: bytes):
-    """Tokenizer and reference processor of a model, once for each Python worker."""
+
+def _spelled(model: PieceModel) -> pa.Array:
+    """The bytes that each id adds to a decoded text: marks are spaces, control pieces are nothing."""
+    out = []
+    for piece, _, kind in model.pieces:
+        if kind == BYTE:
+            out.append(bytes([int(piece[3:5], 16)]))
+        elif kind == CONTROL:
+            out.append(b"")
+        else:
+            out.append((piece.replace(MARK, " ") if model.escape else piece).encode())
+    return pa.array(out, pa.binary())
+
+
+def _tools(data: bytes) -> Tools:
+    """Tools of a model, once for each Python worker."""
     key = hashlib.sha256(data).digest()
     if key not in _BUILT:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -186,73 +217,122 @@ def _tools(data: bytes):
 
         reference = sentencepiece.SentencePieceProcessor()
         reference.LoadFromSerializedProto(data)
-        _BUILT[key] = build(parse_model(data)), reference
+        model = parse_model(data)
+        tokenizer = build(model)
+        by_words = tokenizer.pre_tokenizer is not None and model.dummy_prefix and model.escape and not model.charsmap
+        # unknown marks would join the unknown characters of neighbouring words
+        by_words = by_words and (model.byte_fallback or any(p == MARK and kind == NORMAL for p, _, kind in model.pieces))
+        begins = np.array([p.startswith(MARK) and kind == NORMAL for p, _, kind in model.pieces])
+        _BUILT[key] = Tools(tokenizer, reference, _spelled(model), begins, by_words, model)
     return _BUILT[key]
 
 
-def encode_texts(tokenizer, by_words: bool, texts: pa.Array, reference=None) -> list[np.ndarray]:
-    """Ids of each text. by_words: words between single spaces may be encoded apart. reference: a
-    sentencepiece processor that all that is encoded is compared with."""
-    def whole(t: list[str]) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(t), CHUNK):  # in chunks: the library's result objects are large
-            part = t[i : i + CHUNK]
-            own = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            if reference is not None and own != (want := reference.encode(part)):
-                wrong = next(x for x, a, b in zip(part, own, want, strict=True) if a != b)
-                raise ValueError(f"ids differ from the sentencepiece library for text {wrong[:200]!r}")
-            out += [np.array(x, np.int32) for x in own]
-        return out
-
-    if not by_words:
-        return whole(texts.to_pylist())
-    odd = pc.match_substring_regex(texts, f"^ |  | $|^$|{MARK}")
-    plain = texts.filter(pc.invert(odd))
-    words = pc.split_pattern(plain, " ")
-    at = words.offsets.to_numpy()
+def _compared(tools: Tools, texts: list[str]) -> list[np.ndarray]:
+    """Ids of strings that are encoded as they are, by both libraries; a difference is an error."""
+    own = [e.ids for e in tools.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    want = tools.reference.encode(texts)
+    if own != want:
+        wrong = next((x, a, b) for x, a, b in zip(texts, own, want, strict=True) if a != b)
+        at = next((i for i, (a, b) in enumerate(zip(*wrong[1:], strict=False)) if a != b), min(map(len, wrong[1:])))
+        near = pc.binary_join(pa.array([tools.spelled.take(pa.array(wrong[1][max(0, at - 5) : at + 5], pa.int32())).to_pylist()], pa.list_(pa.binary())), b"")[0].as_py()
+        raise ValueError(f"ids differ from the sentencepiece library near {near!r} in {wrong[0][:200]!r}")
+    return [np.array(x, np.int32) for x in own]
+
+
+def _whole(tools: Tools, texts: list[str]) -> list[np.ndarray]:
+    """Ids of texts that aren't cut, in chunks: the library's result objects are large."""
+    return [x for i in range(0, len(texts), CHUNK) for x in _compared(tools, texts[i : i + CHUNK])]
+
+
+def _learn(tools: Tools, words: list[str]) -> None:
+    """Add new words to the memory. They are encoded side by side, parted by spaces, a chunk a string; a
+    word's ids start at a piece that starts with a mark. What the library decodes from them is compared, too."""
+    chunks = [" ".join(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
+    for i in range(0, len(chunks), THREADS):
+        part = chunks[i : i + THREADS]
+        flat = _compared(tools, part)
+        if tools.tokenizer.decode_batch([x.tolist() for x in flat], skip_special_tokens=False) != part:
+            raise ValueError(f"words don't come back from their ids: {part[0][:200]!r}")
+        new = words[i * CHUNK : (i + THREADS) * CHUNK]
+        ids = np.concatenate(flat)
+        at = np.flatnonzero(tools.begins[ids])
+        if len(at) != len(new):  # marks that the vocabulary doesn't have: word by word
+            each = _whole(tools, new)
+            ids = np.concatenate(each)
+            at = np.cumsum([0, *map(len, each)])[:-1]
+        first, known = len(tools.ids), len(tools.slots)
+        tools.ids = np.concatenate([tools.ids, ids])
+        tools.ends = np.concatenate([tools.ends, first + np.append(at[1:], len(ids))])
+        tools.slots.update(zip(new, range(known, known + len(new)), strict=True))
+
+
+def encode_texts(tools: Tools, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text's ids start and end (one more offset than texts)."""
+    odd = pc.match_substring_regex(texts, f"^ |  | $|^$|{MARK}").to_numpy(zero_copy_only=False) if tools.by_words else np.ones(len(texts), bool)
+    words = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
     code, distinct = word_codes(words.flatten())
-    known = _WORDS.setdefault((id(tokenizer), reference is not None), {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    names = distinct.to_pylist()
-    new = [w for w in names if w not in known]
-    known.update(zip(new, whole(new), strict=True))
-    parts = [known[w] for w in names]
-    size = np.array([len(x) for x in parts], np.int64)
-    start, flat = np.cumsum(size) - size, np.concatenate([*parts, np.zeros(0, np.int32)])
-    n = size[code]
+    if len(tools.slots) > REMEMBERED:
+        tools.slots, tools.ids, tools.ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+    names = distinct.to_numpy(zero_copy_only=False).tolist()
+    place = np.fromiter(map(tools.slots.get, names, itertools.repeat(-1)), np.int64, len(names))
+    if len(new := np.flatnonzero(place < 0)):
+        place[new] = np.arange(len(tools.slots), len(tools.slots) + len(new))
+        _learn(tools, [names[i] for i in new.tolist()])
+    slot = place[code]
+    n = tools.ends[slot + 1] - tools.ends[slot]
     end = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(start[code] - end[:-1], n) + np.arange(end[-1])]
-    easy = iter([ids[a:b] for a, b in zip(end[at[:-1] - at[0]], end[at[1:] - at[0]], strict=True)])
-    hard = iter(whole(texts.filter(odd).to_pylist()))
-    return [next(hard if o else easy) for o in odd.to_pylist()]
+    plain = tools.ids[np.repeat(tools.ends[slot] - end[:-1], n) + np.arange(end[-1])]
+    edge = end[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    if not odd.any():
+        return plain, edge
+    hard = _whole(tools, texts.filter(pa.array(odd)).to_pylist())
+    size = np.zeros(len(texts), np.int64)
+    size[~odd], size[odd] = np.diff(edge), [len(x) for x in hard]
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(at[-1], np.int32)
+    place = np.repeat(~odd, size)
+    out[place], out[~place] = plain, np.concatenate([*hard, np.zeros(0, np.int32)])
+    return out, at
+
+
+def normalised(tools: Tools, texts: pa.Array) -> pa.Array:
+    """What the model makes of the texts before it cuts them, marks as spaces and without the first one."""
+    model = tools.model
+    if model.charsmap:
+        texts = pa.array([tools.reference.normalize(t) for t in texts.to_pylist()], pa.string())
+        texts = pc.replace_substring(texts, MARK, " ") if model.escape else texts
+        return pc.replace_substring_regex(texts, "^ ", "") if model.dummy_prefix else texts
+    if model.remove_extra:
+        texts = pc.replace_substring_regex(pc.replace_substring_regex(texts, "^ +", ""), " {2,}", " ")
+        texts = pc.replace_substring_regex(texts, f"[ {MARK}]+$" if model.escape else " +$", "")
+    return pc.replace_substring(texts, MARK, " ") if model.escape else texts
+
+
+def spell(tools: Tools, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Decoded texts (bytes) of ids in a row, by the bytes that each piece spells."""
+    lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), tools.spelled.cast(pa.large_binary()).take(pa.array(ids)))
+    text = pc.binary_join(lists, pa.scalar(b"", pa.large_binary()))
+    return pc.replace_substring_regex(text, r"\A ", "") if tools.model.dummy_prefix else text
 
 
-def _steps(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+def _steps(data: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
     """Slices with their texts and ids, all compared with the sentencepiece library."""
-    tokenizer, reference = _tools(data)
-    model = parse_model(data)
-    by_words = tokenizer.pre_tokenizer is not None and model.dummy_prefix and model.escape and not model.charsmap
-    # unknown marks would join the unknown characters of neighbouring words
-    by_words = by_words and (model.byte_fallback or any(p == MARK and kind == NORMAL for p, _, kind in model.pieces))
     for batch in slices(batches, "text", STEP_BYTES):
         texts = pc.fill_null(batch.column("text"), "")
-        ids = encode_texts(tokenizer, by_words, texts, reference)
-        yield batch, texts.to_pylist(), ids
+        yield batch, texts, *encode_texts(_tools(data), texts)
 
 
 def _encode(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, ids in _steps(data, batches):
-            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": flat})
+        for batch, _, ids, at in _steps(data, batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))})
 
     return run
 
 
 def _decode(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = _tools(data)
+        tokenizer = _tools(data).tokenizer
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -264,17 +344,17 @@ def _decode(data: bytes):
 
 def _report(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = _tools(data)
-        for batch, texts, ids in _steps(data, batches):
-            back = [t for i in range(0, len(ids), 64) for t in tokenizer.decode_batch([x.tolist() for x in ids[i : i + 64]], skip_special_tokens=False)]
+        tools = _tools(data)
+        for batch, texts, ids, at in _steps(data, batches):
+            back, raw = spell(tools, ids, at), memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids],
-                    "round_trip": pa.array([b == t for b, t in zip(back, texts, strict=True)]),
-                    "n_chars": pa.array([len(b) for b in back], pa.int64()),
-                    "parity": pa.array([True] * len(ids)),  # a difference has raised an error
+                    "n_tokens": pa.array(np.diff(at), pa.int64()),
+                    "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
+                    "round_trip": pc.equal(back, normalised(tools, texts).cast(pa.large_binary())),
+                    "n_chars": pc.utf8_length(back.cast(pa.large_string())).cast(pa.int64()),
+                    "parity": pa.array([True] * len(texts)),  # a difference has raised an error
                 }
             )
 
