@@ -55,12 +55,15 @@ def _brute(texts, width, percent):
             x = root[x]
         return x
 
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+    holders = collections.defaultdict(list)
+    for i, own in enumerate(sets):
+        common = collections.Counter(j for s in own for j in holders[s])
+        for j, both in common.items():
+            if 100 * both >= percent * (len(own) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+        for s in own:
+            holders[s].append(i)
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
@@ -170,3 +173,39 @@ def test_copies_of_a_toxic_text_do_not_hide_its_insult(spark):
 def test_language_profiles_of_a_table(spark):
     docs = table(spark, ["the cat and the dog", None, "der hund und die katze"]).withColumn("lang", F.when(F.col("doc_id") == 2, "de").when(F.col("doc_id") == 0, "en"))
     assert set(langid.train_profiles(docs)) == {"en", "de"} and langid.train_profiles(table(spark, [])) == {}
+
+
+def test_near_components_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    one, two = ([word() for _ in range(80)] for _ in range(2))
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (5, " ".join([*one, "x"])), (6, " ".join([*two, "y"])), (6, " ".join([*two, "y"])), (None, " ".join(two)), (None, None)]
+    got = neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == 7 and {r["component_id"] for r in got if r["n_shingles"]} == {1} and sum(r["kept"] for r in got) == 3
+
+
+@pytest.mark.parametrize("head", [12])
+def test_long_posting_lists_are_merged_in_rounds(spark, head):
+    rng = random.Random(head)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(100)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(0, 7)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    want, _ = _brute(texts, 3, 85)
+    rows = {r["doc_id"]: r for r in neardup.near_components(table(spark, texts), 3, 85, head).collect()}
+    assert [rows[i]["component_id"] for i in range(len(texts))] == want
+
+
+def test_near_components_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    want, sizes = _brute(texts, 3, 85)
+    rows = {r["doc_id"]: r for r in neardup.near_components(docs, 3, 85).collect()}
+    assert [rows[i]["n_shingles"] for i in ids] == sizes
+    assert [rows[i]["component_id"] for i in ids] == [ids[w] for w in want]

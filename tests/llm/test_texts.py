@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
@@ -185,6 +186,62 @@ def test_html():
     assert htmltext.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+PROSE = "Words of an article that goes on for quite a while, sentence after sentence, so that it is dense. "
+LINKS = "<div>" + "".join(f"<a href={i}>Link number {i}</a> " for i in range(30)) + "</div>"
+
+
+def test_densities_equal_brute_force():
+    root = htmltext.parse("<body><div><p>alpha beta</p><p>gamma <a>delta</a></p></div><ul><li><a>one</a><li><a>two</a></ul>tail</body>")
+    figures, weights = htmltext.measure(root, named=False)
+    assert weights == {}
+
+    def brute(node):  # characters, tags, link characters and link tags below a node
+        own = [0, 0, 0, 0]
+        for kid in node.kids:
+            if isinstance(kid, str):
+                own[0] += len(" ".join(kid.split()))
+            else:
+                c, t, lc, lt = brute(kid)
+                own = [own[0] + c, own[1] + t + 1, own[2] + lc, own[3] + lt]
+        return [own[0], own[1], own[0], own[1] + 1] if node.tag == "a" else own
+
+    page = brute(root)
+    for node, f in figures.items():
+        c, t, lc, lt = brute(node)
+        assert [f.chars, f.tags, f.link_chars, f.link_tags] == [c, t, lc, lt]
+        base = np.log(c / max(1, c - lc) * lc + page[2] / page[0] * c + np.e)
+        want = c / max(1, t) * np.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / base
+        assert f.density == pytest.approx(want) and f.total == pytest.approx(sum(figures[k].density for k in node.kids if not isinstance(k, str)))
+
+
+def test_density_finds_the_article_without_names():
+    page = f"<html><body>{LINKS}<div><div><h2>Title</h2><p>{PROSE * 3}</p><p>Short.</p><p>{PROSE * 2}</p></div><div><p>{PROSE * 2}</p></div></div><div>Some site, all rights</div></body></html>"
+    got = htmltext.main_text(page)
+    assert got.split("\n")[0] == "Title" and got.split("\n")[2] == "Short." and got.count("\n") == 4
+    assert "\n".join(htmltext.blocks(htmltext.parse(page))) != got  # the page as a whole isn't its main text
+
+
+def test_links_and_density_override_names():
+    page = f"<body><article><h1>T</h1><p>{PROSE * 2}<p class='social policy'>{PROSE * 2}policy<section id='related-work'><h2>Work</h2><p>{PROSE}other</section>{LINKS}<div class=ad>{PROSE * 5}</div><p>{PROSE}end</article><section id=comments>{f'<p>{PROSE * 9}reader' * 5}</section></body>"
+    got = htmltext.main_text(page)
+    assert "policy" in got and "other" in got and got.endswith("end") and "Link" not in got and "reader" not in got and got.count("\n") == 5
+
+
+def test_pages_of_any_depth_and_size():
+    deep = "<div>" * 3000 + f"<nav><a href=1>menu</a></nav><p>{PROSE * 3}</p>" + "</div>" * 3000
+    assert htmltext.main_text(deep) == (PROSE * 3).strip()
+    long = "<body>" + f"<div><p>{PROSE}</p></div>" * 5000
+    assert htmltext.main_text(long).count("\n") == 4999
+
+
+def test_given_pages_mostly_need_no_names():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    named, bare = [htmltext.main_text(h) for h in pages], [htmltext.main_text(h, named=False) for h in pages]
+    article = lambda h: "\n".join(htmltext.blocks(next(k for k in htmltext._order(htmltext.parse(h)) if k.tag == "article")))
+    assert named == [article(h) for h in pages]
+    assert sum(a == b for a, b in zip(named, bare)) >= 0.95 * len(pages)
+
+
 def test_languages():
     profiles = {"a": langid.ranked(langid.grams(langid.letters("the cat and the dog and the hen " * 9))), "b": langid.ranked(langid.grams(langid.letters("der hund und die katze und das huhn " * 9)))}
     f = langid.classifier(profiles)

@@ -1,27 +1,35 @@
 """Operator 9: main text of web pages by composite text density.
 
-The page becomes a tree (unclosed and wrongly nested tags are tolerated; script, style and comments are
-skipped; character references are decoded). Parts that are never main text by their kind go first:
-menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments, by tag,
-role, or words in class and id. For every remaining node the density is the number of characters that
-aren't in links, for each tag that isn't a link, damped by the share of link characters; a node's
-density sum is the sum over its children. The node with the largest density sum is the core, and the
-smallest density on its path up to the body is the threshold: what is below it beside the path is
-navigation. The core grows to its enclosing article or main part, if there is one, so that headings
-and short paragraphs stay.
+The page becomes a tree of any depth (unclosed and wrongly nested tags are tolerated; scripts, styles,
+controls, hidden parts and comments hold no text; character references are decoded). For every node the
+composite density is its characters for each tag, times a logarithm that link characters and link tags
+make smaller; a node's density sum is the sum over its children. The node with the largest sum is the
+core, and the smallest density on its path up to the body is the threshold.
+
+The core grows to a parent as long as what the parent adds is text: headings, paragraphs, lists and the
+like that links don't fill, or parts at least as dense as the threshold; so sections of one article come
+together, and menus, link lists and short notices stop the growth. Inside the core, parts that links fill
+and that are less dense than the threshold are cut.
+
+Names are a prior only. Kinds of elements and words in class and id weigh a part's density, in the sums
+and against the threshold: parts that are named as menu, advert, notice, form or reader comments weigh
+nothing, parts with a name that may also be a subject ("related", "social") a fifth, so dense text under
+such a name stays. A named part that holds the page's title or most of its text is its frame and weighs
+as any other. Without any name the densities alone decide.
 
 Blocks (paragraphs, headings, list items, cells, and lines that <br> ends) are joined by one newline,
 white space inside a block becomes one space. Preformatted text is treated alike.
 
 Defined results: null or empty html gives an empty text; html without tags gives its text; nothing is
-cut off, whatever the page's size; ties take the outermost, then first node; rows are independent, so
-repeated rows give repeated results; other columns are ignored.
+cut off, whatever the page's size or depth; ties take the outermost, then first node; rows are
+independent, so repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,20 +42,23 @@ from tubula.llm.common import read, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("script style head template noscript iframe object svg math canvas audio video map".split())
-CONTROLS = frozenset("form button input select textarea option datalist fieldset".split())
-FRAME = frozenset("nav aside footer menu dialog".split())
+CONTROLS = frozenset("button input select textarea option datalist".split())
+FRAME = frozenset("nav aside footer menu dialog form fieldset".split())
+APART = frozenset("nav aside footer menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar alert form".split())
-#: Words of class and id names that mark what isn't main text.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus replies respond reply discussion "
-    "footer masthead topbar header login toolbar skip copyright disclaimer".split()
+#: Elements that hold running text.
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure figcaption details hgroup header".split())
+#: Words of class and id names of parts that aren't main text, and words that may also be its subject.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion promotions cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars comment comments commentlist disqus replies respond footer masthead topbar login toolbar".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus replies respond reply discussion".split())
+UNSURE = frozenset("banner notice notices alert aside widget widgets related recommended recommendations share sharing social reply discussion header skip copyright disclaimer".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+DOUBT = 0.2
 #: An element on the left ends open elements on the right when it starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div article section main body html aside nav footer header form td th blockquote".split())
-DEEPEST = 400
 
 
 class Node:
@@ -61,9 +72,11 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
-        self.depth = 0
+        self.open: Counter[str] = Counter()
 
     def _leave(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.up is not None and node.tag not in stop:
             if node.tag in tags:
@@ -74,7 +87,8 @@ class _Tree(HTMLParser):
             node = node.up
 
     def _up(self) -> None:
-        self.at, self.depth = self.at.up or self.root, self.depth - 1
+        self.open[self.at.tag] -= 1
+        self.at = self.at.up or self.root
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body") and self.at.up is None:
@@ -87,8 +101,9 @@ class _Tree(HTMLParser):
             self._leave(CLOSES[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE - CLOSES[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
-        if tag not in VOID and self.depth < DEEPEST:
-            self.at, self.depth = node, self.depth + 1
+        if tag not in VOID:
+            self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,67 +128,65 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _is_noise(node: Node, inside_article: bool, page_chars: int) -> bool:
-    """Parts that are never main text by their kind. A header inside an article holds its heading."""
-    if node.tag in HIDDEN or node.tag in CONTROLS or node.tag in FRAME:
+def _is_silent(node: Node) -> bool:
+    """Parts that show no text of their own: scripts, styles, controls, hidden parts."""
+    if node.tag in HIDDEN or node.tag in CONTROLS:
         return True
     attrs = node.attrs
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
-    if node.tag == "header":
-        return not inside_article
-    if node.tag in ("article", "main", "h1") or not ("class" in attrs or "id" in attrs):
+    if not attrs:
         return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    words = set(re.findall(r"[a-z]+", names.lower()))
-    found = words & MARKS
-    return bool(found) and not (found <= {"header"} and inside_article) and not _is_frame_of_all(node, found, page_chars)
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
 
 
-def _is_frame_of_all(node: Node, found: set[str], page_chars: int) -> bool:
-    """Whether a marked element is the page's outer frame ("has-sidebar"): it holds the page's title or
-    main part, or most of the text, which only reader comments may do otherwise."""
-    chars, stack = 0, [node]
+def drop_silent(root: Node) -> None:
+    stack = [root]
     while stack:
-        for kid in stack.pop().kids:
-            if isinstance(kid, str):
-                chars += len(kid)
-            elif kid.tag in ("main", "h1"):
-                return True
-            elif kid.tag not in HIDDEN:
-                stack.append(kid)
-    return 2 * chars > page_chars and not found & COMMENTS
+        at = stack.pop()
+        at.kids = [k for k in at.kids if isinstance(k, str) or not _is_silent(k)]
+        stack += [k for k in at.kids if not isinstance(k, str)]
 
 
-def _chars(node: Node) -> int:
-    total, stack = 0, [node]
-    while stack:
-        for kid in stack.pop().kids:
-            if isinstance(kid, str):
-                total += len(kid)
-            elif kid.tag not in HIDDEN:
-                stack.append(kid)
-    return total
-
-
-def clean(node: Node) -> None:
-    """Remove noise below a node. A page without anything else keeps its header texts out, too."""
-    page_chars = _chars(node)
-    stack = [(node, False)]
+def _named(node: Node, inside_article: bool) -> tuple[float, bool]:
+    """Weight that a node's kind and names give it, and whether they name reader comments."""
+    if node.tag in ("article", "main", "h1"):
+        return 1.0, False
+    attrs = node.attrs
+    weight = 0.0 if node.tag in FRAME or attrs.get("role", "").lower() in ROLES or node.tag == "header" and not inside_article else 1.0
+    if "class" in attrs or "id" in attrs:
+        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
+        words = set(re.findall(r"[a-z]+", names.lower()))
+        if words & SURE:
+            return 0.0, bool(words & COMMENTS) and node.tag not in FLOW
+        if words & UNSURE and not (inside_article and node.tag == "header"):
+            weight = min(weight, DOUBT)
+    return weight, False
+
+
+def priors(root: Node, figures: dict[Node, Figures]) -> dict[Node, float]:
+    """Weights below 1 of named nodes. The page's frame ("has-sidebar") weighs 1: it holds a title or main
+    part, or most of the text that isn't in links, which only reader comments and elements that are
+    apart by their kind may do otherwise."""
+    out: dict[Node, float] = {}
+    page = figures[root].chars - figures[root].link_chars
+    titled: set[Node] = set()
+    for node in figures:
+        if node.tag in ("main", "h1"):
+            up = node.up
+            while up is not None and up not in titled:
+                titled.add(up)
+                up = up.up
+    stack = [(root, False)]
     while stack:
         at, inside = stack.pop()
-        kept = []
+        within = inside or at.tag in ("article", "main")
         for kid in at.kids:
-            if isinstance(kid, str):
-                kept.append(kid)
-                continue
-            within = inside or at.tag in ("article", "main")
-            if not _is_noise(kid, within, page_chars):
-                kept.append(kid)
+            if not isinstance(kid, str):
+                weight, comments = _named(kid, within)
+                f = figures[kid]
+                if weight < 1 and (comments or kid not in titled and (kid.tag in APART or 2 * (f.chars - f.link_chars) <= page)):
+                    out[kid] = weight
                 stack.append((kid, within))
-        at.kids = kept
+    return out
 
 
 class Figures:
@@ -186,13 +199,19 @@ class Figures:
         self.density = self.total = 0.0
 
 
-def measure(root: Node) -> dict[Node, Figures]:
-    """Composite text density of every node, children first."""
+def _order(root: Node) -> list[Node]:
+    """All nodes, parents first, in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [k for k in node.kids if not isinstance(k, str)]
+        stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    return order
+
+
+def measure(root: Node, named: bool = True) -> tuple[dict[Node, Figures], dict[Node, float]]:
+    """Composite text density of every node, the sums over children, and the weights of named nodes."""
+    order = _order(root)
     out: dict[Node, Figures] = {}
     for node in reversed(order):
         f = out[node] = Figures()
@@ -203,16 +222,15 @@ def measure(root: Node) -> dict[Node, Figures]:
                 g = out[kid]
                 f.chars, f.tags = f.chars + g.chars, f.tags + g.tags + 1
                 f.link_chars, f.link_tags = f.link_chars + g.link_chars, f.link_tags + g.link_tags
-                f.total += g.density
         if node.tag == "a":
             f.link_chars, f.link_tags = f.chars, f.tags + 1
-    page = out[root]
-    share = page.link_chars / max(1, page.chars)
-    for f in out.values():
-        f.density = _density(f, share)
+    share = out[root].link_chars / max(1, out[root].chars)
+    weights = priors(root, out) if named else {}
+    for node, f in out.items():
+        f.density = _density(f, share) * weights.get(node, 1.0)
     for node in order:
         out[node].total = sum(out[k].density for k in node.kids if not isinstance(k, str))
-    return out
+    return out, weights
 
 
 def _density(f: Figures, share: float) -> float:
@@ -225,31 +243,48 @@ def _density(f: Figures, share: float) -> float:
     return f.chars / max(1, f.tags) * max(0.0, math.log(max(ratio, 1.0)) / base)
 
 
-def core(root: Node, figures: dict[Node, Figures]) -> tuple[Node, float]:
-    """The node with the largest density sum, grown to its article or main part, and the threshold."""
+def _filled_by_links(f: Figures) -> bool:
+    return f.link_tags >= 2 and 2 * f.link_chars > f.chars
+
+
+def core(root: Node, figures: dict[Node, Figures], weights: dict[Node, float]) -> tuple[Node, float]:
+    """The node with the largest density sum outside parts that weigh nothing, grown, and the threshold."""
     best, stack = root, [root]
     while stack:
         node = stack.pop()
         if figures[node].total > figures[best].total * (1 + 1e-9):
             best = node
-        stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        node = node.up
-    threshold = min(figures[n].density for n in path)
-    part = [n for n in path if n.tag in ("article", "main")]
-    if part:
-        return part[-1], threshold
-    for n in path[1:]:
-        # a parent that holds more text beside the path, all of it dense, belongs to the core
-        beside = [k for k in n.kids if not isinstance(k, str) and k not in path and figures[k].chars]
-        if any(figures[k].density < threshold or figures[k].link_chars * 2 > figures[k].chars for k in beside):
+        stack += [k for k in reversed(node.kids) if not isinstance(k, str) and weights.get(k, 1.0) > 0]
+    path = [best]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    threshold = min(figures[n].density / (weights.get(n) or 1.0) for n in path)
+    for inner, outer in zip(path, path[1:]):
+        added = [k for k in outer.kids if not isinstance(k, str) and k is not inner and figures[k].chars and weights.get(k, 1.0) > 0]
+        text = lambda k: k.tag not in BLOCK or k.tag in FLOW or figures[k].density >= threshold
+        if outer.up is None and (len(added) < sum(1 for k in outer.kids if not isinstance(k, str) and k is not inner and figures[k].chars)) and not any(figures[k].density >= threshold or k.tag == "h1" for k in added):
+            break
+        if any(_filled_by_links(figures[k]) or not text(k) for k in added):
             break
-        best = n
+        best = outer
     return best, threshold
 
 
+def cut(node: Node, figures: dict[Node, Figures], weights: dict[Node, float], threshold: float) -> None:
+    """Take out of the core what its weight or its links make less dense than the threshold."""
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        kept = []
+        for kid in at.kids:
+            if not isinstance(kid, str):
+                if figures[kid].density < threshold and (kid in weights or kid.tag in BLOCK and _filled_by_links(figures[kid])):
+                    continue
+                stack.append(kid)
+            kept.append(kid)
+        at.kids = kept
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below a node in page order, empty ones left out."""
     out, line = [], []
@@ -275,13 +310,15 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """Main text of one page."""
+def main_text(html: str | None, named: bool = True) -> str:
+    """Main text of one page. named: whether kinds and names of elements weigh."""
     if not html:
         return ""
     root = parse(html)
-    clean(root)
-    node, _ = core(root, measure(root))
+    drop_silent(root)
+    figures, weights = measure(root, named)
+    node, threshold = core(root, figures, weights)
+    cut(node, figures, weights, threshold)
     return "\n".join(blocks(node))
 
 
