@@ -1,43 +1,50 @@
 """Operator 5: near duplicates by an inverted join on signature coordinates.
 
 1. Each text gives the set of its distinct word shingles (64-bit hashes) and a MinHash signature of
-   ``COORDINATES`` values. Texts with the same set form a class; its smallest doc_id represents it, so
-   copies never meet as pairs.
-2. Every (coordinate, value) of a representative is a posting. A link needs collisions in at least
-   ``matches_needed`` coordinates. Postings that only one text has can't collide, so a text with too few
-   shared postings is skipped, and of the others only the prefix is merged: the rarest shared postings,
-   as many as leave one short of the threshold behind. Any pair above the threshold meets in a prefix.
-3. Each prefix posting's smallest text is its centre; every other text of it is compared with the
-   centre only (a star, not all pairs). Texts with enough collisions leave the posting, the rest gets
-   the next centre, and so on; a short rest is compared in blocks. The number of coordinates in which
-   signatures differ is a distance, so two texts that collide often enough have either a common centre
-   that both are within twice the limit of, or both stay for the next round: no candidate is lost.
-   Stars are confirmed on the full sets, and links make components.
-4. The texts around one centre, at most twice the limit away, may link across components. They go into
-   blocks, and blocks are multiplied: each text is held as its difference from the centre's set, and
-   common elements of two differences give the exact size of the intersection. A component that fills
-   blocks of its own isn't compared with itself, and a pair of blocks returns the components that it
-   joins, not the pairs; so a large group of near copies costs one star and a few products.
+   ``COORDINATES`` values. Texts with the same set form a class, so copies never meet as pairs; a class
+   gets a number, and classes are what is joined.
+2. Every (coordinate, value) of a class is a posting. A link needs collisions in at least
+   ``matches_needed`` coordinates. Postings that only one class has can't collide, so a class with too
+   few shared postings is skipped, and of the others only the prefix is merged: the rarest shared
+   postings, as many as leave one short of the threshold behind. Any pair above the threshold meets in a
+   prefix.
+3. Posting lists are merged in sorted order, each list once. The first class of a list is its centre;
+   collisions of all others with it are counted on short signatures (one byte a coordinate, which can
+   only add collisions). Those with enough collisions are skipped from then on, the first one that is
+   left is the next centre, and so on: stars, not all pairs. The number of coordinates in which short
+   signatures differ is a distance, so of two classes that collide often enough the first one that is
+   skipped has a centre that both are within twice the limit of: no candidate is lost. Of a list longer
+   than ``HEAD`` a part of that size (by hash) is merged first; its centres meet the others by a join,
+   and only those that no centre skips are merged in the next round.
+4. Pairs of a centre and a class within twice the limit are confirmed on the full sets; links make
+   components.
+5. The classes around one centre may link across components. They go into blocks, and blocks are
+   multiplied: each class is held as its difference from the centre's set, and common elements of two
+   differences give the exact size of the intersection. A component that fills blocks of its own isn't
+   compared with itself, and a pair of blocks returns the components that it joins, not the pairs; so a
+   large group of near copies costs one star and a few products.
 
 MinHash can miss a link: with 64 coordinates and a threshold 3.5 standard deviations below the mean,
 a pair just at the limit is missed with a probability of about 1/4000, pairs above it less. Confirmed
 links are exact.
 
 Defined results: null and empty texts have an empty set, n_shingles 0 and are linked with nothing; a
-text with fewer words than a shingle has its whole sequence as one; rows with the same doc_id count as
-one document of the graph; an empty table gives no rows; other columns are ignored.
+text with fewer words than a shingle has its whole sequence as one; rows that share a doc_id are texts
+of their own, each linked by its own set; a null doc_id is larger than any other; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubula.llm.common import mix64, read, slices, split_words, stored, word_codes
@@ -46,10 +53,12 @@ from tubula.operators.components import star_components
 COORDINATES = 64
 #: Texts in a block, and bytes of differences in it.
 BLOCK, BLOCK_BYTES = 256, 2 << 20
-#: Rounds of centres; after LEAST rounds a rest of short postings is compared in blocks.
-LEAST_ROUNDS, MOST_ROUNDS, SHORT = 3, 12, 64
-#: Representatives whose ids may be broadcast (16 MB); beyond that the texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Classes of one posting list that a task merges at once.
+HEAD = 4096
+#: Classes whose ids may be broadcast (32 MB); beyond that the texts are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 _RNG = np.random.default_rng(7)
 _FACTOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -86,6 +95,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """MinHash values of a set that isn't empty."""
     low = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
@@ -103,7 +116,7 @@ def _describe(width: int):
                 {
                     "doc_id": batch.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                     "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 }
             )
@@ -111,47 +124,89 @@ def _describe(width: int):
     return run
 
 
+def _fixed(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    data = pa.concat_arrays([column]).cast(pa.binary()) if len(column) else column
+    at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1] if len(column) else [0, 0]
+    return np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), width) if len(column) else np.zeros((0, width), kind)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").astype(np.int64).reshape(-1, COORDINATES)
+            sig = _fixed(batch.column("sig"), COORDINATES, "<u4").astype(np.int64)
             posting = sig | np.arange(COORDINATES, dtype=np.int64) << 32
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), COORDINATES)
-            yield pa.RecordBatch.from_pydict({"posting": posting.ravel(), "doc_id": ids})
+            yield pa.RecordBatch.from_pydict({"posting": posting.ravel(), "node": np.repeat(batch.column("node").to_numpy(), COORDINATES)})
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with short signatures."""
+    for batch in batches:
+        if batch.num_rows:
+            sig = np.ascontiguousarray(_fixed(batch.column("sig"), COORDINATES, "<u4").astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in sig], pa.binary())], ["node", "short"])
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(s) for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Collisions of the signatures of pairs."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(1), pa.int32())], ["a", "b", "hits"])
+def merge_lists(posting: np.ndarray, node: np.ndarray, short: np.ndarray, needed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Centres of whole posting lists, sorted by posting and node, with the classes within twice the limit
+    of them (posting, centre, class; a centre comes with itself)."""
+    near = max(0, 2 * needed - COORDINATES)
+    left = np.arange(len(posting))
+    while len(left):
+        first = np.flatnonzero(np.concatenate([[True], posting[left[1:]] != posting[left[:-1]]]))
+        centre = left[np.repeat(first, np.diff(np.append(first, len(left))))]
+        hits = (short[centre] == short[left]).sum(1)
+        close = hits >= near
+        yield posting[left[close]], node[centre[close]], node[left[close]]
+        left = left[hits < needed]
 
 
-def _block_candidates(needed: int):
-    """Pairs of texts of two blocks (or one) whose signatures collide often enough."""
+def _merge(needed: int):
+    """Rows (posting, node, short) come sorted; a list's end may lie in a later batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def merged(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            own = [table.column(c).to_numpy() for c in ("posting", "node")]
+            short = np.concatenate([_fixed(c, COORDINATES, "u1") for c in table.column("short").chunks])
+            for p, a, b in merge_lists(*own, short, needed):
+                if len(p):
+                    yield pa.RecordBatch.from_pydict({"posting": p, "a": a, "b": b})
+
         for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                (ia, sa), (ib, sb) = ((np.array([r["doc_id"] for r in own]), np.frombuffer(b"".join(r["sig"] for r in own), "<u4").reshape(-1, COORDINATES)) for own in (left, right))
-                hit = [(np.full(len(found), i), found) for i, row in zip(ia, sa, strict=True) if len(found := ib[((sb == row).sum(1) >= needed) & (ib != i)])]
-                if hit:
-                    a, b = np.concatenate([x[0] for x in hit]), np.concatenate([x[1] for x in hit])
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            if batch.num_rows:
+                posting = batch.column("posting").to_numpy()
+                at = int(np.searchsorted(posting, posting[-1]))
+                if at or held and held[-1].column("posting")[0].as_py() != posting[0]:
+                    whole = [*held, *([batch.slice(0, at)] if at else [])]
+                    held = []
+                    yield from merged(whole)
+                held.append(batch.slice(at))
+        if held:
+            yield from merged(held)
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Collisions of classes with centres."""
+    for batch in batches:
+        if batch.num_rows:
+            hits = (_fixed(batch.column("short"), COORDINATES, "u1") == _fixed(batch.column("short_a"), COORDINATES, "u1")).sum(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("posting", "a", "b")), pa.array(hits, pa.int32())], ["posting", "a", "b", "hits"])
+
+
 def _confirm(percent: int):
     """Whether pairs reach the similarity on their full sets, and how b differs from a."""
 
@@ -217,9 +272,10 @@ def _joined(percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with what _confirm says. The set of a text in many pairs is read once for each of
+    """Pairs (a, b) with what _confirm says. The set of a centre of many pairs is read once for each of
     them; the join's skewed side is split by adaptive execution."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    other = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    both = other.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long, linked boolean, n_a long, removed long, added long, apart binary"), "near-stars")
 
 
@@ -229,76 +285,84 @@ def _met(blocks: DataFrame, key: str, *more: str) -> DataFrame:
     return blocks.select(key, "block", F.col("own").alias("left"), *more).join(other, key).filter("block <= block2")
 
 
-def _stars(prefix: DataFrame, wanted: DataFrame, needed: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (centre, text) at most twice the limit apart, of all rounds, and candidate pairs of the
-    postings that are left."""
-    lists, near = prefix, []
-    limit = COORDINATES - needed
-    sig = wanted.select("doc_id", "sig")
-    for k in range(MOST_ROUNDS):
-        lists = lists.join(lists.groupBy("posting").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "posting").filter("doc_id <> a")
-        star = lists.select("a", F.col("doc_id").alias("b")).distinct().join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        hits = stored(star.select("a", "b", "sig_a", "sig_b").mapInArrow(_collide, "a long, b long, hits int"), "near-hits")
-        near.append(hits.filter(F.col("hits") >= COORDINATES - 2 * limit).select("a", "b"))
-        gone = hits.filter(F.col("hits") >= needed)
-        lists = stored(lists.join(gone, (lists["a"] == gone["a"]) & (lists["doc_id"] == gone["b"]), "left_anti").select("posting", "doc_id"), "near-lists")
-        longest = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if longest < 2 or k + 1 >= LEAST_ROUNDS and longest <= SHORT:
-            break
-    sized = lists.join(lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "posting").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))
-    blocks = stored(sized.join(sig, "doc_id").groupBy("posting", "block").agg(F.collect_list(F.struct("doc_id", "sig")).alias("own")), "near-blocks")
-    rest = _met(blocks, "posting").select("left", "right").mapInArrow(_block_candidates(needed), "a long, b long").distinct()
-    stars = near[0]
-    for more in near[1:]:
-        stars = stars.unionByName(more)
-    return stars.distinct(), rest
-
-
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs: doc_id, text. Links documents whose shingle sets have a Jaccard similarity of at least
-    ``percent`` / 100 and returns doc_id, n_shingles, component_id, kept, one row per input row."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    needed = matches_needed(percent)
-    texts = stored(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sig binary"), "near-signatures")
-    classes = stored(texts.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = stored(texts.join(classes, (texts["digest"] == classes["digest"]) & (texts["doc_id"] == classes["rep"]), "left_semi").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "near-reps")
-
-    postings = reps.mapInArrow(_postings, "posting long, doc_id long")
-    shared = stored(postings.join(postings.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "posting"), "near-postings")
-    enough = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= needed)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "posting"))
-    prefix = stored(shared.join(enough, "doc_id").withColumn("place", place).filter(F.col("place") <= F.col("n") - needed + 1).select("posting", "doc_id"), "near-prefix")
-
-    ids = prefix.select("doc_id").distinct()
-    wanted = stored(ids.join(reps, "doc_id").select("doc_id", "n_shingles", "sig"), "near-wanted")
-    chosen = wanted.select("doc_id")
-    chosen = F.broadcast(chosen) if wanted.count() <= BROADCAST_IDS else chosen
-    sets = stored(docs.join(chosen, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
-
-    pairs, rest = _stars(prefix, wanted, needed)
-    stars = _confirmed(pairs, sets, percent)
-    links = stars.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = links.unionByName(_confirmed(rest, sets, percent).filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    label = stored(star_components(links), "near-labels").select(F.col("node").alias("doc_id"), "component")
-
-    around = stars.select("a", F.col("b").alias("doc_id"), "n_a", "removed", "added", "apart").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    counts = stored(around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("apart")).alias("bytes")), "near-lists")
+def _stars(prefix: DataFrame, needed: int, head: int) -> DataFrame:
+    """Distinct pairs (centre, class) at most twice the limit apart. prefix: node, short, longest (of its
+    lists), lists (array of df, posting)."""
+    schema = "posting long, a long, b long"
+    rows = prefix.select("node", "short", F.explode("lists").alias("l")).select("l.posting", "l.df", "node", "short")
+    chosen = lambda k: F.pmod(F.xxhash64("node", "posting", F.lit(k)), F.col("df")) < head
+    merge = lambda df: df.select("posting", "node", "short").repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(_merge(needed), schema)
+    if not prefix.filter(F.col("longest") > head).limit(1).count():
+        return merge(rows).filter("a <> b").select("a", "b").distinct()
+    near = stored(merge(rows.filter(chosen(0))), "near-heads")
+    out, rest = near, rows.filter(~chosen(0))
+    short = prefix.select("node", "short")
+    for k in itertools.count(1):
+        centres = near.filter("a = b").select("posting", "a").join(short.select(F.col("node").alias("a"), F.col("short").alias("short_a")), "a")
+        met = stored(rest.withColumnRenamed("node", "b").join(centres, "posting").select("posting", "a", "b", "short", "short_a").mapInArrow(_meet, f"{schema}, hits int"), "near-met")
+        out = out.unionByName(met.filter(F.col("hits") >= max(0, 2 * needed - COORDINATES)).select("posting", "a", "b"))
+        skipped = met.filter(F.col("hits") >= needed).select("posting", F.col("b").alias("node")).distinct()
+        left = stored(rest.join(skipped, ["posting", "node"], "left_anti").select("posting", "node", "short"), "near-left")
+        if not left.limit(1).count():
+            return out.filter("a <> b").select("a", "b").distinct()
+        rest = stored(left.join(left.groupBy("posting").agg(F.count(F.lit(1)).alias("df")), "posting"), "near-left")
+        near = stored(merge(rest.filter(chosen(k))), "near-heads")
+        out, rest = out.unionByName(near), rest.filter(~chosen(k))
+
+
+def _around(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Edges (src, dst) between components that links among the classes around one centre join."""
+    own = stars.select("a", F.col("b").alias("node"), "n_a", "removed", "added", "apart").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = stored(own.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("apart")).alias("bytes")), "near-counts")
     big = (F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)
     tally = counts.groupBy("a").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(~big, F.col("n")).otherwise(0)).alias("small_n"), F.sum(F.when(~big, F.col("bytes")).otherwise(0)).alias("small_bytes")).filter("parts > 1")
     many = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES))
     placed = counts.join(tally, "a").select("a", "component", big.alias("big"), F.when(big, many("n", "bytes")).otherwise(many("small_n", "small_bytes")).alias("blocks"))
-    block = F.struct(F.when(F.col("big"), F.col("component")).alias("own"), F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1))).alias("part"))
-    blocks = around.join(placed, ["a", "component"]).groupBy("a", block.alias("block")).agg(F.first("n_a").alias("n_a"), F.collect_list(F.struct("component", "removed", "added", "apart")).alias("own"))
+    block = F.struct(F.when(F.col("big"), F.col("component")).alias("own"), F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).alias("part"))
+    blocks = own.join(placed, ["a", "component"]).groupBy("a", block.alias("block")).agg(F.first("n_a").alias("n_a"), F.collect_list(F.struct("component", "removed", "added", "apart")).alias("own"))
     met = _met(stored(blocks, "near-blocks"), "a", "n_a").filter("not (block.own <=> block2.own and block.own is not null)")
-    bridges = met.select("left", "right", "n_a").mapInArrow(_joined(percent), "src long, dst long")
-    over = stored(star_components(bridges), "near-labels").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return stored(met.select("left", "right", "n_a").mapInArrow(_joined(percent), "src long, dst long"), "near-bridges")
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, head: int = HEAD) -> DataFrame:
+    """docs: doc_id, text. Links documents whose shingle sets have a Jaccard similarity of at least
+    ``percent`` / 100 and returns doc_id, n_shingles, component_id, kept, text_digest (16 bytes of the
+    shingle set), one row per input row. ``head``: classes of a posting list that are merged at once."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    needed = matches_needed(percent)
+    texts = stored(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sig binary"), "near-signatures")
+    classes = texts.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+
+    postings = classes.select("node", "sig").mapInArrow(_postings, "posting long, node long")
+    shared = postings.join(postings.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "posting")
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "posting"))).alias("lists")).filter(F.size("lists") >= needed)
+    lists = lists.select("node", F.slice("lists", F.lit(1), F.size("lists") - needed + 1).alias("lists")).withColumn("longest", F.element_at("lists", -1)["df"])
+    prefix = stored(lists.join(classes.select("node", "sig").mapInArrow(_short, "node long, short binary"), "node"), "near-prefix")
+
+    pairs = stored(_stars(prefix, needed, head), "near-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(ends.join(classes.select("node", "doc_id", "digest"), "node"), "near-wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    sets = docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "digest binary, shingles binary")
+    sets = stored(sets.join(small(wanted.select("digest", "node")), "digest").select("node", "shingles").dropDuplicates(["node"]), "near-sets")
+
+    stars = _confirmed(pairs, sets, percent)
+    label = stored(star_components(stars.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "near-labels")
+    bridges = _around(stars, label, percent)
+    if bridges.limit(1).count():
+        label = stored(star_components(label.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(bridges)), "near-labels")
 
-    whole = label.join(over, "component", "left").select(F.col("doc_id").alias("rep"), F.coalesce("whole", "component").alias("component_id"))
-    alone = over.join(label.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("rep"), F.col("whole").alias("component_id"))
-    named = classes.join(whole.unionByName(alone), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    return texts.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"))
+    members = label.join(classes.select("node", "doc_id", "digest"), "node")
+    lowest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = members.join(lowest, "component").select("digest", "component_id")
+    alone = classes.join(label.select("node"), "node", "left_anti").select("digest", F.col("doc_id").alias("component_id"))
+    out = texts.select("doc_id", "n_shingles", "digest").join(named.unionByName(alone), "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    real = lambda c: F.nullif(F.col(c), F.lit(LAST)).alias(c)
+    return out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), F.col("digest").alias("text_digest"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, three-word shingles, similarity 0.85."""
-    return near_components(read(spark, sf_dir, "documents"), 3, 85)
+    return near_components(read(spark, sf_dir, "documents"), 3, 85).drop("text_digest")
