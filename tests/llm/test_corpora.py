@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,8 +35,25 @@ def test_overfull_buckets_split_and_hot_ones_are_salted(spark):
     first = {t: texts.index(t) for t in want}
     assert all(r["keep_id"] == first[texts[r["doc_id"]]] and r["group_size"] == want[texts[r["doc_id"]]] for r in rows) and len(rows) == 350
     assert sum(r["kept"] for r in rows) == 41
-    depth, buckets = dedup.directory({0: 10, 1: 10, 65535: 10}, 10)
-    assert depth == 16 and [b[2] for b in buckets].count(10) == 3 and buckets[0][0] == 0 and buckets[-1][1] == 65535
+    entries = docs.select("doc_id", "text").mapInArrow(dedup._entries, dedup.ENTRY)
+    routed, owners = dedup._routed(entries.filter("is_rep"), 400)
+    each = {r["owner"]: r["bytes"] for r in routed.groupBy("owner").agg(F.sum(F.length("text") + 64).alias("bytes")).collect()}
+    hot = 2 * (400 + 64)  # a salt of the hot text may lie beside a bucket
+    assert set(each) <= set(range(owners)) and max(each.values()) <= 400 + hot * 3
+    assert routed.filter("salts > 1").select("key").distinct().count() == 1
+
+
+def test_the_directory_follows_the_bytes():
+    gb, tb = 1 << 30, 1 << 40
+    assert [dedup.global_depth(x, 16 << 20) for x in (0, 16 << 20, gb, 100 * tb)] == [0, 1, 7, 24]
+    assert dedup.owner_tasks(7, gb) == 128 and dedup.owner_tasks(24, 100 * tb) == 100 * tb // dedup.TASK_BYTES
+
+
+def test_overfull_buckets_split_by_bits(spark):
+    docs = table(spark, [f"text {i} " + "x" * (i % 90) for i in range(300)])
+    for capacity in (200, 1000, 1 << 20):
+        rows = dedup.exact_duplicates(docs.unionByName(docs), bucket_bytes=capacity).collect()
+        assert len(rows) == 600 and sum(r["kept"] for r in rows) == 300 and {r["group_size"] for r in rows} == {2} and all(r["keep_id"] == r["doc_id"] for r in rows)
 
 
 def test_repeated_rows_keep_one(spark):
@@ -128,6 +147,25 @@ def test_language_model_scores(spark):
     assert lm.hmm_scores(table(spark, [])).count() == 0
 
 
+def test_language_model_counts_match_brute_force(spark):
+    rng = random.Random(8)
+    words = ["w%d" % int(rng.paretovariate(0.5)) for _ in range(4000)]
+    texts = [" ".join(rng.sample(words, rng.randrange(0, 60))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[4]), (None, "w1 w2"), (7, None)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [[*(t or "").lower().split(), lm.END] for _, t in rows]
+    c = collections.Counter(w for (i, _), own in zip(rows, tokens) if not held(i) for w in own)
+    base = lambda own: sum(math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in own)
+    lm_hot, lm.HOT = lm.HOT, 20  # most words go through the join
+    try:
+        got = lm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        lm.HOT = lm_hot
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(((i, held(i), len(own), sum(c[w] > 0 for w in own), sum(c.values()), round(base(own), 6)) for (i, _), own in zip(rows, tokens)), key=key)
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=key) == want
+
+
 def test_toxicity_learns_and_stays_clean(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 8)))

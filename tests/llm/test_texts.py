@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import random
+import re
 import struct
 import zlib
 
@@ -30,16 +31,16 @@ def test_forward_equals_the_sum_over_paths():
     start, step, emit = (x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, 5))))
     seqs = [rng.integers(0, 5, n) for n in (1, 4, 2, 6)]
     flat, at = np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-    got, _, _ = lm.forward(flat, at, start, step, emit)
+    got = lm.forward(flat, at, start, step, emit)
     for s, g in zip(seqs, got):
         paths = np.array(np.meshgrid(*[range(3)] * len(s))).reshape(len(s), -1).T
         total = sum(start[p[0]] * emit[p[0], s[0]] * np.prod([step[p[i - 1], p[i]] * emit[p[i], s[i]] for i in range(1, len(s))]) for p in paths)
         assert g == pytest.approx(np.log(total))
-    counts, before = lm.expected_counts(flat, at, start, step, emit)
-    first, trans, out = np.split(counts, [3, 12])
-    assert counts[:3].sum() == pytest.approx(4) and trans.sum() == pytest.approx(len(flat) - 4) and out.sum() == pytest.approx(len(flat))
+    first, trans, out, (before,) = np.split(lm.expected_counts(flat, at, start, step, emit), [3, 12, 27])
+    assert before == pytest.approx(got.sum(), rel=1e-5)
+    assert first.sum() == pytest.approx(4) and trans.sum() == pytest.approx(len(flat) - 4) and out.sum() == pytest.approx(len(flat))
     new = first / first.sum(), trans.reshape(3, 3) / trans.reshape(3, 3).sum(1, keepdims=True), out.reshape(3, 5) / out.reshape(3, 5).sum(1, keepdims=True)
-    assert lm.forward(flat, at, *new)[0].sum() > before
+    assert lm.forward(flat, at, *new).sum() > before
 
 
 def test_png_round_trip_filters_and_damage():
@@ -186,6 +187,18 @@ def test_html():
     assert htmltext.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_long_runs_of_white_space_are_encoded_as_a_whole(monkeypatch):
+    with open(tokencounts.VOCABULARY, "rb") as f:
+        encoding, _ = tokencounts._encoding(f.read())
+    for t in ("\n" * 2_000_000, "a" + " " * 2_000_000 + "b", "x" * 1_000_000):
+        assert encoding.decode(tokencounts.encode(encoding, t).tolist()) == t
+    rng = random.Random(3)
+    monkeypatch.setattr(tokencounts, "_RUNS", re.compile(tokencounts._RUNS.pattern.replace(str(tokencounts.LONG_RUN), "4")))
+    for _ in range(300):
+        t = "".join(rng.choice([" ", "\n", "\u2003", "\xa0", "    ", "a", "é", "7", ".", "'s"]) for _ in range(rng.randrange(40)))
+        assert tokencounts.encode(encoding, t).tolist() == encoding.encode(t, disallowed_special=()), repr(t)
+
+
 PROSE = "Words of an article that goes on for quite a while, sentence after sentence, so that it is dense. "
 LINKS = "<div>" + "".join(f"<a href={i}>Link number {i}</a> " for i in range(30)) + "</div>"
 
