@@ -3,11 +3,13 @@
 The index has three parts. *Entries* (Parquet in the shared folder): one row per document with the
 hash of its normalised text; rows that a map task already knows to be copies (same bytes, same slice)
 carry no text, so a group of copies that holds a third of all rows moves one text per slice. The
-*directory* maps the leading bits of a hash to a bucket; it starts with one bucket and doubles while a
-bucket is overfull and can still be split, so its size is at most 2**MAX_DEPTH cells and it may be
-broadcast. *Owner tasks* hold whole buckets, that is ranges of the hash, walk them in hash order,
-chain the distinct texts of one hash and compare bytes. A bucket that only one hash overfills can't be
-split: it goes through a first round of owners by salt, whose chain heads meet in a second one.
+*directory* maps the leading bits of a hash to a bucket. It doubles until an average bucket holds at most
+half of what it may, so its depth follows the bytes and a bucket's number is a shift of the hash; what a
+bucket holds is then counted, and those that are still overfull are split further, by as many bits as
+their bytes need. *Owner tasks* hold whole buckets, that is ranges of the hash, each of about the same
+bytes, walk them in hash order, chain the distinct texts of one hash and compare bytes. A single hash that
+overfills a bucket can't be split by bits: its entries go through a first round of owners by salt, and
+their chain heads, one text for each salt, meet in a second one.
 
 Defined results: a null text counts as empty; texts are compared after each run of ASCII white space
 became one space, so " a" and "a" differ; a null doc_id sorts last; where several rows share the
@@ -22,16 +24,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubula.llm.common import read, slices, stored
 
-#: Bytes of text that a bucket should hold, and the most bits that the directory looks at.
-BUCKET_BYTES = 32 << 20
-MAX_DEPTH = 16
+#: Bytes of text that a bucket may hold.
+BUCKET_BYTES = 16 << 20
+#: Owner tasks hold one bucket each up to this number of buckets, then so many bytes at least.
+MOST_TASKS, TASK_BYTES = 20_000, 256 << 20
+#: Split buckets and hot hashes that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
-ENTRY = "doc_id long, sha256 string, cell int, key long, rep long, is_rep boolean, n long, size long, text binary"
+ENTRY = "doc_id long, sha256 string, key long, rep long, is_rep boolean, n long, size long, text binary"
 
 
 def normalise(texts: pa.Array) -> pa.Array:
@@ -66,7 +71,6 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "doc_id": batch.column("doc_id"),
                 "sha256": [d.hex() for d in digests],
-                "cell": pa.array([int.from_bytes(d[:4]) >> (32 - MAX_DEPTH) for d in digests], pa.int32()),
                 "key": pa.array([int.from_bytes(d[:8], signed=True) for d in digests], pa.int64()),
                 "rep": pa.array(rep, pa.int64()),
                 "is_rep": pa.array(is_rep),
@@ -77,32 +81,53 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[tuple[int, int, int]]]:
-    """Split buckets until none is overfull or they can't be split. ``cells``: bytes by the first
-    ``max_depth`` bits. Returns the global depth and the buckets (first cell, last cell, bytes)."""
-    depth, done, open_ = 0, [], [(0, 0, sum(cells.values()))]
-    keys = sorted(cells)
-    while open_:
-        prefix, local, size = open_.pop()
-        if size <= capacity or local == max_depth:
-            low = prefix << (max_depth - local)
-            done.append((low, low + (1 << (max_depth - local)) - 1, size))
-            continue
-        depth = max(depth, local + 1)
-        left = _between(keys, cells, prefix * 2, local + 1, max_depth)
-        open_ += [(prefix * 2, local + 1, left), (prefix * 2 + 1, local + 1, size - left)]
-    return depth, sorted(done)
-
-
-def _between(keys: list[int], cells: dict[int, int], prefix: int, local: int, max_depth: int) -> int:
-    from bisect import bisect_left
-
-    low, high = prefix << (max_depth - local), (prefix + 1) << (max_depth - local)
-    return sum(cells[k] for k in keys[bisect_left(keys, low) : bisect_left(keys, high)])
+def global_depth(total: int, capacity: int) -> int:
+    """Bits that the directory looks at: it doubles while its buckets are more than half full on average."""
+    depth = 0
+    while total > capacity << depth >> 1:
+        depth += 1
+    return depth
+
+
+def owner_tasks(depth: int, total: int) -> int:
+    """Tasks over the buckets of the directory."""
+    return min(1 << depth, max(MOST_TASKS, total // TASK_BYTES))
+
+
+def _cell(depth: int) -> Column:
+    """Bucket of a hash: its leading bits."""
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def _routed(heads: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Heads with owner (task), and salts (more than 1 for a hash that overfills a bucket); the number of
+    owners. Overfull buckets are split by more bits, each part has an owner of its own."""
+    total = heads.agg(F.sum(F.col("size") + 64)).first()[0] or 0
+    depth = global_depth(total, capacity)
+    tasks = owner_tasks(depth, total)
+    placed = heads.withColumn("cell", _cell(depth))
+    own = F.floor(F.col("cell") * tasks / (1 << depth)).cast("long")
+    size = F.sum(F.col("size") + 64).alias("bytes")
+    over = stored(placed.groupBy("cell").agg(size).filter(F.col("bytes") > capacity), "dedup-overfull")
+    few = over.count()
+    if not few:
+        return placed.select("key", "rep", "n", "doc_id", "text", own.alias("owner"), F.lit(1).cast("long").alias("salts")), tasks
+    small = (lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df)
+    keys = stored(placed.join(small(over.select("cell"), few), "cell", "left_semi").groupBy("cell", "key").agg(size), "dedup-keys")
+    hot = stored(keys.filter(F.col("bytes") > capacity).select("key", F.ceil(F.col("bytes") / capacity).alias("salts")), "dedup-hot")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rest") * 2.0 / capacity))).cast("int")
+    split = keys.filter(F.col("bytes") <= capacity).groupBy("cell").agg(F.sum("bytes").alias("rest")).filter(F.col("rest") > capacity).select("cell", bits.alias("bits"))
+    split = stored(split, "dedup-split")
+    routed = placed.join(small(hot, hot.count()), "key", "left").join(small(split, split.count()), "cell", "left")
+    # parts and salts go round the owners, next to their bucket's one
+    part = F.coalesce(F.expr(f"shiftrightunsigned(shiftleft(key, {depth}), 64 - bits)"), F.lit(0))
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("rep"), F.col("salts"))).otherwise(0)
+    parts = split.agg(F.coalesce(F.sum(F.expr("shiftleft(1L, bits)")), F.lit(0))).first()[0] + hot.agg(F.coalesce(F.sum("salts"), F.lit(0))).first()[0]
+    return routed.select("key", "rep", "n", "doc_id", "text", F.pmod(own + part + salt, F.lit(tasks + parts)).alias("owner"), F.coalesce("salts", F.lit(1)).alias("salts")), tasks + parts
 
 
 def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (bucket, key). Chains the distinct texts of one key and gives each entry
+    """Rows come in order of their keys. Chains the distinct texts of one key and gives each entry
     the head of its chain link, the smallest doc_id and the number of members."""
     key: int | None = None
     chain: list[dict] = []
@@ -144,24 +169,19 @@ OWNED = "rep long, head long, keep_id long, group_size long"
 
 
 def _owned(rows: DataFrame, owners: int) -> DataFrame:
-    """Owner tasks over (bucket, salt)."""
-    return rows.repartition(owners, "bucket", "salt").sortWithinPartitions("bucket", "salt", "key").select("key", "rep", "n", "doc_id", "text").mapInArrow(_owner, OWNED)
+    """Owner tasks: each holds the rows of its number in the order of their hashes."""
+    return rows.repartitionById(owners, F.col("owner").cast("int")).sortWithinPartitions("key").select("key", "rep", "n", "doc_id", "text").mapInArrow(_owner, OWNED)
 
 
 def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, keep_id, group_size, kept, text_sha256, one row per input row."""
-    spark = docs.sparkSession
     entries = stored(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_entries, ENTRY), "dedup-entries")
-    heads = entries.filter("is_rep")
-    cells = {r["cell"]: r["size"] for r in heads.groupBy("cell").agg(F.sum(F.col("size") + 64).alias("size")).collect()}
-    _, buckets = directory(cells, bucket_bytes)
-    place = spark.createDataFrame([(c, b, max(1, size // (2 * bucket_bytes))) for b, (low, high, size) in enumerate(buckets) for c in range(low, high + 1)], "cell int, bucket int, salts long")
-    routed = heads.join(F.broadcast(place), "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
-    owners = sum(max(1, size // (2 * bucket_bytes)) for _, _, size in buckets)
+    routed, owners = _routed(entries.filter("is_rep"), bucket_bytes)
     index = stored(_owned(routed, owners), "dedup-index")
-    if any(size >= 4 * bucket_bytes for _, _, size in buckets):
+    salted = routed.filter("salts > 1")
+    if salted.limit(1).count():
         again = (
-            routed.filter("salts > 1").select("key", "rep", "bucket", "text", F.lit(0).alias("salt"))
+            salted.select("key", "rep", "text", F.pmod(F.xxhash64("key"), F.lit(owners)).alias("owner"))
             .join(index.groupBy("head").agg(F.first("keep_id").alias("doc_id"), F.first("group_size").alias("n")), F.col("rep") == F.col("head"))
         )
         second = stored(_owned(again, owners), "dedup-index").select(F.col("rep").alias("head"), F.col("head").alias("head2"), F.col("keep_id").alias("keep2"), F.col("group_size").alias("size2"))
