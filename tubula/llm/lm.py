@@ -12,15 +12,16 @@ up expected counts within each partition and sums them across partitions. Scorin
 with scaling over the whole text, which is the exact likelihood.
 
 Defined results: a null or empty text is one end token; an empty table gives no rows; without
-training rows every count is 0 and the model is uniform; equal texts get equal scores; other columns
-of the input are ignored.
+training rows every count is 0 and the model is uniform; a null doc_id is a training row; equal texts
+get equal scores, and rows that share a doc_id are scored each by its own text; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,11 @@ OWN, RARE = 383, 128
 CLASSES = OWN + 1 + RARE
 #: Words whose counts travel with each task; any other word has at most a 1/HOT share of all tokens.
 HOT = 4096
-STATES, PASSES, START_ROUNDS = 8, 2, 60
+STATES, START_ROUNDS = 8, 60
+#: Baum-Welch passes go on until one finds that the pass before gained less than this per token (natural log).
+GAIN = 0.005
+#: Bytes of class sequences (two a token) that a task runs side by side.
+STEP_BYTES = 4 << 20
 
 
 def _rare_class(words: pa.Array) -> np.ndarray:
@@ -86,6 +91,8 @@ class Model:
     start: np.ndarray | None = None
     step: np.ndarray | None = None
     emit: np.ndarray | None = None
+    #: What each pass found the log likelihood per token to have gained (the first has nothing to compare).
+    gains: list[float] = field(default_factory=list)
 
 
 def _tables(model: Model) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -100,7 +107,8 @@ def _lookup(words: pa.Array, hot: pa.Array) -> np.ndarray:
 
 
 def _encode(model: Model):
-    """Class sequences of texts, and what hot words add to the sums of log counts."""
+    """Class sequences of texts, what hot words add to the sums of log counts, and the other words of each
+    text with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count, own = _tables(model)
@@ -113,11 +121,17 @@ def _encode(model: Model):
             c = np.where(place >= 0, count[place] if len(count) else 0, 0)
             log = np.log10(c + 1.0)
             end = model.hot.get(END, 0)
+            rare = (place < 0)[code]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))[rare]
+            pair, tf = np.unique(row * max(1, len(distinct)) + code[rare], return_counts=True)
+            each = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(distinct)), minlength=batch.num_rows))])
+            listed = lambda x, each=each: pa.ListArray.from_arrays(pa.array(each, pa.int32()), x)
             seq, own_log = cls[code], np.where(cls < OWN, log, 0)[code]
             body = seq.astype("<u2").tobytes()
             tail = np.array([OWN], "<u2").tobytes()
             yield pa.RecordBatch.from_pydict(
                 {
+                    "row": batch.column("row"),
                     "doc_id": batch.column("doc_id"),
                     "held_out": batch.column("held_out"),
                     "n_tokens": pa.array(np.diff(at) + 1, pa.int64()),
@@ -125,74 +139,81 @@ def _encode(model: Model):
                     "own_log": per_row(own_log, at) + np.log10(end + 1.0),
                     "hot_known": pa.array(per_row((c > 0)[code].astype(np.int64), at) + (end > 0), pa.int64()),
                     "seq": pa.array([body[2 * a : 2 * b] + tail for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                    "rare": listed(distinct.take(pa.array(pair % max(1, len(distinct))))),
+                    "tf": listed(pa.array(tf, pa.int32())),
                 }
             )
 
     return run
 
 
-def _rare_pairs(model: Model):
-    """(doc_id, word, tf) of the words that aren't hot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, _, _ = _tables(model)
-        for batch in slices(batches, "text"):
-            words, at = split_words(batch.column("text"))
-            code, distinct = word_codes(words)
-            rare = (_lookup(distinct, hot) < 0)[code]
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))[rare]
-            pair, tf = np.unique(row * max(1, len(distinct)) + code[rare], return_counts=True)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(ids[pair // max(1, len(distinct))], pa.int64()), "word": distinct.take(pa.array(pair % max(1, len(distinct)))), "tf": pa.array(tf, pa.int32())}
-            )
-
-    return run
-
-
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The classes of a batch's texts in a row, and where each text's start and end."""
     parts = [np.frombuffer(x, "<u2") for x in batch.column("seq").to_pylist()]
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def forward(seq: np.ndarray, at: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log likelihood of each sequence by the scaled forward recursion, the scaled forward
-    vectors and the scales of every place. The sequences go side by side, the longest first."""
+def _by_step(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens step by step (first tokens of all texts, the longest text first, then second
+    ones, and so on), and how many texts each step has."""
     size = np.diff(at)
-    first = at[:-1][order := np.argsort(-size, kind="stable")]
-    active = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")
-    by_class = np.ascontiguousarray(emit.T)
-    alpha_all, scale = np.empty((len(seq), len(start))), np.ones(len(seq))
-    alpha = None
-    for t, n in enumerate(active):
-        here = first[:n] + t
-        alpha = (np.broadcast_to(start, (n, len(start))) if alpha is None else alpha[:n] @ step) * by_class[seq[here]]
-        s = alpha.sum(1)
-        alpha = alpha / s[:, None]
-        alpha_all[here], scale[here] = alpha, s
-    return per_row(np.log(scale), at), alpha_all, scale
-
-
-def expected_counts(seq: np.ndarray, at: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, float]:
-    """Expected starts, transitions and emissions in a row, summed over the sequences, and the log likelihood."""
-    k, size = len(start), np.diff(at)
-    loglik, alpha, scale = forward(seq, at, start, step, emit)
-    first = at[:-1][order := np.argsort(-size, kind="stable")]
+    order = np.argsort(-size, kind="stable")
     active = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")
-    by_class = np.ascontiguousarray(emit.T)
-    xi, beta_all = np.zeros((k, k)), np.ones((len(seq), k))
-    beta = np.ones((0, k))
+    step = np.repeat(np.arange(len(active)), active)
+    rank = np.arange(len(step)) - np.repeat(np.cumsum(active) - active, active)
+    return at[:-1][order][rank] + step, active
+
+
+def _forward(classes: np.ndarray, active: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scales and, if asked for, scaled forward vectors of tokens in the order of _by_step."""
+    by_class, kind = np.ascontiguousarray(emit.T), emit.dtype
+    alpha_all, scale = np.empty((len(classes) if keep else 0, len(start)), kind), np.ones(len(classes), kind)
+    alpha, low = None, 0
+    for n in active.tolist():
+        alpha = (np.broadcast_to(start, (n, len(start))) if alpha is None else alpha[:n] @ step) * by_class.take(classes[low : low + n], 0)
+        scale[low : low + n] = s = alpha.sum(1)
+        alpha /= s[:, None]
+        if keep:
+            alpha_all[low : low + n] = alpha
+        low += n
+    return scale, alpha_all
+
+
+def forward(seq: np.ndarray, at: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each sequence by the scaled forward recursion."""
+    place, active = _by_step(at)
+    logs = np.empty(len(seq))
+    logs[place] = np.log(_forward(seq[place], active, start, step, emit, False)[0])
+    return per_row(logs, at)
+
+
+def expected_counts(seq: np.ndarray, at: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Expected starts, transitions and emissions in a row, summed over the sequences, and the log
+    likelihood at the end. Vectors are kept in single precision; sums and likelihood aren't."""
+    k = len(start)
+    start, step, emit = (x.astype(np.float32) for x in (start, step, emit))
+    place, active = _by_step(at)
+    classes = seq[place]
+    scale, alpha = _forward(classes, active, start, step, emit, True)
+    by_class, xi = np.ascontiguousarray(emit.T), np.zeros((k, k))
+    back = np.ascontiguousarray(step.T)
+    beta_all = np.ones((len(classes), k), np.float32)
+    ends = np.cumsum(active)
+    beta = np.ones((0, k), np.float32)
     for t in range(len(active) - 2, -1, -1):
-        n = active[t + 1]
-        after = first[:n] + t + 1
-        beta = np.concatenate([beta, np.ones((n - len(beta), k))]) * by_class[seq[after]] / scale[after][:, None]
-        xi += alpha[after - 1].T @ beta
-        beta = beta @ step.T
-        beta_all[after - 1] = beta
-    gamma = alpha * beta_all
-    emitted = np.stack([np.bincount(seq, gamma[:, s], emit.shape[1]) for s in range(k)])
-    return np.concatenate([gamma[at[:-1]].sum(0), (xi * step).ravel(), emitted.ravel()]), float(loglik.sum())
+        low, high = ends[t], ends[t + 1]
+        n = high - low
+        beta = np.concatenate([beta, np.ones((n - len(beta), k), np.float32)]) if n > len(beta) else beta
+        beta = beta * by_class.take(classes[low:high], 0)
+        beta /= scale[low:high, None]
+        before = low - active[t]
+        xi += alpha[before : before + n].T @ beta
+        beta = beta @ back
+        beta_all[before : before + n] = beta
+    alpha *= beta_all
+    emitted = np.stack([np.bincount(classes, alpha[:, s], emit.shape[1]) for s in range(k)])
+    first = alpha[: active[0]].sum(0, dtype=float) if len(active) else np.zeros(k)
+    return np.concatenate([first, (xi * step).ravel(), emitted.ravel(), [np.log(scale.astype(float)).sum()]])
 
 
 def _normal(x: np.ndarray, add: float) -> np.ndarray:
@@ -227,15 +248,15 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _baum_welch(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STATES + STATES * STATES + STATES * CLASSES)
-        for batch in slices(batches, "seq", 1 << 20):
-            total += expected_counts(*_sequences(batch), model.start, model.step, model.emit)[0]
+        total = np.zeros(STATES + STATES * STATES + STATES * CLASSES + 1)
+        for batch in slices(batches, "seq", STEP_BYTES):
+            total += expected_counts(*_sequences(batch), model.start, model.step, model.emit)
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(len(total)), pa.int32()), "x": total})
 
     return run
 
 
-def train(docs: DataFrame, encoded_of, passes: int = PASSES) -> tuple[Model, DataFrame, DataFrame]:
+def train(docs: DataFrame, encoded_of, gain: float = GAIN) -> tuple[Model, DataFrame, DataFrame]:
     """Fit the model to docs (text). ``encoded_of(model)`` gives the stored class sequences (held_out,
     seq). Returns the model, those sequences and the stored word counts."""
     counts = stored(word_counts(docs), "lm-counts")
@@ -263,12 +284,17 @@ def train(docs: DataFrame, encoded_of, passes: int = PASSES) -> tuple[Model, Dat
     for r in training.mapInArrow(_bigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         pairs[r["code"]] = r["n"]
     model.start, model.step, model.emit = start_from_bigrams(pairs.reshape(CLASSES, CLASSES))
-    for _ in range(passes):
-        x = np.zeros(STATES + STATES * STATES + STATES * CLASSES)
+    size, before = STATES + STATES * STATES + STATES * CLASSES, -np.inf
+    while model.tokens:
+        x = np.zeros(size + 1)
         for r in training.mapInArrow(_baum_welch(model), "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).collect():
             x[r["place"]] = r["x"]
-        first, step, emit = np.split(x, [STATES, STATES + STATES * STATES])
+        first, step, emit, (loglik,) = np.split(x, [STATES, STATES + STATES * STATES, size])
         model.start, model.step, model.emit = _normal(first, 0.01), _normal(step.reshape(STATES, STATES), 0.01), _normal(emit.reshape(STATES, CLASSES), 0.01)
+        model.gains.append((loglik - before) / model.tokens)
+        if model.gains[-1] < gain:
+            break
+        before = loglik
     return model, encoded, counts
 
 
@@ -278,12 +304,12 @@ def _likelihood(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = np.log10(model.class_tokens + model.class_words + 1.0)
         share[: OWN + 1] = 0
-        for batch in slices(batches, "seq", 1 << 20):
+        for batch in slices(batches, "seq", STEP_BYTES):
             seq, at = _sequences(batch)
-            loglik, _, _ = forward(seq, at, model.start, model.step, model.emit)
+            loglik = forward(seq, at, model.start, model.step, model.emit)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "hot_log", "own_log", "hot_known")), pa.array(loglik / np.log(10)), pa.array(per_row(share[seq], at))],
-                ["doc_id", "held_out", "n_tokens", "hot_log", "own_log", "hot_known", "chain", "share"],
+                [*(batch.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "hot_log", "own_log", "hot_known")), pa.array(loglik / np.log(10)), pa.array(per_row(share[seq], at))],
+                ["row", "doc_id", "held_out", "n_tokens", "hot_log", "own_log", "hot_known", "chain", "share"],
             )
 
     return run
@@ -297,22 +323,24 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     hidden chain gives to the classes). Word counts reach the texts by a join on the word: hot words
     travel with the tasks, so no key of the join holds more than a 1/4096 share of the tokens.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), (fold("doc_id", folds) == held).alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"))
+    sums = "row long, doc_id long, held_out boolean, n_tokens long, hot_log double, own_log double, hot_known long"
 
     def encoded_of(model: Model) -> DataFrame:
-        return stored(docs.mapInArrow(_encode(model), "doc_id long, held_out boolean, n_tokens long, hot_log double, own_log double, hot_known long, seq binary"), "lm-classes")
+        numbered = docs.withColumn("row", F.monotonically_increasing_id())  # stored at once, so it stays
+        return stored(numbered.mapInArrow(_encode(model), f"{sums}, seq binary, rare array<string>, tf array<int>"), "lm-classes")
 
     model, encoded, counts = train(docs.filter(~F.col("held_out")).select("text"), encoded_of)
     rare = (
-        docs.select("doc_id", "text").mapInArrow(_rare_pairs(model), "doc_id long, word string, tf int")
+        encoded.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.tf")
         .join(counts.hint("shuffle_hash"), "word")
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("rare_log"), F.sum("tf").alias("rare_known"))
     )
     all_log = F.col("hot_log") + F.coalesce("rare_log", F.lit(0.0))
     return (
-        encoded.mapInArrow(_likelihood(model), "doc_id long, held_out boolean, n_tokens long, hot_log double, own_log double, hot_known long, chain double, share double")
-        .join(rare, "doc_id", "left")
+        encoded.drop("rare", "tf").mapInArrow(_likelihood(model), f"{sums}, chain double, share double")
+        .join(rare, "row", "left")
         .select(
             "doc_id",
             "held_out",
