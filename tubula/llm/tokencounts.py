@@ -9,7 +9,8 @@ A token that crosses borders is allocated by an explicit rule: ``start`` (the se
 byte), ``largest`` (the section that holds most of its bytes, the first on ties) or ``split`` (shares
 by bytes). Under each rule the sections' counts sum to the text's tokens.
 
-Defined results: a null or empty text has one section without tokens; a text that ends with a newline
+Defined results: a null or empty text has one section without tokens; a text may have runs of white space
+of any length; a text that ends with a newline
 has no empty section after it; special-token strings are ordinary text; an empty table gives no rows;
 repeated rows give repeated results; other columns are ignored.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,9 @@ from tubula.llm.common import read, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary cuts text before merging: a fixed value that belongs to it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space from this length on are encoded apart: the pattern would look back through them.
+LONG_RUN = 10_000
+_RUNS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
 RULES = ("start", "largest", "split")
 _BUILT: dict[bytes, tuple] = {}
 
@@ -49,6 +54,20 @@ def _encoding(data: bytes):
     return _BUILT[key]
 
 
+def encode(encoding, text: str) -> np.ndarray:
+    """Ids of a whole text. A long run of white space is one match of the pattern but for its last
+    character, which goes with what follows; at the end of the text it is one match. So the text falls
+    apart there without a change of its ids."""
+    parts, low = [], 0
+    for run in _RUNS.finditer(text):
+        high = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(encoding.encode_to_numpy(text[low : run.start()], disallowed_special=()))
+        parts.append(np.array(encoding._encode_single_piece(text[run.start() : high]), np.uint32))
+        low = high
+    parts.append(encoding.encode_to_numpy(text[low:], disallowed_special=()))
+    return np.concatenate(parts).astype(np.int64)
+
+
 def line_spans(data: bytes) -> np.ndarray:
     """Byte borders of the lines of a text: a first 0, then each line's end."""
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
@@ -84,7 +103,7 @@ def _count(data: bytes, rule: str):
             repeat = []
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
                 raw = text.encode()
-                ids = encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+                ids = encode(encoding, text)
                 ends, borders = np.cumsum(size[ids]), line_spans(raw)
                 if len(ids) and ends[-1] != len(raw):
                     raise ValueError("the tokens don't spell the text")
