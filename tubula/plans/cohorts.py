@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tubula.operators import cleaning as K
 from tubula.operators import graph as G
 from tubula.operators import nearest as N
 from tubula.operators import quality as Q
@@ -39,22 +40,24 @@ def points_round_trip(spark, d):
     return S1.explode_segments(S1.collect_segments(points(spark, d))).select(*KEYS, "point_idx", *r6("x", "radius"))
 
 
-@query("q2_1_4_segments_from_points", f"WITH {PTS} SELECT {C}, CAST(count(*) AS INTEGER) AS n, round(arg_min(radius, point_idx), 6) AS first FROM points GROUP BY ALL")
+@query("q2_1_4_segments_from_points", f"WITH {PTS} SELECT {C}, string_agg(CAST(round(x * 100) AS BIGINT) || '/' || CAST(round(radius * 100) AS BIGINT), ' ' ORDER BY point_idx) AS line FROM points GROUP BY ALL")
 def segments_from_points(spark, d):
-    return S1.collect_segments(points(spark, d)).select(*KEYS, F.size("coords").alias("n"), F.round(F.col("radii")[0], 6).alias("first"))
+    return S1.collect_segments(points(spark, d)).select(*KEYS, F.array_join(F.zip_with("coords", "radii", lambda c, r: F.concat_ws("/", F.round(c[0] * 100).cast("long").cast("string"), F.round(r * 100).cast("long").cast("string"))), " ").alias("line"))
 
 
-@query("q2_1_6_landmark_markups", "SELECT o_custkey AS case_id, CAST(count(*) AS INTEGER) AS n FROM orders GROUP BY 1")
+@query("q2_1_6_landmark_markups", "WITH o AS (SELECT o_custkey AS case_id, o_orderpriority AS label, CAST(round(o_totalprice) AS BIGINT) AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT case_id, string_agg(n || ':' || CASE WHEN label LIKE '1%' THEN 'Endpoint-' || n ELSE label END || ':' || x, ';' ORDER BY n) AS marks FROM o GROUP BY 1")
 def landmark_markups(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
-    m = S1.landmarks_to_markups(o)
-    return m.select("case_id", F.size(F.from_json("markups", "controlPoints array<struct<id:string>>")["controlPoints"]).alias("n"))
+    label = F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("idx"), label.alias("label"), F.round("o_totalprice").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
+    marks = F.from_json("markups", "controlPoints array<struct<id:string,label:string,position:array<double>>>")["controlPoints"]
+    text = F.transform(marks, lambda m: F.concat_ws(":", m["id"], m["label"], m["position"][0].cast("long").cast("string")))
+    return S1.landmarks_to_markups(o).select("case_id", F.array_join(text, ";").alias("marks"))
 
 
-@query("q2_1_7_natural_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS place FROM part")
+@query("q2_1_7_natural_order", "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS place FROM part")
 def natural_order(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("case"), F.col("p_partkey").cast("string"), F.lit(".ext")).alias("name"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(S1.natural_key(F.col("name")))).alias("place"))
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.lit("case"), F.col("p_partkey").cast("string"), F.lit(".ext")).alias("name"))
+    return p.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(S1.natural_key(F.col("name")))).alias("place"))
 
 
 EXPECTED = {"mask": ["mask"], "marks": ["marks"], "line": ["line"]}
@@ -71,10 +74,10 @@ def first_existing(spark, d):
     return S1.first_existing(_files(spark, d), ["line", "mask"])
 
 
-@query("q2_1_10_pathway_export", f"WITH {NODES} SELECT case_id, CAST(count(*) AS INTEGER) AS n, round(arg_max(radius, node_id), 6) AS last FROM nodes GROUP BY 1")
+@query("q2_1_10_pathway_export", f"WITH {NODES} SELECT case_id, string_agg(CAST(x AS BIGINT) || '/' || CAST(radius AS BIGINT), ' ' ORDER BY node_id) AS line FROM nodes GROUP BY 1")
 def pathway_export(spark, d):
     e = S1.export_points(tree_nodes(spark, d).withColumn("weight", F.col("radius")))
-    return e.select("case_id", F.size("points").alias("n"), F.round(F.element_at("weights", -1), 6).alias("last"))
+    return e.select("case_id", F.array_join(F.zip_with("points", "weights", lambda p, w: F.concat_ws("/", p[0].cast("long").cast("string"), w.cast("long").cast("string"))), " ").alias("line"))
 
 
 @query("q2_2_10_case_selection", f"WITH {COHORT} SELECT case_id FROM cohort WHERE balance > 0 AND case_id NOT IN (SELECT o_custkey FROM orders)")
@@ -98,30 +101,30 @@ def mode_rule(spark, d):
 
 @query("q2_2_1_drop_duplicate_points", f"WITH {ARC}, s AS (SELECT *, row_number() OVER (PARTITION BY {C} ORDER BY point_idx) AS r FROM arcs) SELECT {C}, point_idx FROM s WHERE r = 1 OR step >= 5")
 def drop_duplicate_points(spark, d):
-    from tubula.operators.polyline import order, step_length
+    return K.drop_close_points(points(spark, d), 5.0).select(*KEYS, "point_idx")
 
-    p = points(spark, d).withColumn("step", step_length()).withColumn("r", F.row_number().over(order()))
-    return p.filter("r = 1 or step >= 5").select(*KEYS, "point_idx")
 
+ENDS_SQL = f"g AS (SELECT {C}, count(*) AS n, {', '.join(f'arg_min({v}, point_idx) AS {v}, arg_max({v}, point_idx) AS {v}2' for v in 'xyz')} FROM points GROUP BY ALL)"
 
-@query("q2_2_2_drop_short_cells", f"WITH {PTS}, g AS (SELECT {C}, count(*) AS n, arg_min(x, point_idx) AS x0, arg_max(x, point_idx) AS x1 FROM points GROUP BY ALL) SELECT {C}, n FROM g WHERE n >= 2 AND abs(x1 - x0) >= 1e-4")
+
+@query("q2_2_2_drop_short_cells", f"WITH {PTS}, {ENDS_SQL} SELECT {C}, n FROM g WHERE n >= 2 AND sqrt(pow(x2 - x, 2) + pow(y2 - y, 2) + pow(z2 - z, 2)) >= 25")
 def drop_short_cells(spark, d):
-    g = points(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min_by("x", "point_idx").alias("x0"), F.max_by("x", "point_idx").alias("x1"))
-    return g.filter((F.col("n") >= 2) & (F.abs(F.col("x1") - F.col("x0")) >= 1e-4)).select(*KEYS, "n")
+    return K.drop_degenerate_cells(points(spark, d), 25.0).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q2_2_3_remove_high_thin_cells", f"WITH {PTS}, c AS (SELECT case_id, min(z) AS lo, max(z) AS hi FROM points GROUP BY 1), m AS (SELECT {C}, avg(z) AS mz, avg(radius) AS mr FROM points GROUP BY ALL) SELECT m.case_id, cell_id FROM m JOIN c USING (case_id) WHERE NOT (mz > lo + 0.95 * (hi - lo) AND mr < 2)")
+@query("q2_2_3_remove_high_thin_cells", f"WITH {PTS}, c AS (SELECT case_id, min(z) AS lo, max(z) AS hi FROM points GROUP BY 1), m AS (SELECT {C}, avg(z) AS mz, avg(radius) AS mr FROM points GROUP BY ALL) SELECT m.case_id, cell_id FROM m JOIN c USING (case_id) WHERE NOT (mz > lo + 0.75 * (hi - lo) AND mr < 3)")
 def remove_high_thin_cells(spark, d):
-    p = points(spark, d)
-    c = p.groupBy("case_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    m = p.groupBy(*KEYS).agg(F.avg("z").alias("mz"), F.avg("radius").alias("mr")).join(c, "case_id")
-    return m.filter(~((F.col("mz") > F.col("lo") + 0.95 * (F.col("hi") - F.col("lo"))) & (F.col("mr") < 2))).select(*KEYS)
+    return K.remove_high_thin(points(spark, d), 0.75, 3.0).select(*KEYS).distinct()
+
 
+@query("q2_2_4_start_filter", f"WITH {PTS}, {ENDS_SQL}, o AS (SELECT case_id, arg_min(x, cell_id) AS ox, arg_min(y, cell_id) AS oy, arg_min(z, cell_id) AS oz FROM g GROUP BY 1) SELECT g.case_id, cell_id, n FROM g JOIN o USING (case_id) WHERE sqrt(pow(x - ox, 2) + pow(y - oy, 2) + pow(z - oz, 2)) <= 20")
+def start_filter(spark, d):
+    return K.filter_from_start(points(spark, d), 20.0).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
-@query("q2_2_5_far_start_filter", f"WITH {PTS}, g AS (SELECT {C}, count(*) AS n, arg_min(x, point_idx) AS x, arg_min(y, point_idx) AS y, arg_min(z, point_idx) AS z FROM points GROUP BY ALL) SELECT {C} FROM g WHERE n > 2 AND sqrt(pow(x - 25, 2) + pow(y - 5, 2) + pow(z - 40, 2)) <= 30")
+
+@query("q2_2_5_far_start_filter", f"WITH {PTS}, {ENDS_SQL} SELECT {C} FROM g WHERE n > 2 AND sqrt(pow(x - 25, 2) + pow(y - 5, 2) + pow(z - 40, 2)) <= 30")
 def far_start_filter(spark, d):
-    g = points(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*"xyz"), "point_idx").alias("s"))
-    return g.filter((F.col("n") > 2) & (F.sqrt(F.pow(F.col("s.x") - 25, 2) + F.pow(F.col("s.y") - 5, 2) + F.pow(F.col("s.z") - 40, 2)) <= 30)).select(*KEYS)
+    return K.clean_cells(points(spark, d), (25.0, 5.0, 40.0)).select(*KEYS).distinct()
 
 
 FEATS = "feats AS (SELECT o_custkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'l' ELSE 'r' END || '-occlusion' AS path_id, sum(o_totalprice) AS length FROM orders GROUP BY ALL)"
@@ -163,7 +166,7 @@ def propagate_cell_features(spark, d):
 
 @query("q2_6_6_cell_label_lookup", f"WITH {PTS} SELECT {C}, arg_max(class_name, point_idx) AS class_name FROM points GROUP BY ALL")
 def cell_label_lookup(spark, d):
-    return points(spark, d).groupBy(*KEYS).agg(F.max_by("class_name", "point_idx").alias("class_name"))
+    return K.cell_labels(points(spark, d))
 
 
 GAP = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
@@ -215,10 +218,10 @@ def sample_volume(spark, d):
     return N.sample_volume(p, vx).select(F.col("own").alias("case_id"), "cell_id", "point_idx", *r6("value"))
 
 
-@query("q2_6_20_landmark_pairs", f"WITH {FILES} SELECT a.case_id, 'p' AS path_id FROM files a JOIN files b USING (case_id) WHERE a.name = 'mask' AND b.name = 'line'")
+@query("q2_6_20_landmark_pairs", f"WITH {FILES} SELECT a.case_id, 'p' AS path_id, a.case_id + 0.5::DOUBLE AS ax, 2.0 * a.case_id::DOUBLE AS bx FROM files a JOIN files b USING (case_id) WHERE a.name = 'mask' AND b.name = 'line'")
 def landmark_pairs(spark, d):
-    marks = _files(spark, d).select("case_id", F.col("name").alias("label"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    return Q.landmark_pairs(marks, spark.createDataFrame([("p", "mask", "line")], "path_id string, a string, b string")).select("case_id", "path_id")
+    marks = _files(spark, d).select("case_id", F.col("name").alias("label"), F.when(F.col("name") == "mask", F.col("case_id") + 0.5).otherwise(F.col("case_id") * 2.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return Q.landmark_pairs(marks, spark.createDataFrame([("p", "mask", "line")], "path_id string, a string, b string")).select("case_id", "path_id", "ax", "bx")
 
 
 @query("q2_7_3_degree", f"WITH {TREE}, e AS (SELECT case_id, src AS n FROM tree UNION ALL SELECT case_id, dst FROM tree) SELECT case_id, n AS node_id, count(*) AS degree FROM e GROUP BY ALL")
@@ -241,7 +244,7 @@ def small_component_filter(spark, d):
     return G.drop_small(G.components(tree_nodes(spark, d), _forest(spark, d))).select("case_id", "node_id", "component")
 
 
-LEVELS = f"WITH RECURSIVE {TREE}, lv AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS node_id, 0 AS level, CAST(NULL AS BIGINT) AS parent, 0.0::DOUBLE AS acc FROM tree UNION ALL SELECT t.case_id, t.dst, level + 1, t.src, acc + t.length FROM lv JOIN tree t ON t.case_id = lv.case_id AND t.src = lv.node_id)"
+LEVELS = f"WITH RECURSIVE {TREE}, lv AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS node_id, 0 AS level, CAST(NULL AS BIGINT) AS parent, 0.0::DOUBLE AS acc, '0' AS path FROM tree UNION ALL SELECT t.case_id, t.dst, level + 1, t.src, acc + t.length, path || ' ' || t.dst FROM lv JOIN tree t ON t.case_id = lv.case_id AND t.src = lv.node_id)"
 
 
 @query("q2_7_8_bfs_hierarchy", f"{LEVELS} SELECT case_id, node_id, level, parent FROM lv")
@@ -271,10 +274,10 @@ def start_node_rules(spark, d):
     return G.start_nodes(tree_nodes(spark, d), G.degree(tree(spark, d)))
 
 
-@query("q2_7_13_root_to_leaf_paths", f"{LEVELS} SELECT case_id, node_id AS leaf, CAST(level + 1 AS INTEGER) AS n FROM lv WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.case_id = lv.case_id AND t.src = lv.node_id)")
+@query("q2_7_13_root_to_leaf_paths", f"{LEVELS} SELECT case_id, node_id AS leaf, path FROM lv WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.case_id = lv.case_id AND t.src = lv.node_id)")
 def root_to_leaf_paths(spark, d):
     t = tree(spark, d)
-    return G.root_to_leaf_paths(t, t.select("case_id").distinct().withColumn("node_id", F.lit(0).cast("bigint"))).select("case_id", "leaf", F.size("path").alias("n"))
+    return G.root_to_leaf_paths(t, t.select("case_id").distinct().withColumn("node_id", F.lit(0).cast("bigint"))).select("case_id", "leaf", F.array_join("path", " ").alias("path"))
 
 
 @query("q2_7_1_cell_graph", f"WITH {PTS} SELECT {C}, round(arg_min(x, point_idx), 2) AS x0, round(arg_max(x, point_idx), 2) AS x1, count(*) AS n FROM points GROUP BY ALL")
@@ -361,26 +364,30 @@ def min_nodes(spark, d):
     return Q.min_size(points(spark, d), KEYS, 5)
 
 
+def _per_case(spark, d):
+    """One row per case: a bounded group for functions over cases."""
+    return points(spark, d).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q2_8_5_error_log", f"WITH {PTS} SELECT case_id, 'error: fewer than 40 points' AS error FROM points GROUP BY 1 HAVING count(*) < 40")
 def error_log(spark, d):
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) < 40:
+    def check(part: pd.DataFrame) -> pd.DataFrame:
+        if part["n"].iloc[0] < 40:
             raise ValueError("fewer than 40 points")
-        return pd.DataFrame([{"case_id": part["case_id"].iloc[0], "n": len(part)}])
+        return part[["case_id", "n"]]
 
-    return errors(apply_per_case(points(spark, d).select("case_id", "point_idx"), count, "case_id long, n long"))
+    return errors(apply_per_case(_per_case(spark, d), check, "case_id long, n long"))
 
 
 @query("q2_10_2_per_case_udf", f"WITH {PTS} SELECT case_id, count(*) AS n, CAST(NULL AS VARCHAR) AS error FROM points GROUP BY 1")
 def per_case_udf(spark, d):
-    count = lambda part: pd.DataFrame([{"case_id": part["case_id"].iloc[0], "n": len(part)}])
-    return apply_per_case(points(spark, d).select("case_id", "point_idx"), count, "case_id long, n long")
+    return apply_per_case(_per_case(spark, d), lambda part: part[["case_id", "n"]], "case_id long, n long")
 
 
-@query("q2_5_34_availability", f"WITH {INV} SELECT 'mask' AS artefact, count_if(mask) AS present, count(mask) AS applicable FROM inv UNION ALL SELECT 'marks', count_if(marks), count(marks) FROM inv UNION ALL SELECT 'line', count_if(line), count(line) FROM inv")
+@query("q2_5_34_availability", f"WITH {INV} SELECT 'mask' AS artefact, count_if(mask) AS present, count(mask) AS applicable, string_agg(CASE WHEN NOT mask THEN case_id END, ' ' ORDER BY case_id) AS missing FROM inv UNION ALL SELECT 'marks', count_if(marks), count(marks), string_agg(CASE WHEN NOT marks THEN case_id END, ' ' ORDER BY case_id) FROM inv UNION ALL SELECT 'line', count_if(line), count(line), string_agg(CASE WHEN NOT line THEN case_id END, ' ' ORDER BY case_id) FROM inv")
 def availability(spark, d):
     inv = S1.case_inventory(_cohort(spark, d), _files(spark, d), EXPECTED, ["mask", "marks", "line"])
-    return Q.availability(inv, ["mask", "marks", "line"]).select("artefact", "present", "applicable")
+    return Q.availability(inv, ["mask", "marks", "line"]).select("artefact", "present", "applicable", F.array_join("missing", " ").alias("missing"))
 
 
 @query("q2_5_35_run_summary", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")

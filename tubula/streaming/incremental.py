@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 
 
 def run_incremental(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, job: Callable[[DataFrame], DataFrame], keys: list[str]) -> None:
-    """Process the Parquet files that came since the last run, once: each batch's keys that ``out`` has
-    already are left out, the rest goes through ``job`` and is appended."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        try:
-            done = spark.read.parquet(out).select(*keys).distinct()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        new = df if done is None else df.join(done, keys, "left_anti")
-        job(new).write.mode("append").parquet(out)
+    """Process the Parquet files that came since the last run, once. The keys of each batch are appended to
+    ``out``_keys under the batch's number; a batch leaves out keys that earlier batches have, and if it runs
+    again after a failure it writes its own results and keys anew."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}_keys")
+    files = fs_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def batch(df: DataFrame, number: int) -> None:
+        if files.exists(fs_path):
+            done = spark.read.parquet(f"{out}_keys").filter(F.col("batch") < number).select(*keys)
+            df = df.join(done, keys, "left_anti")
+        job(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        df.select(*keys).distinct().write.mode("overwrite").parquet(f"{out}_keys/batch={number}")
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def apply_per_case(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "case_id") -> DataFrame:
-    """A function over the rows of each case. The result has the function's columns and an error column;
-    a case that fails gives one row with its id and message, and the others go on."""
+    """A function over the rows of each case, which come as one frame: a case must be bounded, so aggregate
+    what can be before. The result has the function's columns and an error column; a case that fails gives
+    one row with its id and message, and the others go on."""
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
