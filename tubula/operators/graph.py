@@ -70,6 +70,17 @@ def start_nodes(nodes: DataFrame, degrees: DataFrame, part: float = 0.6) -> Data
     return ends.groupBy("case_id").agg(F.max_by("node_id", F.struct(F.col("x"), -F.col("node_id"))).alias("node_id"))
 
 
+def first_nodes(nodes: DataFrame) -> DataFrame:
+    """The node with the smallest id of each case."""
+    return nodes.groupBy("case_id").agg(F.min("node_id").alias("node_id"))
+
+
+def lowest_ends(nodes: DataFrame, degrees: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lowest end node of each component: case_id, component, node_id."""
+    ends = nodes.join(degrees.filter("degree = 1").select("case_id", "node_id"), ["case_id", "node_id"], "left_semi").join(labels, ["case_id", "node_id"])
+    return ends.groupBy("case_id", "component").agg(F.min_by("node_id", F.struct("z", "node_id")).alias("node_id"))
+
+
 def line_graph(edges: DataFrame, key: str = "edge_id") -> DataFrame:
     """Edges as nodes; two are linked when they share an end: case_id, a < b."""
     ends = edges.select("case_id", key, F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
@@ -82,14 +93,14 @@ def find_root(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     return nodes.join(degrees.filter("degree = 1"), ["case_id", "node_id"]).groupBy("case_id").agg(F.max_by("node_id", F.struct("radius", -F.col("node_id"))).alias("node_id"))
 
 
-def root_to_leaf_paths(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def root_to_leaf_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All simple paths from the start to other end nodes: case_id, leaf, path (array of nodes). Meant
     for cell graphs, which have tens of nodes; a path grows by one node a round."""
     two = cut_lineage(both_ways(edges.select("case_id", "src", "dst")).distinct())
     leaf = degree(edges).filter("degree = 1").select("case_id", F.col("node_id").alias("last"), F.lit(True).alias("_leaf"))
     front = cut_lineage(start.select("case_id", F.array("node_id").alias("path")))
     done = None
-    for _ in range(most):
+    while True:
         f = front.withColumn("src", F.element_at("path", -1))
         grown = cut_lineage(f.join(two, ["case_id", "src"]).filter("not array_contains(path, dst)").select("case_id", F.array_append("path", F.col("dst")).alias("path")))
         if not grown.limit(1).count():
@@ -118,23 +129,28 @@ def path_dedup(paths: DataFrame) -> DataFrame:
 
 def match_pathways(paths: DataFrame, configs: DataFrame, penalty: float = 0.15) -> DataFrame:
     """Best path for each configuration by cosine of type vectors, less a penalty for paths with an
-    artificial edge: case_id, config, leaf, score. configs is a table of eight rows."""
-    j = paths.join(F.broadcast(configs)).withColumn("score", cosine(F.col("vector"), F.col("wanted")) - F.when(F.col("artificial"), penalty).otherwise(0.0))
+    artificial edge: case_id, config, leaf, score. configs (config, wanted) is a short list that the driver
+    reads; every path meets every one of it."""
+    few = [F.struct(F.lit(r["config"]).alias("config"), F.array(*map(F.lit, r["wanted"])).alias("wanted")) for r in configs.select("config", "wanted").collect()]
+    j = paths.withColumn("_c", F.explode(F.array(*few))).select("*", "_c.config", "_c.wanted").drop("_c").withColumn("score", cosine(F.col("vector"), F.col("wanted")) - F.when(F.col("artificial"), penalty).otherwise(0.0))
     return j.groupBy("case_id", "config").agg(F.max_by("leaf", F.struct(F.col("score"), -F.col("leaf"))).alias("leaf"), F.max("score").alias("score"))
 
 
-def pathway_subgraph(nodes: DataFrame, edges: DataFrame, path_nodes: DataFrame, reach: float = 15.0) -> DataFrame:
+def pathway_subgraph(nodes: DataFrame, edges: DataFrame, path_nodes: DataFrame, reach: float = 15.0, more: list[str] = ()) -> DataFrame:
     """Nodes of the chosen path (case_id, node_id) and of side branches up to ``reach`` mm from it:
-    case_id, node_id, on_path. edges: with length."""
-    two = cut_lineage(both_ways(edges.select("case_id", "src", "dst", "length")))
-    own = cut_lineage(path_nodes.select("case_id", "node_id", F.lit(0.0).alias("away")))
+    case_id, node_id, on_path. edges: with length. more: further columns that tell paths of a case apart."""
+    keys = ["case_id", *more, "node_id"]
+    two = cut_lineage(both_ways(edges.select("case_id", "src", "dst", "length"))).withColumnRenamed("src", "node_id")
+    on = path_nodes.select(*keys, F.lit(0.0).alias("away")).distinct().join(nodes.select("case_id", "node_id"), ["case_id", "node_id"], "left_semi")
+    own = cut_lineage(on)
+    front = own
     while True:
-        j = own.join(two, (own["case_id"] == two["case_id"]) & (own["node_id"] == two["src"])).select(own["case_id"], F.col("dst").alias("node_id"), (F.col("away") + F.col("length")).alias("away")).filter(F.col("away") <= reach)
-        grown = cut_lineage(own.unionByName(j).groupBy("case_id", "node_id").agg(F.min("away").alias("away")))
-        same = [r.agg(F.count(F.lit(1)), F.round(F.sum("away"), 6)).first() for r in (own, grown)]
-        own = grown
-        if same[0] == same[1]:
-            return own.select("case_id", "node_id", (F.col("away") == 0).alias("on_path"))
+        j = front.join(two, ["case_id", "node_id"]).select("case_id", *more, F.col("dst").alias("node_id"), (F.col("away") + F.col("length")).alias("away")).filter(F.col("away") <= reach)
+        best = j.groupBy(*keys).agg(F.min("away").alias("away")).join(own.withColumnRenamed("away", "_had"), keys, "left")
+        front = cut_lineage(best.filter(F.col("_had").isNull() | (F.col("away") < F.col("_had"))).select(*keys, "away"))
+        if not front.limit(1).count():
+            return own.select(*keys[:-1], "node_id", (F.col("away") == 0).alias("on_path"))
+        own = cut_lineage(own.unionByName(front).groupBy(*keys).agg(F.min("away").alias("away")))
 
 
 def path_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -144,11 +160,19 @@ def path_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(on.withColumnRenamed("node_id", "dst"), ["case_id", "dst"], "left_semi")
 
 
-def cell_graph(points: DataFrame, digits: int = 2) -> DataFrame:
-    """One edge per cell between its ends, which are named by their rounded coordinates: case_id,
-    cell_id, src, dst (structs), n."""
-    end = lambda f: f(F.struct(*(F.round(n, digits).alias(n) for n in "xyz")), "point_idx")
-    return points.groupBy(*KEYS).agg(end(F.min_by).alias("src"), end(F.max_by).alias("dst"), F.count(F.lit(1)).alias("n"))
+def cell_graph(points: DataFrame, eps: float = 1e-2) -> DataFrame:
+    """One edge per cell between its ends; ends within ``eps`` of each other, also through others, are one
+    node, named by its smallest end (twice the cell's number, plus 1 for its last point): case_id, cell_id,
+    src, dst, n. cell_id is a whole number."""
+    from tubula.operators.nearest import contract
+
+    ends = points.groupBy(*KEYS).agg(F.min_by(F.struct(*"xyz"), "point_idx").alias("a"), F.max_by(F.struct(*"xyz"), "point_idx").alias("b"), F.count(F.lit(1)).alias("n"))
+    ends = cut_lineage(ends)
+    each = ends.select("case_id", F.explode(F.array(F.struct((F.col("cell_id") * 2).alias("end"), F.col("a").alias("p")), F.struct((F.col("cell_id") * 2 + 1).alias("end"), F.col("b").alias("p")))).alias("e")).select("case_id", "e.end", "e.p.*")
+    node = cut_lineage(contract(each, "end", eps))
+    side = lambda k, name: node.select("case_id", F.col("end").alias(k), F.col("node").alias(name))
+    named = ends.withColumns({"_a": F.col("cell_id") * 2, "_b": F.col("cell_id") * 2 + 1}).join(side("_a", "src"), ["case_id", "_a"]).join(side("_b", "dst"), ["case_id", "_b"])
+    return named.select(*KEYS, "src", "dst", "n")
 
 
 def dense_graph(points: DataFrame) -> DataFrame:
@@ -157,14 +181,103 @@ def dense_graph(points: DataFrame) -> DataFrame:
     return p.select(*KEYS, F.col("_point_idx").alias("src_idx"), F.col("point_idx").alias("dst_idx"), dist(tuple(F.col(n) for n in "xyz"), tuple(F.col(f"_{n}") for n in "xyz")).alias("length"))
 
 
+def contracted_graph(points: DataFrame, eps: float = 1e-2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (case_id, node_id from 0, class_name, x, y, z, radius) and edges (case_id, src, dst, cell_id, class_name,
+    length) of all points: points within ``eps`` are one node with the first one's values, edges join
+    consecutive points, nodes without an edge are dropped. points: with class_name and a whole-number cell_id."""
+    from tubula.operators.nearest import contract
+
+    at = F.row_number().over(Window.partitionBy("case_id").orderBy("cell_id", "point_idx")).cast("long")
+    numbered = cut_lineage(points.withColumn("at", at))
+    name = cut_lineage(contract(numbered, "at", eps).select("case_id", F.col("at").alias("_at"), "node"))
+    joined = numbered.join(name, (numbered["case_id"] == name["case_id"]) & (numbered["at"] == name["_at"])).select(numbered["*"], "node")
+    before = joined.withColumns({"_src": F.lag("node").over(order()), **{f"_{n}": F.lag(n).over(order()) for n in "xyz"}})
+    length = dist(tuple(F.col(n) for n in "xyz"), tuple(F.col(f"_{n}") for n in "xyz"))
+    raw = before.filter("_src is not null and _src <> node").select("case_id", F.col("_src").alias("src"), F.col("node").alias("dst"), "cell_id", "class_name", length.alias("length"))
+    edges = cut_lineage(raw.groupBy("case_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min(F.struct("cell_id", "class_name", "length")).alias("e")).select("case_id", "src", "dst", "e.*"))
+    used = both_ways(edges.select("case_id", "src", "dst")).select("case_id", F.col("src").alias("node")).distinct()
+    kept = numbered.join(used.withColumnRenamed("node", "at"), ["case_id", "at"]).select("case_id", F.col("at").alias("node_id"), "class_name", *"xyz", "radius")
+    return reindexed(kept, edges)
+
+
+def reindexed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with node ids made compact, 0..n-1 for each case in the order of the old ones."""
+    new = cut_lineage(reindex(nodes))
+    side = lambda old, name: new.select("case_id", F.col("node_id").alias(old), F.col("index").cast("long").alias(name))
+    rest = [c for c in edges.columns if c not in ("case_id", "src", "dst")]
+    moved = edges.withColumnsRenamed({"src": "_s", "dst": "_d"}).join(side("_s", "src"), ["case_id", "_s"]).join(side("_d", "dst"), ["case_id", "_d"])
+    return new.drop("node_id").withColumnRenamed("index", "node_id").withColumn("node_id", F.col("node_id").cast("long")), moved.select("case_id", "src", "dst", *rest)
+
+
 def reindex(nodes: DataFrame) -> DataFrame:
     """Adds index: 0..n-1 in node order for each case."""
     return nodes.withColumn("index", F.row_number().over(Window.partitionBy("case_id").orderBy("node_id")) - 1)
 
 
 def rescale_levels(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Levels less the smallest one of their key."""
-    return nodes.withColumn("hierarchy", F.col("hierarchy") - F.min("hierarchy").over(Window.partitionBy(*keys)))
+    """Levels less the smallest one of their key; adds max_hierarchy, the largest one after that."""
+    w = Window.partitionBy(*keys)
+    return nodes.withColumns({"hierarchy": F.col("hierarchy") - F.min("hierarchy").over(w), "max_hierarchy": F.max("hierarchy").over(w) - F.min("hierarchy").over(w)})
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Levels of all nodes: breadth-first from the start node of each case; each component that it doesn't
+    reach goes on, in the order of its smallest node, one above the highest level so far, from its lowest
+    end node (its smallest node if it has none). Edges get the smaller level of their ends."""
+    label = cut_lineage(components(nodes, edges))
+    first = start.select("case_id", "node_id").join(label, ["case_id", "node_id"]).select("case_id", "component", "node_id", F.lit(0).alias("_main"))
+    ends = nodes.join(degree(edges).filter("degree = 1"), ["case_id", "node_id"], "left").join(label, ["case_id", "node_id"])
+    low = ends.groupBy("case_id", "component").agg(F.coalesce(F.min_by("node_id", F.when(F.col("degree").isNotNull(), F.struct("z", "node_id"))), F.min("node_id")).alias("node_id"))
+    starts = cut_lineage(first.unionByName(low.join(first, ["case_id", "component"], "left_anti").withColumn("_main", F.lit(1))))
+    levels = bfs_levels(edges, starts.select("case_id", "node_id")).join(label, ["case_id", "node_id"])
+    size = levels.groupBy("case_id", "component").agg((F.max("level") + 1).alias("n")).join(starts.select("case_id", "component", "_main"), ["case_id", "component"])
+    before = Window.partitionBy("case_id").orderBy("_main", "component").rowsBetween(Window.unboundedPreceding, -1)
+    shift = size.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = cut_lineage(levels.join(shift.select("case_id", "component", "shift"), ["case_id", "component"]).select("case_id", "node_id", (F.col("level") + F.col("shift")).cast("int").alias("level"), "parent"))
+    side = lambda k: own.select("case_id", F.col("node_id").alias(k), F.col("level").alias(f"_{k}"))
+    leveled = edges.join(side("src"), ["case_id", "src"]).join(side("dst"), ["case_id", "dst"]).withColumn("level", F.least("_src", "_dst")).drop("_src", "_dst")
+    return own, leveled
+
+
+def attached_nodes(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, main: Column) -> tuple[DataFrame, DataFrame]:
+    """Nodes that are in one component with a main node once the bridges are edges, and the edges between them
+    with the bridges (flagged artificial); what nothing joined is left out."""
+    rest = [c for c in edges.columns if c not in ("case_id", "src", "dst")]
+    all_edges = edges.withColumn("artificial", F.lit(False)).unionByName(bridges.select("case_id", "src", "dst", F.col("distance").alias("length"), F.lit(True).alias("artificial")) if "length" in rest else bridges.select("case_id", "src", "dst", F.lit(True).alias("artificial")), allowMissingColumns=True)
+    label = cut_lineage(components(nodes, all_edges).join(nodes, ["case_id", "node_id"]).withColumn("_main", main))
+    kept = label.filter("_main").select("case_id", "component").distinct()
+    own = label.join(kept, ["case_id", "component"], "left_semi").select(*nodes.columns)
+    return own, all_edges.join(own.select("case_id", F.col("node_id").alias("src")), ["case_id", "src"], "left_semi")
+
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """Chains of cells that meet at ends no other cell touches, as one: case_id, cell_id, merged (the smallest
+    cell of its chain)."""
+    pairs = merge_degree_2(cells)
+    c = star_components(pairs.select("case_id", F.col("a").alias("src"), F.col("b").alias("dst")), ["case_id"])
+    return cells.select("case_id", "cell_id").join(c.select("case_id", F.col("node").alias("cell_id"), "component"), ["case_id", "cell_id"], "left").select("case_id", "cell_id", F.coalesce("component", "cell_id").alias("merged"))
+
+
+def merged_points(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Points of the chains of merge_cells as one line each: the chain is walked from the end with the smaller
+    name, cells that run against it are reversed, and a shared end appears once. cells: case_id, cell_id,
+    src, dst of cell_graph. Returns points with cell_id = merged; closed chains are left as they are."""
+    own = cut_lineage(cells.join(merge_cells(cells), ["case_id", "cell_id"]))
+    chain = F.struct("case_id", "merged")
+    walk = own.select(chain.alias("case_id"), "cell_id", "src", "dst")
+    ends = degree(walk).filter("degree = 1").groupBy("case_id").agg(F.min("node_id").alias("node_id"))
+    key = F.concat_ws("|", F.col("case_id.case_id").cast("string"), F.col("case_id.merged").cast("string"))
+    level = bfs_levels(walk.select(key.alias("case_id"), "src", "dst"), ends.select(key.alias("case_id"), "node_id"))
+    at = lambda k: level.select(F.col("case_id").alias("_k"), F.col("node_id").alias(k), F.col("level").alias(f"_{k}"))
+    placed = own.withColumn("_k", F.concat_ws("|", F.col("case_id").cast("string"), F.col("merged").cast("string"))).join(at("src"), ["_k", "src"]).join(at("dst"), ["_k", "dst"])
+    turn = placed.select("case_id", "cell_id", "merged", F.least("_src", "_dst").alias("_place"), (F.col("_src") > F.col("_dst")).alias("_back"))
+    rows = points.join(turn, ["case_id", "cell_id"]).withColumn("_i", F.when(F.col("_back"), -F.col("point_idx")).otherwise(F.col("point_idx")))
+    first = F.row_number().over(Window.partitionBy("case_id", "cell_id").orderBy("_i"))
+    kept = rows.withColumn("_r", first).filter("_place = 0 or _r > 1")
+    place = F.row_number().over(Window.partitionBy("case_id", "merged").orderBy("_place", "_i")) - 1
+    out = kept.withColumn("point_idx", place).withColumn("cell_id", F.col("merged")).select(*points.columns)
+    closed = points.join(turn.select("case_id", "cell_id"), ["case_id", "cell_id"], "left_anti")
+    return out.unionByName(closed)
 
 
 def contact_flags(nodes: DataFrame, edges: DataFrame, a: str, b: str, hops: int = 2) -> DataFrame:
@@ -178,17 +291,18 @@ def contact_flags(nodes: DataFrame, edges: DataFrame, a: str, b: str, hops: int
     return nodes.select("case_id").distinct().join(hit, "case_id", "left").select("case_id", F.coalesce("_t", F.lit(False)).alias("touches"))
 
 
-def join_components(nodes: DataFrame, edges: DataFrame, parent: dict[str, str], main: Column, radius: float = 70.0, rounds: int = 5) -> DataFrame:
+def join_components(nodes: DataFrame, edges: DataFrame, parent: dict[str, str], main: Column, radius: float = 70.0) -> DataFrame:
     """Bridges (case_id, src, dst, distance) from components without a main node to the nearest node of
     the attached part: of the same class first, then of the parent class, then any, at most ``radius``
-    apart. One set-based pass a round; each component gets one bridge."""
+    apart. One set-based pass a round, until no further component joins; each component gets one bridge.
+    Components that nothing joins have none (see ``attached_nodes``)."""
     from tubula.operators.nearest import within
 
     table = F.create_map(*(F.lit(v) for kv in parent.items() for v in kv))
     label = cut_lineage(nodes.join(components(nodes, edges), ["case_id", "node_id"]).withColumn("main", main))
     bridges = None
     attached = label.filter("main").select("case_id", "component").distinct()
-    for _ in range(rounds):
+    while True:
         inside = label.join(attached, ["case_id", "component"], "left_semi")
         outside = label.join(attached, ["case_id", "component"], "left_anti")
         near = within(outside.select("case_id", "node_id", "component", "class_name", *"xyz"), inside.select("case_id", "node_id", "class_name", *"xyz"), radius)
@@ -205,8 +319,9 @@ def join_components(nodes: DataFrame, edges: DataFrame, parent: dict[str, str],
 
 def split_at_branches(points: DataFrame) -> DataFrame:
     """Adds piece: cells of a case that share their first points are cut where they part. A point's prefix
-    is the chain of all points up to it; a piece is a stretch shared by the same number of cells."""
-    prefix = F.sha2(F.concat_ws("|", F.collect_list(F.concat_ws(",", *"xyz")).over(order().rowsBetween(Window.unboundedPreceding, 0))), 256)
+    is named by its index and two running sums of 64-bit hashes of all (index, point) up to it; a piece is a stretch shared by the same number of cells."""
+    own = F.xxhash64("point_idx", *"xyz").cast("decimal(38,0)"), F.xxhash64(F.lit(1), "point_idx", *"xyz").cast("decimal(38,0)")
+    prefix = F.struct("point_idx", *(F.sum(h).over(order().rowsBetween(Window.unboundedPreceding, 0)).alias(f"h{i}") for i, h in enumerate(own)))
     p = points.withColumn("_p", prefix)
     shared = p.groupBy("case_id", "_p").agg(F.count(F.lit(1)).alias("sharing"), F.min("cell_id").alias("owner"))
     j = p.join(shared, ["case_id", "_p"])

@@ -118,16 +118,17 @@ def curve_torsion(points: DataFrame) -> DataFrame:
     return g.withColumn("torsion", -dot(vec("_d"), vec("n"))).drop("_dx", "_dy", "_dz")
 
 
-def local_curvature(points: DataFrame) -> DataFrame:
-    """Adds local_curvature and local_torsion from the 3 to 5 points around each one (two to either
-    side, three at the ends), by nested gradients; torsion is NULL where curvature is 0 and for cells
-    of fewer than three points both are NULL."""
-    near = F.collect_list(F.struct("point_idx", "x", "y", "z")).over(order().rowsBetween(-2, 2))
+def local_curvature(points: DataFrame, reach: int = 2) -> DataFrame:
+    """Adds local_curvature and local_torsion from the points around each one (``reach`` to either side, with
+    two the 3 to 5 points of the definition), by nested gradients; torsion is NULL where curvature is 0 and
+    for cells of fewer than three points both are NULL. Nested gradients need seven points for a helix's
+    whole torsion; of five they see two thirds."""
+    near = F.collect_list(F.struct("point_idx", "x", "y", "z")).over(order().rowsBetween(-reach, reach))
     first, last = F.lag("x").over(order()).isNull(), F.lead("x").over(order()).isNull()
     n = F.count(F.lit(1)).over(whole())
     place = F.row_number().over(order())
     df = points.withColumns({"_pts": near, "_first": first, "_last": last, "_n": n, "_place": place})
-    df = df.withColumn("_at", F.when(F.col("_first"), 1).when(F.col("_last"), F.size("_pts") - 2).otherwise(F.least(F.col("_place") - 1, F.lit(2))))
+    df = df.withColumn("_at", F.when(F.col("_first"), 1).when(F.col("_last"), F.size("_pts") - 2).otherwise(F.least(F.col("_place") - 1, F.lit(reach))))
     size = F.size("_pts")
 
     def grad(c: Column) -> Column:
@@ -344,18 +345,87 @@ def resample_linear(points: DataFrame, step: float) -> DataFrame:
     cells = with_arc.groupBy(*KEYS).agg(F.max("arc").alias("_len"), F.count(F.lit(1)).alias("_n"))
     longer = (F.col("_len") > step) & (F.col("_n") >= 2)
     short = with_arc.join(cells.filter(~longer), KEYS, "left_semi").select(*KEYS, "point_idx", *"xyz", "radius")
-    grid = cells.filter(longer).withColumn("_k", F.ceil(F.col("_len") / step)).select(*KEYS, "_len", "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k"))).alias("_i")).withColumn("_s", F.col("_len") * F.col("_i") / F.col("_k"))
+    count = F.ceil(F.col("_len") / step)
     nxt = {f"_{c}2": F.lead(c).over(order()) for c in ("arc", "x", "y", "z", "radius")}
-    pieces = with_arc.withColumns(nxt).withColumn("_final", F.lead("_arc2").over(order()).isNull()).filter("_arc2 > arc")
-    last = Window.partitionBy(*KEYS).orderBy(F.desc("arc"), F.desc("point_idx"))
-    pieces = pieces.withColumn("_end", F.row_number().over(last) == 1)
-    hit = (F.col("_s") >= F.col("arc")) & ((F.col("_s") < F.col("_arc2")) | F.col("_end"))
-    j = grid.join(pieces.drop("_final"), KEYS).filter(hit)
-    t = F.least(F.lit(1.0), (F.col("_s") - F.col("arc")) / (F.col("_arc2") - F.col("arc")))
-    made = j.select(*KEYS, F.col("_i").cast("int").alias("point_idx"), *((F.col(c) + t * (F.col(f"_{c}2") - F.col(c))).alias(c) for c in ("x", "y", "z")), F.greatest(F.lit(0.0), F.col("radius") + t * (F.col("_radius2") - F.col("radius"))).alias("radius"))
+    piece = F.struct("arc", *"xyz", "radius", *nxt).alias("p")
+    pieces = with_arc.withColumns(nxt).filter("_arc2 > arc").select(*KEYS, F.col("arc").alias("s"), F.lit(0).alias("grid"), piece, F.lit(None).cast("bigint").alias("i"))
+    grid = cells.filter(longer).select(*KEYS, "_len", count.alias("_k"), F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("i"))
+    grid = grid.select(*KEYS, (F.col("_len") * F.col("i") / F.col("_k")).alias("s"), F.lit(1).alias("grid"), F.lit(None).cast(pieces.schema["p"].dataType).alias("p"), "i")
+    w = Window.partitionBy(*KEYS).orderBy("s", "grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = pieces.unionByName(grid).withColumn("p", F.last("p", ignorenulls=True).over(w)).filter("grid = 1")
+    t = F.least(F.lit(1.0), (F.col("s") - F.col("p.arc")) / (F.col("p._arc2") - F.col("p.arc")))
+    value = lambda c: F.col(f"p.{c}") + t * (F.col(f"p._{c}2") - F.col(f"p.{c}"))
+    made = placed.select(*KEYS, F.col("i").cast("int").alias("point_idx"), *(value(c).alias(c) for c in "xyz"), F.greatest(F.lit(0.0), value("radius")).alias("radius"))
     return made.unionByName(short)
 
 
+def resample_cubic(points: DataFrame, step: float) -> DataFrame:
+    """As resample_linear, by the interpolating spline through a cell's points over their arc length: cubic
+    (not-a-knot) with four points or more, a parabola with three, a straight line with two; the radius is
+    a cubic with four points or more, linear otherwise, and not below 0. Points that repeat the one before
+    are left out of the fit. Cells of length <= step are unchanged. The slopes at the points come from a
+    tridiagonal system that two folds over a cell's ordered array solve; grid points are placed by a sort."""
+    keys = KEYS
+    with_arc = arc_length(points.select(*keys, "point_idx", *"xyz", "radius"))
+    row = F.struct("point_idx", F.col("arc").alias("s"), F.array(*(F.col(c).cast("double") for c in ("x", "y", "z", "radius"))).alias("v"))
+    cells = with_arc.groupBy(*keys).agg(F.max("arc").alias("_len"), F.array_sort(F.collect_list(row)).alias("_all"))
+    distinct = F.filter("_all", lambda p, i: (i == 0) | (p["s"] > F.col("_all")[F.greatest(i - 1, F.lit(0))]["s"]))
+    cells = cells.withColumn("_pts", distinct).withColumn("_n", F.size("_pts"))
+    longer = (F.col("_len") > step) & (F.col("_n") >= 2)
+    short = with_arc.join(cells.filter(~longer).select(*keys), keys, "left_semi").select(*keys, "point_idx", *"xyz", "radius")
+    own = cells.filter(longer).withColumn("_h", F.transform(F.slice("_pts", 2, F.col("_n") - 1), lambda p, i: p["s"] - F.col("_pts")[i]["s"]))
+    own = own.withColumn("_m", F.transform("_h", lambda h, i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: (F.col("_pts")[i + 1]["v"][c] - F.col("_pts")[i]["v"][c]) / h)))
+    h, m, n = F.col("_h"), F.col("_m"), F.col("_n")
+    # rows of the system for the slopes d: a d[i-1] + b d[i] + c d[i+1] = r (not-a-knot at both ends)
+    h0, h1 = h[0], F.try_element_at(h, F.lit(2))
+    g0, g1 = F.element_at(h, -1), F.try_element_at(h, F.lit(-2))
+    m0, m1 = m[0], F.try_element_at(m, F.lit(2))
+    k0, k1 = F.element_at(m, -1), F.try_element_at(m, F.lit(-2))
+    four = lambda f: F.transform(F.sequence(F.lit(0), F.lit(3)), f)
+    first = F.struct(F.lit(0.0).alias("a"), h1.alias("b"), (h0 + h1).alias("c"), four(lambda c: ((h0 + 2 * (h0 + h1)) * h1 * m0[c] + h0 * h0 * m1[c]) / (h0 + h1)).alias("r"))
+    final = F.struct((g0 + g1).alias("a"), g1.alias("b"), F.lit(0.0).alias("c"), four(lambda c: (g0 * g0 * k1[c] + (2 * (g0 + g1) + g0) * g1 * k0[c]) / (g0 + g1)).alias("r"))
+    inner = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.struct(h[i].alias("a"), (2 * (h[i - 1] + h[i])).alias("b"), h[i - 1].alias("c"), four(lambda c: 3 * (h[i] * m[i - 1][c] + h[i - 1] * m[i][c])).alias("r")))
+    system = own.filter("_n >= 4").withColumn("_rows", F.concat(F.array(first), inner, F.array(final)))
+
+    def forward(acc: Column, q: Column) -> Column:
+        w = q["b"] - q["a"] * F.coalesce(F.element_at(acc, -1)["c"], F.lit(0.0))
+        new = lambda z: F.struct((q["c"] / z).alias("c"), four(lambda c: (q["r"][c] - q["a"] * F.coalesce(F.element_at(acc, -1)["r"][c], F.lit(0.0))) / z).alias("r"))
+        return F.concat(acc, F.array(_let(w, new)))
+
+    kind = "array<struct<c:double,r:array<double>>>"
+    one = F.col("_rows")[0]
+    start = F.array(F.struct((one["c"] / one["b"]).alias("c"), four(lambda c: one["r"][c] / one["b"]).alias("r"))).cast(kind)
+    swept = system.withColumn("_f", F.aggregate(F.slice("_rows", 2, n - 1), start, lambda acc, q: forward(acc, q).cast(kind)))
+
+    def back(acc: Column, q: Column) -> Column:
+        return F.concat(F.array(four(lambda c: q["r"][c] - q["c"] * acc[0][c])), acc)
+
+    solved = swept.withColumn("_d", F.aggregate(F.reverse(F.slice("_f", 1, n - 1)), F.array(F.element_at("_f", -1)["r"]), back))
+    # three points: the parabola's slopes; two points: the straight line's; the radius stays linear there
+    bend = four(lambda c: F.when(c < 3, (m1[c] - m0[c]) / (h0 + h1)).otherwise(0.0))
+    few = own.filter("_n < 4").withColumn("_d", F.when(n == 3, _let(bend, lambda q: F.array(four(lambda c: m0[c] - q[c] * h0), four(lambda c: m0[c] + q[c] * h0), four(lambda c: m1[c] + q[c] * h1)))).otherwise(F.array(m0, m0)))
+    names = [*keys, "_len", "_n", "_pts", "_d", "_h", "_m", "_all"]
+    both = solved.select(*names).unionByName(few.select(*names))
+    piece = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.col("_pts")[i]["s"].alias("s"), F.lit(0).alias("grid"), F.struct(F.col("_pts")[i]["s"].alias("s"), h[i].alias("h"), F.col("_pts")[i]["v"].alias("v"), F.col("_pts")[i + 1]["v"].alias("w"), F.col("_d")[i].alias("d"), F.col("_d")[i + 1].alias("e"), (n < 4).alias("flat")).alias("p"), F.lit(None).cast("bigint").alias("i")))
+    pieces = both.select(*keys, F.explode(piece).alias("q")).select(*keys, "q.*")
+    count = F.ceil(F.col("_len") / step)
+    grid = both.select(*keys, "_len", count.alias("_k"), F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("i")).select(*keys, (F.col("_len") * F.col("i") / F.col("_k")).alias("s"), F.lit(1).alias("grid"), F.lit(None).cast(pieces.schema["p"].dataType).alias("p"), "i")
+    w = Window.partitionBy(*keys).orderBy("s", "grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = pieces.unionByName(grid).withColumn("p", F.last("p", ignorenulls=True).over(w)).filter("grid = 1")
+    t = (F.col("s") - F.col("p.s")) / F.col("p.h")
+
+    def value(c: int) -> Column:
+        v, e = F.col("p.v")[c], F.col("p.w")[c]
+        cubic = (2 * t * t * t - 3 * t * t + 1) * v + (t * t * t - 2 * t * t + t) * F.col("p.h") * F.col("p.d")[c] + (3 * t * t - 2 * t * t * t) * e + (t * t * t - t * t) * F.col("p.h") * F.col("p.e")[c]
+        return F.when(F.col("p.flat"), v + t * (e - v)).otherwise(cubic) if c == 3 else cubic
+
+    made = placed.select(*keys, F.col("i").cast("int").alias("point_idx"), *(value(c).alias(k) for c, k in enumerate("xyz")), F.greatest(F.lit(0.0), value(3)).alias("radius"))
+    ends = both.select(*keys, F.col("_all")[0]["v"].alias("_a"), F.element_at("_all", -1)["v"].alias("_b"), count.cast("int").alias("_k"))
+    pinned = made.join(ends, keys)
+    exact = lambda c, k: F.when(F.col("point_idx") == 0, F.col("_a")[c]).when(F.col("point_idx") == F.col("_k"), F.col("_b")[c]).otherwise(F.col(k)).alias(k)
+    return pinned.select(*keys, "point_idx", *(exact(c, k) for c, k in enumerate(("x", "y", "z", "radius")))).unionByName(short)
+
+
 def neighbour_points(points: DataFrame) -> DataFrame:
     """Adds near: indices of a point and up to two neighbours to either side."""
     return points.withColumn("near", F.collect_list("point_idx").over(order().rowsBetween(-2, 2)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tubula.functions.geom import dist
+
 
 def collect_features(cohort: DataFrame, features: DataFrame, long_features: DataFrame) -> DataFrame:
     """Cohort rows (case_id, side) with the features (case_id, path_id, ...) of their side's path, and
@@ -89,11 +91,17 @@ def _all(columns: list[Column]) -> Column:
 
 
 def normalize(long: DataFrame, stats: DataFrame) -> DataFrame:
-    """Values of features by the rule in the statistics table (feature, mean, std, min, max, rule): zscore,
-    minmax, or none."""
+    """Values of features by the rule in the statistics table (feature, mean, std, min, max, rule; one row a
+    feature): zscore, minmax, center, or none."""
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
     m = F.try_divide(F.col("value") - F.col("min"), F.col("max") - F.col("min"))
-    return long.join(F.broadcast(stats), "feature").withColumn("normal", F.when(F.col("rule") == "zscore", z).when(F.col("rule") == "minmax", m).otherwise(F.col("value"))).select(*long.columns, "normal")
+    return long.join(stats, "feature").withColumn("normal", F.when(F.col("rule") == "zscore", z).when(F.col("rule") == "minmax", m).when(F.col("rule") == "center", F.col("value") - F.col("mean")).otherwise(F.col("value"))).select(*long.columns, "normal")
+
+
+def vector_norm(long: DataFrame, keys: list[str], value: str = "value", out: str = "unit") -> DataFrame:
+    """Adds ``out``: values divided by the length of the vector that all values of a key make, NULL if that is 0."""
+    size = long.groupBy(*keys).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_size"))
+    return long.join(size, keys).withColumn(out, F.try_divide(F.col(value), F.col("_size"))).drop("_size")
 
 
 def softmax(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,20 +133,23 @@ def displacement_stats(df: DataFrame) -> DataFrame:
 
 def mirror_fix(wide: DataFrame, left: tuple[float, float], right: tuple[float, float], least: float = 5.0) -> DataFrame:
     """Plausibility of a paired landmark: the side's distance must lie within two deviations of its mean.
-    wide: case_id, mid, lx, rx, l_distance, r_distance. A bad side takes the other one mirrored at mid if
-    that is good and the point moves more than ``least``."""
+    wide: case_id, mid, lx, ly, lz, rx, ry, rz, l_distance, r_distance. A bad side takes the other point
+    mirrored at the plane x = mid if that is good and the point is missing or moves more than ``least``."""
     good = lambda c, m: F.coalesce(F.col(c).between(m[0] - 2 * m[1], m[0] + 2 * m[1]), F.lit(False))
     gl, gr = good("l_distance", left), good("r_distance", right)
-    ml, mr = 2 * F.col("mid") - F.col("rx"), 2 * F.col("mid") - F.col("lx")
-    moved = lambda new, old: F.coalesce(F.abs(new - F.col(old)) > least, F.lit(True))
-    fl, fr = ~gl & gr & moved(ml, "lx"), ~gr & gl & moved(mr, "rx")
-    return wide.select("case_id", F.when(fl, ml).otherwise(F.col("lx")).alias("lx"), F.when(fr, mr).otherwise(F.col("rx")).alias("rx"), (fl | fr).alias("mirrored"))
+    point = lambda s: tuple(F.col(f"{s}{n}") for n in "xyz")
+    mirrored = lambda p: (2 * F.col("mid") - p[0], p[1], p[2])
+    moved = lambda new, old: F.coalesce(dist(new, old) > least, F.lit(True))
+    ml, mr = mirrored(point("r")), mirrored(point("l"))
+    fl, fr = ~gl & gr & moved(ml, point("l")), ~gr & gl & moved(mr, point("r"))
+    pick = lambda flag, new, s: [F.when(flag, v).otherwise(F.col(f"{s}{n}")).alias(f"{s}{n}") for v, n in zip(new, "xyz", strict=True)]
+    return wide.select("case_id", *pick(fl, ml, "l"), *pick(fr, mr, "r"), (fl | fr).alias("mirrored"))
 
 
 def landmark_pairs(landmarks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Named paths (path_id, a, b) of the cases that have both landmarks."""
     side = lambda s: landmarks.select("case_id", F.col("label").alias(s), *(F.col(n).alias(f"{s}{n}") for n in "xyz"))
-    return F.broadcast(pairs).join(side("a"), "a").join(side("b"), ["case_id", "b"])
+    return pairs.join(side("a"), "a").join(side("b"), ["case_id", "b"])
 
 
 def bulb_landmark(transitions: DataFrame, landmarks: DataFrame, names: dict[str, str]) -> DataFrame:

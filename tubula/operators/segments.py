@@ -108,12 +108,37 @@ def partial_features(points: DataFrame) -> DataFrame:
 
 
 def segment_features(nodes: DataFrame) -> DataFrame:
-    """The 22 features of each segment in one row. nodes: points with curvature and polar."""
-    out = tortuosity(nodes).drop("chord")
-    parts = [diameter_stats(nodes), end_diameters(nodes), bending_length(nodes), curvature_sums(nodes), polar_features(nodes), segment_direction(nodes), partial_features(nodes)]
-    for p in parts:
-        out = out.join(p, KEYS, "left")
-    return out
+    """The 22 features of each segment in one row, by one ordering of the points and one aggregation. nodes:
+    points with curvature, polar and blanking."""
+    w, all_rows = order(), Window.partitionBy(*KEYS)
+    at = F.struct(*"xyz", "radius")
+    pick = lambda f: F.coalesce(f(at, F.when(_open(), F.col("point_idx"))).over(all_rows), f(at, F.col("point_idx")).over(all_rows))
+    p = arc_length(nodes).withColumns({"_p": pick(F.min_by), "_q": pick(F.max_by), "_back": F.max("arc").over(all_rows) - F.col("arc"), "_apart": F.abs(F.col("polar") - F.lag("polar").over(w)), "_before": F.lag("arc").over(w)})
+    p = p.withColumn("_next", F.lead("_back").over(w))
+    a, b = (tuple(F.col(f"{e}.{n}") for n in "xyz") for e in ("_p", "_q"))
+    line = sub(b, a)
+    t = dot(sub(vec(), a), line) / F.nullif(dot(line, line), F.lit(0.0))
+    off = norm(tuple(v - (c + t * g) for v, c, g in zip(vec(), a, line, strict=True)))
+    d, xyz, i = 2 * F.col("radius"), F.struct(*"xyz"), F.col("point_idx")
+    last = lambda n: F.coalesce(F.col("_next") < n, F.lit(True))
+    parts = {"first_50": F.coalesce(F.col("_before") < 50, F.lit(True)), **{f"last_{n}": last(n) for n in (10, 20, 30)}}
+    among = lambda name, keep, size: [F.max(F.when(keep, F.col(size))).alias(f"_{name}_l"), F.min_by(xyz, F.when(keep, i)).alias(f"_{name}_a"), F.max_by(xyz, F.when(keep, i)).alias(f"_{name}_b")]
+    tail = lambda n: F.coalesce(F.avg(F.when(last(n) & _open(), d)), F.avg(F.when(last(n), d))).alias(f"diameter_last_{n}")
+    g = p.groupBy(*KEYS).agg(
+        *among("all", F.lit(True), "arc"), *(c for name, keep in parts.items() for c in among(name, keep, "arc" if name == "first_50" else "_back")), tail(5), tail(10),
+        unblanked(F.avg, d).alias("mean_diameter"), unblanked(F.stddev_pop, d).alias("std_diameter"), unblanked(F.min, d).alias("min_diameter"), unblanked(F.max, d).alias("max_diameter"),
+        F.first("_p").alias("_p"), F.first("_q").alias("_q"), F.coalesce(F.max(off), F.lit(0.0)).alias("bending_length"),
+        F.sum(F.when(F.col("_before").isNotNull(), F.col("curvature")).otherwise(0.0)).alias("cumulative_curvature"), F.sum(F.col("curvature") * F.col("curvature")).alias("curvature_energy"),
+        F.least(F.lit(math.pi / 2), F.min("polar")).alias("min_polar"), F.coalesce(F.sum("_apart"), F.lit(0.0)).alias("polar_variation"),
+    )
+    chord = lambda name: dist(*(tuple(F.col(f"_{name}_{e}.{n}") for n in "xyz") for e in "ab"))
+    bent = lambda name: 1 - chord(name) / F.nullif(F.col(f"_{name}_l"), F.lit(0.0))
+    polar, azimuth = direction_angles(a, b)
+    return g.select(
+        *KEYS, F.col("_all_l").alias("length"), bent("all").alias("tortuosity"), "mean_diameter", "std_diameter", "min_diameter", "max_diameter", F.try_divide("min_diameter", "max_diameter").alias("min_max_ratio"),
+        (2 * F.col("_p.radius")).alias("proximal_diameter"), (2 * F.col("_q.radius")).alias("distal_diameter"), "bending_length", "cumulative_curvature", "curvature_energy", "min_polar", "polar_variation",
+        polar.alias("polar"), azimuth.alias("azimuth"), "diameter_last_5", "diameter_last_10", *(bent(name).alias(f"tortuosity_{name}") for name in parts),
+    )
 
 
 def cell_features(points: DataFrame, departure: float = 10.0) -> DataFrame:
@@ -138,6 +163,14 @@ def cell_features(points: DataFrame, departure: float = 10.0) -> DataFrame:
     )
 
 
+def root_centred(features: DataFrame, roots: DataFrame, scale: float = 100.0) -> DataFrame:
+    """The nine position features of cells (first, last, mean; r, a, s) less the case's root position, by
+    ``scale``. roots: case_id, root_r, root_a, root_s, one row a case."""
+    own = [f"{k}_{n}" for k in ("first", "last", "mean") for n in "ras"]
+    j = features.join(roots, "case_id")
+    return j.select(*(((F.col(c) - F.col(f"root_{c[-1]}")) / scale).alias(c) if c in own else F.col(c) for c in features.columns))
+
+
 def pair_features(nodes: DataFrame, pairs: DataFrame, flat: float = 50.0) -> DataFrame:
     """Largest angle, azimuth and polar difference between nodes of two segments. nodes: case_id, cell_id,
     point_idx, polar, azimuth, inner (not an end); pairs: case_id, left, right. Nodes of one pair meet

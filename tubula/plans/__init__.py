@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load() -> tuple[dict, dict]:
     """Queries and oracles of all plan modules."""
-    from tubula.plans import aggregates, cohorts, lines  # noqa: F401
+    from tubula.plans import aggregates, cohorts, jobs, lines  # noqa: F401
     from tubula.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

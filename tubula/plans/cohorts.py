@@ -280,9 +280,9 @@ def root_to_leaf_paths(spark, d):
     return G.root_to_leaf_paths(t, t.select("case_id").distinct().withColumn("node_id", F.lit(0).cast("bigint"))).select("case_id", "leaf", F.array_join("path", " ").alias("path"))
 
 
-@query("q2_7_1_cell_graph", f"WITH {PTS} SELECT {C}, round(arg_min(x, point_idx), 2) AS x0, round(arg_max(x, point_idx), 2) AS x1, count(*) AS n FROM points GROUP BY ALL")
+@query("q2_7_1_cell_graph", f"WITH RECURSIVE {PTS}, {ENDS_SQL}, en AS (SELECT case_id, cell_id * 2 AS e, x, y, z FROM g UNION ALL SELECT case_id, cell_id * 2 + 1, x2, y2, z2 FROM g), near AS (SELECT a.case_id, a.e AS i, b.e AS j FROM en a JOIN en b ON a.case_id = b.case_id AND a.e <> b.e AND {GAP} <= 1), reach AS (SELECT case_id, e AS i, e AS j FROM en UNION SELECT r.case_id, r.i, n.j FROM reach r JOIN near n ON n.case_id = r.case_id AND n.i = r.j), node AS (SELECT case_id, i, min(j) AS node FROM reach GROUP BY ALL) SELECT g.case_id, cell_id, s.node AS src, t.node AS dst, n FROM g JOIN node s ON s.case_id = g.case_id AND s.i = cell_id * 2 JOIN node t ON t.case_id = g.case_id AND t.i = cell_id * 2 + 1")
 def cell_graph(spark, d):
-    return G.cell_graph(points(spark, d)).select(*KEYS, F.col("src.x").alias("x0"), F.col("dst.x").alias("x1"), "n")
+    return G.cell_graph(points(spark, d), 1.0)
 
 
 @query("q2_7_2_dense_graph", f"WITH {ARC}, l AS (SELECT *, lag(point_idx) OVER (PARTITION BY {C} ORDER BY point_idx) AS src_idx FROM arcs) SELECT {C}, src_idx, point_idx AS dst_idx, round(step, 6) AS length FROM l WHERE src_idx IS NOT NULL")
@@ -326,9 +326,9 @@ def reindex_nodes(spark, d):
     return G.reindex(tree_nodes(spark, d).filter("radius > 3")).select("case_id", "node_id", "index")
 
 
-@query("q2_11_13_rescale_levels", f"WITH {NODES} SELECT case_id, node_id, node_id - min(node_id) OVER (PARTITION BY case_id, class_name) AS hierarchy FROM nodes")
+@query("q2_11_13_rescale_levels", f"WITH {NODES} SELECT case_id, node_id, node_id - min(node_id) OVER (PARTITION BY case_id, class_name) AS hierarchy, max(node_id) OVER (PARTITION BY case_id, class_name) - min(node_id) OVER (PARTITION BY case_id, class_name) AS max_hierarchy FROM nodes")
 def rescale_levels(spark, d):
-    return G.rescale_levels(tree_nodes(spark, d).withColumn("hierarchy", F.col("node_id")), ["case_id", "class_name"]).select("case_id", "node_id", "hierarchy")
+    return G.rescale_levels(tree_nodes(spark, d).withColumn("hierarchy", F.col("node_id")), ["case_id", "class_name"]).select("case_id", "node_id", "hierarchy", "max_hierarchy")
 
 
 RANGES = [("length", 15.0, 400000.0), ("balance", 0.0, 9000.0)]
@@ -449,4 +449,4 @@ def nearest_to_class(spark, d):
 @query("q2_7_22_join_components")
 def join_components(spark, d):
     nodes = tree_nodes(spark, d)
-    return G.join_components(nodes, _forest(spark, d), {"Brand#11": "Brand#22"}, F.col("node_id") == 6, 30.0, 3).select("case_id", "src", "dst", *r6("distance"))
+    return G.join_components(nodes, _forest(spark, d), {"Brand#11": "Brand#22"}, F.col("node_id") == 6).select("case_id", "src", "dst", *r6("distance"))

@@ -87,3 +87,30 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCORES = "scores AS (SELECT CAST(floor(vec_id / 5) AS BIGINT) AS item_id, vec_id % 5 AS fold, CAST(c AS INTEGER) AS class, CAST(embedding[c + 1] AS DOUBLE) AS score FROM embeddings, range(10) t(c))"
+
+
+#: Vessel classes without other, in the order of their codes: what the chains of the anatomy view are called.
+VESSELS = ["AA", "BT", "RCCA", "LCCA", "RSA", "LSA", "RVA", "LVA", "RICA", "LICA", "RECA", "LECA", "BA"]
+
+
+def anatomy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of ten vessel trees made of the parts: chains of eight edges (cells) that branch in two;
+    the level of a node is its distance from node 0."""
+    p = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("case_id"), F.floor(F.col("p_partkey") / 10).alias("n"), "p_size", "p_partkey", "p_retailprice")
+    c = F.greatest(F.floor((F.col("n") - 1) / 8), F.lit(0))
+    r = F.col("n") - 8 * F.col("c")
+    name = F.array(*map(F.lit, VESSELS))[(F.col("c") % len(VESSELS)).cast("int")]
+    depth = F.length(F.bin(F.col("c") + 1)) - 1
+    p = p.withColumn("c", c).withColumn("r", r).withColumn("class_name", name)
+    nodes = p.select("case_id", F.col("n").alias("node_id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"), (F.col("p_retailprice") % 100).alias("z"), (F.col("p_size") % 11 + 1).cast("double").alias("radius"), "class_name", F.when(F.col("n") == 0, 0).otherwise(8 * depth + F.col("r")).cast("int").alias("hierarchy"))
+    parent = F.when(F.col("r") > 1, F.col("n") - 1).when(F.col("c") == 0, F.lit(0)).otherwise(8 * F.floor((F.col("c") - 1) / 2) + 8)
+    edges = p.filter("n > 0").select("case_id", parent.cast("long").alias("src"), F.col("n").alias("dst"), F.col("c").alias("cell_id"), "class_name", (F.col("p_retailprice") % 7 + 1).alias("length"), (F.col("p_partkey") % 37 == 0).alias("artificial"))
+    return nodes, edges
+
+
+ANATOMY = f"""vessel(i, class_name) AS (VALUES {', '.join(f"({i}, '{v}')" for i, v in enumerate(VESSELS))}),
+raw AS (SELECT p_partkey % 10 AS case_id, CAST(floor(p_partkey / 10) AS BIGINT) AS n, p_size, p_partkey, p_retailprice FROM part),
+cells AS (SELECT *, greatest(CAST(floor((n - 1) / 8.0) AS BIGINT), 0) AS c FROM raw),
+placed AS (SELECT cells.*, n - 8 * c AS r, class_name FROM cells JOIN vessel ON i = c % 13),
+anodes AS (SELECT case_id, n AS node_id, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 97 AS DOUBLE) AS y, p_retailprice % 100 AS z, CAST(p_size % 11 + 1 AS DOUBLE) AS radius, class_name, CAST(CASE WHEN n = 0 THEN 0 ELSE 8 * (length(bin(c + 1)) - 1) + r END AS INTEGER) AS hierarchy FROM placed),
+aedges AS (SELECT case_id, CASE WHEN r > 1 THEN n - 1 WHEN c = 0 THEN 0 ELSE 8 * CAST(floor((c - 1) / 2.0) AS BIGINT) + 8 END AS src, n AS dst, c AS cell_id, class_name, p_retailprice % 7 + 1 AS length, p_partkey % 37 = 0 AS artificial FROM placed WHERE n > 0)"""

@@ -37,12 +37,21 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def read_landmarks(spark: SparkSession, path: str) -> DataFrame:
-    """Landmark files of the markups form; points given in LPS are turned to RAS: file, label, x, y, z."""
+    """Landmark files, one JSON text each (see parse_landmarks): case_id (the file's name), label, x, y, z."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("case_id"), F.col("value").alias("json"))
+    return parse_landmarks(texts)
+
+
+def parse_landmarks(texts: DataFrame) -> DataFrame:
+    """Landmarks of JSON texts (case_id, json) of either form: {label: [x, y, z]}, or markups with control
+    points, which are turned to RAS where they are given in LPS. Texts of neither form give no rows."""
     schema = "markups array<struct<coordinateSystem:string,controlPoints:array<struct<label:string,position:array<double>>>>>"
-    df = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_name").alias("file"), F.explode("markups").alias("m"))
-    p = df.select("file", F.col("m.coordinateSystem").alias("cs"), F.explode("m.controlPoints").alias("p"))
+    m = texts.withColumn("_m", F.from_json("json", schema)["markups"])
+    marked = m.filter("_m is not null").select("case_id", F.explode("_m").alias("m")).select("case_id", F.col("m.coordinateSystem").alias("cs"), F.explode("m.controlPoints").alias("p")).select("case_id", "cs", "p.label", "p.position")
+    flat = m.filter("_m is null").select("case_id", F.explode(F.from_json("json", "map<string,array<double>>")).alias("label", "position")).select("case_id", F.lit(None).cast("string").alias("cs"), "label", "position")
     flip = F.when(F.col("cs") == "LPS", -1.0).otherwise(1.0)
-    return p.select("file", "p.label", (flip * F.col("p.position")[0]).alias("x"), (flip * F.col("p.position")[1]).alias("y"), F.col("p.position")[2].alias("z"))
+    p = F.col("position")
+    return marked.unionByName(flat).filter(F.size("position") == 3).select("case_id", "label", (flip * p[0]).alias("x"), (flip * p[1]).alias("y"), p[2].alias("z"))
 
 
 def landmarks_to_markups(df: DataFrame) -> DataFrame:
