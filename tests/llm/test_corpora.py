@@ -35,7 +35,7 @@ def test_overfull_buckets_split_and_hot_ones_are_salted(spark):
     first = {t: texts.index(t) for t in want}
     assert all(r["keep_id"] == first[texts[r["doc_id"]]] and r["group_size"] == want[texts[r["doc_id"]]] for r in rows) and len(rows) == 350
     assert sum(r["kept"] for r in rows) == 41
-    entries = docs.select("doc_id", "text").mapInArrow(dedup._entries, dedup.ENTRY)
+    entries = docs.select("doc_id", "text").mapInArrow(dedup._entries, dedup.ENTRY.format(rows=""))
     routed, owners = dedup._routed(entries.filter("is_rep"), 400)
     each = {r["owner"]: r["bytes"] for r in routed.groupBy("owner").agg(F.sum(F.length("text") + 64).alias("bytes")).collect()}
     hot = 2 * (400 + 64)  # a salt of the hot text may lie beside a bucket

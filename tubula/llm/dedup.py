@@ -36,7 +36,7 @@ MOST_TASKS, TASK_BYTES = 20_000, 256 << 20
 #: Split buckets and hot hashes that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
-ENTRY = "doc_id long, sha256 string, key long, rep long, is_rep boolean, n long, size long, text binary"
+ENTRY = "doc_id long, {rows}sha256 string, key long, rep long, is_rep boolean, n long, size long, text binary"
 
 
 def normalise(texts: pa.Array) -> pa.Array:
@@ -70,6 +70,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
+                **({"row_id": batch.column("row_id")} if "row_id" in batch.schema.names else {}),
                 "sha256": [d.hex() for d in digests],
                 "key": pa.array([int.from_bytes(d[:8], signed=True) for d in digests], pa.int64()),
                 "rep": pa.array(rep, pa.int64()),
@@ -173,9 +174,11 @@ def _owned(rows: DataFrame, owners: int) -> DataFrame:
     return rows.repartitionById(owners, F.col("owner").cast("int")).sortWithinPartitions("key").select("key", "rep", "n", "doc_id", "text").mapInArrow(_owner, OWNED)
 
 
-def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, keep_id, group_size, kept, text_sha256, one row per input row."""
-    entries = stored(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_entries, ENTRY), "dedup-entries")
+def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, rows: bool = False) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, keep_id, group_size, kept, text_sha256, one row per input row. rows:
+    docs have a row_id (long), which comes back."""
+    own = ["row_id"] if rows else []
+    entries = stored(docs.select(F.col("doc_id").cast("long"), *own, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_entries, ENTRY.format(rows="row_id long, " if rows else "")), "dedup-entries")
     routed, owners = _routed(entries.filter("is_rep"), bucket_bytes)
     index = stored(_owned(routed, owners), "dedup-index")
     salted = routed.filter("salts > 1")
@@ -186,8 +189,9 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
         )
         second = stored(_owned(again, owners), "dedup-index").select(F.col("rep").alias("head"), F.col("head").alias("head2"), F.col("keep_id").alias("keep2"), F.col("group_size").alias("size2"))
         index = index.join(second, "head", "left").select("rep", F.coalesce("head2", "head").alias("head"), F.when(F.col("head2").isNull(), F.col("keep_id")).otherwise(F.col("keep2")).alias("keep_id"), F.coalesce("size2", "group_size").alias("group_size"))
-    return entries.select("doc_id", "rep", "is_rep", "sha256").join(index, "rep").select(
+    return entries.select("doc_id", *own, "rep", "is_rep", "sha256").join(index, "rep").select(
         "doc_id",
+        *own,
         "keep_id",
         "group_size",
         (F.col("is_rep") & (F.col("rep") == F.col("head"))).alias("kept"),

@@ -85,6 +85,8 @@ def solve_tilts(hist: DataFrame, sources: DataFrame) -> DataFrame:
         )
         if not state.filter("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError("the dual did not converge")
     return state.select("key", "tilt", "full")
 
 
@@ -104,11 +106,12 @@ def _extras(cells: DataFrame) -> DataFrame:
     return folded.select("key", F.explode(F.arrays_zip("cells", "out")).alias("z")).select("key", "z.cells.cell", "z.cells.base", "z.cells.n", F.col("z.out").alias("extras"))
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
+def mix_sources(docs: DataFrame, rows: bool = False) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, size, source_size, target, taken, copies, rate, one
-    row per input row."""
+    row per input row. rows: docs have a row_id (long), which comes back."""
+    own = ["row_id"] if rows else []
     sizes = stored(
-        docs.select(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select(F.col("doc_id").cast("long"), *own, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
     )
     sources = stored(source_targets(sizes), "mix-sources")
@@ -128,11 +131,11 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     each = placed.filter("size > 0").groupBy("key", "cell", "base", "salt").agg(F.count(F.lit(1)).alias("m"))
     first = F.coalesce(F.sum("m").over(Window.partitionBy("key", "cell", "base").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = each.select("key", "cell", "base", "salt", first.alias("first"))
-    rank = F.row_number().over(Window.partitionBy("key", "cell", "base", "salt").orderBy("h", "doc_id", "size"))
+    rank = F.row_number().over(Window.partitionBy("key", "cell", "base", "salt").orderBy("h", "doc_id", *own, "size"))
     extra = (F.expr("((first + rank) * extras) div n") - F.expr("((first + rank - 1) * extras) div n")).cast("long")
     ranked = placed.filter("size > 0").withColumn("rank", rank).join(starts, ["key", "cell", "base", "salt"]).withColumn("copies", F.col("base") + extra)
-    both = ranked.select("doc_id", "key", "size", "rate", "copies").unionByName(sizes.filter("size = 0").select("doc_id", "key", "size", F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")))
-    return both.join(sources.select("key", "source_size", "target"), "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    both = ranked.select("doc_id", *own, "key", "size", "rate", "copies").unionByName(sizes.filter("size = 0").select("doc_id", *own, "key", "size", F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")))
+    return both.join(sources.select("key", "source_size", "target"), "key").select("doc_id", *own, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

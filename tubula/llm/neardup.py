@@ -115,6 +115,7 @@ def _describe(width: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
+                    **({"row_id": batch.column("row_id")} if "row_id" in batch.schema.names else {}),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                     "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -324,13 +325,15 @@ def _around(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     return stored(met.select("left", "right", "n_a").mapInArrow(_joined(percent), "src long, dst long"), "near-bridges")
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, head: int = HEAD) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, head: int = HEAD, rows: bool = False) -> DataFrame:
     """docs: doc_id, text. Links documents whose shingle sets have a Jaccard similarity of at least
-    ``percent`` / 100 and returns doc_id, n_shingles, component_id, kept, text_digest (16 bytes of the
-    shingle set), one row per input row. ``head``: classes of a posting list that are merged at once."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ``percent`` / 100 and returns doc_id, n_shingles, component_id, kept, component (a number that tells
+    components apart even where they share an id, NULL for empty sets), one row per input row. ``head``:
+    classes of a posting list that are merged at once. rows: docs have a row_id (long), which comes back."""
+    own = ["row_id"] if rows else []
+    docs = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     needed = matches_needed(percent)
-    texts = stored(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sig binary"), "near-signatures")
+    texts = stored(docs.mapInArrow(_describe(width), f"doc_id long, {'row_id long, ' if rows else ''}n_shingles long, digest binary, sig binary"), "near-signatures")
     classes = texts.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
@@ -345,7 +348,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, head: in
     wanted = stored(ends.join(classes.select("node", "doc_id", "digest"), "node"), "near-wanted")
     few = wanted.count() <= BROADCAST_IDS
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    sets = docs.join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "digest binary, shingles binary")
+    sets = docs.select("doc_id", "text").join(small(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "digest binary, shingles binary")
     sets = stored(sets.join(small(wanted.select("digest", "node")), "digest").select("node", "shingles").dropDuplicates(["node"]), "near-sets")
 
     stars = _confirmed(pairs, sets, percent)
@@ -356,13 +359,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, head: in
 
     members = label.join(classes.select("node", "doc_id", "digest"), "node")
     lowest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = members.join(lowest, "component").select("digest", "component_id")
-    alone = classes.join(label.select("node"), "node", "left_anti").select("digest", F.col("doc_id").alias("component_id"))
-    out = texts.select("doc_id", "n_shingles", "digest").join(named.unionByName(alone), "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = members.join(lowest, "component").select("digest", "component_id", "component")
+    alone = classes.join(label.select("node"), "node", "left_anti").select("digest", F.col("doc_id").alias("component_id"), F.col("node").alias("component"))
+    out = texts.select("doc_id", *own, "n_shingles", "digest").join(named.unionByName(alone), "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(LAST)).alias(c)
-    return out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), F.col("digest").alias("text_digest"))
+    return out.select(real("doc_id"), *own, "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "component")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, three-word shingles, similarity 0.85."""
-    return near_components(read(spark, sf_dir, "documents"), 3, 85).drop("text_digest")
+    return near_components(read(spark, sf_dir, "documents"), 3, 85).drop("component")

@@ -19,7 +19,7 @@ weights collapse into one table of weights by subsequence code. All words of all
 
 Defined results: null and empty texts have no words and get the floor's score (clean); without both
 labels among training rows every score is 0; repeated rows get equal scores; inputs of a score are the
-text alone; an empty table gives no rows.
+text alone; a null doc_id has no label; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -377,7 +377,9 @@ def _candidates(words: DataFrame, model: Model) -> list:
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs: doc_id, held_out, text. Returns doc_id, held_out, score, predicted, margin."""
+    """docs: doc_id, held_out, text, and row_id if rows are told apart by it. Returns doc_id, held_out, score,
+    predicted, margin (and row_id)."""
+    own = [c for c in ("doc_id", "held_out", "row_id") if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -385,14 +387,16 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
             if model:
                 x = text_features(batch.column("text"), model)
                 score, best = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30))), x[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(best)], ["doc_id", "held_out", "score", "predicted", "margin"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(best)], [*own, "score", "predicted", "margin"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, margin double")
+    rows = ", row_id long" if "row_id" in own else ""
+    return docs.select(*own, "text").mapInArrow(run, f"doc_id long, held_out boolean{rows}, score double, predicted int, margin double")
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on labelled rows whose crc32(doc_id) mod 5 isn't 0 and score all docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), (fold("doc_id", 5) == 0).alias("held_out"))
+def toxic_scores(docs: DataFrame, labels: DataFrame, rows: bool = False) -> DataFrame:
+    """Train on labelled rows whose crc32(doc_id) mod 5 isn't 0 and score all docs (doc_id, text). rows: docs
+    have a row_id (long), which comes back with the scores."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), *(["row_id"] if rows else []))
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = stored(known, "toxic-labels")
     training = docs.filter(~F.col("held_out"))
