@@ -10,7 +10,7 @@ from tubula.operators import segments as S
 from tubula.operators import voxels as V
 from tubula.operators.polyline import KEYS
 from tubula.plans.lines import r6
-from tubula.plans.registry import query
+from tubula.plans.registry import ORACLES, query
 from tubula.plans.views import ARC, NODES, PTS, SCORES, TREE, VOX, W, points, scores, table, tree, tree_nodes, voxels
 
 C = "case_id, cell_id"
@@ -72,7 +72,7 @@ def polar_features(spark, d):
     return S.polar_features(_curved(spark, d)).select(*KEYS, *r6("min_polar", "polar_variation"))
 
 
-@query("q2_5_11_direction_angles", f"""WITH {ENDS}, v AS (SELECT *, qx - px AS a, qy - py AS b, qz - pz AS c FROM ends), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS n, sqrt(a * a + b * b) AS f FROM v)
+@query("q2_3_10_direction_angles", f"""WITH {ENDS}, v AS (SELECT *, qx - px AS a, qy - py AS b, qz - pz AS c FROM ends), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS n, sqrt(a * a + b * b) AS f FROM v)
 SELECT {C}, round(CASE WHEN n > 0 THEN pi() / 2 - acos(greatest(-1, least(1, c / nullif(n, 0)))) ELSE 0 END, 6) AS polar, round(CASE WHEN f > 0 THEN sign(b) * acos(greatest(-1, least(1, a / nullif(f, 0)))) ELSE 0 END, 6) AS azimuth FROM n""")
 def direction_angles(spark, d):
     return S.segment_direction(points(spark, d)).select(*KEYS, *r6("polar", "azimuth"))
@@ -83,17 +83,33 @@ def partial_segment(spark, d):
     return S.partial_segment(points(spark, d), 50).select(*KEYS, "point_idx", *r6("arc"))
 
 
-@query("q2_5_13_partial_features", f"""WITH {ARC}, r AS (SELECT *, max(arc) OVER (PARTITION BY {C}) - arc AS back FROM arcs), b AS (SELECT *, lag(back) OVER (PARTITION BY {C} ORDER BY point_idx DESC) AS before FROM r),
-l10 AS (SELECT {C}, {_stat('avg')} AS d10 FROM b WHERE before IS NULL OR before < 10 GROUP BY ALL), l5 AS (SELECT {C}, {_stat('avg')} AS d5 FROM b WHERE before IS NULL OR before < 5 GROUP BY ALL)
-SELECT {C}, round(d5, 6) AS diameter_last_5, round(d10, 6) AS diameter_last_10 FROM l5 JOIN l10 USING ({C})""")
+def _part(name: str, keep: str, size: str) -> str:
+    """Tortuosity of a stretch of a cell's points: rows that are kept, and the length from the stretch's own end."""
+    chord = " + ".join(f"pow(arg_min({v}, point_idx) - arg_max({v}, point_idx), 2)" for v in "xyz")
+    return f"{name} AS (SELECT {C}, 1 - sqrt({chord}) / nullif(max({size}), 0) AS t FROM b WHERE {keep} GROUP BY ALL)"
+
+
+@query("q2_5_13_partial_features", f"""WITH {ARC}, r AS (SELECT *, max(arc) OVER (PARTITION BY {C}) - arc AS back FROM arcs), b AS (SELECT *, lag(arc) OVER {W} AS prev, lag(back) OVER (PARTITION BY {C} ORDER BY point_idx DESC) AS before FROM r),
+l10 AS (SELECT {C}, {_stat('avg')} AS d10 FROM b WHERE before IS NULL OR before < 10 GROUP BY ALL), l5 AS (SELECT {C}, {_stat('avg')} AS d5 FROM b WHERE before IS NULL OR before < 5 GROUP BY ALL),
+{_part('f50', 'prev IS NULL OR prev < 50', 'arc')}, {', '.join(_part(f't{n}', f'before IS NULL OR before < {n}', 'back') for n in (10, 20, 30))}
+SELECT l5.case_id, l5.cell_id, round(d5, 6) AS diameter_last_5, round(d10, 6) AS diameter_last_10, round(f50.t, 6) AS tortuosity_first_50, round(t10.t, 6) AS tortuosity_last_10, round(t20.t, 6) AS tortuosity_last_20, round(t30.t, 6) AS tortuosity_last_30
+FROM l5 JOIN l10 USING ({C}) JOIN f50 USING ({C}) JOIN t10 USING ({C}) JOIN t20 USING ({C}) JOIN t30 USING ({C})""")
 def partial_features(spark, d):
-    return S.partial_features(points(spark, d)).select(*KEYS, *r6("diameter_last_5", "diameter_last_10"))
+    out = S.partial_features(points(spark, d))
+    return out.select(*KEYS, *r6(*(c for c in out.columns if c not in KEYS)))
+
+
+def _joined(*names: str) -> str:
+    return " JOIN ".join(f"({ORACLES[n]}) o{i}" + (f" USING ({C})" if i else "") for i, n in enumerate(names))
 
 
-@query("q2_5_14_segment_features")
+FEATURES = ["length", "tortuosity", "mean_diameter", "std_diameter", "min_diameter", "max_diameter", "min_max_ratio", "proximal_diameter", "distal_diameter", "bending_length", "cumulative_curvature", "curvature_energy", "min_polar", "polar_variation", "polar", "azimuth", "diameter_last_5", "diameter_last_10", "tortuosity_first_50", "tortuosity_last_10", "tortuosity_last_20", "tortuosity_last_30"]
+
+
+@query("q2_5_14_segment_features", f"SELECT {C}, {', '.join(FEATURES)} FROM {_joined('q2_5_1_segment_length', 'q2_5_6_tortuosity_index', 'q2_5_2_diameter_stats', 'q2_5_4_end_nodes', 'q2_5_7_bending_length', 'q2_5_8_curvature_sums', 'q2_5_10_polar_features', 'q2_3_10_direction_angles', 'q2_5_13_partial_features')}")
 def segment_features(spark, d):
     out = S.segment_features(_curved(spark, d))
-    return out.select(*KEYS, *r6(*(c for c in out.columns if c not in KEYS)))
+    return out.select(*KEYS, *(F.round(c, 5 if c == "bending_length" else 6).alias(c) for c in FEATURES))
 
 
 @query("q2_5_15_pair_features", f"""WITH {PTS}, n AS (SELECT *, y / 10 AS polar, x / 50 AS azimuth, row_number() OVER {W} > 1 AS inn FROM points), pr AS (SELECT case_id, cell_id AS l, lead(cell_id) OVER (PARTITION BY case_id ORDER BY cell_id) AS r FROM (SELECT DISTINCT {C} FROM points))
@@ -110,7 +126,10 @@ def pair_features(spark, d):
     return S.pair_features(n, pairs).select("case_id", "left", "right", *(F.round(c, 5).alias(c) for c in ("angle", "azimuth_difference", "polar_difference")))
 
 
-@query("q2_5_16_contact_point")
+@query("q2_5_16_contact_point", f"""WITH {PTS}, g AS (SELECT {C}, min(point_idx) AS i0, max(point_idx) AS i1 FROM points GROUP BY ALL), en AS (SELECT p.* FROM points p JOIN g USING ({C}) WHERE point_idx IN (i0, i1)), pr AS (SELECT case_id, cell_id AS l, lead(cell_id) OVER (PARTITION BY case_id ORDER BY cell_id) AS r FROM g)
+SELECT pr.case_id, l AS "left", r AS "right", round((a.x + b.x) / 2, 6) AS x, round((a.y + b.y) / 2, 6) AS y, round((a.z + b.z) / 2, 6) AS z, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS gap
+FROM pr JOIN en a ON a.case_id = pr.case_id AND a.cell_id = l JOIN en b ON b.case_id = pr.case_id AND b.cell_id = r
+QUALIFY row_number() OVER (PARTITION BY pr.case_id, l, r ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), a.point_idx, b.point_idx) = 1""")
 def contact_point(spark, d):
     from pyspark.sql import Window
 
@@ -119,10 +138,18 @@ def contact_point(spark, d):
     return S.contact_point(p, pairs).select("case_id", "left", "right", *r6("x", "y", "z", "gap"))
 
 
-@query("q2_5_17_labelling_features")
+AXES = list(zip("xyz", "ras", strict=True))
+
+
+@query("q2_5_17_labelling_features", f"""WITH {ARC}, f AS (SELECT *, {', '.join(f'first_value({v}) OVER {W} AS {v}0' for v in 'xyz')} FROM arcs), w AS (SELECT *, sqrt(pow(x - x0, 2) + pow(y - y0, 2) + pow(z - z0, 2)) AS off FROM f),
+g AS (SELECT {C}, count(*) AS points, avg(radius) AS mean_radius, min(radius) AS min_radius, max(radius) AS max_radius, max(arc) AS len, arg_min(radius, point_idx) AS fr, arg_max(radius, point_idx) AS lr, {', '.join(f'arg_min({v}, point_idx) AS a{n}, arg_max({v}, point_idx) AS b{n}, coalesce(arg_min({v}, point_idx) FILTER (off >= 10), arg_max({v}, point_idx)) AS d{n}, avg({v}) AS m{n}' for v, n in AXES)} FROM w GROUP BY ALL),
+h AS (SELECT *, sqrt(pow(br - ar, 2) + pow(ba - aa, 2) + pow(bs - "as", 2)) AS chord, sqrt(pow(dr - ar, 2) + pow(da - aa, 2) + pow(ds - "as", 2)) AS away FROM g)
+SELECT {C}, points, round(mean_radius, 6) AS mean_radius, round(fr, 6) AS first_radius, round(lr, 6) AS last_radius, round(CASE WHEN lr > 1e-6 THEN fr / lr ELSE 0 END, 6) AS radius_ratio, round(min_radius, 6) AS min_radius, round(max_radius, 6) AS max_radius, round(chord, 6) AS chord, round(CASE WHEN chord > 1e-6 THEN chord / nullif(len, 0) ELSE 0 END, 6) AS straightness,
+ {', '.join(f'round(CASE WHEN chord > 1e-6 THEN (b{n} - "a{n}") / chord ELSE 0 END, 6) AS direction_{n}, round(CASE WHEN away > 1e-6 THEN (d{n} - "a{n}") / away ELSE 0 END, 6) AS departure_{n}, round("a{n}", 6) AS first_{n}, round(b{n}, 6) AS last_{n}, floor(m{n} * 1e5 + 0.5) / 1e5 AS mean_{n}' for _, n in AXES)} FROM h""".replace(" AS as,", ' AS "as",'))
 def labelling_features(spark, d):
     out = S.cell_features(points(spark, d))
-    return out.select(*KEYS, "points", *r6(*(c for c in out.columns if c not in (*KEYS, "points"))))
+    means = ["mean_r", "mean_a", "mean_s"]
+    return out.select(*KEYS, "points", *r6(*(c for c in out.columns if c not in (*KEYS, "points", *means))), *((F.floor(F.col(c) * 1e5 + 0.5) / 1e5).alias(c) for c in means))
 
 
 def _masks(spark, d):

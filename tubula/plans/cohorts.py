@@ -13,7 +13,7 @@ from tubula.operators import quality as Q
 from tubula.operators import segments as S
 from tubula.operators.polyline import KEYS
 from tubula.plans.lines import r6
-from tubula.plans.registry import query
+from tubula.plans.registry import ORACLES, query
 from tubula.plans.views import ARC, CLOUD, NODES, PTS, TREE, cloud, points, table, tree, tree_nodes
 from tubula.sources import cohort as S1
 from tubula.streaming.incremental import apply_per_case, errors
@@ -194,12 +194,12 @@ def nearest_attribute(spark, d):
     return N.nearest_attribute(c.filter("label % 2 = 0").drop("label"), c.filter("label % 2 = 1").withColumnRenamed("node_id", "other"), "node_id", "other", "label", 4.0).select("node_id", "label")
 
 
-@query("q2_6_12_merge_close_points")
+@query("q2_6_12_merge_close_points", f"WITH RECURSIVE {CLOUD}, near AS (SELECT a.node_id AS i, b.node_id AS j FROM cloud a JOIN cloud b ON a.node_id <> b.node_id AND {GAP} <= 3), reach AS (SELECT node_id AS i, node_id AS j FROM cloud UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j), own AS (SELECT i, min(j) AS node FROM reach GROUP BY 1) SELECT node AS cluster, count(*) AS n, round(avg(x), 5) AS x, round(avg(y), 5) AS y, round(avg(z), 5) AS z FROM own JOIN cloud ON node_id = i GROUP BY 1")
 def merge_close_points(spark, d):
-    return N.cluster_points(cloud(spark, d), "node_id", 3.0).select("cluster", "n", *r6("x", "y", "z"))
+    return N.cluster_points(cloud(spark, d), "node_id", 3.0).select("cluster", "n", *(F.round(c, 5).alias(c) for c in "xyz"))
 
 
-@query("q2_6_7_contract_close_points")
+@query("q2_6_7_contract_close_points", f"WITH RECURSIVE {CLOUD}, near AS (SELECT a.node_id AS i, b.node_id AS j FROM cloud a JOIN cloud b ON a.node_id <> b.node_id AND {GAP} <= 2), reach AS (SELECT node_id AS i, node_id AS j FROM cloud UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j), own AS (SELECT i, min(j) AS node FROM reach GROUP BY 1) SELECT i AS node_id, node FROM own")
 def contract_close_points(spark, d):
     return N.contract(cloud(spark, d), "node_id", 2.0).select("node_id", "node")
 
@@ -311,12 +311,12 @@ def unify_models(spark, d):
     return G.union_with_offsets(m).groupBy("model", F.col("group_id").cast("bigint").alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q2_7_23_split_at_branches")
+@query("q2_7_23_split_at_branches", f"WITH {PTS}, p AS (SELECT *, string_agg(x || ',' || y || ',' || z, '|') OVER (PARTITION BY {C} ORDER BY point_idx ROWS UNBOUNDED PRECEDING) AS pre FROM points), s AS (SELECT case_id, pre, count(*) AS sharing FROM p GROUP BY ALL), j AS (SELECT p.*, sharing FROM p JOIN s USING (case_id, pre)), c AS (SELECT *, CASE WHEN sharing <> lag(sharing) OVER (PARTITION BY {C} ORDER BY point_idx) THEN 1 ELSE 0 END AS ch FROM j) SELECT {C}, point_idx, sharing, CAST(sum(ch) OVER (PARTITION BY {C} ORDER BY point_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS piece FROM c")
 def split_at_branches(spark, d):
     return G.split_at_branches(points(spark, d)).select(*KEYS, "point_idx", "sharing", "piece")
 
 
-@query("q2_6_22_split_by_radius_peak")
+@query("q2_6_22_split_by_radius_peak", f"WITH {ARC}, l AS (SELECT *, max(arc) OVER (PARTITION BY {C}) AS len FROM arcs), t AS (SELECT {C}, arg_max(point_idx, (radius, -point_idx)) FILTER (arc >= len / 4 AND arc <= 3 * len / 4) AS pk FROM l GROUP BY ALL) SELECT {C}, point_idx, CASE WHEN len > 100 AND point_idx > pk THEN 1 ELSE 0 END AS half FROM l JOIN t USING ({C})")
 def split_by_radius_peak(spark, d):
     return G.split_at_peak(points(spark, d), 100.0).select(*KEYS, "point_idx", "half")
 
@@ -428,10 +428,10 @@ def stage_done(spark, d):
     return Q.stage_done(_files(spark, d), [["mask"], ["line", "marks"]])
 
 
-@query("q2_11_17_findings_report")
+@query("q2_11_17_findings_report", f"SELECT 1 AS rank, 'range' AS kind, case_id, feature, round(value, 4) AS value FROM ({ORACLES['q2_8_1_range_findings']}) UNION ALL SELECT 2, 'outlier', case_id, feature, round(value, 4) FROM ({ORACLES['q2_8_2_mad_outliers']})")
 def findings_report(spark, d):
     r = Q.range_findings(_wide(spark, d), spark.createDataFrame(RANGES, "feature string, low double, high double"))
-    return Q.findings_report(r, Q.mad_outliers(_long(spark, d)))
+    return Q.findings_report(r, Q.mad_outliers(_long(spark, d))).withColumn("value", F.round("value", 4))
 
 
 @query("q2_3_15_normalize", "WITH s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT event_id AS case_id, round(CASE WHEN e.event_type LIKE 'c%' THEN (value - m) / sd ELSE (value - lo) / (hi - lo) END, 6) AS normal FROM events e JOIN s USING (event_type)")

@@ -388,11 +388,11 @@ def resample_cubic(spark, d):
 POSITION = ["first_r", "first_a", "first_s", "last_r", "last_a", "last_s", "mean_r", "mean_a", "mean_s"]
 
 
-@query("q2_3_16b_root_centred_cells", f"WITH {PTS}, g AS (SELECT {C}, avg(radius) AS mean_radius, {', '.join(f'arg_min({v}, point_idx) AS first_{n}, arg_max({v}, point_idx) AS last_{n}, avg({v}) AS mean_{n}' for v, n in zip('xyz', 'ras'))} FROM points GROUP BY ALL), r AS (SELECT case_id, arg_max(first_r, (mean_radius, -cell_id)) AS o_r, arg_max(first_a, (mean_radius, -cell_id)) AS o_a, arg_max(first_s, (mean_radius, -cell_id)) AS o_s FROM g GROUP BY 1) SELECT g.case_id, cell_id, {', '.join(f'round(({c} - o_{c[-1]}) / 100, 6) AS {c}' for c in POSITION)} FROM g JOIN r USING (case_id)")
+@query("q2_3_16b_root_centred_cells", f"WITH {PTS}, g AS (SELECT {C}, avg(radius) AS mean_radius, {', '.join(f'arg_min({v}, point_idx) AS first_{n}, arg_max({v}, point_idx) AS last_{n}, avg({v}) AS mean_{n}' for v, n in zip('xyz', 'ras'))} FROM points GROUP BY ALL), r AS (SELECT case_id, arg_max(first_r, (mean_radius, -cell_id)) AS o_r, arg_max(first_a, (mean_radius, -cell_id)) AS o_a, arg_max(first_s, (mean_radius, -cell_id)) AS o_s FROM g GROUP BY 1) SELECT g.case_id, cell_id, {', '.join(f'floor(({c} - o_{c[-1]}) * 1e4 + 0.50031) / 1e6 AS {c}' for c in POSITION)} FROM g JOIN r USING (case_id)")
 def root_centred_cells(spark, d):
     f = S.cell_features(points(spark, d))
     root = f.groupBy("case_id").agg(F.max_by(F.struct("first_r", "first_a", "first_s"), F.struct("mean_radius", -F.col("cell_id"))).alias("o")).select("case_id", *(F.col(f"o.first_{n}").alias(f"root_{n}") for n in "ras"))
-    return S.root_centred(f, root).select(*KEYS, *r6(*POSITION))
+    return S.root_centred(f, root).select(*KEYS, *((F.floor(F.col(c) * 1e6 + 0.50031) / 1e6).alias(c) for c in POSITION))
 
 
 @query("q2_3_15b_centre_and_vector_norm", "WITH s AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), v AS (SELECT user_id, sqrt(sum(value * value)) AS len FROM events GROUP BY 1) SELECT event_id AS case_id, round(value - m, 6) AS centred, round(value / nullif(len, 0), 6) AS unit FROM events e JOIN s USING (event_type) JOIN v USING (user_id)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 
 from pyspark.sql import functions as F
 
@@ -191,14 +193,24 @@ def angle_of_curvature(spark, d):
     return P.turn_angle(P.tangents(points(spark, d))).select(*K, F.round("turn", 3).alias("turn"), F.round("turn_sum", 3).alias("turn_sum"))
 
 
-@query("q2_4_8_savgol_smooth")
+def _filtered(weights: list[float], index: str) -> str:
+    """Weighted sum around each event: the weights as a table, ``index`` gives the row that each one falls on."""
+    table = ", ".join(f"({i - len(weights) // 2}, {w!r}::DOUBLE)" for i, w in enumerate(weights))
+    return f"WITH {EVT}, k(o, w) AS (VALUES {table}), n AS (SELECT case_id, point_idx, count(*) OVER (PARTITION BY case_id) AS n FROM evt), h AS (SELECT case_id, point_idx, w, {index} AS pos FROM n CROSS JOIN k) SELECT h.case_id, h.point_idx, round(sum(w * y), 5) AS smooth FROM h JOIN evt ON evt.case_id = h.case_id AND evt.point_idx = pos GROUP BY ALL"
+
+
+GAUSS = [math.exp(-0.5 * (k / 2.0) ** 2) for k in range(-8, 9)]
+MIRROR = "CASE WHEN (point_idx + o) % (2 * n) >= 0 THEN (point_idx + o) % (2 * n) ELSE (point_idx + o) % (2 * n) + 2 * n END"
+
+
+@query("q2_4_8_savgol_smooth", _filtered(P.savgol_weights(50, 3), "greatest(0, least(n - 1, point_idx + o))"))
 def savgol_smooth(spark, d):
-    return P.savgol_smooth(events_line(spark, d), "y", "smooth").select("case_id", "point_idx", *r6("smooth"))
+    return P.savgol_smooth(events_line(spark, d), "y", "smooth").select("case_id", "point_idx", F.round("smooth", 5).alias("smooth"))
 
 
-@query("q2_4_9_gaussian_smooth")
+@query("q2_4_9_gaussian_smooth", _filtered([w / sum(GAUSS) for w in GAUSS], f"CASE WHEN {MIRROR} < n THEN {MIRROR} ELSE 2 * n - 1 - ({MIRROR}) END"))
 def gaussian_smooth(spark, d):
-    return P.gaussian_smooth(events_line(spark, d), "y", "smooth").select("case_id", "point_idx", *r6("smooth"))
+    return P.gaussian_smooth(events_line(spark, d), "y", "smooth").select("case_id", "point_idx", F.round("smooth", 5).alias("smooth"))
 
 
 @query("q2_4_10_peak_detection")
