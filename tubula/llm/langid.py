@@ -136,6 +136,6 @@ def detect_language(docs: DataFrame, profiles: dict[str, np.ndarray], top: int =
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with profiles of those whose crc32(doc_id) mod 4 isn't 2."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     profiles = train_profiles(docs.filter(~F.col("held_out")).select("text", "lang"))
     return detect_language(docs.select("doc_id", "held_out", "text"), profiles)
