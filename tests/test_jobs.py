@@ -203,3 +203,16 @@ def test_access_rows(spark):
     assert [x["cell_id"] for x in r] == [0] and r[0]["side"] == 1 and sum(r[0]["vector"]) == 3  # too short, and of one class
     assert [x["class_name"] for x in seg.orderBy("place").collect()] == ["AA", "BT", "RCCA"] and "min_diameter" not in seg.columns
     assert {(x["left"], x["right"]) for x in edges.collect()} == {("AA", "BT"), ("BT", "RCCA")} and dense.count() == 12 and len(dense.first()["vector"]) == 24
+
+
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(5001)] + [("b", float(rng.randrange(3))) for _ in range(2000)] + [("c", 7.0)] * 9 + [("d", float(k)) for k in range(10)] + [("e", None), ("f", 1.0), ("f", 2.0)]
+    got = {r["feature"]: r for r in quality.medians(spark.createDataFrame(rows, "feature string, value double")).collect()}
+    for k in "abcdf":
+        own = [v for f, v in rows if f == k]
+        assert got[k]["median"] == statistics.median(own) and got[k]["n"] == len(own) and got[k]["varied"] == (len(set(own)) > 2)
+    assert "e" not in got

@@ -28,16 +28,18 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["case_id", "_cx", "_cy", "_cz"]).withColumn("distance", gap).filter(F.col("distance") <= radius).drop("_cx", "_cy", "_cz")
 
 
-def nearest_in_set(a: DataFrame, b: DataFrame, key: str, other: str, radius: float, growth: float = 4.0, most: int = 12) -> DataFrame:
+def nearest_in_set(a: DataFrame, b: DataFrame, key: str, other: str, radius: float, growth: float = 4.0) -> DataFrame:
     """For each row of a (case_id, key, x, y, z) the nearest row of b of its case (the smallest ``other``
     on ties): case_id, key, other, distance. Rows that find nothing within the radius try again with
-    one ``growth`` times as wide; rows of cases without b are left out."""
+    one ``growth`` times as wide, until all have one; rows of cases without b, and rows without
+    coordinates, are left out."""
     from tubula.functions.runtime import cut_lineage
 
+    a, b = a.dropna(subset=[*"xyz"]), b.dropna(subset=[*"xyz"])
     rest, found = a.join(b.select("case_id").distinct(), "case_id", "left_semi"), []
     a, b = a.select("case_id", key, *"xyz"), b.select("case_id", other, *"xyz")
     rest = rest.select("case_id", key, *"xyz")
-    for _ in range(most):
+    while True:
         hit = within(rest, b, radius).groupBy("case_id", F.col(f"a.{key}").alias(key)).agg(F.min(F.struct(F.col("distance"), F.col(f"b.{other}").alias(other))).alias("m"))
         found.append(cut_lineage(hit.select("case_id", key, f"m.{other}", "m.distance")))
         rest = cut_lineage(rest.join(found[-1].select("case_id", key), ["case_id", key], "left_anti"))

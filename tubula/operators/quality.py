@@ -38,13 +38,31 @@ def range_findings(df: DataFrame, ranges: DataFrame) -> DataFrame:
     return long.join(ranges, "feature").filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select("case_id", "feature", "value", "low", "high")
 
 
+def medians(long: DataFrame, key: str = "feature", value: str = "value", reach: float = 1e-3) -> DataFrame:
+    """Exact medians of the values of each key, with bounded state: approximate quantiles just below and above
+    the middle bracket the median (their rank error is a tenth of ``reach``); values below the bracket are
+    counted, and only those inside it are put in order. Returns the key, n, median and varied (whether there
+    are more than two distinct values)."""
+    v = F.col(value)
+    bounds = long.filter(v.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.percentile_approx(v, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(int(10 / reach))).alias("_q"))
+    j = long.filter(v.isNotNull()).join(bounds, key)
+    inside = v.between(F.col("_q")[0], F.col("_q")[1])
+    first = j.groupBy(key, F.when(inside, v).alias("_v")).agg(F.count_if(v < F.col("_q")[0]).alias("_below"), F.count(F.lit(1)).alias("_m"), F.first("n").alias("n"), F.bool_or((v > F.col("_min")) & (v < F.col("_max"))).alias("_other"))
+    w = Window.partitionBy(key)
+    ranked = first.withColumns({"_before": F.sum("_below").over(w), "varied": F.bool_or("_other").over(w)}).filter("_v is not null")
+    upto = F.col("_before") + F.sum("_m").over(w.orderBy("_v"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    return ranked.withColumn("_upto", upto).groupBy(key, "n", "varied").agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def mad_outliers(long: DataFrame, limit: float = 3.5, least: int = 8, flagged: DataFrame | None = None) -> DataFrame:
     """Modified z-scores .6745 (x - median) / MAD beyond the limit, for features with at least ``least``
     values, more than two distinct ones and MAD > 0, without findings that are flagged already."""
     long = long.filter("value is not null")
-    m = long.groupBy("feature").agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("d")).filter((F.col("n") >= least) & (F.col("d") > 2))
+    m = medians(long).filter((F.col("n") >= least) & F.col("varied")).select("feature", "median")
     j = long.join(m, "feature")
-    mad = j.groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad")).filter("mad > 0")
+    mad = medians(j.select("feature", F.abs(F.col("value") - F.col("median")).alias("value"))).select("feature", F.col("median").alias("mad")).filter("mad > 0")
     out = j.join(mad, "feature").withColumn("z", 0.6745 * (F.col("value") - F.col("median")) / F.col("mad")).filter(F.abs("z") > limit).select("case_id", "feature", "value", "z")
     return out.join(flagged.select("case_id", "feature"), ["case_id", "feature"], "left_anti") if flagged is not None else out
 
