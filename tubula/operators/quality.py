@@ -151,16 +151,18 @@ def displacement_stats(df: DataFrame) -> DataFrame:
 
 def mirror_fix(wide: DataFrame, left: tuple[float, float], right: tuple[float, float], least: float = 5.0) -> DataFrame:
     """Plausibility of a paired landmark: the side's distance must lie within two deviations of its mean.
-    wide: case_id, mid, lx, ly, lz, rx, ry, rz, l_distance, r_distance. A bad side takes the other point
-    mirrored at the plane x = mid if that is good and the point is missing or moves more than ``least``."""
+    wide: case_id, mid, lx, ly, lz, rx, ry, rz, l_distance, r_distance (y and z may be left out of all). A bad
+    side takes the other point mirrored at the plane x = mid if that is good and the point is missing or
+    moves more than ``least``."""
+    axes = [n for n in "xyz" if f"l{n}" in wide.columns]
     good = lambda c, m: F.coalesce(F.col(c).between(m[0] - 2 * m[1], m[0] + 2 * m[1]), F.lit(False))
     gl, gr = good("l_distance", left), good("r_distance", right)
-    point = lambda s: tuple(F.col(f"{s}{n}") for n in "xyz")
+    point = lambda s: tuple(F.col(f"{s}{n}") if n in axes else F.lit(0.0) for n in "xyz")
     mirrored = lambda p: (2 * F.col("mid") - p[0], p[1], p[2])
     moved = lambda new, old: F.coalesce(dist(new, old) > least, F.lit(True))
     ml, mr = mirrored(point("r")), mirrored(point("l"))
     fl, fr = ~gl & gr & moved(ml, point("l")), ~gr & gl & moved(mr, point("r"))
-    pick = lambda flag, new, s: [F.when(flag, v).otherwise(F.col(f"{s}{n}")).alias(f"{s}{n}") for v, n in zip(new, "xyz", strict=True)]
+    pick = lambda flag, new, s: [F.when(flag, v).otherwise(F.col(f"{s}{n}")).alias(f"{s}{n}") for v, n in zip(new, "xyz", strict=True) if n in axes]
     return wide.select("case_id", *pick(fl, ml, "l"), *pick(fr, mr, "r"), (fl | fr).alias("mirrored"))
 
 
