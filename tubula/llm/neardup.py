@@ -8,7 +8,8 @@
    few shared postings is skipped, and of the others only the prefix is merged: the rarest shared
    postings, as many as leave one short of the threshold behind. Any pair above the threshold meets in a
    prefix.
-3. Posting lists are merged in sorted order, each list once. The first class of a list is its centre;
+3. Posting lists are merged in sorted order, each list once. The first class of a list, the one with the
+   longest posting lists in all, is its centre;
    collisions of all others with it are counted on short signatures (one byte a coordinate, which can
    only add collisions). Those with enough collisions are skipped from then on, the first one that is
    left is the next centre, and so on: stars, not all pairs. The number of coordinates in which short
@@ -158,15 +159,18 @@ def _sets(width: int):
 
 
 def merge_lists(posting: np.ndarray, node: np.ndarray, short: np.ndarray, needed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Centres of whole posting lists, sorted by posting and node, with the classes within twice the limit
-    of them (posting, centre, class; a centre comes with itself)."""
+    """Centres of whole posting lists, sorted by posting, with the classes within twice the limit of them
+    (posting, centre, class). A centre comes with itself, and with others only if it skips one: a pair that
+    collides often enough has a centre that skips one of the two, or is a centre and skips the other."""
     near = max(0, 2 * needed - COORDINATES)
     left = np.arange(len(posting))
     while len(left):
         first = np.flatnonzero(np.concatenate([[True], posting[left[1:]] != posting[left[:-1]]]))
         centre = left[np.repeat(first, np.diff(np.append(first, len(left))))]
         hits = (short[centre] == short[left]).sum(1)
-        close = hits >= near
+        skipped = np.add.reduceat(hits >= needed, first)
+        alone = np.repeat(skipped == 1, np.diff(np.append(first, len(left))))
+        close = (hits >= near) & ~(alone & (centre != left))
         yield posting[left[close]], node[centre[close]], node[left[close]]
         left = left[hits < needed]
 
@@ -287,12 +291,12 @@ def _met(blocks: DataFrame, key: str, *more: str) -> DataFrame:
 
 
 def _stars(prefix: DataFrame, needed: int, head: int) -> DataFrame:
-    """Distinct pairs (centre, class) at most twice the limit apart. prefix: node, short, longest (of its
-    lists), lists (array of df, posting)."""
+    """Distinct pairs (centre, class) at most twice the limit apart. prefix: node, short, fame (lengths of all
+    its posting lists, summed), longest (of its lists), lists (array of df, posting)."""
     schema = "posting long, a long, b long"
-    rows = prefix.select("node", "short", F.explode("lists").alias("l")).select("l.posting", "l.df", "node", "short")
+    rows = prefix.select("node", "short", "fame", F.explode("lists").alias("l")).select("l.posting", "l.df", "node", "short", "fame")
     chosen = lambda k: F.pmod(F.xxhash64("node", "posting", F.lit(k)), F.col("df")) < head
-    merge = lambda df: df.select("posting", "node", "short").repartition("posting").sortWithinPartitions("posting", "node").mapInArrow(_merge(needed), schema)
+    merge = lambda df: df.repartition("posting").sortWithinPartitions("posting", F.desc("fame"), "node").select("posting", "node", "short").mapInArrow(_merge(needed), schema)
     if not prefix.filter(F.col("longest") > head).limit(1).count():
         return merge(rows).filter("a <> b").select("a", "b").distinct()
     near = stored(merge(rows.filter(chosen(0))), "near-heads")
@@ -303,7 +307,7 @@ def _stars(prefix: DataFrame, needed: int, head: int) -> DataFrame:
         met = stored(rest.withColumnRenamed("node", "b").join(centres, "posting").select("posting", "a", "b", "short", "short_a").mapInArrow(_meet, f"{schema}, hits int"), "near-met")
         out = out.unionByName(met.filter(F.col("hits") >= max(0, 2 * needed - COORDINATES)).select("posting", "a", "b"))
         skipped = met.filter(F.col("hits") >= needed).select("posting", F.col("b").alias("node")).distinct()
-        left = stored(rest.join(skipped, ["posting", "node"], "left_anti").select("posting", "node", "short"), "near-left")
+        left = stored(rest.join(skipped, ["posting", "node"], "left_anti").select("posting", "node", "short", "fame"), "near-left")
         if not left.limit(1).count():
             return out.filter("a <> b").select("a", "b").distinct()
         rest = stored(left.join(left.groupBy("posting").agg(F.count(F.lit(1)).alias("df")), "posting"), "near-left")
@@ -340,7 +344,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, head: in
     postings = classes.select("node", "sig").mapInArrow(_postings, "posting long, node long")
     shared = postings.join(postings.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "posting")
     lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "posting"))).alias("lists")).filter(F.size("lists") >= needed)
-    lists = lists.select("node", F.slice("lists", F.lit(1), F.size("lists") - needed + 1).alias("lists")).withColumn("longest", F.element_at("lists", -1)["df"])
+    fame = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    lists = lists.select("node", fame.alias("fame"), F.slice("lists", F.lit(1), F.size("lists") - needed + 1).alias("lists")).withColumn("longest", F.element_at("lists", -1)["df"])
     prefix = stored(lists.join(classes.select("node", "sig").mapInArrow(_short, "node long, short binary"), "node"), "near-prefix")
 
     pairs = stored(_stars(prefix, needed, head), "near-pairs")
