@@ -15,7 +15,7 @@ from tubula.operators import segments as S
 from tubula.operators import vessels as A
 from tubula.operators import voxels as V
 from tubula.operators.polyline import KEYS
-from tubula.plans.lines import r6
+from tubula.plans.lines import GAUSS, _grad, r6
 from tubula.plans.registry import query
 from tubula.plans.views import ANATOMY, ARC, CLOUD, NODES, PTS, TREE, VESSELS, VOX, anatomy, cloud, events_line, points, table, tree, tree_nodes, voxels
 from tubula.sources import cohort as S1
@@ -94,7 +94,7 @@ def _vector(classes: str, high: str, counter: str) -> str:
 
 
 CONFIGS = "configs(config, wanted) AS (VALUES " + ", ".join(f"('{n}', {_vector(*v)})" for n, *v in A.PATHWAYS) + ")"
-MATCH = f"{PATHS}, {CONFIGS}, kinds AS (SELECT DISTINCT up.case_id, up.leaf, vessel.class_name FROM up JOIN vessel ON i = up.c % 13), vec AS (SELECT case_id, leaf, [{', '.join(f'max(CASE WHEN class_name = {chr(39)}{s}{chr(39)} THEN 1 ELSE 0 END)' for s in SLOTS)}] AS v FROM kinds GROUP BY ALL), scored AS (SELECT vec.case_id, config, vec.leaf, list_dot_product(v::DOUBLE[], wanted::DOUBLE[]) / (sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_dot_product(wanted::DOUBLE[], wanted::DOUBLE[]))) - CASE WHEN artificial THEN 0.15 ELSE 0 END AS score FROM vec JOIN ptab USING (case_id, leaf) CROSS JOIN configs), bestp AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY case_id, config ORDER BY round(score, 9) DESC, leaf) = 1)"
+MATCH = f"{PATHS}, {CONFIGS}, kinds AS (SELECT DISTINCT up.case_id, up.leaf, vessel.class_name FROM up JOIN vessel ON i = up.c % 13), vec AS (SELECT case_id, leaf, [{', '.join(f'max(CASE WHEN class_name = {chr(39)}{s}{chr(39)} THEN 1 ELSE 0 END)' for s in SLOTS)}] AS v FROM kinds GROUP BY ALL), scored AS (SELECT vec.case_id, config, vec.leaf, list_dot_product(v::DOUBLE[], wanted::DOUBLE[]) / (sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[])) * sqrt(list_dot_product(wanted::DOUBLE[], wanted::DOUBLE[]))) - CASE WHEN artificial THEN 0.15 ELSE 0 END AS score FROM vec JOIN ptab USING (case_id, leaf) CROSS JOIN configs), bestp AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY case_id, config ORDER BY score DESC, leaf) = 1)"
 
 
 @query("q2_7_16_pathway_match", f"{MATCH} SELECT case_id, config, round(score, 6) AS score FROM bestp")
@@ -255,7 +255,7 @@ def anatomy_row(spark, d):
     return A.anatomy_row(*anatomy(spark, d))
 
 
-@query("q2_11_10_all_pathways")
+@query("q2_11_10_all_pathways", f"{MATCH}, deduped AS (SELECT * FROM ptab QUALIFY row_number() OVER (PARTITION BY case_id, regexp_replace(cells, ' ?[0-9]+$', ''), last_type ORDER BY artificial, last_length DESC, leaf) = 1), pick AS (SELECT s.* FROM scored s JOIN deduped USING (case_id, leaf) QUALIFY row_number() OVER (PARTITION BY s.case_id, config ORDER BY score DESC, s.leaf) = 1), pathn AS (SELECT case_id, config, leaf AS node_id FROM pick UNION SELECT p.case_id, p.config, e.src FROM pathn p JOIN aedges e ON e.case_id = p.case_id AND e.dst = p.node_id), side AS (SELECT case_id, config, node_id, 0.0::DOUBLE AS away FROM pathn UNION SELECT g.case_id, g.config, e.dst, g.away + e.length FROM side g JOIN aedges e ON e.case_id = g.case_id AND e.src = g.node_id WHERE g.away + e.length <= 15), cnt AS (SELECT case_id, config, count(DISTINCT node_id) AS nodes, count(DISTINCT CASE WHEN away = 0 THEN node_id END) AS on_path FROM side GROUP BY ALL) SELECT case_id, config, leaf, round(score, 6) AS score, nodes, on_path FROM pick JOIN cnt USING (case_id, config)")
 def all_pathways(spark, d):
     nodes, edges = anatomy(spark, d)
     best, sub = A.all_pathways(nodes, edges, nodes.filter("node_id = 0").select("case_id", "node_id"), A.pathway_configs(spark))
@@ -348,7 +348,14 @@ def carotid_profile(spark, d):
     return A.carotid_profile(e, marks, part="click", width=1e6).select("case_id", "point_idx", "inside", "bulb", *(F.round(c, 3).alias(c) for c in ("fit",)))
 
 
-@query("q2_11_5_skull_transition")
+GAUSS5 = ", ".join(f"({i - len(GAUSS) // 2}, {w / sum(GAUSS)!r}::DOUBLE)" for i, w in enumerate(GAUSS))
+SKULL = f"""WITH {LINE}, {NODES}, away AS (SELECT l.case_id, point_idx, least(50.0, min(sqrt(pow(l.x - m.x, 2) + pow(l.y - m.y, 2) + pow(l.z - m.z, 2)))) AS distance FROM ln l JOIN nodes m ON m.case_id = l.case_id AND m.node_id % 9 = 0 GROUP BY ALL), ns AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS n, row_number() OVER (PARTITION BY case_id ORDER BY point_idx) - 1 AS i FROM away), k(o, w) AS (VALUES {GAUSS5}),
+h AS (SELECT case_id, point_idx, w, CASE WHEN (i + o + 2 * n) % (2 * n) < n THEN (i + o + 2 * n) % (2 * n) ELSE 2 * n - 1 - (i + o + 2 * n) % (2 * n) END AS pos FROM ns CROSS JOIN k), sm AS (SELECT h.case_id, h.point_idx, sum(w * distance) AS smooth FROM h JOIN ns ON ns.case_id = h.case_id AND ns.i = pos GROUP BY ALL),
+d1 AS (SELECT *, {_grad('smooth')} AS d FROM sm WINDOW w AS (PARTITION BY case_id ORDER BY point_idx)), d2 AS (SELECT *, {_grad('d')} AS dd, lead(d) OVER w AS nx FROM d1 WINDOW w AS (PARTITION BY case_id ORDER BY point_idx)), c AS (SELECT *, min(smooth) OVER (PARTITION BY case_id) AS low FROM d2 WHERE d <= 0 AND nx > 0 AND dd > 0 AND smooth < 20), mn AS (SELECT case_id, min(point_idx) AS cutoff FROM c WHERE smooth <= low + 5 GROUP BY 1)
+SELECT sm.case_id, CAST(0 AS BIGINT) AS cell_id, sm.point_idx, round(distance, 5) AS distance, round(smooth, 5) AS smooth, CASE WHEN sm.point_idx > cutoff THEN 1 ELSE 0 END AS after FROM sm JOIN away USING (case_id, point_idx) LEFT JOIN mn USING (case_id)"""
+
+
+@query("q2_11_5_skull_transition", SKULL)
 def skull_transition(spark, d):
     p = _lines(spark, d)
     mask = tree_nodes(spark, d).filter("node_id % 9 = 0").select("case_id", *"xyz")

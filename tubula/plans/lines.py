@@ -168,9 +168,27 @@ def tangent(spark, d):
     return P.tangents(points(spark, d)).select(*K, *r6("tx", "ty", "tz"))
 
 
-@query("q2_4_4_parallel_transport")
+def _dots(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{n} * {b}{n}" for n in "xyz") + ")"
+
+
+def _mirrored(a: str, v: str, out: str) -> str:
+    """a reflected at the plane across v; a itself if v is about zero."""
+    return ", ".join(f"CASE WHEN {_dots(v, v)} < 1e-20 THEN {a}{n} ELSE {a}{n} - {v}{n} * (2 * {_dots(v, a)} / nullif({_dots(v, v)}, 0)) END AS {out}{n}" for n in "xyz")
+
+
+AXIS = ("CASE WHEN abs(tx) >= 0.9 THEN 0.0 ELSE 1.0 END", "CASE WHEN abs(tx) >= 0.9 THEN 1.0 ELSE 0.0 END")
+FRAMES = f"""{GRAD}, s0 AS (SELECT *, -tz * {AXIS[1]} AS ux, tz * {AXIS[0]} AS uy, tx * {AXIS[1]} - ty * {AXIS[0]} AS uz FROM tan WHERE point_idx = 0),
+fr AS (SELECT case_id, cell_id, point_idx, x, y, z, tx, ty, tz, {', '.join(f"coalesce(u{n} / nullif(sqrt({_dots('u', 'u')}), 0), 0) AS n{n}" for n in 'xyz')} FROM s0
+ UNION ALL SELECT case_id, cell_id, point_idx, x, y, z, tx, ty, tz, {', '.join(f"CASE WHEN {_dots('v', 'v')} < 1e-20 THEN n{n} ELSE coalesce(k{n} / nullif(sqrt({_dots('k', 'k')}), 0), k{n}) END" for n in 'xyz')}
+ FROM (SELECT *, {_mirrored('l', 'w', 'k')} FROM (SELECT *, {', '.join(f't{n} - o{n} AS w{n}' for n in 'xyz')} FROM (SELECT *, {_mirrored('n', 'v', 'l')}, {_mirrored('q', 'v', 'o')} FROM
+  (SELECT t.case_id, t.cell_id, t.point_idx, t.x, t.y, t.z, t.tx, t.ty, t.tz, fr.nx, fr.ny, fr.nz, fr.tx AS qx, fr.ty AS qy, fr.tz AS qz, t.x - fr.x AS vx, t.y - fr.y AS vy, t.z - fr.z AS vz FROM fr JOIN tan t ON t.case_id = fr.case_id AND t.cell_id = fr.cell_id AND t.point_idx = fr.point_idx + 1) f0) f1) f2) f3),
+bn AS (SELECT *, ty * nz - tz * ny AS bx, tz * nx - tx * nz AS by_, tx * ny - ty * nx AS bz FROM fr)"""
+
+
+@query("q2_4_4_parallel_transport", f"WITH RECURSIVE {FRAMES} SELECT case_id, cell_id, point_idx, {', '.join(f'round({n}, 5) AS {n}' for n in ('nx', 'ny', 'nz', 'bx', 'bz'))}, round(by_, 5) AS \"by\" FROM bn")
 def parallel_transport(spark, d):
-    return P.transported_frames(P.tangents(points(spark, d))).select(*K, *r6("nx", "ny", "nz", "bx", "by", "bz"))
+    return P.transported_frames(P.tangents(points(spark, d))).select(*K, *(F.round(n, 5).alias(n) for n in ("nx", "ny", "nz", "bx", "by", "bz")))
 
 
 @query("q2_4_5_local_curvature")
@@ -183,9 +201,9 @@ def curve_curvature(spark, d):
     return P.curve_curvature(P.tangents(points(spark, d))).select(*K, *r6("curvature"))
 
 
-@query("q2_4_6b_curve_torsion")
+@query("q2_4_6b_curve_torsion", f"WITH RECURSIVE {FRAMES}, dv AS (SELECT *, {_grad('bx')} AS d0, {_grad('by_')} AS d1, {_grad('bz')} AS d2 FROM bn WINDOW w AS {W}) SELECT case_id, cell_id, point_idx, round(-(d0 * nx + d1 * ny + d2 * nz), 5) AS torsion FROM dv")
 def curve_torsion(spark, d):
-    return P.curve_torsion(P.transported_frames(P.tangents(points(spark, d)))).select(*K, *r6("torsion"))
+    return P.curve_torsion(P.transported_frames(P.tangents(points(spark, d)))).select(*K, F.round("torsion", 5).alias("torsion"))
 
 
 @query("q2_4_7_angle_of_curvature", f"WITH {GRAD}, a AS (SELECT *, coalesce(degrees(acos(greatest(-1, least(1, tx * lag(tx) OVER w + ty * lag(ty) OVER w + tz * lag(tz) OVER w)))), 0) AS turn FROM tan WINDOW w AS {W}) SELECT case_id, cell_id, point_idx, round(turn, 3) AS turn, round(sum(turn) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS UNBOUNDED PRECEDING), 3) AS turn_sum FROM a")
@@ -266,10 +284,21 @@ def window_mask(spark, d):
     return P.span_mask(p, p.groupBy("case_id", "cell_id").agg((F.max("arc") / 2).alias("centre"))).select(*K, "inside")
 
 
-@query("q2_4_19_pchip")
+def _end(h: str, h2: str, m: str, m2: str) -> str:
+    d = f"(((2 * {h} + {h2}) * {m} - {h} * {m2}) / ({h} + {h2}))"
+    return f"CASE WHEN sign({d}) <> sign({m}) THEN 0 WHEN sign({m}) <> sign({m2}) AND abs({d}) > 3 * abs({m}) THEN 3 * {m} ELSE {d} END"
+
+
+@query("q2_4_19_pchip", f"""WITH {EVT}, st AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM evt WINDOW w AS {W}), k0 AS (SELECT case_id, cell_id, point_idx, x, y, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS m FROM evt WHERE point_idx % 3 = 0 WINDOW w AS {W}),
+k1 AS (SELECT *, lag(h) OVER w AS h0, lag(m) OVER w AS m0, lead(h) OVER w AS h2, lead(m) OVER w AS m2, lag(h, 2) OVER w AS hb, lag(m, 2) OVER w AS mb FROM k0 WINDOW w AS {W}),
+k2 AS (SELECT *, CASE WHEN h0 IS NULL THEN {_end('h', 'h2', 'm', 'm2')} WHEN h IS NULL THEN {_end('h0', 'hb', 'm0', 'mb')} WHEN m0 * m > 0 THEN (3 * h + 3 * h0) / nullif((2 * h + h0) / nullif(m0, 0) + (h + 2 * h0) / nullif(m, 0), 0) ELSE 0 END AS s FROM k1),
+k3 AS (SELECT case_id, cell_id, point_idx, struct_pack(x := x, y := y, s := s, x2 := lead(x) OVER w, y2 := lead(y) OVER w, s2 := lead(s) OVER w) AS p FROM k2 WINDOW w AS {W}),
+k4 AS (SELECT * FROM k3 WHERE p.x2 IS NOT NULL), r AS (SELECT e.*, k4.p AS own FROM evt e LEFT JOIN k4 USING (case_id, cell_id, point_idx)),
+f AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS UNBOUNDED PRECEDING), first_value(own IGNORE NULLS) OVER (PARTITION BY case_id, cell_id ORDER BY point_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r), t AS (SELECT *, q.x2 - q.x AS h, (x - q.x) / (q.x2 - q.x) AS t FROM f)
+SELECT case_id, point_idx, round((2 * t * t * t - 3 * t * t + 1) * q.y + (t * t * t - 2 * t * t + t) * h * q.s + (3 * t * t - 2 * t * t * t) * q.y2 + (t * t * t - t * t) * h * q.s2, 4) AS fit FROM t""")
 def pchip(spark, d):
     e = P.arc_length(events_line(spark, d))
-    return P.pchip(e, "x", "y", F.col("point_idx") % 3 == 0, "fit").select("case_id", "point_idx", *r6("fit"))
+    return P.pchip(e, "x", "y", F.col("point_idx") % 3 == 0, "fit").select("case_id", "point_idx", F.round("fit", 4).alias("fit"))
 
 
 @query("q2_4_20_bulb_span", f"""WITH {ARC}, c AS (SELECT *, max(arc) OVER (PARTITION BY case_id, cell_id) / 2 AS centre, avg(radius) OVER (PARTITION BY case_id, cell_id) AS mr FROM arcs),
@@ -310,6 +339,13 @@ def fill_from_neighbour(spark, d):
     return P.fill_invalid(e, "y").select("case_id", "point_idx", *r6("y"))
 
 
-@query("q2_4_25_outlier_clean")
+PAST = "OVER (PARTITION BY case_id ORDER BY point_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query("q2_4_25_outlier_clean", f"""WITH {EVT}, a AS (SELECT *, abs(y - lag(y) OVER w) AS b, abs(lead(y) OVER w - y) AS c, count(*) OVER (PARTITION BY case_id) AS n, CAST(row_number() OVER w AS DOUBLE) AS r FROM evt WINDOW w AS {W}), o AS (SELECT *, (coalesce(b, c) + coalesce(c, b)) / 2 AS apart FROM a),
+p AS (SELECT *, coalesce(n >= 4 AND apart > 1.5 * avg(apart) OVER (PARTITION BY case_id), false) AS outlier FROM o), g AS (SELECT *, CASE WHEN NOT outlier THEN struct_pack(r := r, v := y) END AS g FROM p),
+h AS (SELECT *, last_value(g IGNORE NULLS) {PAST} AS p1, first_value(g IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY point_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM g), i AS (SELECT *, CASE WHEN NOT outlier THEN struct_pack(p := p1) END AS pair FROM h), j AS (SELECT *, (last_value(pair IGNORE NULLS) {PAST}).p AS p2 FROM i),
+l AS (SELECT *, p2.v * (r - p1.r) * (r - q.r) / ((p2.r - p1.r) * (p2.r - q.r)) + p1.v * (r - p2.r) * (r - q.r) / ((p1.r - p2.r) * (p1.r - q.r)) + q.v * (r - p2.r) * (r - p1.r) / ((q.r - p2.r) * (q.r - p1.r)) AS lag3 FROM j)
+SELECT case_id, point_idx, outlier, round(CASE WHEN outlier THEN coalesce(lag3, y) ELSE y END, 5) AS y FROM l""")
 def outlier_clean(spark, d):
-    return P.clean_outliers(events_line(spark, d), "y").select("case_id", "point_idx", "outlier", *r6("y"))
+    return P.clean_outliers(events_line(spark, d), "y").select("case_id", "point_idx", "outlier", F.round("y", 5).alias("y"))
