@@ -240,6 +240,22 @@ def test_links_and_density_override_names():
     assert "policy" in got and "other" in got and got.endswith("end") and "Link" not in got and "reader" not in got and got.count("\n") == 5
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div id='cookie-banner'><p>{'We use cookies here. ' * 30}</p></div><article><h1>T</h1><p>{PROSE}</article>", ["T", PROSE.strip()]),
+        (f"<div class='page has-sidebar'><div class=content><h1>T</h1><p>{PROSE}</p></div><div class=sidebar><p>{PROSE * 3}</p></div></div>", ["T", PROSE.strip()]),
+        (f"<article><h1>T</h1><p>{PROSE}</p><p>See <a href=1>this</a>, <a href=2>that</a>, <a href=3>those</a>.</p></article>", ["T", PROSE.strip(), "See this, that, those."]),
+        (f"<article><h1>T</h1><p>{PROSE}</p><ol>{'<li><a href=1>A paper</a>, 2001' * 5}</ol></article>", ["T", PROSE.strip(), *["A paper, 2001"] * 5]),
+        (f"<table><tr><td><a href=1>a</a><br><a href=2>b</a><br><a href=3>c</a><td><h1>T</h1><p>{PROSE}</p></table>", ["T", PROSE.strip()]),
+        (f"{LINKS}<article><h2>A</h2><p>{PROSE}</p></article><article><h2>B</h2><p>{PROSE}</p></article>", ["A", PROSE.strip(), "B", PROSE.strip()]),
+        (f"<main><h1>T</h1><p>{PROSE}</p><aside><p>{PROSE * 3}</p></aside><form><label>Mail</label><input></form><p>end</p></main>", ["T", PROSE.strip(), "end"]),
+    ],
+)
+def test_pages_of_many_kinds(page, want):
+    assert htmltext.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
 def test_pages_of_any_depth_and_size():
     deep = "<div>" * 3000 + f"<nav><a href=1>menu</a></nav><p>{PROSE * 3}</p>" + "</div>" * 3000
     assert htmltext.main_text(deep) == (PROSE * 3).strip()

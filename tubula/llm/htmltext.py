@@ -56,6 +56,8 @@ SURE = frozenset(
 UNSURE = frozenset("banner notice notices alert aside widget widgets related recommended recommendations share sharing social reply discussion header skip copyright disclaimer".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 DOUBT = 0.2
+#: Share of the page's text that a named part holds if it is the page's frame.
+NEARLY_ALL = 0.95
 #: An element on the left ends open elements on the right when it starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div article section main body html aside nav footer header form td th blockquote".split())
@@ -163,16 +165,16 @@ def _named(node: Node, inside_article: bool) -> tuple[float, bool]:
 
 
 def priors(root: Node, figures: dict[Node, Figures]) -> dict[Node, float]:
-    """Weights below 1 of named nodes. The page's frame ("has-sidebar") weighs 1: it holds a title or main
-    part, or most of the text that isn't in links, which only reader comments and elements that are
-    apart by their kind may do otherwise."""
+    """Weights below 1 of named nodes. The page's frame ("has-sidebar") weighs 1: it holds a title, a main
+    part or an article, or nearly all text that isn't in links, which only reader comments and elements that
+    are apart by their kind may do otherwise."""
     out: dict[Node, float] = {}
     page = figures[root].chars - figures[root].link_chars
     titled: set[Node] = set()
     for node in figures:
-        if node.tag in ("main", "h1"):
+        if node.tag in ("main", "h1", "article"):
             up = node.up
-            while up is not None and up not in titled:
+            while up is not None and up not in titled and not (node.tag == "article" and up.tag in APART):
                 titled.add(up)
                 up = up.up
     stack = [(root, False)]
@@ -183,7 +185,7 @@ def priors(root: Node, figures: dict[Node, Figures]) -> dict[Node, float]:
             if not isinstance(kid, str):
                 weight, comments = _named(kid, within)
                 f = figures[kid]
-                if weight < 1 and (comments or kid not in titled and (kid.tag in APART or 2 * (f.chars - f.link_chars) <= page)):
+                if weight < 1 and (comments or kid not in titled and (kid.tag in APART or f.chars - f.link_chars <= NEARLY_ALL * page)):
                     out[kid] = weight
                 stack.append((kid, within))
     return out
@@ -243,10 +245,16 @@ def _density(f: Figures, share: float) -> float:
     return f.chars / max(1, f.tags) * max(0.0, math.log(max(ratio, 1.0)) / base)
 
 
-def _filled_by_links(f: Figures) -> bool:
+def _mostly_links(f: Figures) -> bool:
+    """What a page has beside its text: menus, link lists, bylines with links."""
     return f.link_tags >= 2 and 2 * f.link_chars > f.chars
 
 
+def _only_links(f: Figures) -> bool:
+    """A block of links inside the text; a list of references, say, has words of its own."""
+    return f.link_tags >= 3 and f.link_chars >= 0.9 * f.chars
+
+
 def core(root: Node, figures: dict[Node, Figures], weights: dict[Node, float]) -> tuple[Node, float]:
     """The node with the largest density sum outside parts that weigh nothing, grown, and the threshold."""
     best, stack = root, [root]
@@ -259,12 +267,13 @@ def core(root: Node, figures: dict[Node, Figures], weights: dict[Node, float]) -
     while path[-1].up is not None:
         path.append(path[-1].up)
     threshold = min(figures[n].density / (weights.get(n) or 1.0) for n in path)
-    for inner, outer in zip(path, path[1:]):
+    inside = next((i for i in range(len(path) - 1, -1, -1) if path[i].tag in ("article", "main")), -1)
+    for i, (inner, outer) in enumerate(zip(path, path[1:])):
         added = [k for k in outer.kids if not isinstance(k, str) and k is not inner and figures[k].chars and weights.get(k, 1.0) > 0]
         text = lambda k: k.tag not in BLOCK or k.tag in FLOW or figures[k].density >= threshold
         if outer.up is None and (len(added) < sum(1 for k in outer.kids if not isinstance(k, str) and k is not inner and figures[k].chars)) and not any(figures[k].density >= threshold or k.tag == "h1" for k in added):
             break
-        if any(_filled_by_links(figures[k]) or not text(k) for k in added):
+        if any(i + 1 > inside and _mostly_links(figures[k]) or not text(k) for k in added):
             break
         best = outer
     return best, threshold
@@ -278,7 +287,7 @@ def cut(node: Node, figures: dict[Node, Figures], weights: dict[Node, float], th
         kept = []
         for kid in at.kids:
             if not isinstance(kid, str):
-                if figures[kid].density < threshold and (kid in weights or kid.tag in BLOCK and _filled_by_links(figures[kid])):
+                if figures[kid].density < threshold and (kid in weights or kid.tag in BLOCK and _only_links(figures[kid])):
                     continue
                 stack.append(kid)
             kept.append(kid)
