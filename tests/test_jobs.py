@@ -37,7 +37,7 @@ def test_every_oracle_runs():
             raise AssertionError(name) from e
 
 
-NEW = ["q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_15_path_dedup", "q2_7_16_pathway_match", "q2_7_17_pathway_subgraph", "q2_7_19_single_vessel", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
+NEW = ["q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19_single_vessel", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
 
 
 @pytest.mark.parametrize("name", NEW)
