@@ -216,3 +216,21 @@ def test_medians_are_exact(spark):
         own = [v for f, v in rows if f == k]
         assert got[k]["median"] == statistics.median(own) and got[k]["n"] == len(own) and got[k]["varied"] == (len(set(own)) > 2)
     assert "e" not in got
+
+
+def test_points_move_to_components(spark):
+    from tubula.operators import voxels
+
+    mask = spark.createDataFrame([(0, 5, 5, 5), (0, 6, 5, 5), (0, 20, 5, 5)], "case_id long, i int, j int, k int")
+    points = spark.createDataFrame([(0, "a", 3, 5, 5), (0, "b", 14, 5, 5), (0, "c", 200, 0, 0), (1, "a", 3, 5, 5)], "case_id long, label string, i int, j int, k int")
+    got = {(r["case_id"], r["label"]): (r["i"], r["j"], r["k"], r["moved"]) for r in voxels.relocate_to_component(points, mask).collect()}
+    assert got == {(0, "a"): (5.5, 5, 5, True), (0, "b"): (20, 5, 5, True), (0, "c"): (200, 0, 0, False), (1, "a"): (3, 5, 5, False)}
+
+
+def test_entries_of_the_lowest_slice(spark):
+    from tubula.operators import voxels
+
+    rows = [(c, i, 0, 3) for c in (0, 1) for i in range(3)] + [(0, 50, 50, 3), (0, 9, 9, 4)]
+    ends = spark.createDataFrame([(0, 7, 3.0, 0.0), (0, 8, 20.0, 0.0), (1, 9, 99.0, 0.0)], "case_id long, end_id long, x double, y double")
+    got = sorted((r["case_id"], r["end_id"] or -1, r["x"], r["y"]) for r in voxels.entry_points(spark.createDataFrame(rows, "case_id long, i int, j int, k int"), ends, 2, 30.0).collect())
+    assert got == [(0, 7, 3, 0), (1, -1, 1, 0)]  # the nearest end is taken, the small component isn't an entry, a missing end is added
