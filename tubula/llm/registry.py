@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tubula.llm import dedup, htmltext, langid, lm, media, mixing, neardup, pieces, tokencounts, toxicity
+from tubula.llm import dedup, htmltext, langid, lm, media, mixing, neardup, pieces, simhash, tokencounts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_html_text": htmltext.op9_html_text,
     "op10_language_id": langid.op10_language_id,
+    "op13_simhash_dedup": simhash.op13_simhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": dedup.OP2_SQL,
