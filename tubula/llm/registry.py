@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tubula.llm import audit, dedup, htmltext, langid, lm, media, mixing, neardup, pieces, simhash, tokencounts, toxicity
+from tubula.llm import audit, colloc, dedup, htmltext, langid, lm, media, mixing, neardup, pieces, simhash, tokencounts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_html_text": htmltext.op9_html_text,
     "op10_language_id": langid.op10_language_id,
+    "op11_collocations": colloc.op11_collocations,
     "op12_filter_audit": audit.op12_filter_audit,
     "op13_simhash_dedup": simhash.op13_simhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": dedup.OP2_SQL,
+    "op11_collocations": colloc.op11_collocations,
+    "op11_collocations": colloc.OP11_SQL,
     "op12_filter_audit": audit.OP12_SQL,
 }
