@@ -511,26 +511,30 @@ OP11_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-g AS (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS ws
-  FROM w, unnest(range(1, len(w) + 1)) AS u(i), (VALUES (1), (2), (3)) AS v(k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, k, phrase, any_value(ws) AS ws, count(*) AS a FROM g GROUP BY lang, k, phrase),
-n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+split AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+w AS (SELECT id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM split),
+t AS (SELECT lang, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, w1, '' AS w2, '' AS w3, count(*) AS a FROM t GROUP BY lang, w1
+  UNION ALL SELECT lang, w1, w2, '', count(*) FROM t WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+  UNION ALL SELECT lang, w1, w2, w3, count(*) FROM t WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE w2 = '' GROUP BY lang),
+c AS (SELECT * FROM f WHERE w2 <> '' AND a >= 10),
+cuts AS (
+  SELECT *, 1 AS cut, w1 AS l1, '' AS l2, w2 AS r1, w3 AS r2 FROM c
+  UNION ALL SELECT *, 2, w1, w2, w3, '' FROM c WHERE w3 <> ''),
 s AS (
-  SELECT c.lang, c.phrase, c.k, c.a, x.cut, l.a AS l, r.a AS r,
+  SELECT c.lang, c.w1, c.w2, c.w3, c.a, c.cut, l.a AS l, r.a AS r,
     ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
-  FROM c JOIN (VALUES (1), (2)) AS x(cut) ON x.cut < c.k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:x.cut], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[x.cut + 1:], ' ')),
-best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.w1 = c.l1 AND l.w2 = c.l2 AND l.w3 = ''
+  JOIN f r ON r.lang = c.lang AND r.w1 = c.r1 AND r.w2 = c.r2 AND r.w3 = ''),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, cut) = 1),
 m AS (
-  SELECT lang, phrase, max(a) AS a FROM (
-    SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3
-    UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, phrase),
-top AS (
-  SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
-  FROM best b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase AND b.k = 2 WHERE m.a IS NULL OR 100 * m.a < 50 * b.a)
+  SELECT lang, w1, w2, max(a) AS a FROM (
+    SELECT lang, w1, w2, a FROM c WHERE w3 <> '' UNION ALL SELECT lang, w2, w3, a FROM c WHERE w3 <> '') GROUP BY lang, w1, w2),
+named AS (
+  SELECT b.lang, b.w1 || ' ' || b.w2 || CASE WHEN b.w3 = '' THEN '' ELSE ' ' || b.w3 END AS phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN m ON m.lang = b.lang AND m.w1 = b.w1 AND m.w2 = b.w2 AND b.w3 = '' WHERE m.a IS NULL OR 100 * m.a < 50 * b.a),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named)
 SELECT lang, rank, phrase, a, l, r, n, score FROM top JOIN n USING (lang) WHERE rank <= 2000
 """
