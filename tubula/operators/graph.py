@@ -1,8 +1,10 @@
 """Graph operators on nodes (case_id, node_id, ...) and undirected edges (case_id, src, dst, ...).
-Iterations are joins over a frontier; lineage is cut every round."""
+Walks from start nodes are in ``trees``; other iterations are joins over a frontier whose lineage is cut every round."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tubula.functions.geom import cosine, dist
 from tubula.functions.runtime import cut_lineage
 from tubula.operators.components import star_components
 from tubula.operators.polyline import KEYS, order
+from tubula.operators.trees import walk_levels, walk_paths
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -46,21 +49,26 @@ def remote_components(placed: DataFrame, factor: float = 2.5) -> DataFrame:
     return c.withColumn("distance", dist(xyz(""), xyz("m"))).filter(F.col("distance") > factor * F.col("mean")).select("case_id", "component", "distance")
 
 
-def bfs_levels(edges: DataFrame, start: DataFrame, weight: str | None = None, most: int = 10_000) -> DataFrame:
+def bfs_levels(edges: DataFrame, start: DataFrame, weight: str | None = None, limit: int | None = None) -> DataFrame:
     """Levels from start nodes (case_id, node_id): case_id, node_id, level, parent (the smallest node of
-    the level before, NULL at the start) and acc, the sum of ``weight`` along the parents."""
+    the level before, NULL at the start) and acc, the sum of ``weight`` along the parents. ``limit``: edges of a case
+    that one task walks (see ``trees``)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    two = cut_lineage(both_ways(edges.select("case_id", "src", "dst", w.alias("w"))))
+    return walk_levels(edges.select("case_id", "src", "dst", w.alias("w")), start, _level_by_level, limit)
+
+
+def _level_by_level(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Levels of graphs that no task can hold and that have cycles: one round a level."""
+    two = cut_lineage(both_ways(edges.select("case_id", "src", "dst", "w")))
     front = cut_lineage(start.select("case_id", "node_id", F.lit(0).alias("level"), F.lit(None).cast("bigint").alias("parent"), F.lit(0.0).alias("acc")))
     seen = front
-    for level in range(1, most):
+    for level in itertools.count(1):
         step = front.join(two, (front["node_id"] == two["src"]) & (front["case_id"] == two["case_id"])).select(front["case_id"], F.col("dst").alias("node_id"), F.struct(F.col("src").alias("parent"), (F.col("acc") + F.col("w")).alias("acc")).alias("p"))
         new = step.groupBy("case_id", "node_id").agg(F.min("p").alias("p")).join(seen.select("case_id", "node_id"), ["case_id", "node_id"], "left_anti")
         front = cut_lineage(new.select("case_id", "node_id", F.lit(level).alias("level"), "p.parent", "p.acc"))
         if not front.limit(1).count():
             return seen
         seen = cut_lineage(seen.unionByName(front)) if level % 8 == 0 else seen.unionByName(front)
-    raise RuntimeError("levels did not end")
 
 
 def start_nodes(nodes: DataFrame, degrees: DataFrame, part: float = 0.6) -> DataFrame:
@@ -93,9 +101,14 @@ def find_root(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     return nodes.join(degrees.filter("degree = 1"), ["case_id", "node_id"]).groupBy("case_id").agg(F.max_by("node_id", F.struct("radius", -F.col("node_id"))).alias("node_id"))
 
 
-def root_to_leaf_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """All simple paths from the start to other end nodes: case_id, leaf, path (array of nodes). Meant
-    for cell graphs, which have tens of nodes; a path grows by one node a round."""
+def root_to_leaf_paths(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
+    """All simple paths from the start to other end nodes: case_id, leaf, path (array of nodes). Trees have one for
+    each end; a graph with cycles may have very many. ``limit``: edges of a case that one task walks."""
+    return walk_paths(edges, start, _node_by_node, limit)
+
+
+def _node_by_node(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Paths of graphs that no task can hold and that have cycles: they grow by one node a round."""
     two = cut_lineage(both_ways(edges.select("case_id", "src", "dst")).distinct())
     leaf = degree(edges).filter("degree = 1").select("case_id", F.col("node_id").alias("last"), F.lit(True).alias("_leaf"))
     front = cut_lineage(start.select("case_id", F.array("node_id").alias("path")))
