@@ -37,7 +37,7 @@ def test_every_oracle_runs():
             raise AssertionError(name) from e
 
 
-NEW = ["q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19_single_vessel", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
+NEW = ["q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19b_vessel_choice", "q2_11_8_features_by_vessel", "q2_7_28_node_vector", "q2_11_15_reference_corner", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -202,7 +202,7 @@ def test_access_rows(spark):
     r = rows.collect()
     assert [x["cell_id"] for x in r] == [0] and r[0]["side"] == 1 and sum(r[0]["vector"]) == 3  # too short, and of one class
     assert [x["class_name"] for x in seg.orderBy("place").collect()] == ["AA", "BT", "RCCA"] and "min_diameter" not in seg.columns
-    assert {(x["left"], x["right"]) for x in edges.collect()} == {("AA", "BT"), ("BT", "RCCA")} and dense.count() == 12 and len(dense.first()["vector"]) == 24
+    assert {(x["left"], x["right"]) for x in edges.collect()} == {("AA", "BT"), ("BT", "RCCA")} and dense.count() == 12 and len(dense.first()["vector"]) == 25
 
 
 def test_medians_are_exact(spark):

@@ -12,7 +12,7 @@ from tubula.functions.geom import cosine, dist
 from tubula.functions.runtime import cut_lineage
 from tubula.operators.components import star_components
 from tubula.operators.polyline import KEYS, order
-from tubula.operators.trees import walk_levels, walk_paths
+from tubula.operators.trees import walk_components, walk_levels, walk_paths
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges.select("case_id", "src", "dst")).groupBy("case_id", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest node of each node's component."""
-    c = star_components(edges.select("case_id", "src", "dst"), ["case_id"]).select("case_id", F.col("node").alias("node_id"), "component")
+def components(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Smallest node of each node's component. Large cases take star steps, the others one exchange (see ``trees``)."""
+    c = walk_components(edges, limit)
     return nodes.select("case_id", "node_id").join(c, ["case_id", "node_id"], "left").select("case_id", "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
@@ -293,14 +293,15 @@ def merged_points(points: DataFrame, cells: DataFrame) -> DataFrame:
     return out.unionByName(closed)
 
 
-def contact_flags(nodes: DataFrame, edges: DataFrame, a: str, b: str, hops: int = 2) -> DataFrame:
-    """Whether a node of class a is within some hops of one of class b: case_id, touches."""
-    two = both_ways(edges.select("case_id", "src", "dst"))
-    reached = nodes.filter(F.col("class_name") == a).select("case_id", "node_id")
-    for _ in range(hops):
-        step = reached.join(two, (reached["case_id"] == two["case_id"]) & (reached["node_id"] == two["src"])).select(reached["case_id"], F.col("dst").alias("node_id"))
-        reached = reached.unionByName(step).distinct()
-    hit = reached.join(nodes.filter(F.col("class_name") == b), ["case_id", "node_id"]).select("case_id").distinct().withColumn("_t", F.lit(True))
+def contact_flags(nodes: DataFrame, edges: DataFrame, a: str, b: str, reference: str = "AA") -> DataFrame:
+    """Whether class a begins at class b: of the nodes next to the origin of a (its node nearest to the reference class) one
+    has an edge of class b that isn't artificial. edges: with class_name and artificial. Returns case_id, touches."""
+    from tubula.operators.nearest import origin
+
+    two = both_ways(edges.select("case_id", "src", "dst", "class_name", "artificial"))
+    first = origin(nodes, a, reference).select("case_id", F.col("node_id").alias("src"))
+    beside = two.join(first, ["case_id", "src"]).select("case_id", F.col("dst").alias("src")).distinct()
+    hit = two.filter((F.col("class_name") == b) & ~F.col("artificial")).join(beside, ["case_id", "src"], "left_semi").select("case_id").distinct().withColumn("_t", F.lit(True))
     return nodes.select("case_id").distinct().join(hit, "case_id", "left").select("case_id", F.coalesce("_t", F.lit(False)).alias("touches"))
 
 

@@ -98,6 +98,11 @@ def nearest_to_class(nodes: DataFrame, name: str, reference: str, radius: float
     return j.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("case_id", "node_id", *"xyz", "distance")
 
 
+def origin(nodes: DataFrame, name: str, reference: str, most: float = 100.0) -> DataFrame:
+    """Where a class begins: its node nearest to any of the reference class, less than ``most`` away (smallest id on ties)."""
+    return nearest_to_class(nodes, name, reference).filter(F.col("distance") < most)
+
+
 def snap_landmarks(landmarks: DataFrame, line: DataFrame, branches: DataFrame, radius: float, wide: list[str] = (), factor: float = 1.5) -> DataFrame:
     """Each landmark (case_id, label, x, y, z) to the nearest branch point within the radius (times
     ``factor`` for the labels in ``wide``), else to the nearest line point within it, else unchanged:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tubula.functions.geom import dist
+from tubula.functions.geom import axis_codes, dist, to_ras
 
 
 def collect_features(cohort: DataFrame, features: DataFrame, long_features: DataFrame) -> DataFrame:
@@ -181,6 +181,20 @@ def bulb_landmark(transitions: DataFrame, landmarks: DataFrame, names: dict[str,
     return j.select("case_id", "vessel", *(F.coalesce(F.col(f"_m.{n}"), F.col(n)).alias(n) for n in "xyz"), F.when(F.col("_m").isNotNull(), "landmark").otherwise("transition").alias("how"))
 
 
-def reference_corner(images: DataFrame, offset_px: float = 150.0, spacing: float = 0.43) -> DataFrame:
-    """Reference point of the lowest slice: ``offset_px`` pixels of the standard spacing from the LPI corner on both axes."""
-    return images.select("case_id", (F.col("corner_x") + offset_px * spacing).alias("x"), (F.col("corner_y") + offset_px * spacing).alias("y"), F.col("corner_z").alias("z"))
+#: Voxel of the reference corner on the first axis for an image of RAS, LAS or LPS, and the spacing (mm) that it holds for:
+#: fixed values.
+CORNER_VOXEL, CORNER_SPACING = {"RAS": 150.0, "LAS": 350.0, "LPS": 350.0}, 0.43
+
+
+def reference_corner(images: DataFrame) -> DataFrame:
+    """Point near the far end of the arch in the lowest slice of each image (case_id, affine of 16 values, size_y): a number of
+    voxels along the first axis that goes with the orientation, scaled to the image's spacing, and for LPS the far side
+    of the second axis. Other orientations are an error. Returns case_id, x, y, z."""
+    code = axis_codes(F.col("affine"))
+    factor = F.abs(F.lit(CORNER_SPACING) / F.col("affine")[0])
+    i = F.lit(None).cast("double")
+    for name, voxel in CORNER_VOXEL.items():
+        i = F.when(code == name, F.lit(voxel) * factor).otherwise(i)
+    i = F.coalesce(i, F.raise_error(F.concat(F.lit("orientation "), code)).cast("double"))
+    j = F.when(code == "LPS", F.col("size_y").cast("double")).otherwise(0.0)
+    return images.select("case_id", *(c.alias(n) for n, c in zip("xyz", to_ras(i, j, F.lit(0.0), F.col("affine")), strict=True)))

@@ -250,15 +250,18 @@ def ovality(inner: Column, outer: Column) -> Column:
 
 
 def arch_type(nodes: DataFrame) -> DataFrame:
-    """1, 2 or 3 for each case: the height of the AA apex above the origin of BT (its node nearest to any
-    AA node) against the mean BT diameter, below 1, below 2, or more; 1 when a part is missing."""
-    from tubula.operators.nearest import nearest_to_class
-
-    apex = nodes.filter("class_name = 'AA'").groupBy("case_id").agg(F.max("z").alias("apex"))
-    origin = nearest_to_class(nodes, "BT", "AA").select("case_id", F.col("z").alias("origin"))
-    wide = nodes.filter("class_name = 'BT'").groupBy("case_id").agg((2 * F.avg("radius")).alias("diameter"))
-    j = nodes.select("case_id").distinct().join(apex, "case_id", "left").join(origin, "case_id", "left").join(wide, "case_id", "left")
-    ratio = F.abs(F.col("apex") - F.col("origin")) / F.nullif("diameter", F.lit(0.0))
+    """1, 2 or 3 for each case: how far the origin of BT lies below the apex of AA (highest node plus its radius), against
+    the diameter of LCCA at its origin: below 1, below 2, or more; 1 when a part is missing or the apex isn't above 0.
+    Origins are the nodes nearest to any AA node, less than 100 mm away; blanked ones (column blanking, if there)
+    don't count. nodes: case_id, node_id, class_name, x, y, z, radius."""
+    from tubula.operators.nearest import origin
+
+    seen = nodes.filter("class_name = 'AA' or blanking = 0") if "blanking" in nodes.columns else nodes
+    apex = nodes.filter("class_name = 'AA'").groupBy("case_id").agg(F.max(F.col("z") + F.col("radius")).alias("apex"))
+    bt = origin(seen, "BT", "AA").select("case_id", F.col("z").alias("origin"))
+    wide = origin(seen, "LCCA", "AA").join(nodes.select("case_id", "node_id", (2 * F.col("radius")).alias("diameter")), ["case_id", "node_id"]).select("case_id", "diameter")
+    j = nodes.select("case_id").distinct().join(apex, "case_id", "left").join(bt, "case_id", "left").join(wide, "case_id", "left")
+    ratio = F.when(F.col("apex") > 0, F.abs(F.col("apex") - F.col("origin")) / F.nullif("diameter", F.lit(0.0)))
     return j.select("case_id", F.when(ratio >= 2, 3).when(ratio >= 1, 2).otherwise(1).alias("arch_type"))
 
 

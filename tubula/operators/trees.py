@@ -65,6 +65,41 @@ class Walk:
             level[front], parent[front], total[front] = depth, self.src[arc], total[self.src[arc]] + self.w[arc]
         return level, parent, total
 
+    def components(self) -> np.ndarray:
+        """Place of the smallest node of each node's component."""
+        label = np.arange(len(self.names))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, self.src, label[self.dst])
+            np.minimum.at(new, label[self.src], label[self.dst])
+            new = new[new]
+            if (new == label).all():
+                return label
+            label = new
+
+    def chains(self) -> tuple[np.ndarray, ...]:
+        """The chain with the most nodes of each component: its component, node, place, number of nodes and length."""
+        label = self.components()
+
+        def farthest(level: np.ndarray) -> np.ndarray:
+            order = np.lexsort((np.arange(len(level)), -level, label))
+            return order[np.concatenate([[True], label[order][1:] != label[order][:-1]])] if len(order) else order
+
+        self.starts = np.unique(label)
+        self.starts = np.sort(farthest(self.levels()[0]))
+        level, _, total = self.levels()
+        end = farthest(level)
+        self.starts = np.sort(end)
+        back = self.levels()[0]
+        most, length = np.zeros(len(label), int), np.zeros(len(label))
+        most[label[end]], length[label[end]] = level[end], total[end]
+        on = np.flatnonzero(level + back == most[label])
+        on = on[np.lexsort((on, level[on], label[on]))]
+        own, place = label[on], level[on]
+        keep = np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1])]) if len(on) else np.zeros(0, bool)
+        on, own, place = on[keep], own[keep], place[keep]
+        return self.names[own], self.names[on], place, most[own] + 1, length[own]
+
     def paths(self) -> Iterator[tuple[int, list[int]]]:
         """Simple paths from each start to the other ends (nodes with one edge), by depth-first search."""
         edges = np.bincount(self.src, minlength=len(self.names))
@@ -84,8 +119,13 @@ class Walk:
                     yield nxt, path
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """A case may be a struct; its fields may be NULL in what comes back."""
+    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def _named(case, n: int, kind: pa.DataType) -> pa.Array:
-    return pa.array([case] * n, kind)
+    return pa.array([case] * n, _nullable(kind))
 
 
 def _case_levels(rows: pa.Table) -> pa.Table:
@@ -105,6 +145,18 @@ def _case_paths(rows: pa.Table) -> pa.Table:
     return pa.table({"case_id": _named(case[0].as_py(), len(found), case.type), "leaf": pa.array([x for x, _ in found], pa.int64()), "path": pa.array([p for _, p in found], pa.list_(pa.int64()))})
 
 
+def _case_components(rows: pa.Table) -> pa.Table:
+    walk = Walk(rows)
+    case = rows.column("case_id")
+    return pa.table({"case_id": _named(case[0].as_py(), len(walk.names), case.type), "node_id": walk.names, "component": walk.names[walk.components()]})
+
+
+def _case_chains(rows: pa.Table) -> pa.Table:
+    component, node, place, n, length = Walk(rows).chains()
+    case = rows.column("case_id")
+    return pa.table({"case_id": _named(case[0].as_py(), len(node), case.type), "component": component, "node_id": node, "place": pa.array(place, pa.int32()), "n": pa.array(n, pa.int32()), "length": length})
+
+
 def _split(edges: DataFrame, start: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the cases that one task may hold (case_id, src, dst, w: arcs, and starts with a NULL dst), and the cases
     with more edges than ``limit`` (None if there are none)."""
@@ -235,3 +287,28 @@ def walk_paths(edges: DataFrame, start: DataFrame, slow, limit: int | None = Non
     pick = lambda df, cases: df.join(cases, "case_id", "left_semi")
     out = out.unionByName(_tour_paths(euler_tour(pick(own, forest), pick(begin, forest))))
     return out.unionByName(slow(pick(own, rest), pick(begin, rest))) if rest.limit(1).count() else out
+
+
+def _no_start(edges: DataFrame) -> DataFrame:
+    return edges.select("case_id", F.col("src").alias("node_id")).limit(0)
+
+
+def walk_components(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Components of edges (case_id, src, dst): case_id, node_id, component (its smallest node)."""
+    kind = edges.schema["case_id"].dataType.simpleString()
+    edges = edges.select("case_id", "src", "dst", F.lit(1.0).alias("w"))
+    rows, large = _split(edges, _no_start(edges), CASE_EDGES if limit is None else limit)
+    out = rows.groupBy("case_id").applyInArrow(_case_components, f"case_id {kind}, node_id long, component long")
+    if large is None:
+        return out
+    stars = star_components(edges.join(large, "case_id", "left_semi").select("case_id", "src", "dst"), ["case_id"])
+    return out.unionByName(stars.withColumnRenamed("node", "node_id"))
+
+
+def walk_chains(edges: DataFrame, slow, limit: int | None = None) -> DataFrame:
+    """Longest chain of every component of edges (case_id, src, dst, w): case_id, component, node_id, place, n, length. ``slow``:
+    edges -> chains by distributed walks, for large cases."""
+    kind = edges.schema["case_id"].dataType.simpleString()
+    rows, large = _split(edges, _no_start(edges), CASE_EDGES if limit is None else limit)
+    out = rows.groupBy("case_id").applyInArrow(_case_chains, f"case_id {kind}, component long, node_id long, place int, n int, length double")
+    return out if large is None else out.unionByName(slow(edges.join(large, "case_id", "left_semi")))

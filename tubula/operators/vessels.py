@@ -13,6 +13,7 @@ from tubula.operators import graph as G
 from tubula.operators import polyline as P
 from tubula.operators import segments as S
 from tubula.operators.polyline import KEYS
+from tubula.operators.trees import walk_chains
 
 #: Access, side and circulation of the eight catheter pathways, the classes in their order, those that count twice
 #: and those that count against: fixed values.
@@ -79,27 +80,77 @@ def all_pathways(nodes: DataFrame, edges: DataFrame, start: DataFrame, configs:
     return best, G.pathway_subgraph(nodes, edges, on, reach, ["config"])
 
 
+def longest_chains(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """The chain with the most nodes of every component of edges (case_id, src, dst, length), by three walks: from any
+    node to the farthest one, from there to the other end, and back. A node is on the chain if both distances add up
+    to its length; where cycles leave a choice, the smallest node of each place counts. Returns case_id, component
+    (its smallest node), node_id, place, n (nodes of the chain) and length. ``limit``: edges that one task walks."""
+    edges = edges.select("case_id", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("length").cast("double").alias("w"))
+    return walk_chains(edges, _chains_of_large_cases, limit)
+
+
+def _chains_of_large_cases(edges: DataFrame) -> DataFrame:
+    """The same three walks as jobs."""
+    edges = cut_lineage(edges)
+    label = G.components(G.both_ways(edges).select("case_id", F.col("src").alias("node_id")).distinct(), edges, 0)
+    label = cut_lineage(label.select(F.struct("case_id", "component").alias("case_id"), "node_id"))
+    own = cut_lineage(edges.withColumn("_c", F.col("case_id")).join(label.select(F.col("case_id.case_id").alias("_c"), F.col("node_id").alias("src"), F.col("case_id").alias("_k")), ["_c", "src"]).select(F.col("_k").alias("case_id"), "src", "dst", "w"))
+    farthest = lambda levels: cut_lineage(levels.groupBy("case_id").agg(F.max_by("node_id", F.struct("level", -F.col("node_id"))).alias("node_id")))
+    first = farthest(G.bfs_levels(own, own.groupBy("case_id").agg(F.min(F.least("src", "dst")).alias("node_id"))))
+    there = cut_lineage(G.bfs_levels(own, first, "w"))
+    back = G.bfs_levels(own, farthest(there)).select("case_id", "node_id", F.col("level").alias("_back"))
+    far = there.groupBy("case_id").agg(F.max("level").alias("_far"), F.max_by("acc", F.struct("level", -F.col("node_id"))).alias("_length"))
+    on = there.join(back, ["case_id", "node_id"]).join(far, "case_id").filter(F.col("level") + F.col("_back") == F.col("_far"))
+    chain = on.groupBy("case_id", F.col("level").alias("place")).agg(F.min("node_id").alias("node_id"), (F.first("_far") + 1).alias("n"), F.first("_length").alias("length"))
+    return chain.select("case_id.case_id", "case_id.component", "node_id", "place", "n", "length")
+
+
+#: Vessels that are chosen by the nearness of their ends to those of another one, which is chosen before: fixed values.
+NEAREST_TO = [("RCCA", "BT"), ("RICA", "RCCA"), ("LICA", "LCCA")]
+#: Length (mm) from which several candidates for LCCA are told apart by their width: fixed value.
+LONG_LCCA = 50.0
+
+
+def choose_candidates(candidates: DataFrame, least: int = 3, nearest: list[tuple[str, str]] = NEAREST_TO) -> DataFrame:
+    """One candidate for each name of each case. candidates: case_id, name, component, n, length, radius (mean), a, b (ends:
+    x, y, z). RCCA is the one whose ends come nearest to an end of BT, RICA and LICA to their side's CCA (most nodes on
+    ties; without that vessel, or with fewer than ``least`` nodes in it, as any other). Of several LCCA longer than
+    50 mm the widest one counts, otherwise the longest. Any other name takes the most nodes. Last ties go to the
+    smallest component. Returns case_id, name, component; those of fewer than ``least`` nodes are left out."""
+    each = Window.partitionBy("case_id", "name")
+    lcca = F.when(F.count_if(F.col("length") > LONG_LCCA).over(each) > 1, F.when(F.col("length") > LONG_LCCA, F.col("radius")).otherwise(-1.0)).otherwise(F.col("length"))
+    scored = candidates.withColumn("_score", F.when(F.col("name") == "LCCA", lcca).otherwise(F.col("n").cast("double")))
+    best = lambda df, rank: df.groupBy("case_id", "name").agg(F.min_by("component", rank).alias("component"))
+    chosen = best(scored, F.struct(-F.col("_score"), "component"))
+    end = lambda c: tuple(F.col(f"{c}.{n}") for n in "xyz")
+    for name, other in nearest:
+        chosen = cut_lineage(chosen)
+        ref = chosen.filter(F.col("name") == other).join(candidates.filter(F.col("n") >= least), ["case_id", "name", "component"]).select("case_id", F.col("a").alias("_a"), F.col("b").alias("_b"))
+        gap = F.least(*(dist(end(p), end(q)) for p in ("a", "b") for q in ("_a", "_b")))
+        near = best(candidates.filter(F.col("name") == name).join(ref, "case_id"), F.struct(gap, -F.col("n"), "component"))
+        chosen = chosen.join(near.select("case_id", "name"), ["case_id", "name"], "left_anti").unionByName(near)
+    return chosen.join(candidates.filter(F.col("n") >= least).select("case_id", "name", "component"), ["case_id", "name", "component"], "left_semi")
+
+
 def single_vessel(nodes: DataFrame, edges: DataFrame, by: str = "class_name", least: int = 3) -> DataFrame:
-    """One chain of nodes for each value of an edge column (class_name or cell_id) of each case. Of the
-    components of its edges the one with the most nodes is taken; the chain goes from its end nearest to
-    the centre of the AA nodes (the smallest id without AA) to the end most nodes away. Chains of fewer
-    than ``least`` nodes are left out: case_id, the column, node_id, hierarchy (from 0)."""
-    key = F.concat_ws("|", F.col("case_id").cast("string"), F.col(by).cast("string"))
-    own = cut_lineage(edges.filter(F.col(by).isNotNull()).select(key.alias("_k"), "case_id", by, "src", "dst"))
-    part = own.select(F.col("_k").alias("case_id"), "src", "dst")
-    label = cut_lineage(G.components(G.both_ways(part).select("case_id", F.col("src").alias("node_id")).distinct(), part))
-    size = label.groupBy("case_id", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = label.join(size.groupBy("case_id").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component")), ["case_id", "component"], "left_semi")
-    part = cut_lineage(part.join(main.select("case_id", F.col("node_id").alias("src")), ["case_id", "src"], "left_semi"))
-    centre = nodes.filter("class_name = 'AA'").groupBy("case_id").agg(*(F.avg(n).alias(f"m{n}") for n in "xyz"))
-    names = own.select("_k", "case_id", by).distinct()
-    ends = G.degree(part).filter("degree = 1").select(F.col("case_id").alias("_k"), "node_id").join(names, "_k")
-    near = ends.join(nodes.select("case_id", "node_id", *"xyz"), ["case_id", "node_id"]).join(centre, "case_id", "left")
-    away = dist(tuple(map(F.col, "xyz")), tuple(F.col(f"m{n}") for n in "xyz"))
-    start = near.groupBy("_k").agg(F.min_by("node_id", F.struct(F.coalesce(away, F.lit(0.0)), "node_id")).alias("node_id"))
-    paths = G.root_to_leaf_paths(part, start.withColumnRenamed("_k", "case_id"))
-    best = paths.groupBy("case_id").agg(F.max_by("path", F.struct(F.size("path"), -F.col("leaf"))).alias("path")).filter(F.size("path") >= least)
-    return best.select(F.col("case_id").alias("_k"), F.posexplode("path").alias("hierarchy", "node_id")).join(names, "_k").select("case_id", by, "node_id", "hierarchy")
+    """One chain of nodes for each value of an edge column (class_name or cell_id) of each case. Every component of its
+    edges is a candidate with its longest chain; ``choose_candidates`` takes one. The chain goes from its end nearest
+    to the centre of the AA nodes, AA itself from its end nearest to the origin (smallest id on ties and without AA).
+    Chains of fewer than ``least`` nodes are left out: case_id, the column, node_id, hierarchy (from 0)."""
+    name = F.col(by).cast("string") if by != "class_name" else F.col(by)
+    own = edges.filter(F.col(by).isNotNull()).select(F.struct("case_id", name.alias("name")).alias("case_id"), "src", "dst", "length")
+    chains = cut_lineage(longest_chains(own).select("case_id.*", "component", "node_id", "place", "n", "length"))
+    placed = cut_lineage(chains.join(nodes.select("case_id", "node_id", *"xyz", "radius"), ["case_id", "node_id"]))
+    at = F.struct("node_id", *"xyz")
+    ends = cut_lineage(placed.groupBy("case_id", "name", "component", "n", "length").agg(F.min_by(at, "place").alias("a"), F.max_by(at, "place").alias("b"), F.avg("radius").alias("radius")))
+    chosen = choose_candidates(ends, least, NEAREST_TO if by == "class_name" else []).join(ends, ["case_id", "name", "component"])
+    centre = nodes.filter("class_name = 'AA'").groupBy("case_id").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    is_aa = (F.col("name") == "AA") & F.lit(by == "class_name")
+    goal = tuple(F.when(is_aa, 0.0).otherwise(F.col(f"m{c}")) for c in "xyz")
+    away = lambda e: F.struct(F.coalesce(dist(tuple(F.col(f"{e}.{c}") for c in "xyz"), goal), F.lit(0.0)), F.col(f"{e}.node_id"))
+    turned = chosen.join(centre, "case_id", "left").select("case_id", "name", "component", (away("b") < away("a")).alias("_turn"))
+    place = F.when(F.col("_turn"), F.col("n") - 1 - F.col("place")).otherwise(F.col("place")).cast("int")
+    return chains.join(turned, ["case_id", "name", "component"]).select("case_id", F.col("name").cast(edges.schema[by].dataType).alias(by), "node_id", place.alias("hierarchy"))
 
 
 def chained_vessels(vessels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -163,15 +214,14 @@ def features_by_vessel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def anatomy_row(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Arch type, bovine flag (LCCA within two hops of BT) and ARSA flag (RSA touches AA at a lower level than
-    LSA does): case_id, arch_type, bovine, arsa."""
-    bovine = G.contact_flags(nodes, edges, "LCCA", "BT").withColumnRenamed("touches", "bovine")
-    aa = nodes.filter("class_name = 'AA'").select("case_id", F.col("node_id").alias("dst"), F.col("hierarchy").alias("_at"))
-    of = lambda c: nodes.filter(F.col("class_name") == c).select("case_id", F.col("node_id").alias("src"))
-    two = G.both_ways(edges.select("case_id", "src", "dst"))
-    level = lambda c, name: two.join(of(c), ["case_id", "src"]).join(aa, ["case_id", "dst"]).groupBy("case_id").agg(F.min("_at").alias(name))
-    j = S.arch_type(nodes).join(bovine, "case_id").join(level("RSA", "_r"), "case_id", "left").join(level("LSA", "_l"), "case_id", "left")
-    return j.select("case_id", "arch_type", "bovine", (F.col("_r").isNotNull() & F.coalesce(F.col("_r") < F.col("_l"), F.lit(True))).alias("arsa"))
+    """Arch type, bovine flag and ARSA flag: case_id, arch_type, bovine, arsa. Bovine: the LCCA's origin touches BT. ARSA: the
+    RSA's origin touches AA, and its level is below that of the LSA's origin; without an LSA there is none."""
+    from tubula.operators.nearest import origin
+
+    level = lambda c, name: origin(nodes, c, "AA").join(nodes.select("case_id", "node_id", F.col("hierarchy").alias(name)), ["case_id", "node_id"]).select("case_id", name)
+    flag = lambda a, b, name: G.contact_flags(nodes, edges, a, b).withColumnRenamed("touches", name)
+    j = S.arch_type(nodes).join(flag("LCCA", "BT", "bovine"), "case_id").join(flag("RSA", "AA", "_touches"), "case_id").join(level("RSA", "_r"), "case_id", "left").join(level("LSA", "_l"), "case_id", "left")
+    return j.select("case_id", "arch_type", "bovine", (F.col("_touches") & F.coalesce(F.col("_r") < F.col("_l"), F.lit(False))).alias("arsa"))
 
 
 def pathway_types(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,8 +239,10 @@ def global_row(points: DataFrame, side: Column) -> DataFrame:
 
 
 def node_vector(points: DataFrame) -> DataFrame:
-    """Dense vector of each node: position, diameter, local features, blanking and the class's slots; undefined values are 0."""
-    values = [*(F.col(n) for n in "xyz"), 2 * F.col("radius"), *(F.col(n) for n in ("curvature", "torsion", "polar", "azimuth", "accumulated")), F.col("blanking").cast("double")]
+    """Dense vector of each node (25 slots): position, diameter, polar, azimuth, curvature, torsion, blanking, intensity (the
+    column value of local_features, 0 without a volume), accumulated length and the class's slots; undefined values are 0."""
+    intensity = F.col("value") if "value" in points.columns else F.lit(0.0)
+    values = [*(F.col(n) for n in "xyz"), 2 * F.col("radius"), *(F.col(n) for n in ("polar", "azimuth", "curvature", "torsion", "blanking")), intensity, F.col("accumulated")]
     slots = type_vector(F.array("class_name"))
     return points.select(*KEYS, "point_idx", F.concat(F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)) for v in values)), F.transform(slots, lambda v: v.cast("double"))).alias("vector"))
 
@@ -217,11 +269,12 @@ def segment_graph_features(points: DataFrame, least: int = 3) -> tuple[DataFrame
     return nodes, pairs.join(both, ["case_id", "left", "right"], "left").select("case_id.*", "left", "right", "angle", "azimuth_difference", "polar_difference")
 
 
-def access_rows(points: DataFrame, side: Column, least: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def access_rows(points: DataFrame, side: Column, least: int = 10, voxels: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows for access models of paths (ordered points with class_name): global rows, segments, segment edges
-    and dense node vectors. Paths of fewer than ``least`` points or without a segment edge are left out."""
+    and dense node vectors. Paths of fewer than ``least`` points or without a segment edge are left out. voxels: volume
+    that intensities are read from (see local_features)."""
     full = points.withColumn("blanking", F.lit(0)).withColumn("_n", F.count(F.lit(1)).over(P.whole())).filter(F.col("_n") >= least).drop("_n")
-    local = cut_lineage(local_features(full))
+    local = cut_lineage(local_features(full, voxels))
     segments, edges = segment_graph_features(local)
     good = edges.select(*KEYS).distinct()
     keep = lambda df: df.join(good, KEYS, "left_semi")

@@ -295,11 +295,6 @@ def neighbour_mean(spark, d):
     return G.neighbour_mean(tree_nodes(spark, d), tree(spark, d), "radius").select("case_id", "node_id", *r6("radius"))
 
 
-@query("q2_7_21_contact_flags", f"WITH {TREE}, {NODES}, e AS (SELECT case_id, src AS n, dst AS m FROM tree UNION SELECT case_id, dst, src FROM tree), r0 AS (SELECT case_id, node_id AS n FROM nodes WHERE class_name = 'Brand#11'), r1 AS (SELECT * FROM r0 UNION SELECT e.case_id, m FROM r0 JOIN e USING (case_id, n)), r2 AS (SELECT * FROM r1 UNION SELECT e.case_id, m FROM r1 JOIN e USING (case_id, n)), h AS (SELECT DISTINCT r2.case_id FROM r2 JOIN nodes ON nodes.case_id = r2.case_id AND node_id = n WHERE class_name = 'Brand#22') SELECT DISTINCT case_id, case_id IN (SELECT case_id FROM h) AS touches FROM nodes")
-def contact_flags(spark, d):
-    return G.contact_flags(tree_nodes(spark, d), tree(spark, d), "Brand#11", "Brand#22")
-
-
 @query("q2_7_24_merge_degree_2", f"WITH {TREE}, e AS (SELECT case_id, dst AS cell_id, src AS n FROM tree UNION ALL SELECT case_id, dst, dst FROM tree) SELECT case_id, n AS node, min(cell_id) AS a, max(cell_id) AS b FROM e GROUP BY case_id, n HAVING count(*) = 2 AND min(cell_id) <> max(cell_id)")
 def merge_degree_2(spark, d):
     return G.merge_degree_2(tree(spark, d).withColumn("cell_id", F.col("dst")))

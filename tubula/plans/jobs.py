@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tubula.functions.runtime import shared_dir
+from tubula.functions.runtime import cut_lineage, shared_dir
 from tubula.operators import graph as G
 from tubula.operators import nearest as N
 from tubula.operators import polyline as P
@@ -15,8 +15,9 @@ from tubula.operators import segments as S
 from tubula.operators import vessels as A
 from tubula.operators import voxels as V
 from tubula.operators.polyline import KEYS
+from tubula.plans.aggregates import FEATURES
 from tubula.plans.lines import GAUSS, _grad, r6
-from tubula.plans.registry import query
+from tubula.plans.registry import ORACLES, query
 from tubula.plans.views import ANATOMY, ARC, CLOUD, NODES, PTS, TREE, VESSELS, VOX, anatomy, cloud, events_line, points, table, tree, tree_nodes, voxels
 from tubula.sources import cohort as S1
 from tubula.streaming.incremental import run_incremental
@@ -132,6 +133,47 @@ def single_vessel(spark, d):
     return A.single_vessel(*anatomy(spark, d), "cell_id")
 
 
+def _gap(p: str, q: str) -> str:
+    """Least distance between the ends of two candidates."""
+    return "least(" + ", ".join("sqrt(" + " + ".join(f"pow({p}.{e}{v} - {q}.{f}{v}, 2)" for v in "xyz") + ")" for e in "st" for f in "st") + ")"
+
+
+def _nearest(k: int, before: str) -> str:
+    """The choice of a vessel by the nearness to another one, on top of the choices before."""
+    name, other = A.NEAREST_TO[k]
+    return f"near{k} AS (SELECT c.* FROM scored_c c JOIN {before} o ON o.case_id = c.case_id AND o.name = '{other}' AND o.n >= 3 WHERE c.name = '{name}' QUALIFY row_number() OVER (PARTITION BY c.case_id ORDER BY {_gap('c', 'o')}, c.n DESC, c.root) = 1), pick{k} AS (SELECT * FROM {before} WHERE NOT (name = '{name}' AND case_id IN (SELECT case_id FROM near{k})) UNION ALL SELECT * FROM near{k})"
+
+
+def _from_aim(e: str) -> str:
+    """Distance of an end from the centre of AA, for AA itself from the origin."""
+    return "coalesce(sqrt(" + " + ".join(f"pow({e}{v} - CASE WHEN name = 'AA' THEN 0 ELSE m{v} END, 2)" for v in "xyz") + "), 0)"
+
+
+#: Chains of cells of one class (no two children of a cell have its class), their choice by case and class, and the walk.
+CHOICE = f"""{ANATOMY}, own_cells AS (SELECT DISTINCT case_id, cell_id AS c FROM aedges),
+kin AS (SELECT case_id, c, c AS root FROM own_cells WHERE c = 0 OR CAST(floor((c - 1) / 2.0) AS BIGINT) % 13 <> c % 13 UNION ALL SELECT k.case_id, q.c, k.root FROM kin k JOIN own_cells q ON q.case_id = k.case_id AND q.c IN (2 * k.c + 1, 2 * k.c + 2) AND q.c % 13 = k.c % 13),
+mem AS (SELECT k.case_id, k.root, e.dst AS node_id, e.length FROM kin k JOIN aedges e ON e.case_id = k.case_id AND e.cell_id = k.c UNION ALL SELECT case_id, root, CASE WHEN root = 0 THEN 0 ELSE 8 * CAST(floor((root - 1) / 2.0) AS BIGINT) + 8 END, 0.0 FROM kin WHERE c = root),
+spot AS (SELECT m.*, v.class_name AS name, x, y, z, radius, a.hierarchy AS lv FROM mem m JOIN anodes a USING (case_id, node_id) JOIN vessel v ON i = root % 13),
+cand AS (SELECT case_id, name, root, count(*) AS n, sum(length) AS len, avg(radius) AS rad, {', '.join(f'{f}({v}, lv) AS {e}{v}' for e, f in (('s', 'arg_min'), ('t', 'arg_max')) for v in 'xyz')}, arg_min(node_id, lv) AS a_id, arg_max(node_id, lv) AS b_id, min(lv) AS low, max(lv) AS high FROM spot GROUP BY ALL),
+scored_c AS (SELECT *, CASE WHEN name <> 'LCCA' THEN n WHEN count(*) FILTER (len > 50) OVER w > 1 THEN CASE WHEN len > 50 THEN rad ELSE -1 END ELSE len END AS score FROM cand WINDOW w AS (PARTITION BY case_id, name)),
+plain AS (SELECT * FROM scored_c QUALIFY row_number() OVER (PARTITION BY case_id, name ORDER BY score DESC, root) = 1),
+{_nearest(0, 'plain')}, {_nearest(1, 'pick0')}, {_nearest(2, 'pick1')},
+aim AS (SELECT case_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM anodes WHERE class_name = 'AA' GROUP BY 1),
+turned AS (SELECT p.*, ({_from_aim('t')}, b_id) < ({_from_aim('s')}, a_id) AS turn FROM pick2 p LEFT JOIN aim USING (case_id) WHERE n >= 3),
+one AS (SELECT case_id, name AS class_name, node_id, CASE WHEN turn THEN high - lv ELSE lv - low END AS hierarchy FROM turned JOIN spot USING (case_id, name, root))"""
+CHAINED = f"""{CHOICE}, chn(chain, class_name, part, parts) AS (VALUES {', '.join(f"('{k}', '{c}', {i}, {len(v)})" for k, v in A.CHAINS.items() for i, c in enumerate(v))}),
+cm AS (SELECT case_id, chain, part, parts, node_id, hierarchy FROM one JOIN chn USING (class_name)), whole_c AS (SELECT case_id, chain FROM cm GROUP BY case_id, chain, parts HAVING count(DISTINCT part) = parts),
+joint AS (SELECT case_id, src AS n, dst AS m FROM aedges UNION ALL SELECT case_id, dst, src FROM aedges UNION ALL SELECT case_id, node_id, node_id FROM anodes), touch AS (SELECT DISTINCT j.case_id FROM joint j JOIN one b ON b.case_id = j.case_id AND b.node_id = n AND b.class_name = 'BT' JOIN one l ON l.case_id = j.case_id AND l.node_id = m AND l.class_name = 'LCCA'),
+cmo AS (SELECT cm.* FROM cm JOIN whole_c USING (case_id, chain) WHERE chain <> 'BT-LCA' OR case_id IN (SELECT case_id FROM touch)),
+shifts AS (SELECT case_id, chain, part, coalesce(sum(max(hierarchy) + 1) OVER (PARTITION BY case_id, chain ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM cmo GROUP BY case_id, chain, part),
+conc AS (SELECT case_id, chain AS class_name, part, node_id, hierarchy + shift AS hierarchy FROM cmo JOIN shifts USING (case_id, chain, part) QUALIFY row_number() OVER (PARTITION BY case_id, chain, node_id ORDER BY part) = 1)"""
+
+
+@query("q2_7_19b_vessel_choice", f"WITH RECURSIVE {CHOICE} SELECT case_id, class_name, node_id, CAST(hierarchy AS INTEGER) AS hierarchy FROM one")
+def vessel_choice(spark, d):
+    return A.single_vessel(*anatomy(spark, d))
+
+
 @query("q2_7_20_chain_order", f"WITH {ANATOMY}, {CELLS} SELECT case_id, cell_id, node_id, CAST(row_number() OVER (PARTITION BY case_id, cell_id ORDER BY node_id) - 1 AS INTEGER) AS place FROM chains")
 def chain_order(spark, d):
     _, edges = anatomy(spark, d)
@@ -236,13 +278,20 @@ def chain_concat(spark, d):
     return G.concat_chain(n.select("case_id", "part", "node_id", "hierarchy")).withColumn("hierarchy", F.col("hierarchy").cast("long"))
 
 
-@query("q2_6_21b_chained_vessels")
+@query("q2_6_21b_chained_vessels", f"WITH RECURSIVE {CHAINED} SELECT case_id, class_name, CAST(part AS INTEGER) AS part, node_id, CAST(hierarchy AS BIGINT) AS hierarchy FROM conc")
 def chained_vessels(spark, d):
     nodes, edges = anatomy(spark, d)
-    return A.chained_vessels(A.single_vessel(nodes, edges), edges)
+    return A.chained_vessels(cut_lineage(A.single_vessel(nodes, edges)), edges).withColumn("hierarchy", F.col("hierarchy").cast("long"))
 
 
-ARCH = f"{ANATOMY}, apex AS (SELECT case_id, max(z) AS apex FROM anodes WHERE class_name = 'AA' GROUP BY 1), org AS (SELECT a.case_id, arg_min(a.z, (sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), a.node_id)) AS origin FROM anodes a JOIN anodes b ON a.case_id = b.case_id AND a.class_name = 'BT' AND b.class_name = 'AA' GROUP BY 1), wide AS (SELECT case_id, 2 * avg(radius) AS d FROM anodes WHERE class_name = 'BT' GROUP BY 1), arch AS (SELECT c.case_id, CASE WHEN abs(apex - origin) / d >= 2 THEN 3 WHEN abs(apex - origin) / d >= 1 THEN 2 ELSE 1 END AS arch_type FROM (SELECT DISTINCT case_id FROM anodes) c LEFT JOIN apex USING (case_id) LEFT JOIN org USING (case_id) LEFT JOIN wide USING (case_id))"
+BESIDE = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
+#: Origins of classes (their nodes nearest to AA), the arch's type, and the edges around what is next to an origin.
+ARCH = f"""{ANATOMY}, apex AS (SELECT case_id, max(z + radius) AS apex FROM anodes WHERE class_name = 'AA' GROUP BY 1), to_aa AS (SELECT a.case_id, a.class_name, a.node_id, a.z, a.radius, a.hierarchy, min({BESIDE}) AS gap FROM anodes a JOIN anodes b ON a.case_id = b.case_id AND b.class_name = 'AA' WHERE a.class_name <> 'AA' GROUP BY ALL),
+org AS (SELECT * FROM to_aa WHERE gap < 100 QUALIFY row_number() OVER (PARTITION BY case_id, class_name ORDER BY gap, node_id) = 1),
+arch AS (SELECT c.case_id, CASE WHEN apex > 0 AND abs(apex - b.z) / (2 * l.radius) >= 2 THEN 3 WHEN apex > 0 AND abs(apex - b.z) / (2 * l.radius) >= 1 THEN 2 ELSE 1 END AS arch_type FROM (SELECT DISTINCT case_id FROM anodes) c LEFT JOIN apex USING (case_id) LEFT JOIN org b ON b.case_id = c.case_id AND b.class_name = 'BT' LEFT JOIN org l ON l.case_id = c.case_id AND l.class_name = 'LCCA'),
+two AS (SELECT case_id, src AS n, dst AS m, class_name, artificial FROM aedges UNION ALL SELECT case_id, dst, src, class_name, artificial FROM aedges),
+contact AS (SELECT DISTINCT org.case_id, org.class_name AS a, f.class_name AS b FROM org JOIN two e ON e.case_id = org.case_id AND e.n = org.node_id JOIN two f ON f.case_id = e.case_id AND f.n = e.m AND NOT f.artificial)"""
+PAIRS = [("LCCA", "BT"), ("RSA", "AA"), ("RVA", "RSA"), ("LVA", "LCCA")]
 
 
 @query("q2_5_18_arch_type", f"WITH {ARCH} SELECT case_id, arch_type FROM arch")
@@ -250,7 +299,14 @@ def arch_type(spark, d):
     return S.arch_type(anatomy(spark, d)[0])
 
 
-@query("q2_11_9_anatomy_row", f"WITH {ARCH}, two AS (SELECT case_id, src AS n, dst AS m FROM aedges UNION SELECT case_id, dst, src FROM aedges), r0 AS (SELECT case_id, node_id AS n FROM anodes WHERE class_name = 'LCCA'), r1 AS (SELECT * FROM r0 UNION SELECT case_id, m FROM r0 JOIN two USING (case_id, n)), r2 AS (SELECT * FROM r1 UNION SELECT case_id, m FROM r1 JOIN two USING (case_id, n)), bov AS (SELECT DISTINCT r2.case_id FROM r2 JOIN anodes a ON a.case_id = r2.case_id AND node_id = n WHERE class_name = 'BT'), lv AS (SELECT two.case_id, p.class_name, min(a.hierarchy) AS lv FROM two JOIN anodes p ON p.case_id = two.case_id AND p.node_id = n JOIN anodes a ON a.case_id = two.case_id AND a.node_id = m AND a.class_name = 'AA' WHERE p.class_name IN ('RSA', 'LSA') GROUP BY ALL) SELECT case_id, arch_type, case_id IN (SELECT case_id FROM bov) AS bovine, r.lv IS NOT NULL AND coalesce(r.lv < l.lv, true) AS arsa FROM arch LEFT JOIN (SELECT case_id, lv FROM lv WHERE class_name = 'RSA') r USING (case_id) LEFT JOIN (SELECT case_id, lv FROM lv WHERE class_name = 'LSA') l USING (case_id)")
+@query("q2_7_21_contact_flags", f"WITH {ARCH} SELECT c.case_id, p.a, p.b, EXISTS (SELECT 1 FROM contact k WHERE k.case_id = c.case_id AND k.a = p.a AND k.b = p.b) AS touches FROM (SELECT DISTINCT case_id FROM anodes) c, (VALUES {', '.join(map(str, PAIRS))}) AS p(a, b)")
+def contact_flags(spark, d):
+    nodes, edges = anatomy(spark, d)
+    each = [G.contact_flags(nodes, edges, a, b).select("case_id", F.lit(a).alias("a"), F.lit(b).alias("b"), "touches") for a, b in PAIRS]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query("q2_11_9_anatomy_row", f"WITH {ARCH} SELECT case_id, arch_type, EXISTS (SELECT 1 FROM contact k WHERE k.case_id = arch.case_id AND k.a = 'LCCA' AND k.b = 'BT') AS bovine, EXISTS (SELECT 1 FROM contact k WHERE k.case_id = arch.case_id AND k.a = 'RSA' AND k.b = 'AA') AND coalesce(r.hierarchy < l.hierarchy, false) AS arsa FROM arch LEFT JOIN (SELECT case_id, hierarchy FROM org WHERE class_name = 'RSA') r USING (case_id) LEFT JOIN (SELECT case_id, hierarchy FROM org WHERE class_name = 'LSA') l USING (case_id)")
 def anatomy_row(spark, d):
     return A.anatomy_row(*anatomy(spark, d))
 
@@ -269,19 +325,33 @@ def pathway_types(spark, d):
     return A.pathway_types(n, ["case_id", "config"]).select("case_id", "config", F.array_join("types", " ").alias("types"), F.aggregate("vector", F.lit(0), lambda a, b: a + b).alias("ones"))
 
 
-STEP = "sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2))"
-CELLFEAT = f"WITH {ANATOMY}, {ALONG}, st AS (SELECT walk.case_id, cell_id, radius, walk.hierarchy AS hierarchy, x, y, z, {STEP} AS step FROM walk JOIN anodes a ON a.case_id = walk.case_id AND a.node_id = walk.node_id WINDOW w AS (PARTITION BY walk.case_id, cell_id ORDER BY walk.hierarchy)), cf AS (SELECT {C}, coalesce(sum(step), 0) AS length, 2 * avg(radius) AS mean_diameter, 2 * arg_min(radius, hierarchy) AS proximal_diameter, sqrt(pow(arg_min(x, hierarchy) - arg_max(x, hierarchy), 2) + pow(arg_min(y, hierarchy) - arg_max(y, hierarchy), 2) + pow(arg_min(z, hierarchy) - arg_max(z, hierarchy), 2)) AS chord FROM st GROUP BY ALL)"
+def _features(ctes: str, rows: str) -> str:
+    """The 22 features of other points (with the radius as curvature and y as polar, see q2_5_14_segment_features)."""
+    return ORACLES["q2_5_14_segment_features"].replace(f"WITH {PTS}", f"WITH RECURSIVE {ctes}, points AS ({rows})")
 
 
-@query("q2_11_7_features_by_cell", f"{CELLFEAT} SELECT {C}, round(length, 5) AS length, round(1 - chord / nullif(length, 0), 5) AS tortuosity, round(mean_diameter, 5) AS mean_diameter, round(proximal_diameter, 5) AS proximal_diameter FROM cf")
+def _own_locals(nodes):
+    """Nodes with local features of their own, as the oracles have them."""
+    return nodes.withColumns({"curvature": F.col("radius") / 4, "polar": F.col("y") / 10})
+
+
+def _rounded(f):
+    return f.select(*KEYS, *(F.round(c, 5 if c == "bending_length" else 6).alias(c) for c in FEATURES))
+
+
+@query("q2_11_7_features_by_cell", _features(f"{ANATOMY}, {ALONG}", "SELECT walk.case_id, cell_id, CAST(walk.hierarchy AS INTEGER) AS point_idx, x, y, z, radius, 0 AS blanking FROM walk JOIN anodes a ON a.case_id = walk.case_id AND a.node_id = walk.node_id"))
 def features_by_cell(spark, d):
-    return A.features_by_cell(*anatomy(spark, d)).select(*KEYS, *(F.round(c, 5).alias(c) for c in ("length", "tortuosity", "mean_diameter", "proximal_diameter")))
+    nodes, edges = anatomy(spark, d)
+    return _rounded(A.features_by_cell(_own_locals(nodes), edges))
 
 
-@query("q2_11_8_features_by_vessel")
+@query("q2_11_8_features_by_vessel", _features(CHAINED, "SELECT case_id, v.class_name AS cell_id, CAST(v.hierarchy AS INTEGER) AS point_idx, x, y, z, radius, 0 AS blanking FROM (SELECT case_id, class_name, node_id, hierarchy FROM one UNION ALL SELECT case_id, class_name, node_id, hierarchy FROM conc) v JOIN anodes USING (case_id, node_id) QUALIFY count(*) OVER (PARTITION BY case_id, v.class_name) >= 3"))
 def features_by_vessel(spark, d):
-    f = A.features_by_vessel(*anatomy(spark, d))
-    return f.select(*KEYS, *(F.round(c, 4).alias(c) for c in f.columns if c not in KEYS))
+    nodes, edges = anatomy(spark, d)
+    return _rounded(A.features_by_vessel(_own_locals(nodes), edges))
+
+
+STEP = "sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2))"
 
 
 @query("q2_11_6_local_features", f"WITH {ARC}, vx AS (SELECT case_id, CAST(trunc(x) AS INTEGER) AS i, CAST(trunc(y) AS INTEGER) AS j, CAST(trunc(z) AS INTEGER) AS k, max(radius) AS value FROM points GROUP BY ALL) SELECT p.case_id, cell_id, point_idx, round(arc, 5) AS accumulated, round(value, 5) AS value FROM arcs p LEFT JOIN vx ON vx.case_id = p.case_id AND i = CAST(trunc(x) AS INTEGER) AND j = CAST(trunc(y) AS INTEGER) AND k = CAST(trunc(z) AS INTEGER)")
@@ -300,19 +370,24 @@ def _lines(spark, d):
 
 
 LINE = f"{ANATOMY}, ln AS (SELECT case_id, CAST(0 AS BIGINT) AS cell_id, CAST(CASE WHEN node_id >= 25 THEN node_id - 8 ELSE node_id END AS INTEGER) AS point_idx, x, y, z, radius, class_name FROM anodes WHERE node_id <= 16 OR node_id BETWEEN 25 AND 32)"
-WHOLE = f"st AS (SELECT *, {STEP} AS step FROM ln WINDOW w AS (PARTITION BY case_id ORDER BY point_idx)), gl AS (SELECT case_id, cell_id, sum(step) AS length, 2 * avg(radius) AS mean_diameter, 2 * stddev_pop(radius) AS std_diameter, count(*) AS n, sqrt(pow(arg_min(x, point_idx) - arg_max(x, point_idx), 2) + pow(arg_min(y, point_idx) - arg_max(y, point_idx), 2) + pow(arg_min(z, point_idx) - arg_max(z, point_idx), 2)) AS chord FROM st GROUP BY ALL)"
+GLOBAL = ["tortuosity", "length", "mean_diameter", "std_diameter", "min_polar", "polar", "azimuth"]
+HOT = "[" + ", ".join(f"max(CASE WHEN class_name = '{s}' THEN 1 ELSE 0 END)" for s in SLOTS) + "]"
 
 
-@query("q2_7_27_global_row", f"WITH {LINE}, {WHOLE} SELECT {C}, CAST(case_id % 2 AS INTEGER) AS side, round(length, 5) AS length, round(1 - chord / length, 5) AS tortuosity, round(mean_diameter, 5) AS mean_diameter, round(std_diameter, 5) AS std_diameter FROM gl")
+@query("q2_7_27_global_row", f"WITH {LINE}, f AS ({_features(LINE, 'SELECT *, 0 AS blanking FROM ln')}), v AS (SELECT {C}, array_to_string({HOT}, ' ') AS vector FROM ln GROUP BY ALL) SELECT {C}, CAST(case_id % 2 AS INTEGER) AS side, {', '.join(GLOBAL)}, vector FROM f JOIN v USING ({C})")
 def global_row(spark, d):
-    g = A.global_row(_lines(spark, d), (F.col("case_id") % 2).cast("int"))
-    return g.select(*KEYS, "side", *(F.round(c, 5).alias(c) for c in ("length", "tortuosity", "mean_diameter", "std_diameter")))
+    g = A.global_row(_own_locals(_lines(spark, d)), (F.col("case_id") % 2).cast("int"))
+    return g.select(*KEYS, "side", *r6(*GLOBAL), F.array_join("vector", " ").alias("vector"))
+
 
+#: Local features that the vector's slots are compared with.
+LOCAL = {"polar": "y / 10", "azimuth": "x / 50", "curvature": "radius / 4", "torsion": "z / 100", "blanking": "point_idx % 2", "value": "x * 2", "accumulated": "z * 3"}
 
-@query("q2_7_28_node_vector", f"WITH {LINE} SELECT {C}, point_idx, CAST(24 AS INTEGER) AS size, round(x, 6) AS x, round(2 * radius, 6) AS diameter, CAST(1 AS DOUBLE) AS ones FROM ln")
+
+@query("q2_7_28_node_vector", f"WITH {LINE}, v AS (SELECT {C}, point_idx, [x, y, z, 2 * radius, {', '.join(LOCAL.values())}, {', '.join(f'CASE WHEN class_name = {chr(39)}{s}{chr(39)} THEN 1 ELSE 0 END' for s in SLOTS)}]::DOUBLE[] AS v FROM ln) SELECT {C}, point_idx, CAST(slot - 1 AS INTEGER) AS slot, round(v[slot], 6) AS value FROM v, range(1, len(v) + 1) t(slot)")
 def node_vector(spark, d):
-    v = A.node_vector(A.local_features(_lines(spark, d).withColumn("blanking", F.lit(0))))
-    return v.select(*KEYS, "point_idx", F.size("vector").alias("size"), F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[3], 6).alias("diameter"), F.aggregate(F.slice("vector", 11, 14), F.lit(0.0), lambda a, b: a + b).alias("ones"))
+    p = _lines(spark, d).withColumns({k: F.expr(v) for k, v in LOCAL.items()})
+    return A.node_vector(p).select(*KEYS, "point_idx", F.posexplode("vector").alias("slot", "value")).select(*KEYS, "point_idx", "slot", *r6("value"))
 
 
 @query("q2_11_11_access_rows", f"WITH {LINE} SELECT {C}, count(*) AS nodes, count(DISTINCT class_name) AS segments, count(DISTINCT class_name) - 1 AS edges FROM ln GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT class_name) > 1")
@@ -371,10 +446,16 @@ def bulb_landmark(spark, d):
     return Q.bulb_landmark(turns, marks, {"LCA": "l-bulb", "RCA": "r-bulb"}).select("case_id", "vessel", "x", "how")
 
 
-@query("q2_11_15_reference_corner", "SELECT s_suppkey AS case_id, s_suppkey + 64.5::DOUBLE AS x, 64.5::DOUBLE AS y, 1.0::DOUBLE AS z FROM supplier")
+CORNER = "img AS (SELECT s_suppkey AS case_id, s_suppkey % 3 AS o, 0.3 + (s_suppkey % 5) / 10.0::DOUBLE AS s, s_acctbal / 100 AS t, 100 + s_suppkey % 400 AS size_y FROM supplier)"
+
+
+@query("q2_11_15_reference_corner", f"WITH {CORNER}, c AS (SELECT *, CASE WHEN o = 0 THEN 150 ELSE 350 END * 0.43::DOUBLE / s AS i, CASE WHEN o = 2 THEN size_y ELSE 0 END AS j FROM img) SELECT case_id, round(CASE WHEN o = 0 THEN s ELSE -s END * i + t, 6) AS x, round(CASE WHEN o = 2 THEN -s ELSE s END * j + 2 * t, 6) AS y, round(3 * t, 6) AS z FROM c")
 def reference_corner(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), F.col("s_suppkey").cast("double").alias("corner_x"), F.lit(0.0).alias("corner_y"), F.lit(1.0).alias("corner_z"))
-    return Q.reference_corner(s)
+    k, t = F.col("s_suppkey"), F.col("s_acctbal") / 100
+    s, zero = F.lit(0.3) + (k % 5) / 10.0, F.lit(0.0)
+    across, along = F.when(k % 3 == 0, s).otherwise(-s), F.when(k % 3 == 2, -s).otherwise(s)
+    affine = F.array(across, zero, zero, t, zero, along, zero, 2 * t, zero, zero, s, 3 * t, zero, zero, zero, F.lit(1.0))
+    return Q.reference_corner(table(spark, d, "supplier").select(k.alias("case_id"), affine.alias("affine"), (100 + k % 400).alias("size_y"))).select("case_id", *r6(*"xyz"))
 
 
 @query("q2_10_1_incremental_cases", "SELECT o_custkey AS case_id, o_orderkey AS settings, round(o_totalprice * 2, 2) AS v FROM orders")
