@@ -256,6 +256,18 @@ def test_pages_of_many_kinds(page, want):
     assert htmltext.main_text(f"<html><body>{page}</body></html>").split("\n") == want
 
 
+#: Parts between two long paragraphs of an article, named by id or class: those that stay, and those that go.
+STAY = ["<h2 id=menu>#</h2>", "<h2 id=comments-on-the-text>#</h2>", "<h2 id=related-work>#</h2>", "<h3 id=share-prices>#</h3>", "<h2 class=menu>#</h2>", f"<section id=navigation><h2>#</h2><p>{PROSE * 2}</p></section>", f"<blockquote class=promo-quote><p># {PROSE * 2}</p></blockquote>", f"<div class=image-overlay><p># {PROSE * 2}</p></div>", f"<section id=social><p># {PROSE * 2}</p></section>", "<figure><img><figcaption>#</figcaption></figure>", f"<details><summary>#</summary><p>{PROSE}</p></details>", "<p>#</p>"]
+GO = ["<div class=ad>#</div>", f"<div class=ad-box><p># {PROSE}</p></div>", "<div id=newsletter><p>#</p><button>Go</button></div>", f"<section id=comments><p># {PROSE}</p></section>", f"<div class=comments><div class=comment><p># {PROSE}</p></div></div>", "<aside>#</aside>", "<div class=cookie-banner># <button>ok</button></div>", "<nav>#</nav>", "<div class=related-links><a>#</a><a>two</a><a>three</a></div>", "<div id=menu><a>#</a><a>b</a></div>", "<div class=promo-quote><a># more</a></div>"]
+
+
+@pytest.mark.parametrize(("part", "stays"), [*((p, True) for p in STAY), *((p, False) for p in GO)])
+def test_names_alone_condemn_no_text(part, stays):
+    page = f"<html><body><nav><a>x</a></nav><article><h1>T</h1><p>{PROSE * 3}</p>{part}<p>{PROSE * 3}</p></article><footer>c</footer></body></html>"
+    got = htmltext.main_text(page)
+    assert ("#" in got) == stays and got.count(PROSE.strip()) >= 2 and got.startswith("T\n")
+
+
 def test_pages_of_any_depth_and_size():
     deep = "<div>" * 3000 + f"<nav><a href=1>menu</a></nav><p>{PROSE * 3}</p>" + "</div>" * 3000
     assert htmltext.main_text(deep) == (PROSE * 3).strip()

@@ -14,8 +14,12 @@ and that are less dense than the threshold are cut.
 Names are a prior only. Kinds of elements and words in class and id weigh a part's density, in the sums
 and against the threshold: parts that are named as menu, advert, notice, form or reader comments weigh
 nothing, parts with a name that may also be a subject ("related", "social") a fifth, so dense text under
-such a name stays. A named part that holds the page's title or most of its text is its frame and weighs
-as any other. Without any name the densities alone decide.
+such a name stays. Headings are never weighed by a name. A name is a class, or a whole id, all of whose words
+are names or say nothing ("ad-box"). An id with other words is none; a class with other words ("promo-quote"), and
+within an article any id but that of reader comments, is believed only if links, controls or short lines bear
+it out.
+A named part that holds the page's title or most of its text is its frame and weighs as any other. Without
+any name the densities alone decide.
 
 Blocks (paragraphs, headings, list items, cells, and lines that <br> ends) are joined by one newline,
 white space inside a block becomes one space. Preformatted text is treated alike.
@@ -55,7 +59,12 @@ SURE = frozenset(
 )
 UNSURE = frozenset("banner notice notices alert aside widget widgets related recommended recommendations share sharing social reply discussion header skip copyright disclaimer".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words beside a name that say nothing of the subject.
+NEUTRAL = frozenset("box container wrapper wrap block section bar list inner outer top bottom left right site page js slot area panel link links item items content holder group unit title main primary secondary user reader thread form body text button row col module post entry fixed sticky mobile desktop small large global id".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DOUBT = 0.2
+#: Share of link characters, and characters of the longest block, that bear a doubtful name out.
+LINKED, SHORT = 0.2, 60
 #: Share of the page's text that a named part holds if it is the page's frame.
 NEARLY_ALL = 0.95
 #: An element on the left ends open elements on the right when it starts.
@@ -64,10 +73,10 @@ SCOPE = frozenset("ul ol dl table div article section main body html aside nav f
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "controls")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
-        self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
+        self.tag, self.attrs, self.up, self.kids, self.controls = tag, attrs, up, [], 0
 
 
 class _Tree(HTMLParser):
@@ -144,24 +153,42 @@ def drop_silent(root: Node) -> None:
     stack = [root]
     while stack:
         at = stack.pop()
+        at.controls = sum(1 for k in at.kids if not isinstance(k, str) and k.tag in CONTROLS)
         at.kids = [k for k in at.kids if isinstance(k, str) or not _is_silent(k)]
         stack += [k for k in at.kids if not isinstance(k, str)]
 
 
-def _named(node: Node, inside_article: bool) -> tuple[float, bool]:
-    """Weight that a node's kind and names give it, and whether they name reader comments."""
-    if node.tag in ("article", "main", "h1"):
-        return 1.0, False
+def _names(value: str) -> list[set[str]]:
+    """Words of each name in a class or id."""
+    return [set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())) for v in value.split()]
+
+
+def _named(node: Node, inside_article: bool) -> tuple[float, bool, bool]:
+    """Weight that a node's kind and names give it, whether they name reader comments, and whether that is doubtful."""
+    if node.tag in HEADINGS or node.tag in ("article", "main"):
+        return 1.0, False, False
     attrs = node.attrs
-    weight = 0.0 if node.tag in FRAME or attrs.get("role", "").lower() in ROLES or node.tag == "header" and not inside_article else 1.0
-    if "class" in attrs or "id" in attrs:
-        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-        words = set(re.findall(r"[a-z]+", names.lower()))
-        if words & SURE:
-            return 0.0, bool(words & COMMENTS) and node.tag not in FLOW
-        if words & UNSURE and not (inside_article and node.tag == "header"):
-            weight = min(weight, DOUBT)
-    return weight, False
+    if node.tag in FRAME or attrs.get("role", "").lower() in ROLES or node.tag == "header" and not inside_article:
+        return 0.0, False, False
+    found = (1.0, False, False)
+    for words, is_id in [*((w, False) for w in _names(attrs.get("class", ""))), *((w, True) for w in _names(attrs.get("id", "").replace(" ", "-")))]:
+        sure, unsure = words & SURE, words & UNSURE
+        whole = words <= SURE | UNSURE | NEUTRAL
+        doubtful = not whole or is_id and inside_article and not words & COMMENTS
+        if sure and not doubtful:
+            return 0.0, bool(words & COMMENTS) and node.tag not in FLOW, False
+        if is_id and not whole:
+            continue
+        if sure:
+            found = min(found, (0.0, False, True))
+        elif unsure and not (inside_article and node.tag == "header"):
+            found = min(found, (DOUBT, False, doubtful))
+    return found
+
+
+def _borne_out(f: Figures) -> bool:
+    """Whether links, controls or short lines only say that a part isn't running text."""
+    return f.controls > 0 or f.link_chars >= LINKED * f.chars or f.longest < SHORT
 
 
 def priors(root: Node, figures: dict[Node, Figures]) -> dict[Node, float]:
@@ -183,21 +210,21 @@ def priors(root: Node, figures: dict[Node, Figures]) -> dict[Node, float]:
         within = inside or at.tag in ("article", "main")
         for kid in at.kids:
             if not isinstance(kid, str):
-                weight, comments = _named(kid, within)
+                weight, comments, doubtful = _named(kid, within)
                 f = figures[kid]
-                if weight < 1 and (comments or kid not in titled and (kid.tag in APART or f.chars - f.link_chars <= NEARLY_ALL * page)):
+                if weight < 1 and not (doubtful and not _borne_out(f)) and (comments or kid not in titled and (kid.tag in APART or f.chars - f.link_chars <= NEARLY_ALL * page)):
                     out[kid] = weight
                 stack.append((kid, within))
     return out
 
 
 class Figures:
-    """Characters, tags, link characters and link tags of a node, its density and density sum."""
+    """Characters, tags, link characters, link tags, controls and longest block of a node, its density and density sum."""
 
-    __slots__ = ("chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("chars", "tags", "link_chars", "link_tags", "controls", "line", "longest", "density", "total")
 
     def __init__(self) -> None:
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.controls = self.line = self.longest = 0
         self.density = self.total = 0.0
 
 
@@ -217,13 +244,18 @@ def measure(root: Node, named: bool = True) -> tuple[dict[Node, Figures], dict[N
     out: dict[Node, Figures] = {}
     for node in reversed(order):
         f = out[node] = Figures()
+        f.controls = node.controls
         for kid in node.kids:
             if isinstance(kid, str):
-                f.chars += len(" ".join(kid.split()))
+                f.chars += (n := len(" ".join(kid.split())))
+                f.line += n
             else:
                 g = out[kid]
+                f.controls, f.longest = f.controls + g.controls, max(f.longest, g.longest)
+                f.line += 0 if kid.tag in BLOCK else g.line
                 f.chars, f.tags = f.chars + g.chars, f.tags + g.tags + 1
                 f.link_chars, f.link_tags = f.link_chars + g.link_chars, f.link_tags + g.link_tags
+        f.longest = max(f.longest, f.line)
         if node.tag == "a":
             f.link_chars, f.link_tags = f.chars, f.tags + 1
     share = out[root].link_chars / max(1, out[root].chars)
