@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,41 @@ def test_peaks_and_pchip(spark):
     assert all(r["fit"] == pytest.approx(r["radius"]) for r in rows)
     with pytest.raises(Exception, match="fewer than four"):
         P.pchip(p.filter("point_idx < 3"), "x", "radius", F.lit(True), "fit").collect()
+
+
+def test_peak_places_by_brute_force():
+    rng = np.random.default_rng(5)
+
+    def brute(v, height, width):
+        out, k, n = [], 0, len(v)
+        while k < n:
+            b = k
+            while b + 1 < n and v[b + 1] == v[k]:
+                b += 1
+            if 0 < k and b < n - 1 and v[k - 1] < v[k] > v[b + 1] and v[k] >= height:
+                p, top = (k + b) // 2, v[k]
+                i = j = p
+                while i - 1 >= 0 and v[i - 1] <= top:
+                    i -= 1
+                while j + 1 < n and v[j + 1] <= top:
+                    j += 1
+                prominence = top - max(v[i : p + 1].min(), v[p : j + 1].min())
+                level = top - prominence / 2
+                lo, hi = p, p
+                while lo >= i and v[lo] > level:
+                    lo -= 1
+                while hi <= j and v[hi] > level:
+                    hi += 1
+                left = lo + (level - v[lo]) / (v[lo + 1] - v[lo]) if lo >= i else i
+                right = hi - (level - v[hi]) / (v[hi - 1] - v[hi]) if hi <= j else j
+                if right - left >= width:
+                    out.append((p, prominence, right - left))
+            k = b + 1
+        return out
+
+    for n in (0, 1, 2, 3, 5, 40, 300):
+        for digits in (0, 1, 6):
+            v = np.round(rng.normal(size=n).cumsum(), digits)
+            got = list(zip(*P.peak_places(v, -1.0, 1.5), strict=True))
+            want = brute(v, -1.0, 1.5)
+            assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:] for g in got], [w[1:] for w in want])

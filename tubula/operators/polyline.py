@@ -5,6 +5,7 @@ from __future__ import annotations
 
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -204,46 +205,99 @@ def gaussian_smooth(points: DataFrame, column: str, out: str, sigma: float = 2.0
     return weighted_window(points, column, out, (w / w.sum()).tolist(), "reflect")
 
 
+class _Spans:
+    """Minima and maxima of all stretches of 2^k values, so that a search or a range query takes a logarithm of steps; all
+    queries of a cell go at once."""
+
+    def __init__(self, v: np.ndarray):
+        self.low, self.high = [v], [v]
+        while 2 * (step := 1 << (len(self.low) - 1)) <= len(v):
+            for table, f in ((self.low, np.minimum), (self.high, np.maximum)):
+                table.append(f(table[-1][:-step], table[-1][step:]))
+
+    def nearest(self, at: np.ndarray, bound: np.ndarray, left: bool, higher: bool) -> np.ndarray:
+        """First place left or right of ``at`` whose value is above (or, if not ``higher``, at most) the bound; -1 or the
+        number of values where there is none."""
+        n, edge = len(self.low[0]), (at if left else at + 1).copy()
+        for k in reversed(range(len(self.low))):
+            step = 1 << k
+            begin = edge - step if left else edge
+            ok = begin >= 0 if left else begin + step <= n
+            at_ = np.where(ok, begin, 0)
+            skip = ok & (self.high[k][at_] <= bound if higher else self.low[k][at_] > bound)
+            edge = np.where(skip, begin if left else begin + step, edge)
+        return edge - 1 if left else edge
+
+    def least(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Smallest value of each stretch begin..end - 1, which isn't empty."""
+        k = np.frexp(end - begin)[1] - 1
+        out = np.empty(len(begin))
+        for level in np.unique(k):
+            own = k == level
+            out[own] = np.minimum(self.low[level][begin[own]], self.low[level][end[own] - (1 << int(level))])
+        return out
+
+
+def peak_places(v: np.ndarray, height: float, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of peaks in a line of values, their prominences and widths at half prominence."""
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
+    last = np.append(first[1:], len(v)) - 1
+    top = v[first]
+    inner = np.flatnonzero((top[1:-1] > top[:-2]) & (top[1:-1] > top[2:]) & (top[1:-1] >= height)) + 1
+    peak, top = (first[inner] + last[inner]) // 2, top[inner]
+    if not len(peak):
+        return peak, top, top
+    spans = _Spans(v)
+    left, right = (spans.nearest(peak, top, side, True) for side in (True, False))
+    prominence = top - np.maximum(spans.least(left + 1, peak + 1), spans.least(peak, right))
+    level = top - prominence / 2
+    lo, hi = (spans.nearest(peak, level, side, False) for side in (True, False))
+    cross = lambda at, to: (level - v[at]) / (v[to] - v[at])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        begin = np.where(lo > left, lo + cross(np.maximum(lo, 0), lo + 1), left + 1)
+        end = np.where(hi < right, hi - cross(np.minimum(hi, len(v) - 1), hi - 1), right - 1)
+    wide = end - begin >= width
+    return peak[wide], prominence[wide], (end - begin)[wide]
+
+
+def _ordered(cell: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A cell's rows in order and their values; rows without one are lower than any."""
+    cell = cell.sort_by("point_idx")
+    v = np.array(cell.column("v").fill_null(-np.inf).to_numpy(), float)
+    return cell, np.where(np.isnan(v), -np.inf, v)
+
+
 def peaks(points: DataFrame, column: str, height: float, width: float) -> DataFrame:
     """Rows that are local maxima (the middle of a plateau) of at least ``height`` whose width at half
     prominence is at least ``width``: keys, point_idx, value, prominence, width. The nearest higher row
-    on either side bounds the search, inside a cell; positions count rows."""
-    v = F.col("v")
-    rows = points.select(*KEYS, "point_idx", F.col(column).alias("v"), F.row_number().over(order()).alias("r"))
-    change = rows.withColumn("run", F.sum(F.when(v == F.lag("v").over(order()), 0).otherwise(1)).over(up_to()))
-    runs = change.groupBy(*KEYS, "run").agg(F.first("v").alias("v"), F.min("r").alias("a"), F.max("r").alias("b"))
-    by_run = Window.partitionBy(*KEYS).orderBy("run")
-    tops = runs.withColumn("p", F.lag("v").over(by_run)).withColumn("q", F.lead("v").over(by_run)).filter((F.col("p") < v) & (F.col("q") < v) & (v >= height)).select(*KEYS, v.alias("top"), F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("peak"))
-    j = tops.join(rows.select(*KEYS, "v", "r"), KEYS)
-    reach = j.groupBy(*KEYS, "peak", "top").agg(
-        F.coalesce(F.max(F.when((F.col("r") < F.col("peak")) & (v > F.col("top")), F.col("r"))), F.lit(0)).alias("left"),
-        F.coalesce(F.min(F.when((F.col("r") > F.col("peak")) & (v > F.col("top")), F.col("r"))), F.lit(1 << 30)).alias("right"),
-    )
-    inner = reach.join(rows.select(*KEYS, "v", "r"), KEYS).filter((F.col("r") > F.col("left")) & (F.col("r") < F.col("right")))
-    low = inner.groupBy(*KEYS, "peak", "top").agg(F.min(F.when(F.col("r") <= F.col("peak"), v)).alias("l"), F.min(F.when(F.col("r") >= F.col("peak"), v)).alias("m"))
-    prom = low.withColumn("prominence", F.col("top") - F.greatest("l", "m")).withColumn("level", F.col("top") - F.col("prominence") / 2)
-    near = prom.join(inner.select(*KEYS, "peak", "v", "r"), [*KEYS, "peak"])
-    sides = near.groupBy(*KEYS, "peak", "top", "prominence", "level").agg(
-        F.max_by(F.struct("r", "v"), F.when((F.col("r") <= F.col("peak")) & (v <= F.col("level")), F.col("r"))).alias("lo"),
-        F.min_by(F.struct("r", "v"), F.when((F.col("r") >= F.col("peak")) & (v <= F.col("level")), F.col("r"))).alias("hi"),
-        F.min("r").alias("first"), F.max("r").alias("last"),
-    )
-    s = sides.withColumns({"_lo": F.col("lo.r") + 1, "_hi": F.col("hi.r") - 1})
-    s = s.join(rows.select(*KEYS, F.col("r").alias("_lo"), F.col("v").alias("lv")), [*KEYS, "_lo"], "left").join(rows.select(*KEYS, F.col("r").alias("_hi"), F.col("v").alias("hv")), [*KEYS, "_hi"], "left")
-    left = F.coalesce(F.col("lo.r") + F.try_divide(F.col("level") - F.col("lo.v"), F.col("lv") - F.col("lo.v")), F.col("first"))
-    right = F.coalesce(F.col("hi.r") - F.try_divide(F.col("level") - F.col("hi.v"), F.col("hv") - F.col("hi.v")), F.col("last"))
-    found = s.withColumn("width", right - left).filter(F.col("width") >= width)
-    at = rows.select(*KEYS, F.col("r").alias("peak"), "point_idx")
-    return found.join(at, [*KEYS, "peak"]).select(*KEYS, "point_idx", F.col("top").alias("value"), "prominence", "width")
+    on either side bounds the search, inside a cell; positions count rows. One exchange: each cell's line is searched
+    by range tables, n log n for n rows whatever its peaks; rows without a value are lower than any."""
+    rows = points.select(*KEYS, "point_idx", F.col(column).cast("double").alias("v"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell, v = _ordered(cell)
+        at, prominence, wide = peak_places(v, height, width)
+        found = cell.take(pa.array(at))
+        return pa.table([*(found.column(k) for k in (*KEYS, "point_idx")), pa.array(v[at]), pa.array(prominence), pa.array(wide)], [*KEYS, "point_idx", "value", "prominence", "width"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in (*KEYS, "point_idx"))
+    return rows.groupBy(*KEYS).applyInArrow(run, f"{kinds}, value double, prominence double, width double")
 
 
 def curve_ids(points: DataFrame, column: str, height: float = 0.03, width: float = 10) -> DataFrame:
     """Adds curve_id: a cell is cut at the smallest value between consecutive peaks (the first on ties)."""
-    found = peaks(points, column, height, width).select(*KEYS, "point_idx")
-    pairs = found.withColumn("next", F.lead("point_idx").over(order())).filter("next is not null").select(*KEYS, F.col("point_idx").alias("_a"), "next")
-    between = points.select(*KEYS, "point_idx", column).join(pairs, KEYS).filter((F.col("point_idx") > F.col("_a")) & (F.col("point_idx") < F.col("next")))
-    cuts = between.groupBy(*KEYS, "_a").agg(F.min_by("point_idx", F.struct(column, "point_idx")).alias("point_idx")).select(*KEYS, "point_idx", F.lit(1).alias("_cut"))
-    return points.join(cuts, [*KEYS, "point_idx"], "left").withColumn("curve_id", F.sum(F.coalesce("_cut", F.lit(0))).over(up_to())).drop("_cut")
+    rows = points.select(*KEYS, "point_idx", F.col(column).cast("double").alias("v"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell, v = _ordered(cell)
+        at = peak_places(v, height, width)[0]
+        cut = np.zeros(len(v), np.int64)
+        # two peaks have at least one row between them
+        cut[[a + 1 + int(np.argmin(v[a + 1 : b])) for a, b in zip(at[:-1], at[1:])]] = 1
+        return pa.table([*(cell.column(k) for k in (*KEYS, "point_idx")), pa.array(np.cumsum(cut))], [*KEYS, "point_idx", "curve_id"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in (*KEYS, "point_idx"))
+    return points.join(rows.groupBy(*KEYS).applyInArrow(run, f"{kinds}, curve_id long"), [*KEYS, "point_idx"])
 
 
 def first_local_minimum(points: DataFrame, column: str, limit: float = 20.0, slack: float = 5.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tubula.functions import geom as G
 from tubula.operators import polyline as P
-from tubula.plans.registry import query
+from tubula.plans.registry import ORACLES, query
 from tubula.plans.views import ARC, CLOUD, EVT, PTS, W, cloud, events_line, points, table
 
 K = ["case_id", "cell_id", "point_idx"]
@@ -231,14 +231,29 @@ def gaussian_smooth(spark, d):
     return P.gaussian_smooth(events_line(spark, d), "y", "smooth").select("case_id", "point_idx", F.round("smooth", 5).alias("smooth"))
 
 
-@query("q2_4_10_peak_detection")
+#: Peaks of the smoothed values by self joins: plateaus, the nearest higher rows, prominences, and where half of it is crossed.
+PEAKS = f"""WITH sm AS ({ORACLES['q2_4_9_gaussian_smooth']}), rw AS (SELECT case_id, point_idx, smooth AS v, row_number() OVER w AS r, CASE WHEN smooth = lag(smooth) OVER w THEN 0 ELSE 1 END AS c FROM sm WINDOW w AS (PARTITION BY case_id ORDER BY point_idx)),
+rn AS (SELECT *, sum(c) OVER (PARTITION BY case_id ORDER BY r) AS run FROM rw), g AS (SELECT case_id, run, any_value(v) AS v, min(r) AS a, max(r) AS b FROM rn GROUP BY ALL),
+t AS (SELECT case_id, v AS top, (a + b) // 2 AS peak FROM g WINDOW w AS (PARTITION BY case_id ORDER BY run) QUALIFY lag(v) OVER w < v AND lead(v) OVER w < v AND v >= 0.03),
+rc AS (SELECT t.case_id, peak, top, coalesce(max(r) FILTER (r < peak AND v > top), 0) AS lft, coalesce(min(r) FILTER (r > peak AND v > top), 1 << 30) AS rgt FROM t JOIN rw USING (case_id) GROUP BY ALL),
+pr AS (SELECT rc.case_id, peak, top, lft, rgt, top - greatest(min(v) FILTER (r <= peak), min(v) FILTER (r >= peak)) AS prominence FROM rc JOIN rw ON rw.case_id = rc.case_id AND r > lft AND r < rgt GROUP BY rc.case_id, peak, top, lft, rgt),
+sd AS (SELECT pr.case_id, peak, top, prominence, top - prominence / 2 AS lev, max(r) FILTER (r <= peak AND v <= top - prominence / 2) AS lo, min(r) FILTER (r >= peak AND v <= top - prominence / 2) AS hi, min(r) AS fst, max(r) AS lst FROM pr JOIN rw ON rw.case_id = pr.case_id AND r > lft AND r < rgt GROUP BY pr.case_id, peak, top, prominence),
+wd AS (SELECT sd.*, coalesce(hi - (lev - h.v) / (h1.v - h.v), lst) - coalesce(lo + (lev - l.v) / (l1.v - l.v), fst) AS width FROM sd LEFT JOIN rw l ON l.case_id = sd.case_id AND l.r = lo LEFT JOIN rw l1 ON l1.case_id = sd.case_id AND l1.r = lo + 1 LEFT JOIN rw h ON h.case_id = sd.case_id AND h.r = hi LEFT JOIN rw h1 ON h1.case_id = sd.case_id AND h1.r = hi - 1),
+pk AS (SELECT wd.case_id, rw.point_idx, r, top AS value, prominence, width FROM wd JOIN rw ON rw.case_id = wd.case_id AND r = peak WHERE width >= 3)"""
+
+
+def _smoothed(spark, d):
+    return P.gaussian_smooth(events_line(spark, d), "y", "smooth").withColumn("smooth", F.round("smooth", 5))
+
+
+@query("q2_4_10_peak_detection", f"{PEAKS} SELECT case_id, point_idx, round(value, 6) AS value, round(prominence, 6) AS prominence, round(width, 6) AS width FROM pk")
 def peak_detection(spark, d):
-    return P.peaks(P.gaussian_smooth(events_line(spark, d), "y", "smooth"), "smooth", 0.03, 10).select("case_id", "point_idx", *r6("value", "prominence", "width"))
+    return P.peaks(_smoothed(spark, d), "smooth", 0.03, 3).select("case_id", "point_idx", *r6("value", "prominence", "width"))
 
 
-@query("q2_4_11_curve_ids")
+@query("q2_4_11_curve_ids", f"{PEAKS}, nx AS (SELECT case_id, r AS a, lead(r) OVER (PARTITION BY case_id ORDER BY r) AS b FROM pk), ct AS (SELECT nx.case_id, arg_min(r, (v, r)) AS r FROM nx JOIN rw ON rw.case_id = nx.case_id AND r > a AND r < b GROUP BY nx.case_id, a) SELECT rw.case_id, point_idx, CAST(count(ct.r) OVER (PARTITION BY rw.case_id ORDER BY rw.r) AS BIGINT) AS curve_id FROM rw LEFT JOIN ct ON ct.case_id = rw.case_id AND ct.r = rw.r")
 def curve_ids(spark, d):
-    return P.curve_ids(P.gaussian_smooth(events_line(spark, d), "y", "smooth"), "smooth").select("case_id", "point_idx", "curve_id")
+    return P.curve_ids(_smoothed(spark, d), "smooth", 0.03, 3).select("case_id", "point_idx", "curve_id")
 
 
 @query("q2_4_12_first_local_minimum", f"""WITH {EVT}, a AS (SELECT *, {_grad('y')} AS d1 FROM evt WINDOW w AS {W}), b AS (SELECT *, {_grad('d1')} AS d2, lead(d1) OVER w AS nx FROM a WINDOW w AS {W}),
