@@ -186,6 +186,8 @@ class CountAutomaton:
     arc that is there only for what follows it weighs 0."""
 
     FIELDS = ("word1", "n1", "to1", "state2", "word2", "n2", "to2", "state3", "word3", "n3")
+    #: Fields in ascending order, stored as differences.
+    ASCENDING = ("word1", "state2", "state3")
 
     def __init__(self, words: pa.Array, **arrays: np.ndarray):
         self.words = words
@@ -246,12 +248,14 @@ class CountAutomaton:
 
     def to_bytes(self) -> bytes:
         size = pc.binary_length(self.words).to_numpy(zero_copy_only=False)
-        arrays = [_small(size), *(_small(getattr(self, k)) for k in self.FIELDS)]
+        arrays = [_small(size), *(_small(np.diff(getattr(self, k), prepend=0) if k in self.ASCENDING else getattr(self, k)) for k in self.FIELDS)]
         head = np.array([len(arrays), *[x for y in arrays for x in (y.itemsize, len(y))]], np.int64)
-        return b"".join([head.tobytes(), *(x.tobytes() for x in arrays), b"".join(self.words.to_pylist())])
+        data = b"".join([head.tobytes(), *(x.tobytes() for x in arrays), b"".join(self.words.to_pylist())])
+        return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
     @staticmethod
     def from_bytes(data: bytes) -> CountAutomaton:
+        data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
         count = int(np.frombuffer(data, np.int64, 1)[0])
         shape = np.frombuffer(data, np.int64, 2 * count, 8).reshape(count, 2)
         at, arrays = 8 + 16 * count, []
@@ -260,7 +264,8 @@ class CountAutomaton:
             at += width * n
         offsets = np.concatenate([[0], np.cumsum(arrays[0])]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(arrays[0]), [None, pa.py_buffer(offsets), pa.py_buffer(data[at:])])
-        return CountAutomaton(words, **dict(zip(CountAutomaton.FIELDS, arrays[1:], strict=True)))
+        fields = {k: np.cumsum(x) if k in CountAutomaton.ASCENDING else x for k, x in zip(CountAutomaton.FIELDS, arrays[1:], strict=True)}
+        return CountAutomaton(words, **fields)
 
 
 SHARD = "lang string, entries long, words long, first array<binary>, second array<binary>, automaton binary"
