@@ -38,7 +38,7 @@ LEAST, SHARE, TOP = 10, 50, 2000
 #: Bytes of text, and words of one text, that are counted at once.
 TEXT_BYTES, CHUNK_WORDS = 2 << 20, 1 << 20
 #: N-grams of a shard, of a prefix range, and from one sampled key to the next.
-SHARD_ENTRIES, RANGE_ENTRIES, STEP = 1_000_000, 1_000_000, 8192
+SHARD_ENTRIES, RANGE_ENTRIES, STEP = 1_000_000, 2_000_000, 8192
 #: Keys that the driver may hold to choose borders; with more of them each is kept with a lower probability.
 MOST_KEYS = 1_000_000
 #: Parts that may be broadcast to the candidates (tens of MB).
