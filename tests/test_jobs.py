@@ -43,7 +43,7 @@ NEW = ["q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "
 @pytest.mark.parametrize("name", NEW)
 def test_queries_agree_with_their_oracle(spark, name):
     con = duckdb.connect()
-    for t in "orders lineitem part customer".split():
+    for t in "orders lineitem part customer supplier".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     queries, oracles = load()
     df = queries[name](spark, DIR)
