@@ -84,9 +84,19 @@ def availability(report: DataFrame, artefacts: list[str]) -> DataFrame:
     return long.groupBy("artefact").agg(F.count_if("there").alias("present"), F.count("there").alias("applicable"), F.array_sort(F.collect_list(F.when(~F.col("there"), F.col("case_id")))).alias("missing"))
 
 
+def run_outcomes(results: DataFrame) -> DataFrame:
+    """What became of each case (case_id, status): case_id, outcome. A status that begins with "error" is failed, "skipped" is
+    skipped, any other and none is processed."""
+    status = F.lower(F.coalesce(F.col("status"), F.lit("")))
+    return results.select("case_id", F.when(status.startswith("error"), "failed").when(status == "skipped", "skipped").otherwise("processed").alias("outcome"))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
-    """Counts of each status and their share."""
-    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Totals of a run in one row: cases, processed, skipped, failed, and the share of those not skipped that didn't fail (NULL
+    if all were skipped). The cases themselves are the rows of run_outcomes."""
+    is_ = lambda name: F.count_if(F.col("outcome") == name)
+    g = run_outcomes(results).agg(F.count(F.lit(1)).alias("cases"), *(is_(k).alias(k) for k in ("processed", "skipped", "failed")))
+    return g.withColumn("share", F.try_divide("processed", F.col("processed") + F.col("failed")))
 
 
 def findings_report(ranges: DataFrame, outliers: DataFrame) -> DataFrame:

@@ -385,9 +385,22 @@ def availability(spark, d):
     return Q.availability(inv, ["mask", "marks", "line"]).select("artefact", "present", "applicable", F.array_join("missing", " ").alias("missing"))
 
 
-@query("q2_5_35_run_summary", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+RUN = "run AS (SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'O' THEN 'processed' WHEN 'P' THEN 'skipped' ELSE 'failed' END AS outcome FROM orders)"
+
+
+def _run(spark, d):
+    status = F.col("o_orderstatus")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(status == "O", "done").when(status == "P", "skipped").otherwise(F.concat(F.lit("error: "), "o_orderpriority")).alias("status"))
+
+
+@query("q2_5_35_run_summary", f"WITH {RUN} SELECT count(*) AS cases, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed, round(count(*) FILTER (outcome = 'processed') / count(*) FILTER (outcome <> 'skipped'), 6) AS share FROM run")
 def run_summary(spark, d):
-    return Q.run_summary(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status"))
+    return Q.run_summary(_run(spark, d)).select("cases", "processed", "skipped", "failed", *r6("share"))
+
+
+@query("q2_5_35b_run_outcomes", f"WITH {RUN} SELECT case_id, outcome FROM run")
+def run_outcomes(spark, d):
+    return Q.run_outcomes(_run(spark, d))
 
 
 @query("q2_9_3_distinct_types", f"WITH {NODES} SELECT case_id, array_to_string(list_sort(list(DISTINCT class_name)), ',') AS types FROM nodes WHERE class_name <> 'Brand#1' GROUP BY 1")
