@@ -234,3 +234,38 @@ def test_entries_of_the_lowest_slice(spark):
     ends = spark.createDataFrame([(0, 7, 3.0, 0.0), (0, 8, 20.0, 0.0), (1, 9, 99.0, 0.0)], "case_id long, end_id long, x double, y double")
     got = sorted((r["case_id"], r["end_id"] or -1, r["x"], r["y"]) for r in voxels.entry_points(spark.createDataFrame(rows, "case_id long, i int, j int, k int"), ends, 2, 30.0).collect())
     assert got == [(0, 7, 3, 0), (1, -1, 1, 0)]  # the nearest end is taken, the small component isn't an entry, a missing end is added
+
+
+def test_bridges_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    nodes = [(c, 10 * k + i, rng.choice(["AA", "BT", "LSA", None]), x + i * 3.0, y, z, 1.0, 0) for c in (0, 1) for k in range(12) for x, y, z in [[rng.uniform(0, 110) for _ in range(3)]] for i in range(rng.randrange(1, 6))]
+    edges = [(c, n, n + 1, 0, "AA", 1.0, False) for c, n, *_ in nodes if (c, n + 1) in {(r[0], r[1]) for r in nodes}]
+    parent = {"BT": "AA", "LSA": "BT"}
+    got = graph.join_components(spark.createDataFrame(nodes, N), spark.createDataFrame(edges, E), parent, F.col("node_id") < 10, 45.0)
+    want, joined = set(), {(c, 0) for c in (0, 1)}
+    while True:
+        best = {}
+        for a in nodes:
+            for b in nodes:
+                if a[0] == b[0] and (a[0], a[1] // 10) not in joined and (b[0], b[1] // 10) in joined and (d := math.dist(a[3:6], b[3:6])) <= 45:
+                    rank = 0 if a[2] and a[2] == b[2] else 1 if b[2] and parent.get(a[2]) == b[2] else 2
+                    key = a[0], a[1] // 10
+                    best[key] = min(best.get(key, (9,)), (rank, d, a[1], b[1]))
+        if not best:
+            break
+        want |= {(k[0], m[2], m[3]) for k, m in best.items()}
+        joined |= set(best)
+    assert {(r["case_id"], r["src"], r["dst"]) for r in got.collect()} == want
+    assert len(want) > 8
+
+
+def test_medians_of_wide_brackets(spark):
+    import random
+    import statistics
+
+    rng = random.Random(5)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3000)] + [("b", float(rng.randrange(3))) for _ in range(2000)] + [("c", 7.0)] * 500 + [("d", 10.0 ** rng.uniform(-200, 200)) for _ in range(2001)] + [("e", v) for v in (0.0, 1.0) for _ in range(300)]
+    got = {r["feature"]: r["median"] for r in quality.medians(spark.createDataFrame(rows, "feature string, value double"), reach=0.2, most=20, steps=16).collect()}
+    assert got == {k: statistics.median([v for f, v in rows if f == k]) for k in "abcde"}

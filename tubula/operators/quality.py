@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tubula.functions.geom import axis_codes, dist, to_ras
+from tubula.functions.runtime import cut_lineage, discard
 
 
 def collect_features(cohort: DataFrame, features: DataFrame, long_features: DataFrame) -> DataFrame:
@@ -38,22 +39,52 @@ def range_findings(df: DataFrame, ranges: DataFrame) -> DataFrame:
     return long.join(ranges, "feature").filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select("case_id", "feature", "value", "low", "high")
 
 
-def medians(long: DataFrame, key: str = "feature", value: str = "value", reach: float = 1e-3) -> DataFrame:
-    """Exact medians of the values of each key, with bounded state: approximate quantiles just below and above
-    the middle bracket the median (their rank error is a tenth of ``reach``); values below the bracket are
-    counted, and only those inside it are put in order. Returns the key, n, median and varied (whether there
-    are more than two distinct values)."""
+def medians(long: DataFrame, key: str = "feature", value: str = "value", reach: float = 1e-3, most: int = 50_000, steps: int = 200) -> DataFrame:
+    """Exact medians of the values of each key, with bounded state: approximate quantiles just below and above the middle bracket
+    the median (their rank error is a tenth of ``reach``), and values below the bracket are counted. While more than
+    ``most`` values lie inside the bracket of any key, ``steps`` quantiles of these narrow it, to about 4 / steps of them a
+    round whatever their distribution; repeated values at its ends count as one. Only what a bracket holds then is put in
+    order. Returns the key, n, median and varied (whether there are more than two distinct values)."""
     v = F.col(value)
-    bounds = long.filter(v.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.percentile_approx(v, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(int(10 / reach))).alias("_q"))
-    j = long.filter(v.isNotNull()).join(bounds, key)
-    inside = v.between(F.col("_q")[0], F.col("_q")[1])
-    first = j.groupBy(key, F.when(inside, v).alias("_v")).agg(F.count_if(v < F.col("_q")[0]).alias("_below"), F.count(F.lit(1)).alias("_m"), F.first("n").alias("n"), F.bool_or((v > F.col("_min")) & (v < F.col("_max"))).alias("_other"))
-    w = Window.partitionBy(key)
-    ranked = first.withColumns({"_before": F.sum("_below").over(w), "varied": F.bool_or("_other").over(w)}).filter("_v is not null")
-    upto = F.col("_before") + F.sum("_m").over(w.orderBy("_v"))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    long = long.select(key, value).filter(v.isNotNull())
+    first = long.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.percentile_approx(v, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(int(10 / reach))).alias("_q"))
+    state = _counted(long, first.select(key, "n", "_min", "_max", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high")), key, v)
+    while state.filter(F.col("_inside") > most).limit(1).count():
+        wide = F.col("_inside") > most
+        narrow = _counted(long, _narrower(long, state.filter(wide), key, v, steps), key, v)
+        old, state = state, cut_lineage(narrow.unionByName(state.filter(~wide)))
+        discard(old, narrow)
+    own = long.join(state, key).filter(v.between(F.col("_low"), F.col("_high")))
+    ranked = own.groupBy(key, "n", "varied", "_below", v.alias("_v")).agg(F.count(F.lit(1)).alias("_m")).withColumn("_upto", F.col("_below") + F.sum("_m").over(Window.partitionBy(key).orderBy("_v")))
     at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
-    return ranked.withColumn("_upto", upto).groupBy(key, "n", "varied").agg(((at(low) + at(high)) / 2).alias("median"))
+    low, high = _middle_ranks()
+    return ranked.groupBy(key, "n", "varied").agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def _middle_ranks() -> tuple[Column, Column]:
+    """The two middle ranks of n values, from 1; the same one for odd n."""
+    return F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+
+
+def _counted(long: DataFrame, brackets: DataFrame, key: str, v: Column) -> DataFrame:
+    """Brackets with the number of values below, at the lower end, and strictly inside, stored."""
+    low, high, held = F.col("_low"), F.col("_high"), [c for c in brackets.columns if c not in (key, "_low", "_high")]
+    bounds = cut_lineage(brackets)
+    counts = [F.count_if(v < low).alias("_below"), F.count_if(v == low).alias("_at"), F.count_if((v > low) & (v < high)).alias("_inside"), F.bool_or((v > F.col("_min")) & (v < F.col("_max"))).alias("varied")]
+    out = cut_lineage(long.join(bounds.drop("varied"), key).groupBy(key).agg(*(F.first(c).alias(c) for c in held if c != "varied"), F.first(low).alias("_low"), F.first(high).alias("_high"), *counts))
+    discard(bounds)
+    return out
+
+
+def _narrower(long: DataFrame, state: DataFrame, key: str, v: Column, steps: int) -> DataFrame:
+    """Narrower brackets of keys: the quantiles of what lies inside that surround the middle ranks."""
+    inside = long.join(state, key).filter((v > F.col("_low")) & (v < F.col("_high")))
+    grid = inside.groupBy(key).agg(F.percentile_approx(v, F.array(*(F.lit(i / steps) for i in range(steps + 1))), F.lit(10 * steps)).alias("_q"))
+    low, high = ((rank - F.col("_below") - F.col("_at")) / F.col("_inside") * steps for rank in _middle_ranks())
+    under, over = F.floor(low).cast("int") - 1, F.ceil(high).cast("int") + 1
+    new_low = F.when(under > 0, F.get("_q", F.least(under, F.lit(steps)))).otherwise(F.col("_low"))
+    new_high = F.when(over < steps, F.get("_q", F.greatest(over, F.lit(1)))).otherwise(F.col("_high"))
+    return state.join(grid, key).select(key, "n", "_min", "_max", new_low.alias("_l"), new_high.alias("_high")).withColumnRenamed("_l", "_low")
 
 
 def mad_outliers(long: DataFrame, limit: float = 3.5, least: int = 8, flagged: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from tubula.operators import vessels as A
 from tubula.operators import voxels as V
 from tubula.operators.polyline import KEYS
 from tubula.plans.aggregates import FEATURES
+from tubula.plans.cohorts import BRIDGES
 from tubula.plans.lines import GAUSS, _grad, r6
 from tubula.plans.registry import ORACLES, query
 from tubula.plans.views import ANATOMY, ARC, CLOUD, NODES, PTS, TREE, VESSELS, VOX, anatomy, cloud, events_line, points, table, tree, tree_nodes, voxels
@@ -490,7 +491,7 @@ def centre_and_vector_norm(spark, d):
     return Q.vector_norm(Q.normalize(e, stats), ["user_id"], "value", "unit").select("case_id", F.round("normal", 6).alias("centred"), *r6("unit"))
 
 
-@query("q2_7_22b_attached_nodes")
+@query("q2_7_22b_attached_nodes", f"{BRIDGES} SELECT case_id, node_id FROM lab WHERE (case_id, component) IN (SELECT * FROM in3)")
 def attached_nodes(spark, d):
     nodes, edges = tree_nodes(spark, d), tree(spark, d).filter("src >= 6")
     main = F.col("node_id") == 6

@@ -9,19 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_incremental(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, job: Callable[[DataFrame], DataFrame], keys: list[str]) -> None:
-    """Process the Parquet files that came since the last run, once. The keys of each batch are appended to
-    ``out``_keys under the batch's number; a batch leaves out keys that earlier batches have, and if it runs
-    again after a failure it writes its own results and keys anew."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}_keys")
+def run_incremental(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, job: Callable[[DataFrame], DataFrame], keys: list[str], buckets: int = 64) -> None:
+    """Process the Parquet files that came since the last run, once. The keys of each batch are appended to ``out``_keys,
+    which is split into ``buckets`` by a hash of the keys: a batch leaves out keys that earlier batches have, and reads
+    only the buckets that its own keys are in. If it runs again after a failure, it writes its own results and keys
+    anew. Set ``buckets`` to some multiple of the keys of a usual batch, and don't change it afterwards."""
+    table = f"{out}_keys"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(table)
     files = fs_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def batch(df: DataFrame, number: int) -> None:
+        df = df.withColumn("_bucket", bucket)
         if files.exists(fs_path):
-            done = spark.read.parquet(f"{out}_keys").filter(F.col("batch") < number).select(*keys)
-            df = df.join(done, keys, "left_anti")
-        job(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        df.select(*keys).distinct().write.mode("overwrite").parquet(f"{out}_keys/batch={number}")
+            touched = [r[0] for r in df.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            done = spark.read.parquet(table).filter(F.col("_bucket").isin(touched) & (F.col("batch") < number)).select("_bucket", *keys)
+            df = df.join(done, ["_bucket", *keys], "left_anti")
+        job(df.drop("_bucket")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        df.select(*keys, "_bucket").distinct().repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/batch={number}")
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
