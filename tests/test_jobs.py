@@ -37,7 +37,7 @@ def test_every_oracle_runs():
             raise AssertionError(name) from e
 
 
-NEW = ["q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19b_vessel_choice", "q2_11_8_features_by_vessel", "q2_7_28_node_vector", "q2_11_15_reference_corner", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
+NEW = ["q2_7_22_join_components", "q2_6_18_slab_match", "q2_11_5b_transition_points", "q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19b_vessel_choice", "q2_11_8_features_by_vessel", "q2_7_28_node_vector", "q2_11_15_reference_corner", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -230,10 +230,32 @@ def test_points_move_to_components(spark):
 def test_entries_of_the_lowest_slice(spark):
     from tubula.operators import voxels
 
-    rows = [(c, i, 0, 3) for c in (0, 1) for i in range(3)] + [(0, 50, 50, 3), (0, 9, 9, 4)]
-    ends = spark.createDataFrame([(0, 7, 3.0, 0.0), (0, 8, 20.0, 0.0), (1, 9, 99.0, 0.0)], "case_id long, end_id long, x double, y double")
-    got = sorted((r["case_id"], r["end_id"] or -1, r["x"], r["y"]) for r in voxels.entry_points(spark.createDataFrame(rows, "case_id long, i int, j int, k int"), ends, 2, 30.0).collect())
-    assert got == [(0, 7, 3, 0), (1, -1, 1, 0)]  # the nearest end is taken, the small component isn't an entry, a missing end is added
+    rows = [(c, i, 0, 0) for c in (0, 1) for i in range(3)] + [(0, 50, 50, 0), (0, 9, 9, 4), (0, 20, 0, 0), (0, 21, 0, 0)]
+    ends = spark.createDataFrame([(0, 7, 3.0, 0.0, 1.0), (0, 8, 16.0, 0.0, 1.0), (0, 5, 150.0, 0.0, 0.0), (1, 9, 99.0, 0.0, 0.0)], "case_id long, end_id long, x double, y double, z double")
+    affine = [0.43, 0, 0, 0, 0, 0.43, 0, 0, 0, 0, 0.4, 0, 0, 0, 0, 1]
+    images = spark.createDataFrame([(c, [float(v) for v in affine], 60) for c in (0, 1)], "case_id long, affine array<double>, size_y int")
+    got = {(r["case_id"], r["place"]): (r["end_id"], round(r["x"], 3)) for r in voxels.entry_points(spark.createDataFrame(rows, "case_id long, i int, j int, k int"), ends, images, 2, 12.0).collect()}
+    # end 7 is the nearest of both entries of case 0, and 8 goes; 7 is nearer to the corner (64.5 along x) than 5, and starts
+    assert {k[1]: v for k, v in got.items() if k[0] == 0} == {0: (7, 3.0), 1: (5, 150.0)}
+    assert {v for k, v in got.items() if k[0] == 1} == {(9, 99.0), (None, 0.43)}  # a missing end is added
+    assert got[1, 0] == (9, 99.0)  # 34.5 from the corner, the other 64
+
+    lps = spark.createDataFrame([(0, [-0.43, 0.0, 0.0, 0.0, 0.0, -0.43, 0.0, 0.0, 0.0, 0.0, 0.4, 0.0, 0.0, 0.0, 0.0, 1.0], 60)], images.schema)
+    two = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0), (0, 2, -150.0, -25.0, 0.0)], ends.schema)
+    none = spark.createDataFrame([], "case_id long, i int, j int, k int")
+    assert [r["end_id"] for r in voxels.entry_points(none, two, lps).orderBy("place").collect()] == [2, 1]  # the start changes places with the first
+
+
+def test_section_radii(spark):
+    p = polyline.tangents(line(spark, [(0, 0, k) for k in range(4)], radii=[2, 2, 2, 3]))
+    square = [(0, 0, 1, i, x, y, 1.0) for i, (x, y) in enumerate([(2.0, 2.0), (-2.0, 2.0), (-2.0, -2.0), (2.0, -2.0)])]
+    tilted = [(0, 0, 2, i, x, y, 2.0 + x) for i, (x, y) in enumerate([(3.0, 0.0), (0.0, 1.0), (-3.0, 0.0), (0.0, -1.0)])]
+    rings = spark.createDataFrame([*square, *tilted, (0, 0, 0, 0, 0.0, 0.0, 0.0)], "case_id long, cell_id long, point_idx int, idx int, x double, y double, z double")
+    got = {r["point_idx"]: (r["radius_ce"], r["radius_cc"], r["ovality"]) for r in vessels.section_radii(p, rings).collect()}
+    assert got[1] == pytest.approx((4 / math.sqrt(math.pi), math.sqrt(8), 2 / math.sqrt(8)))
+    assert got[2] == pytest.approx((math.sqrt(6 / math.pi), 3, 2 / 3))  # seen across the line
+    assert got[0] == (0, 0, 1) and got[3] == (3, 3, 1)  # a ring of one point; no ring
+    assert {"radius_cc", "curve_id"} <= set(vessels.path_geometry(p.select(*line(spark, [(0, 0, 0)]).columns), 5, sections=rings).columns)
 
 
 def test_bridges_equal_all_pairs(spark):

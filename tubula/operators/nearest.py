@@ -115,12 +115,17 @@ def snap_landmarks(landmarks: DataFrame, line: DataFrame, branches: DataFrame, r
     return j.select("case_id", "label", *(F.coalesce(f"branch.{n}", f"line.{n}", n).alias(n) for n in "xyz"), how.alias("how"))
 
 
-def distance_to_mask(points: DataFrame, mask: DataFrame, key: str, most: float = 50.0) -> DataFrame:
-    """Distance from each point to the nearest mask point (case_id, x, y, z), at most ``most``. Cubes of a
-    quarter of ``most`` are tried first; points without a hit take the full radius."""
+def distance_to_mask(points: DataFrame, mask: DataFrame, key: str, most: float | None = 50.0) -> DataFrame:
+    """Distance from each point to the nearest mask point (case_id, x, y, z), at most ``most``; cubes of a
+    quarter of it are tried first, and points without a hit take the full radius. Without ``most`` the distance is exact however
+    far the mask is, by a search that widens; it is NULL where the case has no mask."""
     from tubula.functions.runtime import cut_lineage
 
-    p, m = points.select("case_id", key, *"xyz"), mask.select("case_id", *"xyz").withColumn("_one", F.lit(1))
+    p = points.select("case_id", key, *"xyz")
+    if most is None:
+        far = nearest_in_set(p, mask.select("case_id", *"xyz").withColumn("_one", F.lit(1)), key, "_one", 12.5)
+        return p.select("case_id", key).join(far.select("case_id", key, "distance"), ["case_id", key], "left")
+    m = mask.select("case_id", *"xyz").withColumn("_one", F.lit(1))
     low = lambda r, d: within(r, m, d).groupBy("case_id", F.col(f"a.{key}").alias(key)).agg(F.min("distance").alias("distance"))
     near = cut_lineage(low(p, most / 4))
     far = low(p.join(near, ["case_id", key], "left_anti"), most)

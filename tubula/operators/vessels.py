@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tubula.functions.geom import CLASSES, dist, type_code, type_vector
+from tubula.functions.geom import CLASSES, dist, project_2d, to_ijk, type_code, type_vector, vec
 from tubula.functions.runtime import cut_lineage
 from tubula.operators import graph as G
 from tubula.operators import polyline as P
@@ -295,18 +295,36 @@ def path_features(points: DataFrame, images: DataFrame, step: float = 0.5) -> tu
     return local, features_of_chains(local)
 
 
-def path_geometry(points: DataFrame, window: int = 50, height: float = 0.03, width: float = 10) -> DataFrame:
-    """Curvature, torsion, distance along the line, smoothed curvature, turning angles and curve ids for each point."""
-    framed = P.curve_torsion(P.transported_frames(P.turn_angle(P.curve_curvature(P.tangents(P.arc_length(points))))))
+def section_radii(points: DataFrame, sections: DataFrame) -> DataFrame:
+    """Adds radius_ce (of the circle of the section's area), radius_cc (of the smallest circle around it) and ovality
+    (radius / radius_cc, 1 where that is 0) to points with tangents. sections: keys, point_idx, idx and x, y, z of the ring of
+    each point, seen in the plane across the tangent. Points without a ring take their own radius for both."""
+    at = [*KEYS, "point_idx"]
+    centre = points.select(*at, *(F.col(n).alias(f"_{n}") for n in "xyz"), *(F.col(f"t{n}") for n in "xyz"))
+    u, v = project_2d(vec(), vec("_"), vec("t"))
+    ring = cut_lineage(sections.select(*at, "idx", *"xyz").dropna().join(centre, at).select(*at, "idx", u.alias("u"), v.alias("v")))
+    area = S.polygon_area(ring, at).select(*at, F.col("radius").alias("radius_ce"))
+    around = S.enclosing_circle(ring, at, tolerance=1e-9).select(*at, F.col("radius").alias("radius_cc"))
+    j = points.join(area, at, "left").join(around, at, "left").withColumns({n: F.coalesce(n, "radius") for n in ("radius_ce", "radius_cc")})
+    return j.withColumn("ovality", S.ovality(F.col("radius"), F.col("radius_cc")))
+
+
+def path_geometry(points: DataFrame, window: int = 50, height: float = 0.03, width: float = 10, sections: DataFrame | None = None) -> DataFrame:
+    """Curvature, torsion, distance along the line, smoothed curvature, turning angles and curve ids for each point; with
+    sections (see section_radii) the radii of these first."""
+    lines = P.tangents(P.arc_length(points))
+    lines = lines if sections is None else section_radii(cut_lineage(lines), sections)
+    framed = P.curve_torsion(P.transported_frames(P.turn_angle(P.curve_curvature(lines))))
     smooth = P.savgol_smooth(framed, "curvature", "smooth_curvature", window)
     return P.curve_ids(cut_lineage(smooth), "smooth_curvature", height, width)
 
 
-def carotid_profile(points: DataFrame, landmarks: DataFrame, label: str = "class_name", part: str = "ICA", width: float = 25.0) -> DataFrame:
+def carotid_profile(points: DataFrame, landmarks: DataFrame, label: str = "class_name", part: str = "ICA", width: float = 25.0, skull: DataFrame | None = None) -> DataFrame:
     """Profile of carotid lines: the centre is the point nearest to the case's landmark (case_id, x, y, z), or
     the label's transition where there is none; radii outside a span around it are interpolated through it,
     and the bulb is where the radius exceeds that. Adds arc, centre, inside, fit, residual and bulb; lines
-    without a centre or with fewer than four rows outside the span keep 0."""
+    without a centre or with fewer than four rows outside the span keep 0. With a skull mask, skull_transition's columns
+    come on top."""
     p = P.arc_length(points)
     near = P.nearest_index(p, landmarks.withColumn("label", F.lit("m"))).select(*KEYS, F.col("point_idx").alias("_l"))
     turn = P.label_transition(p, label, part, strict=False).select(*KEYS, F.col("point_idx").alias("_t"))
@@ -317,7 +335,8 @@ def carotid_profile(points: DataFrame, landmarks: DataFrame, label: str = "class
     fitted = P.pchip(usable.filter("_ok"), "arc", "radius", ~F.col("inside"), "fit").withColumn("residual", F.col("radius") - F.col("fit"))
     done = P.bulb_mask(fitted, "residual", "inside")
     rest = usable.filter("not _ok").withColumns({"fit": F.lit(0.0), "residual": F.lit(0.0), "bulb": F.lit(False)})
-    return done.unionByName(rest).drop("_ok")
+    out = done.unionByName(rest).drop("_ok")
+    return out if skull is None else skull_transition(cut_lineage(out), skull)
 
 
 def skull_transition(points: DataFrame, mask: DataFrame, sigma: float = 2.0) -> DataFrame:
@@ -329,3 +348,11 @@ def skull_transition(points: DataFrame, mask: DataFrame, sigma: float = 2.0) ->
     away = cut_lineage(distance_to_mask(key, mask, "_id").select("case_id", "_id.cell_id", "_id.point_idx", "distance"))
     smooth = P.gaussian_smooth(points.join(away, [*KEYS, "point_idx"]), "distance", "smooth", sigma)
     return P.flag_after(smooth, P.first_local_minimum(smooth, "smooth"))
+
+
+def transition_points(flagged: DataFrame, images: DataFrame) -> DataFrame:
+    """Where each line of skull_transition passes into the skull: keys, point_idx, x, y, z, and the voxel i, j, k of the image
+    (case_id, affine of 16 values) nearest to that. Lines without a transition have no row."""
+    at = P.first_local_minimum(flagged, "smooth").select(*KEYS, "point_idx")
+    j = flagged.select(*KEYS, "point_idx", *"xyz").join(at, [*KEYS, "point_idx"]).join(images.select("case_id", "affine"), "case_id")
+    return j.select(*KEYS, "point_idx", *"xyz", *(c.alias(n) for n, c in zip("ijk", to_ijk(vec(), F.col("affine"), "round"), strict=True)))

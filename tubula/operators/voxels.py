@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tubula.functions.geom import dist, to_ras
 from tubula.operators.components import star_components
 
 IJK = ["case_id", "i", "j", "k"]
@@ -131,13 +132,35 @@ def relocate_to_component(points: DataFrame, voxels: DataFrame, window: int = 5,
     return found.unionByName(rest.select("case_id", "label", *(F.col(n).cast("double").alias(n) for n in "ijk"), F.lit(False).alias("moved")))
 
 
-def entry_points(voxels: DataFrame, ends: DataFrame, least: int = 500, radius: float = 30.0) -> DataFrame:
-    """Expected entries are the centroids of components of at least ``least`` voxels in each case's lowest
-    slice; the nearest given end (case_id, end_id, x, y) within the radius is taken for each, and an
-    entry without one is added: case_id, component, end_id (NULL if added), x, y."""
-    low = voxels.withColumn("_k", F.min("k").over(Window.partitionBy("case_id"))).filter("k = _k").select("case_id", "i", "j", F.lit(0).alias("k")).distinct()
-    c = centroids(voxel_components(low)).filter(F.col("n") >= least)
-    gap = F.hypot(F.col("i") - F.col("x"), F.col("j") - F.col("y"))
-    near = c.join(ends, "case_id").withColumn("gap", gap).filter(F.col("gap") <= radius)
-    best = near.groupBy("case_id", "component").agg(F.min_by(F.struct("end_id", "x", "y"), F.struct("gap", "end_id")).alias("e"))
-    return c.join(best, ["case_id", "component"], "left").select("case_id", "component", "e.end_id", F.coalesce("e.x", "i").alias("x"), F.coalesce("e.y", "j").alias("y"))
+#: Volume (mm3) of the voxels that the least size of an entry is stated for: a fixed value.
+ENTRY_VOXEL = 0.07385254
+
+
+def entry_points(voxels: DataFrame, ends: DataFrame, images: DataFrame, least: int = 500, radius: float = 30.0) -> DataFrame:
+    """Ends of the arch checked against the image's lowest slice (k = 0). Expected entries are the centroids of its components of
+    at least ``least`` voxels of 0.43 x 0.43 x 0.4 mm, scaled to the image's voxels, one voxel above the slice. Of the given ends
+    (case_id, end_id, x, y, z) nearer than ``radius`` to an entry only the nearest stays (the smallest end_id on ties); an
+    end that another entry turns away goes even if it is the nearest of this one. An entry without an end gets one.
+    The start is the end nearest to the image's reference corner and changes places with the first. images: case_id, affine of 16
+    values, size_y. Returns case_id, place (0 is the start), end_id (NULL if added), component, x, y, z."""
+    from tubula.operators.nearest import within
+    from tubula.operators.quality import reference_corner
+
+    floor = voxel_components(voxels.filter("k = 0").select(*IJK).distinct())
+    a = F.col("affine")
+    enough = F.col("n") >= F.abs(F.bround(least * ENTRY_VOXEL / (a[0] * a[5] * a[10])))
+    c = centroids(floor).join(images.select("case_id", "affine"), "case_id").filter(enough)
+    entries = c.select("case_id", "component", *(v.alias(n) for n, v in zip("xyz", to_ras(F.col("i"), F.col("j"), F.lit(1.0), a), strict=True)))
+    near = within(entries, ends.select("case_id", "end_id", *"xyz"), radius).filter(F.col("distance") < radius)
+    choice = near.select("case_id", F.col("a.component").alias("component"), F.col("b.end_id").alias("end_id"), F.row_number().over(Window.partitionBy("case_id", "a.component").orderBy("distance", "b.end_id")).alias("_r"))
+    away = choice.filter("_r > 1").select("case_id", "end_id").distinct()
+    own = choice.filter("_r = 1").groupBy("case_id", "end_id").agg(F.min("component").alias("component"))
+    kept = ends.select("case_id", "end_id", *"xyz").join(away, ["case_id", "end_id"], "left_anti").join(own, ["case_id", "end_id"], "left")
+    added = entries.join(choice, ["case_id", "component"], "left_anti").withColumn("end_id", F.lit(None).cast(ends.schema["end_id"].dataType))
+    corner = reference_corner(images).select("case_id", *(F.col(n).alias(f"c{n}") for n in "xyz"))
+    w = Window.partitionBy("case_id")
+    placed = kept.unionByName(added).withColumn("_i", F.row_number().over(w.orderBy(F.col("end_id").isNull(), "end_id", "component")) - 1).join(corner, "case_id")
+    gap = dist(tuple(F.col(n) for n in "xyz"), tuple(F.col(f"c{n}") for n in "xyz"))
+    start = placed.withColumn("_s", F.min_by("_i", F.struct(gap, "_i")).over(w))
+    place = F.when(F.col("_i") == F.col("_s"), 0).when(F.col("_i") == 0, F.col("_s")).otherwise(F.col("_i"))
+    return start.select("case_id", place.alias("place"), "end_id", "component", *"xyz")

@@ -204,6 +204,12 @@ def contract_close_points(spark, d):
     return N.contract(cloud(spark, d), "node_id", 2.0).select("node_id", "node")
 
 
+@query("q2_6_14b_distance_beyond", f"WITH {CLOUD} SELECT a.node_id, round(min({GAP}), 6) AS distance FROM cloud a JOIN cloud b ON b.label = 0 WHERE a.label = 1 GROUP BY 1")
+def distance_beyond(spark, d):
+    c = cloud(spark, d)
+    return N.distance_to_mask(c.filter("label = 1"), c.filter("label = 0"), "node_id", None).select("node_id", *r6("distance"))
+
+
 @query("q2_6_14_distance_to_mask", f"WITH {CLOUD} SELECT a.node_id, round(least(50.0, coalesce(min({GAP}), 50.0)), 6) AS distance FROM cloud a LEFT JOIN cloud b ON b.label = 0 WHERE a.label = 1 GROUP BY 1")
 def distance_to_mask(spark, d):
     c = cloud(spark, d)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tubula.functions.geom import to_ras
 from tubula.functions.runtime import cut_lineage, shared_dir
 from tubula.operators import graph as G
 from tubula.operators import nearest as N
@@ -267,10 +268,30 @@ def relocate_to_component(spark, d):
     return V.relocate_to_component(_marks(spark, d), _mask(spark, d)).select("case_id", "label", *r6("i", "j", "k"), "moved")
 
 
-@query("q2_6_18_slab_match")
+#: Spacing, mirrored axes and size of the images of the five masks: RAS, LAS and LPS.
+SLAB = "img AS (SELECT c AS case_id, 0.43::DOUBLE * (1 + c % 2) AS s, CASE WHEN c % 3 = 0 THEN 1 ELSE -1 END AS sx, CASE WHEN c % 3 = 2 THEN -1 ELSE 1 END AS sy, c % 3 AS o FROM range(5) t(c))"
+ENTRIES = f"""WITH RECURSIVE {GRID}, {MARKS}, {SLAB}, low AS (SELECT case_id, i, j FROM mask WHERE k = 0), reach AS (SELECT case_id, i, j, i AS ri, j AS rj FROM low UNION SELECT r.case_id, r.i, r.j, l.i, l.j FROM reach r JOIN low l ON l.case_id = r.case_id AND abs(l.i - ri) <= 1 AND abs(l.j - rj) <= 1),
+comp AS (SELECT case_id, i, j, min(ri * 1099511627776 + rj * 1048576) AS component FROM reach GROUP BY ALL), cen AS (SELECT case_id, component, sx * s * avg(i) + 1 AS x, sy * s * avg(j) + 2 AS y, 0.4::DOUBLE + 3 AS z FROM comp JOIN img USING (case_id) GROUP BY case_id, component, s, sx, sy HAVING count(*) >= abs(round_even(5 * 0.07385254 / (sx * sy * s * s * 0.4), 0))),
+ends AS (SELECT case_id, CAST(label AS BIGINT) AS end_id, sx * s * i + 1 + CAST(label AS BIGINT) % 7 * 0.013 AS x, sy * s * j + 2 AS y, 0.4::DOUBLE * k + 3 AS z FROM mk JOIN img USING (case_id)),
+near AS (SELECT c.case_id, component, end_id, row_number() OVER (PARTITION BY c.case_id, component ORDER BY sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2) + pow(c.z - e.z, 2)), end_id) AS r FROM cen c JOIN ends e ON c.case_id = e.case_id AND sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2) + pow(c.z - e.z, 2)) < 3),
+fin AS (SELECT e.case_id, e.end_id, m.component, x, y, z FROM ends e LEFT JOIN (SELECT case_id, end_id, min(component) AS component FROM near WHERE r = 1 GROUP BY ALL) m ON m.case_id = e.case_id AND m.end_id = e.end_id WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.case_id = e.case_id AND n.end_id = e.end_id AND r > 1)
+ UNION ALL SELECT case_id, NULL, component, x, y, z FROM cen c WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.case_id = c.case_id AND n.component = c.component)),
+num AS (SELECT f.*, row_number() OVER (PARTITION BY case_id ORDER BY end_id IS NULL, end_id, component) - 1 AS p, sqrt(pow(x - (sx * s * CASE WHEN o = 0 THEN 150 ELSE 350 END * 0.43 / s + 1), 2) + pow(y - (sy * s * CASE WHEN o = 2 THEN 12 ELSE 0 END + 2), 2) + pow(z - 3, 2)) AS gap FROM fin f JOIN img USING (case_id)),
+st AS (SELECT case_id, arg_min(p, (gap, p)) AS b FROM num GROUP BY 1)
+SELECT case_id, CAST(CASE WHEN p = b THEN 0 WHEN p = 0 THEN b ELSE p END AS INTEGER) AS place, end_id, component, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM num JOIN st USING (case_id)"""
+
+
+@query("q2_6_18_slab_match", ENTRIES)
 def slab_match(spark, d):
-    ends = _marks(spark, d).select("case_id", F.col("label").cast("long").alias("end_id"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"))
-    return V.entry_points(_mask(spark, d), ends, 5, 30.0).select("case_id", "component", "end_id", *r6("x", "y"))
+    c, zero = F.col("case_id"), F.lit(0.0)
+    s = 0.43 * (1 + c % 2)
+    sx, sy = F.when(c % 3 == 0, s).otherwise(-s), F.when(c % 3 == 2, -s).otherwise(s)
+    affine = F.array(sx, zero, zero, F.lit(1.0), zero, sy, zero, F.lit(2.0), zero, zero, F.lit(0.4), F.lit(3.0), zero, zero, zero, F.lit(1.0))
+    images = spark.range(5).select(F.col("id").alias("case_id")).withColumns({"affine": affine, "size_y": F.lit(12)})
+    mark = _marks(spark, d).withColumn("end_id", F.col("label").cast("long")).join(images, "case_id")
+    x, y, z = to_ras(F.col("i"), F.col("j"), F.col("k"), F.col("affine"))
+    ends = mark.select("case_id", "end_id", (x + F.col("end_id") % 7 * 0.013).alias("x"), y.alias("y"), z.alias("z"))
+    return V.entry_points(_mask(spark, d), ends, images, 5, 3.0).select("case_id", "place", "end_id", "component", *r6(*"xyz"))
 
 
 @query("q2_6_21_chain_concat", f"WITH {ANATOMY}, t AS (SELECT case_id, node_id, hierarchy, CASE WHEN node_id <= 8 THEN 0 WHEN node_id <= 12 THEN 1 ELSE 2 END AS part FROM anodes WHERE node_id <= 20), s AS (SELECT case_id, part, sum(max(hierarchy) + 1) OVER (PARTITION BY case_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shift FROM t GROUP BY 1, 2) SELECT t.case_id, t.part, node_id, CAST(hierarchy + coalesce(shift, 0) AS BIGINT) AS hierarchy FROM t JOIN s USING (case_id, part)")
@@ -417,6 +438,36 @@ def path_geometry(spark, d):
     return A.path_geometry(events_line(spark, d), 20).select("case_id", "point_idx", *(F.round(c, 4).alias(c) for c in ("arc", "curvature", "smooth_curvature", "turn_sum")), "curve_id")
 
 
+RINGS = f"""WITH {PTS}, o AS (SELECT o_custkey AS case_id, o_orderkey, CAST(row_number() OVER w - 1 AS INTEGER) AS point_idx, CAST(row_number() OVER w - 1 AS DOUBLE) AS x, o_totalprice / 1e5 AS y, o_orderkey % 13 / 5.0::DOUBLE AS z, 2.0::DOUBLE AS radius FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+g AS (SELECT *, {', '.join(f'{_grad(n)} AS g{n}' for n in 'xyz')} FROM o WINDOW w AS (PARTITION BY case_id ORDER BY point_idx)), t AS (SELECT * REPLACE (coalesce(nullif(gx, 0), 1) AS gx) FROM g),
+b AS (SELECT *, sqrt(gx * gx + gy * gy) AS h, sqrt(gx * gx + gy * gy + gz * gz) AS l FROM t),
+r AS (SELECT b.case_id, b.point_idx, p.point_idx AS idx, ((p.x - b.x) * gy - (p.y - b.y) * gx) / h AS u, (((p.x - b.x) * gx + (p.y - b.y) * gy) * gz / h - (p.z - b.z) * h) / l AS v FROM b JOIN points p ON p.cell_id = b.o_orderkey),
+ar AS (SELECT case_id, point_idx, sqrt(abs(sum(u * v2 - u2 * v)) / 2 / pi()) AS ce FROM (SELECT *, coalesce(lead(u) OVER q, first_value(u) OVER q) AS u2, coalesce(lead(v) OVER q, first_value(v) OVER q) AS v2 FROM r WINDOW q AS (PARTITION BY case_id, point_idx ORDER BY idx)) GROUP BY ALL),
+two AS (SELECT a.case_id, a.point_idx, (a.u + b.u) / 2 AS cu, (a.v + b.v) / 2 AS cv FROM r a JOIN r b ON a.case_id = b.case_id AND a.point_idx = b.point_idx AND a.idx <= b.idx),
+three AS (SELECT a.case_id, a.point_idx, a.u, a.v, b.u - a.u AS bu, b.v - a.v AS bv, c.u - a.u AS du, c.v - a.v AS dv FROM r a JOIN r b ON a.case_id = b.case_id AND a.point_idx = b.point_idx AND a.idx < b.idx JOIN r c ON a.case_id = c.case_id AND a.point_idx = c.point_idx AND b.idx < c.idx),
+cand AS (SELECT * FROM two UNION ALL SELECT case_id, point_idx, u + (dv * (bu * bu + bv * bv) - bv * (du * du + dv * dv)) / (2 * (bu * dv - bv * du)), v + (bu * (du * du + dv * dv) - du * (bu * bu + bv * bv)) / (2 * (bu * dv - bv * du)) FROM three WHERE bu * dv - bv * du <> 0),
+far AS (SELECT cand.case_id, cand.point_idx, cu, cv, max(sqrt(pow(u - cu, 2) + pow(v - cv, 2))) AS cc FROM cand JOIN r ON r.case_id = cand.case_id AND r.point_idx = cand.point_idx GROUP BY ALL),
+cc AS (SELECT case_id, point_idx, min(cc) AS cc FROM far GROUP BY ALL)
+SELECT o.case_id, CAST(0 AS BIGINT) AS cell_id, o.point_idx, round(coalesce(ce, radius), 4) AS radius_ce, round(coalesce(cc, radius), 4) AS radius_cc, round(CASE WHEN coalesce(cc, radius) < 1e-9 THEN 1 ELSE radius / coalesce(cc, radius) END, 4) AS ovality FROM o LEFT JOIN ar USING (case_id, point_idx) LEFT JOIN cc USING (case_id, point_idx)"""
+
+
+def _ringed(spark, d):
+    """A customer's orders as a line, and the line items of each order as the ring around its point."""
+    w = P.Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    at = F.row_number().over(w) - 1
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.lit(0).cast("bigint").alias("cell_id"), "o_orderkey", at.alias("point_idx"), at.cast("double").alias("x"), (F.col("o_totalprice") / 1e5).alias("y"), (F.col("o_orderkey") % 13 / 5.0).alias("z"), F.lit(2.0).alias("radius"))
+    ring = points(spark, d).select(F.col("cell_id").alias("o_orderkey"), F.col("point_idx").alias("idx"), *"xyz").join(o.select(*KEYS, "point_idx", "o_orderkey"), "o_orderkey")
+    return o.drop("o_orderkey"), ring.drop("o_orderkey")
+
+
+@query("q2_11_2b_section_radii", RINGS)
+def section_radii(spark, d):
+    line, ring = _ringed(spark, d)
+    lone = F.coalesce(F.nullif(F.col("tx"), F.lit(0.0)), F.lit(1.0))  # a line of one point looks along x
+    r = A.section_radii(cut_lineage(P.tangents(line).withColumn("tx", lone)), ring)
+    return r.select(*KEYS, "point_idx", *(F.round(c, 4).alias(c) for c in ("radius_ce", "radius_cc", "ovality")))
+
+
 @query("q2_11_3_carotid_profile")
 def carotid_profile(spark, d):
     e = events_line(spark, d).withColumn("radius", 2 + F.col("y") / 10)
@@ -438,6 +489,15 @@ def skull_transition(spark, d):
     return A.skull_transition(p, mask).select(*KEYS, "point_idx", *(F.round(c, 5).alias(c) for c in ("distance", "smooth")), "after")
 
 
+@query("q2_11_5b_transition_points", SKULL[:SKULL.rindex("SELECT sm.case_id")] + "SELECT l.case_id, CAST(0 AS BIGINT) AS cell_id, l.point_idx, l.x, l.y, l.z, CAST(round_even((l.x - 1) / 0.5, 0) AS INTEGER) AS i, CAST(round_even((l.y - 2) / -0.5, 0) AS INTEGER) AS j, CAST(round_even((l.z - 3) / 0.7::DOUBLE, 0) AS INTEGER) AS k FROM ln l JOIN mn ON mn.case_id = l.case_id AND mn.cutoff = l.point_idx")
+def transition_points(spark, d):
+    p = _lines(spark, d)
+    mask = tree_nodes(spark, d).filter("node_id % 9 = 0").select("case_id", *"xyz")
+    affine = F.array(*map(F.lit, (0.5, 0.0, 0.0, 1.0, 0.0, -0.5, 0.0, 2.0, 0.0, 0.0, 0.7, 3.0, 0.0, 0.0, 0.0, 1.0)))
+    images = p.select("case_id").distinct().withColumn("affine", affine)
+    return A.transition_points(A.skull_transition(p, mask), images).select(*KEYS, "point_idx", *"xyz", *"ijk")
+
+
 @query("q2_11_4_bulb_landmark", "WITH t AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'LCA' ELSE 'RCA' END AS vessel, o_custkey % 7 AS m FROM orders) SELECT case_id, vessel, CAST(CASE WHEN m > 1 THEN m ELSE case_id END AS DOUBLE) AS x, CASE WHEN m > 1 THEN 'landmark' ELSE 'transition' END AS how FROM t")
 def bulb_landmark(spark, d):
     k, m = F.col("o_orderkey"), (F.col("o_custkey") % 7).cast("double")
