@@ -11,7 +11,7 @@ from tubula.operators import voxels as V
 from tubula.operators.polyline import KEYS
 from tubula.plans.lines import r6
 from tubula.plans.registry import ORACLES, query
-from tubula.plans.views import ARC, NODES, PTS, SCORES, TREE, VOX, W, points, scores, table, tree, tree_nodes, voxels
+from tubula.plans.views import ARC, NODES, PTS, SCORES, TREE, VOX, W, labels_sql, points, scores, table, tree, tree_nodes, voxels
 
 C = "case_id, cell_id"
 #: Ends of a cell by the blanking rule: first lowest and last highest index of rows that aren't blanked, else of all.
@@ -169,7 +169,7 @@ def volume_check(spark, d):
     return V.volume_check(a, a.select("case_id").distinct().withColumn("volume_mm3", F.lit(40.0)))
 
 
-@query("q2_5_22_component_sizes")
+@query("q2_5_22_component_sizes", f"WITH RECURSIVE {VOX}, {labels_sql('abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) <= 1')}, c AS (SELECT case_id, component, count(*) AS n FROM labels GROUP BY ALL HAVING count(*) >= 2) SELECT case_id, component, n, CAST(row_number() OVER w AS INTEGER) AS place FROM c WINDOW w AS (PARTITION BY case_id ORDER BY n DESC, component) QUALIFY row_number() OVER w <= 5")
 def component_sizes(spark, d):
     return V.component_filter(V.voxel_components(_masks(spark, d)[0], 6), 2, 5)
 
@@ -222,7 +222,7 @@ def inside_box(spark, d):
     return V.inside_box(p, p.select("case_id").distinct().withColumns({k: F.lit(v) for k, v in limits.items()}))
 
 
-@query("q2_7_5_voxel_components")
+@query("q2_7_5_voxel_components", f"WITH RECURSIVE {VOX}, {labels_sql('true')} SELECT case_id, i, j, k, component FROM labels")
 def voxel_components(spark, d):
     return V.voxel_components(_masks(spark, d)[0], 26).select("case_id", "i", "j", "k", "component")
 

@@ -20,7 +20,7 @@ from tubula.plans.aggregates import FEATURES
 from tubula.plans.cohorts import BRIDGES
 from tubula.plans.lines import GAUSS, _grad, r6
 from tubula.plans.registry import ORACLES, query
-from tubula.plans.views import ANATOMY, ARC, CLOUD, NODES, PTS, TREE, VESSELS, VOX, anatomy, cloud, events_line, points, table, tree, tree_nodes, voxels
+from tubula.plans.views import ANATOMY, ARC, CLOUD, NODES, PTS, TREE, VESSELS, VOX, anatomy, cloud, events_line, labels_sql, points, table, tree, tree_nodes, voxels
 from tubula.sources import cohort as S1
 from tubula.streaming.incremental import run_incremental
 
@@ -263,7 +263,12 @@ def keep_or_relocate(spark, d):
     return V.keep_or_relocate(m, m.withColumn("i", F.col("i") + 1), _mask(spark, d))
 
 
-@query("q2_6_17_relocate_to_component")
+MOVED = f"""WITH RECURSIVE {VOX}, {MARKS}, {labels_sql('true')}, win AS (SELECT mk.case_id, label, r, component, pow(avg(l.i) - any_value(mk.i), 2) + pow(avg(l.j) - any_value(mk.j), 2) + pow(avg(l.k) - any_value(mk.k), 2) AS gap, avg(l.i) AS ci, avg(l.j) AS cj, avg(l.k) AS ck
+ FROM mk CROSS JOIN range(1, 6) t(r) JOIN labels l ON l.case_id = mk.case_id AND abs(l.i - mk.i) <= 5 * r AND abs(l.j - mk.j) <= 5 * r AND abs(l.k - mk.k) <= 5 * r GROUP BY mk.case_id, label, r, component), best AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY case_id, label ORDER BY r, gap, component) = 1)
+SELECT mk.case_id, label, round(coalesce(ci, i), 6) AS i, round(coalesce(cj, j), 6) AS j, round(coalesce(ck, k), 6) AS k, ci IS NOT NULL AS moved FROM mk LEFT JOIN best USING (case_id, label)"""
+
+
+@query("q2_6_17_relocate_to_component", MOVED)
 def relocate_to_component(spark, d):
     return V.relocate_to_component(_marks(spark, d), _mask(spark, d)).select("case_id", "label", *r6("i", "j", "k"), "moved")
 

@@ -72,6 +72,15 @@ def voxels(spark: SparkSession, d: str) -> DataFrame:
 VOX = "vox AS (SELECT DISTINCT l_suppkey % 5 AS case_id, CAST(round(l_quantity) AS INTEGER) AS i, CAST(round(l_discount * 100) AS INTEGER) AS j, CAST(round(l_tax * 100) AS INTEGER) AS k, l_returnflag AS flag FROM lineitem)"
 
 
+def labels_sql(near: str) -> str:
+    """Components of the voxels of flag A as SQL (labels: case_id, i, j, k, id, component), by spreading the smallest id; ``near`` says
+    which of a and b are neighbours. Follows WITH RECURSIVE and VOX."""
+    return f"""m AS MATERIALIZED (SELECT DISTINCT case_id, i, j, k, i * 1099511627776 + j * 1048576 + k AS id FROM vox WHERE flag = 'A'),
+nb AS MATERIALIZED (SELECT a.case_id, a.id, b.id AS other FROM m a JOIN m b ON a.case_id = b.case_id AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 AND b.k BETWEEN a.k - 1 AND a.k + 1 AND {near}),
+spread(case_id, id, component) USING KEY (case_id, id) AS (SELECT case_id, id, id FROM m UNION SELECT nb.case_id, nb.other, min(l.component) FROM spread l JOIN nb ON nb.case_id = l.case_id AND nb.id = l.id JOIN recurring.spread o ON o.case_id = nb.case_id AND o.id = nb.other GROUP BY nb.case_id, nb.other HAVING min(l.component) < min(o.component)),
+labels AS MATERIALIZED (SELECT * FROM m JOIN spread USING (case_id, id))"""
+
+
 def cloud(spark: SparkSession, d: str) -> DataFrame:
     """Point cloud: the first three values of the embeddings, times 100."""
     return table(spark, d, "embeddings").select(F.lit(0).cast("bigint").alias("case_id"), F.col("vec_id").alias("node_id"), *((F.col("embedding")[i].cast("double") * 100).alias(n) for i, n in enumerate("xyz")), F.col("label"), "embedding")
