@@ -180,3 +180,18 @@ def test_incremental_intake_processes_each_case_once(spark, tmp_path):
     spark.createDataFrame([(1, 9.0), (2, 3.0)], "case_id long, v double").write.mode("append").parquet(src)
     run_incremental(spark, src, "case_id long, v double", out, ck, lambda d: d.withColumn("w", F.col("v") * 2), ["case_id"])
     assert sorted((r["case_id"], r["w"]) for r in spark.read.parquet(out).collect()) == [(0, 2.0), (1, 4.0), (2, 6.0)]
+
+
+def test_intake_reads_only_the_buckets_of_its_batch(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    take = lambda rows: (spark.createDataFrame(rows, "case_id long, v double").write.mode("append").parquet(src), run_incremental(spark, src, "case_id long, v double", out, ck, lambda d: d, ["case_id"], 8))
+    take([(k, 1.0) for k in range(40)])
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(3).cast("long")), F.lit(8))).first()[0]
+    spoilt = 0
+    for file in (tmp_path / "out_keys").rglob("*.parquet"):
+        if f"_bucket={bucket}/" not in str(file):
+            file.write_bytes(b"not parquet")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+            spoilt += 1
+    take([(3, 2.0), (3, 3.0)])  # known, and no other bucket is opened
+    assert spoilt > 0 and spark.read.parquet(out).filter("v > 1").count() == 0

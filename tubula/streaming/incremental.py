@@ -7,6 +7,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+#: Partition columns of the table of keys.
+_PLACES = [StructField("batch", LongType()), StructField("_bucket", IntegerType())]
 
 
 def run_incremental(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, job: Callable[[DataFrame], DataFrame], keys: list[str], buckets: int = 64) -> None:
@@ -23,7 +27,7 @@ def run_incremental(spark: SparkSession, source: str, schema: str, out: str, che
         df = df.withColumn("_bucket", bucket)
         if files.exists(fs_path):
             touched = [r[0] for r in df.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-            done = spark.read.parquet(table).filter(F.col("_bucket").isin(touched) & (F.col("batch") < number)).select("_bucket", *keys)
+            done = spark.read.schema(StructType([*(df.schema[k] for k in keys), *_PLACES])).parquet(table).filter(F.col("_bucket").isin(touched) & (F.col("batch") < number)).select("_bucket", *keys)
             df = df.join(done, ["_bucket", *keys], "left_anti")
         job(df.drop("_bucket")).write.mode("overwrite").parquet(f"{out}/batch={number}")
         df.select(*keys, "_bucket").distinct().repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/batch={number}")
