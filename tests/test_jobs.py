@@ -193,6 +193,8 @@ def test_carotid_profile_and_skull_transition(spark):
     mask = spark.createDataFrame([(0, 40.0, 5.0, 0.0)], "case_id long, x double, y double, z double")
     after = [r["point_idx"] for r in vessels.skull_transition(p, mask).filter("after = 1").orderBy("point_idx").collect()]
     assert after and after[-1] == 59 and abs(after[0] - 40) <= 3
+    both = vessels.carotid_profile(p, none, skull=mask)
+    assert {"bulb", "smooth", "after"} <= set(both.columns) and sorted(r["point_idx"] for r in both.filter("after = 1").collect()) == after
 
 
 def test_access_rows(spark):
