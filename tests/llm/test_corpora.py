@@ -186,6 +186,16 @@ def test_toxicity_learns_and_stays_clean(spark):
     assert {r["predicted"] for r in none} == {0}
 
 
+def test_toxicity_of_held_out_given_labels(spark):
+    """At sf 0.1, as sf 0.01 has six held-out toxic rows, too few to measure a rate."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic")
+    rows = [r for r in toxicity.op6_toxicity(spark, sf).join(labels, "doc_id").collect() if r["held_out"]]
+    toxic, clean = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
+    caught, false = sum(r["predicted"] for r in toxic), sum(r["predicted"] for r in clean)
+    assert caught >= 0.9 * len(toxic) and caught >= 0.87 * (caught + false)
+
+
 def test_copies_of_a_toxic_text_do_not_hide_its_insult(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 8)))

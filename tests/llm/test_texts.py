@@ -310,6 +310,40 @@ def test_kernel_table_equals_brute_force():
     assert own == pytest.approx(np.maximum(-1, toxicity.kernel(x, x[:1])[:, 0] - 0.2))
 
 
+def test_text_scores_equal_sums_of_word_kernels():
+    texts = ["idiot you idiot", "a clown sat, an idxiot too", "nothing here", "", None, "clownidiotclown" * 4]
+    marks = toxicity.features(["idiot", "clown"])
+    root = np.array([[1.0, 0.5], [-0.25, 2.0]])
+    weights = np.array([0.7, 0.9, 0.3, 0.1, -0.2, 0.05, 0.4, -0.1, 0.2, -1.0])
+    model = toxicity.Model(toxicity._table(marks, np.array([1.0, 1.0])), -0.5, toxicity._table(marks, root @ weights[:2]), weights[2:], np.array([1.3, 0.2]))
+    got, best = toxicity.text_scores(pa.array(texts), model)
+    for text, score, top in zip(texts, got, best):
+        words = [w.strip(",") for w in (text or "").split()]
+        screened = []
+        for w in words:
+            pieces = toxicity._pieces(w)
+            own = [max(toxicity.FLOOR, float(toxicity.kernel([x], marks).sum()) - 0.5) for x in toxicity.features(pieces)]
+            screened.append((max(own), pieces[own.index(max(own))]))
+        margins = [m for m, _ in screened]
+        want = [max(margins, default=toxicity.FLOOR)]
+        for level in toxicity.LEVELS:
+            total = sum(max(0, m - level) for m in margins)
+            want += [np.log(total + 0.1), np.log((total + 0.1) / (len(words) + 10))]
+        phi = toxicity.kernel(toxicity.features(sorted({p for m, p in screened if m >= toxicity.SCREEN})), marks) @ root
+        margin = float(phi.sum(0) @ weights[:2] + np.array([*want, 1.0]) @ weights[2:])
+        assert top == pytest.approx(want[0]) and score == pytest.approx(1 / (1 + np.exp(-1.3 * margin - 0.2))), text
+
+
+def test_margin_svm_is_at_its_minimum():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(80, 3)), np.ones((80, 1))], 1)
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=80) > 0.2, 1.0, -1.0)
+    ridge = np.array([1.0, 1.0, 1.0, 1e-4])
+    loss = lambda w: (np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum()
+    w = toxicity.fit_margin(x, y)
+    assert all(loss(w) <= loss(w + 0.01 * step) for step in (*np.eye(4), *-np.eye(4)))
+
+
 def test_instances_join_single_letters():
     code, at, names = toxicity.instances(pa.array(["you i.d.i.o.t", "an i d i o t here", ""]))
     own = [[names[c] for c in code[a:b]] for a, b in zip(at[:-1], at[1:])]

@@ -10,12 +10,15 @@ Training (multiple-instance): texts have labels, words don't. Equal texts with e
 Document frequencies of words in the distinct toxic and clean training texts, counted over all of them, and
 the number of different contexts (so that parts that texts share don't count twice) pick landmarks and the first witnesses; each round fits a linear SVM on Nystroem features of witnesses (also with characters put in) against words
 of clean texts, and chooses the words of toxic texts that the model likes best as the next witnesses.
-A text is described by its best word's margin, the sums of its words' margins above three levels, and
-those sums against its number of words (one look-alike in a long clean text is no insult, one in a
-short text may be); a logistic curve over these, fitted on training texts, gives the score.
+This SVM only screens: it says which words a text is judged by. The second SVM is trained on labelled texts.
+The kernel of two texts is the sum of the kernels of their screened distinct words, so a text's Nystroem vector is
+the sum of its words' vectors and landmarks stay as short as words. Beside it stand the best screened margin, the
+sums of margins above three levels, and those sums against the number of words (one look-alike in a long clean text
+is no insult, one in a short text may be). A logistic curve over the SVM's margin, fitted on margins
+of texts that the SVM was not trained on (FOLDS parts by a hash of the text), gives the score.
 
-Scoring a word needs no landmark loop: the SVM is linear in the kernel's feature space, so the landmark
-weights collapse into one table of weights by subsequence code. All words of all texts are scored.
+Scoring a word needs no landmark loop: both SVMs are linear in the kernel's feature space, so the landmark
+weights collapse into two tables of weights by subsequence code. All words of all texts are scored.
 
 Defined results: null and empty texts have no words and get the floor's score (clean); without both
 labels among training rows every score is 0; repeated rows get equal scores; inputs of a score are the
@@ -46,9 +49,13 @@ CONTEXTS = 2
 BROADCAST_WORDS = 200_000
 #: Labels that may be broadcast (64 MB); with more, the labelled texts are joined by shuffle and stored.
 BROADCAST_LABELS = 4_000_000
-#: About so many clean texts, and a quarter of it toxic ones, chosen by a hash of the text, enter the
-#: logistic curve's fit: a documented bound on labelled rows.
-CURVE_TEXTS = 4000
+#: About so many clean texts, and half as many toxic ones, chosen by a hash of the text, are what the SVM on texts
+#: and its curve are fitted on: a documented bound on labelled rows.
+FIT_TEXTS = 6000
+#: Parts of these texts; the curve sees each part by an SVM that was trained on the others.
+FOLDS = 5
+#: Words with at least this screening margin are a text's words in the SVM on texts.
+SCREEN = -0.2
 #: Margins below this count as this; no word of a clean text needs a finer value.
 FLOOR = -1.0
 #: Sums of margins above these levels describe a text.
@@ -126,11 +133,14 @@ def kernel(a: list[dict[int, float]], b: list[dict[int, float]]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weight of each subsequence code, the SVM's offset, and the logistic curve over text features."""
+    """Weight of each subsequence code and offset of the screening SVM; the same table of the SVM on texts, its
+    weights for the other features, and the curve's slope and offset."""
 
     weight: np.ndarray
     offset: float
-    curve: np.ndarray | None = None
+    text_weight: np.ndarray | None = None
+    rest: np.ndarray | None = None
+    slope: np.ndarray | None = None
 
 
 def word_margins(words: list[str], model: Model, floor: float = FLOOR) -> np.ndarray:
@@ -193,22 +203,50 @@ def _best(values: np.ndarray, at: np.ndarray, floor: float) -> np.ndarray:
     return out
 
 
-def text_features(texts: pa.Array, model: Model) -> np.ndarray:
-    """For each text: best margin, for each level the log of the sum of margins above it and the same
-    against the number of words, and 1."""
+@dataclass
+class Described:
+    """Texts as the SVM on texts sees them: features of all words, and which screened words (numbers
+    in ``names``) each text holds, as pairs."""
+
+    x: np.ndarray
+    row: np.ndarray
+    word: np.ndarray
+    names: list[str]
+
+
+def described(texts: pa.Array, model: Model) -> Described:
+    """Features of each text: best margin, for each level the log of the sum of margins above it and the same
+    against the number of words, and 1; with its screened distinct words (pieces of long words count as words)."""
     code, at, names = instances(texts)
-    if not names:
-        return _described(np.full(len(at) - 1, FLOOR), [np.zeros(len(at) - 1) for _ in LEVELS], np.zeros(len(at) - 1))
+    rows = len(at) - 1
     parts = [_pieces(w) for w in names]
     flat = [p for own in parts for p in own]
-    starts = np.concatenate([[0], np.cumsum([len(own) for own in parts])])
-    margin = _best(word_margins(flat, model), starts, FLOOR)[code]
-    return _described(_best(margin, at, FLOOR), [per_row(np.maximum(margin - level, 0), at) for level in LEVELS], np.diff(at))
-
-
-def _described(best: np.ndarray, totals: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    logs = [x for total in totals for x in (np.log(total + 0.1), np.log((total + 0.1) / (words + 10.0)))]
-    return np.stack([best, *logs, np.ones(len(best))], 1)
+    starts = np.concatenate([[0], np.cumsum([len(own) for own in parts], dtype=np.int64)])
+    piece = word_margins(flat, model)
+    own = _best(piece, starts, FLOOR)
+    margin = own[code] if len(code) else np.zeros(0)
+    totals = [per_row(np.maximum(margin - level, 0), at) for level in LEVELS]
+    logs = [x for total in totals for x in (np.log(total + 0.1), np.log((total + 0.1) / (np.diff(at) + 10.0)))]
+    x = np.stack([_best(margin, at, FLOOR), *logs, np.ones(rows)], 1)
+    near = np.flatnonzero(margin >= SCREEN)
+    pair = np.unique(np.repeat(np.arange(rows), np.diff(at))[near] * max(1, len(names)) + code[near])
+    row, word = pair // max(1, len(names)), pair % max(1, len(names))
+    best = np.full(len(names), -1)
+    order = np.argsort(piece, kind="stable")
+    best[np.repeat(np.arange(len(names)), np.diff(starts))[order]] = order
+    kept, word = np.unique(best[word] if len(word) else word, return_inverse=True)
+    return Described(x, row, word, [flat[i] for i in kept.tolist()])
+
+
+def text_scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Score and best screening margin of each text."""
+    d = described(texts, model)
+    total = np.bincount(d.row, word_margins(d.names, Model(model.text_weight, 0.0), -np.inf)[d.word], len(d.x)) if len(d.row) else np.zeros(len(d.x))
+    return _curve(total + d.x @ model.rest, model.slope), d.x[:, 0]
+
+
+def _curve(margin: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope[0] * margin + slope[1], -30, 30)))
 
 
 def _gapped(words: list[str]) -> list[str]:
@@ -236,14 +274,24 @@ def spread(vectors: list[dict[int, float]], n: int) -> list[dict[int, float]]:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: float = 2000.0, rounds: int = 60) -> np.ndarray:
-    """Linear SVM with squared hinge loss by Newton steps on the primal; the last weight is the offset.
-    n: how many texts hold the word, whose root is its weight; both classes weigh the same."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    """Linear SVM on words; the last weight is the offset. n: how many texts hold the word, whose root is its
+    weight; both classes weigh the same."""
     each = np.sqrt(np.maximum(n, 1.0))
     each = each / np.where(y > 0, each[y > 0].sum(), each[y < 0].sum()) * c * 50
+    return squared_hinge(np.concatenate([x, np.ones((len(x), 1))], 1), y, each, rounds)
+
+
+def fit_margin(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
+    """Linear SVM on texts (the last feature is 1); all texts weigh the same."""
+    return squared_hinge(x, y, np.full(len(y), c))
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, each: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss by Newton steps on the primal; the last one is the offset."""
     w = np.zeros(x.shape[1])
     ridge = np.ones(len(w))
     ridge[-1] = 1e-4
+
     def loss(v: np.ndarray) -> float:
         return float((each * np.maximum(0, 1 - y * (x @ v)) ** 2).sum() + (ridge * v * v).sum())
 
@@ -340,27 +388,51 @@ def train(labelled: DataFrame) -> Model | None:
         x = kernel(features(bad_words + hard), marks) @ root
         n = [seen[w] for w in chosen] + [seen[w] * 0.5 for w in chosen for _ in (0, 1)] + [seen[w] for w in hard]
         w = fit_svm(x, np.array([1.0] * len(bad_words) + [-1.0] * len(hard)), np.array(n, float))
-        table = np.zeros(SIZE)
-        for alpha, mark in zip(root @ w[:-1], marks, strict=True):
-            for c, v in mark.items():
-                table[c] += alpha * v
-        model = Model(table, float(w[-1]))
+        model = Model(_table(marks, root @ w[:-1]), float(w[-1]))
         if k < ROUNDS - 1:
             close = _candidates(words, model)
             seen |= {r["word"]: r["good"] for r in close}
             hard = list(dict.fromkeys(harmless + [r["word"] for r in close if r["word"] not in often]))
             margin = word_margins(witnesses, model, -9.0)
             chosen = [w for w, m in zip(witnesses, margin, strict=True) if m > 0 or w in often] or chosen
-    part = F.when(F.col("toxic") == 1, CURVE_TEXTS / 4 / bad_texts).otherwise(CURVE_TEXTS / good_texts)
+    return _fit_texts(labelled, model, marks, root, bad_texts, good_texts)
+
+
+def _table(marks: list[dict[int, float]], alpha: np.ndarray) -> np.ndarray:
+    """Landmark weights as one weight for each subsequence code."""
+    table = np.zeros(SIZE)
+    for a, mark in zip(alpha, marks, strict=True):
+        for c, v in mark.items():
+            table[c] += a * v
+    return table
+
+
+def _fit_texts(labelled: DataFrame, model: Model, marks: list[dict[int, float]], root: np.ndarray, bad_texts: int, good_texts: int) -> Model:
+    """Train the SVM on texts and the curve over its margins, on at most about FIT_TEXTS * 1.5 distinct texts."""
+    part = F.when(F.col("toxic") == 1, FIT_TEXTS / 2 / bad_texts).otherwise(FIT_TEXTS / good_texts)
     sample = labelled.filter(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < part * 1_000_000)
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = text_features(batch.column("text"), model)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x.tolist()), "toxic": batch.column("toxic")})
-
-    rows = sample.select("text", "toxic").mapInArrow(described, "x array<double>, toxic int").collect()
-    model.curve = _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows]))
+            d = described(batch.column("text"), model)
+            phi = kernel(features(d.names), marks) @ root
+            total = np.zeros((len(d.x), root.shape[1]))
+            np.add.at(total, d.row, phi[d.word])
+            yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate([total, d.x], 1).tolist()), "toxic": batch.column("toxic"), "part": batch.column("part")})
+
+    rows = sample.select("text", "toxic", F.pmod(F.xxhash64(F.lit("part"), "digest"), F.lit(FOLDS)).cast("int").alias("part")).mapInArrow(vectors, "x array<double>, toxic int, part int").collect()
+    x, y, fold_of = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows]) * 2.0 - 1, np.array([r["part"] for r in rows])
+    unseen, ready = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        rest, own = fold_of != k, fold_of == k
+        if own.any() and (y[rest] > 0).any() and (y[rest] < 0).any():
+            unseen[own], ready[own] = x[own] @ fit_margin(x[rest], y[rest]), True
+    weights = fit_margin(x, y)
+    if not ((y[ready] > 0).any() and (y[ready] < 0).any()):
+        unseen, ready = x @ weights, np.ones(len(y), bool)
+    model.slope = _logistic(np.stack([unseen[ready], np.ones(int(ready.sum()))], 1), (y[ready] > 0) * 1.0)
+    model.text_weight = _table(marks, root @ weights[: root.shape[1]])
+    model.rest = weights[root.shape[1] :]
     return model
 
 
@@ -385,8 +457,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in slices(batches, "text"):
             score, best = np.zeros(batch.num_rows), np.full(batch.num_rows, FLOOR)
             if model:
-                x = text_features(batch.column("text"), model)
-                score, best = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30))), x[:, 0]
+                score, best = text_scores(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(best)], [*own, "score", "predicted", "margin"])
 
     rows = ", row_id long" if "row_id" in own else ""
