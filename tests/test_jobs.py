@@ -37,7 +37,7 @@ def test_every_oracle_runs():
             raise AssertionError(name) from e
 
 
-NEW = ["q2_7_22_join_components", "q2_6_18_slab_match", "q2_11_5b_transition_points", "q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19b_vessel_choice", "q2_11_8_features_by_vessel", "q2_7_28_node_vector", "q2_11_15_reference_corner", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
+NEW = ["q2_11_6b_local_graph_features", "q2_7_22_join_components", "q2_6_18_slab_match", "q2_11_5b_transition_points", "q2_2_4_start_filter", "q2_7_1_cell_graph", "q2_7_17_pathway_subgraph", "q2_7_19b_vessel_choice", "q2_11_8_features_by_vessel", "q2_7_28_node_vector", "q2_11_15_reference_corner", "q2_11_9_anatomy_row", "q2_11_11_access_rows", "q2_5_14_segment_features", "q2_10_1_incremental_cases", "q2_4_21_resample_linear"]
 
 
 @pytest.mark.parametrize("name", NEW)

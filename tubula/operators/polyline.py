@@ -130,6 +130,12 @@ def local_curvature(points: DataFrame, reach: int = 2) -> DataFrame:
     place = F.row_number().over(order())
     df = points.withColumns({"_pts": near, "_first": first, "_last": last, "_n": n, "_place": place})
     df = df.withColumn("_at", F.when(F.col("_first"), 1).when(F.col("_last"), F.size("_pts") - 2).otherwise(F.least(F.col("_place") - 1, F.lit(reach))))
+    return nested_gradients(df)
+
+
+def nested_gradients(df: DataFrame) -> DataFrame:
+    """Adds local_curvature and local_torsion at place _at (from 0) of the ordered array _pts (structs with x, y, z);
+    columns whose names begin with an underscore go. Fewer than three points give NULL."""
     size = F.size("_pts")
 
     def grad(c: Column) -> Column:

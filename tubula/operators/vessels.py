@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tubula.functions.geom import CLASSES, dist, project_2d, to_ijk, type_code, type_vector, vec
-from tubula.functions.runtime import cut_lineage
+from tubula.functions.geom import CLASSES, dist, project_2d, spherical, to_ijk, type_code, type_vector, vec
+from tubula.functions.runtime import cut_lineage, discard
 from tubula.operators import graph as G
 from tubula.operators import polyline as P
 from tubula.operators import segments as S
@@ -182,8 +182,6 @@ def local_features(points: DataFrame, voxels: DataFrame | None = None) -> DataFr
     own = points.filter("not artificial") if "artificial" in points.columns else points
     first, last = (f(F.struct(*"xyz"), "point_idx").over(P.order().rowsBetween(-2, 2)) for f in (F.min_by, F.max_by))
     direction = tuple(last[n] - first[n] for n in "xyz")
-    from tubula.functions.geom import spherical
-
     _, polar, azimuth = spherical(direction)
     done = P.mean_step(P.local_curvature(P.arc_length(own.withColumns({"polar": polar, "azimuth": azimuth}))))
     done = done.withColumnsRenamed({"local_curvature": "curvature", "local_torsion": "torsion", "arc": "accumulated"})
@@ -195,6 +193,97 @@ def local_features(points: DataFrame, voxels: DataFrame | None = None) -> DataFr
     return done.unionByName(points.filter("artificial"), allowMissingColumns=True)
 
 
+def _neighbourhoods(keyed: DataFrame) -> DataFrame:
+    """Adds _pts, the ordered neighbourhood of each node, and _at, the node's place in it. keyed: case_id, node_id, level,
+    x, y, z and edges' ends around (array _near of structs node_id, level, x, y, z, degree, around; around is what
+    lies beyond, without the node itself)."""
+    up = lambda a, level: F.filter(a, lambda v: v["level"] < level)
+    down = lambda a, level: F.filter(a, lambda v: v["level"] > level)
+    point = lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"))
+    one = lambda a: F.transform(F.slice(a, 1, 1), point)
+    own = F.array(F.struct("x", "y", "z"))
+    level, near = F.col("level"), F.col("_near")
+    # degree 2: up to two nodes either way; the second one counts only where the first has degree 2, too
+    beyond = lambda v, pick: F.when(v["degree"] == 2, one(pick(v["around"], v["level"]))).otherwise(F.array().cast("array<struct<x:double,y:double,z:double>>"))
+    above = F.flatten(F.transform(F.reverse(up(near, level)), lambda v: F.concat(beyond(v, up), F.array(point(v)))))
+    below = F.flatten(F.transform(down(near, level), lambda v: F.concat(F.array(point(v)), beyond(v, down))))
+    middle = F.concat(above, own, below)
+    # ends and branches: the node, the nearest node (upstream if there is one) and one more beyond it
+    first = F.coalesce(F.get(up(near, level), F.lit(0)), F.get(near, F.lit(0)))
+    upstream = first["level"] < level
+    climbing = up(first["around"], first["level"])
+    more = F.when(upstream, F.when(F.size(climbing) > 0, one(climbing)).otherwise(one(first["around"]))).otherwise(one(down(first["around"], first["level"])))
+    short = F.concat(own, F.array(point(first)), more)
+    end = F.when(upstream, F.reverse(short)).otherwise(short)
+    df = keyed.withColumn("_pts", F.when(F.col("degree") == 2, middle).when(F.col("degree") == 1, end).when(F.col("degree") > 2, short))
+    df = df.withColumn("_at", F.when(F.size("_pts") == 3, 1).otherwise(F.size(above)))
+    return df.withColumn("_pts", F.when(F.size("_pts") >= 3, F.col("_pts"))).drop("_near")
+
+
+def local_graph_features(nodes: DataFrame, edges: DataFrame, starts: DataFrame, voxels: DataFrame | None = None) -> DataFrame:
+    """Local features of every node of a graph for several accesses at once. nodes: case_id, node_id, x, y, z and more that
+    stays; edges: case_id, src, dst, artificial; starts: case_id, access (text without a colon), node_id, one start for
+    each case and access. Returns nodes' columns, access, level, accumulated (length from the start, artificial edges
+    included), mean_step, curvature, torsion, module, polar, azimuth and, with voxels (case_id, i, j, k, value), value
+    (these replace columns of nodes that have their names);
+    a row for each access and each node that its start leads to.
+
+    All accesses are walked in one pass, as cases of their own. A node's neighbourhood leaves artificial edges out: an end
+    and the next two nodes; up to two nodes either way of a node of degree 2 (the second only past a node of degree 2);
+    a branch, its upstream node and one beyond (a branch without an upstream node: its smallest neighbour and one beyond).
+    Ties go to the smallest node_id. What is undefined takes the value of the nearest node upstream that has one, at
+    the start of the first node (by level, then node_id) that has one, else 0; a missing voxel isn't undefined."""
+    kind = dict(nodes.dtypes)["case_id"]
+    place = dist(tuple(F.col(f"a.{n}") for n in "xyz"), tuple(F.col(f"b.{n}") for n in "xyz"))
+    at = nodes.select("case_id", "node_id", *"xyz")
+    measured = edges.filter("src <> dst").select("case_id", "src", "dst", F.coalesce("artificial", F.lit(False)).alias("artificial")).alias("e").join(at.alias("a"), (F.col("a.case_id") == F.col("e.case_id")) & (F.col("a.node_id") == F.col("e.src"))).join(at.alias("b"), (F.col("b.case_id") == F.col("e.case_id")) & (F.col("b.node_id") == F.col("e.dst"))).select("e.*", place.alias("length"))
+    key = F.concat("access", F.lit(":"), F.col("case_id").cast("string"))
+    begins = starts.select("case_id", "access", "node_id").dropDuplicates(["case_id", "access"])
+    walked = measured.join(begins.select("case_id", "access"), "case_id").select(key.alias("case_id"), "src", "dst", "length", "artificial")
+    levels = cut_lineage(G.bfs_levels(walked, begins.select(key.alias("case_id"), "node_id"), "length").withColumnRenamed("acc", "accumulated"))
+    access = F.substring_index(F.col("_key"), ":", 1)
+    case = F.expr("substring(_key, locate(':', _key) + 1)").cast(kind)
+    placed = levels.withColumnRenamed("case_id", "_key").withColumns({"case_id": case, "access": access}).join(at, ["case_id", "node_id"])
+    real = G.both_ways(walked.filter("not artificial").select(F.col("case_id").alias("_key"), "src", "dst")).distinct()
+    # one hop: what each node sees; two hops: what its neighbours see, without the node
+    seen = real.join(placed.select("_key", F.col("node_id").alias("dst"), F.struct("node_id", "level", *"xyz").alias("v")), ["_key", "dst"])
+    around = cut_lineage(seen.groupBy("_key", F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list("v")).alias("_around")))
+    hop = seen.join(around.withColumnRenamed("node_id", "dst"), ["_key", "dst"])
+    beyond = F.filter("_around", lambda v: v["node_id"] != F.col("src"))
+    near = F.struct("v.node_id", "v.level", "v.x", "v.y", "v.z", F.size("_around").alias("degree"), beyond.alias("around"))
+    hop = hop.groupBy("_key", F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list(near)).alias("_near"), F.count(F.lit(1)).alias("degree"))
+    df = _neighbourhoods(placed.join(hop, ["_key", "node_id"], "left"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("_pts") - 1), lambda i: dist(tuple(F.col("_pts")[i - 1][n] for n in "xyz"), tuple(F.col("_pts")[i][n] for n in "xyz")))
+    total = F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)
+    module, polar, azimuth = spherical(tuple(F.element_at("_pts", -1)[n] - F.get("_pts", F.lit(0))[n] for n in "xyz"))
+    df = df.withColumns({"mean_step": F.when(F.size("_pts") >= 3, total / (F.size("_pts") - 1)), "module": module, "polar": polar, "azimuth": azimuth}).withColumnRenamed("_key", "key")
+    df = P.nested_gradients(df).withColumnsRenamed({"local_curvature": "curvature", "local_torsion": "torsion"})
+    df = _filled(df.select("key", "case_id", "access", "node_id", "level", "parent", "accumulated", *FILLED))
+    df = df.join(nodes.drop("access", "level", "accumulated", "value" if voxels is not None else "access", *FILLED), ["case_id", "node_id"])
+    if voxels is not None:
+        df = df.withColumns({i: F.col(n).cast("int") for i, n in zip("ijk", "xyz", strict=True)}).join(voxels.select("case_id", *"ijk", "value"), ["case_id", *"ijk"], "left").drop(*"ijk")
+    return df
+
+
+#: Local features that a node takes from others where they are undefined.
+FILLED = ["mean_step", "curvature", "torsion", "module", "polar", "azimuth"]
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """Undefined features by the nearest valid node upstream: each round doubles how far up a node has looked."""
+    valid = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    df = df.withColumns({c: valid(c) for c in FILLED})
+    first = df.groupBy("key").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("level", "node_id"))).alias(f"_{c}") for c in FILLED))
+    df = df.join(first, "key").withColumns({c: F.when(F.col("parent").isNull(), F.coalesce(c, f"_{c}")).otherwise(F.col(c)) for c in FILLED}).drop(*(f"_{c}" for c in FILLED))
+    df = cut_lineage(df.withColumn("_up", F.col("parent")))
+    open_ = F.col("_up").isNotNull() & F.expr(" or ".join(f"{c} is null" for c in FILLED))
+    while df.filter(open_).limit(1).count():
+        above = df.select("key", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), *(F.col(c).alias(f"_{c}") for c in FILLED))
+        before, df = df, cut_lineage(df.join(above, ["key", "_up"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in FILLED}).withColumn("_up", F.col("_next")).drop("_next", *(f"_{c}" for c in FILLED)))
+        discard(before)
+    return df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in FILLED}).drop("_up", "key", "parent")
+
+
 def features_of_chains(points: DataFrame, least: int = 3) -> DataFrame:
     """The 22 features of every chain of at least ``least`` points; local features are added where missing."""
     counted = points.withColumn("_n", F.count(F.lit(1)).over(P.whole())).filter(F.col("_n") >= least).drop("_n")

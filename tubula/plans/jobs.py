@@ -381,6 +381,46 @@ def features_by_vessel(spark, d):
 STEP = "sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2))"
 
 
+#: Neighbourhoods of both accesses in rows, nested gradients by windows and filling from upstream by recursion.
+NEAR_GRAD = lambda c: f"CASE WHEN lag(ord) OVER g IS NULL THEN lead({c}) OVER g - {c} WHEN lead(ord) OVER g IS NULL THEN {c} - lag({c}) OVER g ELSE (lead({c}) OVER g - lag({c}) OVER g) / 2 END"
+PER_NODE = ("mean_step", "curvature", "torsion", "module", "polar", "azimuth")
+BOTH_ACCESSES = f"""WITH RECURSIVE {TREE}, {NODES},
+te AS (SELECT DISTINCT case_id, src, dst, dst % 4 = 0 AS artificial FROM tree WHERE src <> dst), ta AS (SELECT * FROM te UNION ALL SELECT case_id, dst, src, artificial FROM te),
+begin AS (SELECT case_id, 'femoral' AS access, min(src) AS node_id FROM te GROUP BY 1 UNION ALL SELECT case_id, 'radial', max(dst) FROM te GROUP BY 1),
+lv AS (SELECT case_id, access, node_id, 0 AS level, CAST(NULL AS BIGINT) AS parent, CAST(0 AS DOUBLE) AS acc FROM begin
+ UNION ALL SELECT l.case_id, access, t.dst, level + 1, l.node_id, acc + sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) FROM lv l JOIN ta t ON t.case_id = l.case_id AND t.src = l.node_id AND t.dst IS DISTINCT FROM l.parent JOIN nodes a ON a.case_id = l.case_id AND a.node_id = t.src JOIN nodes b ON b.case_id = l.case_id AND b.node_id = t.dst),
+nb AS (SELECT l.case_id, l.access, l.node_id AS n, l.level AS ln, v.node_id AS v, v.level AS lvl, count(*) OVER (PARTITION BY l.case_id, l.access, l.node_id) AS deg FROM lv l JOIN ta t ON t.case_id = l.case_id AND t.src = l.node_id AND NOT artificial JOIN lv v ON v.case_id = l.case_id AND v.access = l.access AND v.node_id = t.dst),
+nn AS (SELECT a.*, b.v AS w, b.lvl AS lw, b.deg AS dv, row_number() OVER (PARTITION BY a.case_id, a.access, a.n, a.lvl < a.ln ORDER BY a.v) AS place FROM (SELECT *, row_number() OVER (PARTITION BY case_id, access, n, lvl < ln ORDER BY v) AS side FROM nb) a LEFT JOIN nb b ON b.case_id = a.case_id AND b.access = a.access AND b.n = a.v AND b.v <> a.n),
+hop AS (SELECT *, dense_rank() OVER (PARTITION BY case_id, access, n ORDER BY lvl >= ln, v) AS near FROM nn),
+pick AS (SELECT *, row_number() OVER (PARTITION BY case_id, access, n ORDER BY CASE WHEN lvl < ln THEN lw > lvl ELSE false END, w) AS nth FROM hop WHERE near = 1 AND deg <> 2 AND (lvl < ln AND w IS NOT NULL OR lvl > ln AND lw > lvl)),
+spots AS (SELECT DISTINCT case_id, access, n, deg, CASE WHEN lvl < ln THEN -2 * side + 1 ELSE 2 * side - 1 END AS ord, v AS at FROM hop WHERE deg = 2
+ UNION ALL SELECT case_id, access, n, deg, CASE WHEN lvl < ln THEN -2 * side ELSE 2 * side END, w FROM hop WHERE deg = 2 AND (SELECT count(*) FROM nb b WHERE b.case_id = hop.case_id AND b.access = hop.access AND b.n = hop.v) = 2 AND (lvl < ln AND lw < lvl OR lvl > ln AND lw > lvl)
+ UNION ALL SELECT DISTINCT case_id, access, n, deg, CASE WHEN deg = 1 AND lvl < ln THEN -1 ELSE 1 END, v FROM hop WHERE deg <> 2 AND near = 1
+ UNION ALL SELECT case_id, access, n, deg, CASE WHEN deg = 1 AND lvl < ln THEN -2 ELSE 2 END, w FROM pick WHERE nth = 1
+ UNION ALL SELECT DISTINCT case_id, access, n, deg, 0, n FROM nb),
+pts AS (SELECT s.case_id, access, n, ord, x, y, z, count(*) OVER (PARTITION BY s.case_id, access, n) AS size, row_number() OVER (PARTITION BY s.case_id, access, n ORDER BY ord) - 1 AS i FROM spots s JOIN nodes p ON p.case_id = s.case_id AND p.node_id = s.at),
+g1 AS (SELECT *, {NEAR_GRAD("x")} AS rx, {NEAR_GRAD("y")} AS ry, {NEAR_GRAD("z")} AS rz, sqrt(pow(x - lag(x) OVER g, 2) + pow(y - lag(y) OVER g, 2) + pow(z - lag(z) OVER g, 2)) AS step FROM pts WHERE size >= 3 WINDOW g AS (PARTITION BY case_id, access, n ORDER BY ord)),
+g2 AS (SELECT *, nullif(sqrt(rx * rx + ry * ry + rz * rz), 0) AS speed, rx / speed AS tx, ry / speed AS ty, rz / speed AS tz FROM g1),
+g3 AS (SELECT *, ({NEAR_GRAD("tx")}) / speed AS sx, ({NEAR_GRAD("ty")}) / speed AS sy, ({NEAR_GRAD("tz")}) / speed AS sz FROM g2 WINDOW g AS (PARTITION BY case_id, access, n ORDER BY ord)),
+g4 AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS k, sx / nullif(k, 0) AS ux, sy / nullif(k, 0) AS uy, sz / nullif(k, 0) AS uz, ty * uz - tz * uy AS bx, tz * ux - tx * uz AS by_, tx * uy - ty * ux AS bz FROM g3),
+g5 AS (SELECT *, -(({NEAR_GRAD("bx")}) * ux + ({NEAR_GRAD("by_")}) * uy + ({NEAR_GRAD("bz")}) * uz) / speed AS tor FROM g4 WINDOW g AS (PARTITION BY case_id, access, n ORDER BY ord)),
+loc AS (SELECT case_id, access, n, avg(step) AS mean_step, max(k) FILTER (WHERE CASE WHEN size = 3 THEN i = 1 ELSE ord = 0 END) AS curvature, max(tor) FILTER (WHERE CASE WHEN size = 3 THEN i = 1 ELSE ord = 0 END) AS torsion, arg_max(x, ord) - arg_min(x, ord) AS dx, arg_max(y, ord) - arg_min(y, ord) AS dy, arg_max(z, ord) - arg_min(z, ord) AS dz FROM g5 GROUP BY ALL),
+own AS (SELECT l.*, mean_step, curvature, torsion, sqrt(dx * dx + dy * dy + dz * dz) AS module, CASE WHEN abs(dz) < 1e-5 THEN CASE WHEN abs(dx) > 1e-5 OR abs(dy) > 1e-5 THEN 0 END ELSE sign(dz) * pi() / 2 - atan(sqrt(dx * dx + dy * dy) / dz) END AS polar, CASE WHEN abs(dx) >= 1e-5 OR abs(dy) >= 1e-5 THEN sign(dy) * acos(greatest(-1, least(1, dx / sqrt(dx * dx + dy * dy)))) END AS azimuth FROM lv l LEFT JOIN loc o ON o.case_id = l.case_id AND o.access = l.access AND o.n = l.node_id),
+root AS (SELECT case_id, access, {", ".join(f"arg_min({c}, CAST(level AS BIGINT) * 1000000000 + node_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in PER_NODE)} FROM own GROUP BY ALL),
+filled AS (SELECT o.case_id, o.access, o.node_id, level, acc, {", ".join(f"CAST(coalesce(o.{c}, r.{c}) AS DOUBLE) AS {c}" for c in PER_NODE)} FROM own o JOIN root r ON r.case_id = o.case_id AND r.access = o.access WHERE parent IS NULL
+ UNION ALL SELECT o.case_id, o.access, o.node_id, o.level, o.acc, {", ".join(f"CAST(coalesce(o.{c}, f.{c}) AS DOUBLE)" for c in PER_NODE)} FROM filled f JOIN own o ON o.case_id = f.case_id AND o.access = f.access AND o.parent = f.node_id)
+SELECT case_id, access, node_id, level, round(acc, 5) + 0.0 AS accumulated, {", ".join(f"round(coalesce({c}, 0), 5) + 0.0 AS {c}" for c in PER_NODE)} FROM filled"""
+
+
+@query("q2_11_6b_local_graph_features", BOTH_ACCESSES)
+def local_graph_features(spark, d):
+    edges = tree(spark, d).filter("src <> dst").select("case_id", "src", "dst", (F.col("dst") % 4 == 0).alias("artificial")).distinct()
+    ends = edges.groupBy("case_id").agg(F.min("src").alias("femoral"), F.max("dst").alias("radial"))
+    starts = ends.unpivot("case_id", ["femoral", "radial"], "access", "node_id")
+    rows = A.local_graph_features(tree_nodes(spark, d), edges, starts)
+    return rows.select("case_id", "access", "node_id", "level", *((F.round(c, 5) + 0.0).alias(c) for c in ("accumulated", *PER_NODE)))
+
+
 @query("q2_11_6_local_features", f"WITH {ARC}, vx AS (SELECT case_id, CAST(trunc(x) AS INTEGER) AS i, CAST(trunc(y) AS INTEGER) AS j, CAST(trunc(z) AS INTEGER) AS k, max(radius) AS value FROM points GROUP BY ALL) SELECT p.case_id, cell_id, point_idx, round(arc, 5) AS accumulated, round(value, 5) AS value FROM arcs p LEFT JOIN vx ON vx.case_id = p.case_id AND i = CAST(trunc(x) AS INTEGER) AND j = CAST(trunc(y) AS INTEGER) AND k = CAST(trunc(z) AS INTEGER)")
 def local_features(spark, d):
     p = points(spark, d)
