@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tubula.functions.geom import CLASSES, dist, project_2d, spherical, to_ijk, type_code, type_vector, vec
-from tubula.functions.runtime import cut_lineage, discard
+from tubula.functions.runtime import cut_lineage, discard, spread
 from tubula.operators import graph as G
 from tubula.operators import polyline as P
 from tubula.operators import segments as S
@@ -59,16 +59,16 @@ def path_table(paths: DataFrame, edges: DataFrame) -> DataFrame:
     w = Window.partitionBy("case_id", "leaf").orderBy("i")
     steps = paths.select("case_id", "leaf", F.posexplode("path").alias("i", "src")).withColumn("dst", F.lead("src").over(w)).filter("dst is not null")
     two = G.both_ways(edges.select("case_id", "src", "dst", "cell_id", "class_name", "length", "artificial"))
-    own = steps.join(two, ["case_id", "src", "dst"])
+    own = steps.join(spread(two), ["case_id", "src", "dst"])
     g = own.groupBy("case_id", "leaf").agg(
         F.array_sort(F.collect_list(F.struct("i", "cell_id", "class_name"))).alias("s"), F.bool_or("artificial").alias("artificial"),
         F.max_by("cell_id", "i").alias("_last"), F.max_by("class_name", "i").alias("last_type"),
     )
-    last = own.join(g.select("case_id", "leaf", F.col("_last").alias("cell_id")), ["case_id", "leaf", "cell_id"]).groupBy("case_id", "leaf").agg(F.sum("length").alias("last_length"))
+    last = own.join(spread(g.select("case_id", "leaf", F.col("_last").alias("cell_id"))), ["case_id", "leaf", "cell_id"]).groupBy("case_id", "leaf").agg(F.sum("length").alias("last_length"))
     new = lambda s, i: (i == 0) | (s["cell_id"] != F.col("s")[F.greatest(i - 1, F.lit(0))]["cell_id"])
     cells = F.transform(F.filter("s", new), lambda s: s["cell_id"])
     types = F.array_distinct(F.transform("s", lambda s: s["class_name"]))
-    return g.join(last, ["case_id", "leaf"]).select("case_id", "leaf", cells.alias("cells"), types.alias("types"), "last_type", "artificial", "last_length", type_vector(types).alias("vector"))
+    return g.join(spread(last), ["case_id", "leaf"]).select("case_id", "leaf", cells.alias("cells"), types.alias("types"), "last_type", "artificial", "last_length", type_vector(types).alias("vector"))
 
 
 def all_pathways(nodes: DataFrame, edges: DataFrame, start: DataFrame, configs: DataFrame, reach: float = 15.0) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +76,7 @@ def all_pathways(nodes: DataFrame, edges: DataFrame, start: DataFrame, configs:
     those of side branches up to ``reach`` (case_id, config, node_id, on_path). start: case_id, node_id."""
     paths = cut_lineage(G.root_to_leaf_paths(edges, start))
     best = cut_lineage(G.match_pathways(G.path_dedup(path_table(paths, edges)), configs))
-    on = best.select("case_id", "config", "leaf").join(paths, ["case_id", "leaf"]).select("case_id", "config", F.explode("path").alias("node_id"))
+    on = best.select("case_id", "config", "leaf").join(spread(paths), ["case_id", "leaf"]).select("case_id", "config", F.explode("path").alias("node_id"))
     return best, G.pathway_subgraph(nodes, edges, on, reach, ["config"])
 
 
