@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from tubula.functions import geom
 from tubula.operators import graph as G
+from tubula.operators import nearest as N
 from tubula.operators import vessels as A
 
 
@@ -39,3 +43,33 @@ def test_side_branches_broadcast_no_nodes_or_edges(spark, tmp_path):
     finally:
         G.F.broadcast = real
     assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False, 6: False} and hints and all("away" in h for h in hints)
+
+
+def test_points_on_a_voxel_bound_stay_on_their_side(spark):
+    rows = [(z, oz, sx, sy) for z, oz in ((58.35, 0), (4.95, 1), (52.95, 1), (42.95, 3), (26.35, 4)) for sx in (0.4, -0.4) for sy in (0.5, -0.5)]
+    df = spark.createDataFrame(rows, "z double, oz int, sx double, sy double")
+    zero = F.lit(0.0)
+    affine = F.array(F.col("sx"), zero, zero, zero, zero, F.col("sy"), zero, zero, zero, zero, F.lit(0.8), F.col("oz").cast("double"), zero, zero, zero, F.lit(1.0))
+    k = geom.to_ijk((zero, zero, F.col("z") + 0.05), affine, "trunc")[2]
+    for r in df.withColumn("k", k).collect():
+        assert r["k"] == int((r["z"] + 0.05 - r["oz"]) / 0.8)
+
+
+def test_contraction_compares_places_not_their_points(spark, monkeypatch):
+    rng = random.Random(5)
+    spots = [tuple(rng.choice((-1.0, -0.0, 0.0, 0.25, 1.0)) + rng.choice((0.0, 0.0, 0.01, 0.02)) for _ in range(3)) for _ in range(60)] + [(0.25, 0.25, 0.25)] * 50
+    rows = [(k % 2, 3 * k, *p) for k, p in enumerate(spots)] + [(0, 901, None, 0.0, 0.0), (0, 902, None, 0.0, 0.0), (1, 903, float("nan"), 0.0, 0.0), (1, 905, float("nan"), 0.0, 0.0)]
+    pairs, real = [], N.star_components
+    monkeypatch.setattr(N, "star_components", lambda e, keys: pairs.append(e.count()) or real(e, keys))
+    got = {(r["case_id"], r["end"]): r["node"] for r in N.contract(spark.createDataFrame(rows, "case_id long, end long, x double, y double, z double"), "end", 0.01 + 1e-12).collect()}
+    close = lambda p, q: None not in p + q and sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5 <= 0.01 + 1e-12
+    want, places = {}, {(c, tuple(abs(v) if v == 0 else v for v in p)) for c, _, *p in rows if None not in p and p[0] == p[0]}
+    for case, end, *p in sorted(rows, key=lambda r: r[1]):
+        todo = [] if (case, end) in want else [(end, p)]
+        while todo:
+            at, q = todo.pop()
+            if (case, at) not in want:
+                want[case, at] = end
+                todo += [(e, o) for c, e, *o in rows if c == case and close(q, o)]
+    assert got == want
+    assert pairs == [sum(a < b and a[0] == b[0] and close(a[1], b[1]) for a in places for b in places)]
