@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tubula.functions import geom
 from tubula.operators import graph as G
 from tubula.operators import nearest as N
+from tubula.operators import polyline as P
 from tubula.operators import vessels as A
 
 
@@ -73,3 +76,21 @@ def test_contraction_compares_places_not_their_points(spark, monkeypatch):
                 todo += [(e, o) for c, e, *o in rows if c == case and close(q, o)]
     assert got == want
     assert pairs == [sum(a < b and a[0] == b[0] and close(a[1], b[1]) for a in places for b in places)]
+
+
+def test_linear_resampling_takes_one_exchange(spark, tmp_path):
+    rows = [(1, c, i, float(i * i % 7), float(i), float(c), 1.0 + i) for c in range(3) for i in range(2 + 4 * c)] + [(2, 9, 0, 0.0, 0.0, 0.0, 1.0)]
+    df = P.resample_linear(_file(spark.createDataFrame(rows, "case_id long, cell_id long, point_idx int, x double, y double, z double, radius double"), tmp_path / "points"), 1.5)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["cell_id"], r["point_idx"]): (r["x"], r["y"], r["z"], r["radius"]) for r in df.collect()}
+    want = {(0, 0): (0.0, 0.0, 0.0, 1.0), (9, 0): (0.0, 0.0, 0.0, 1.0), (0, 1): (1.0, 1.0, 0.0, 2.0)}
+    for c in (1, 2):
+        own = [r[3:] for r in rows if r[1] == c]
+        arc = list(itertools.accumulate((math.dist(a[:3], b[:3]) for a, b in itertools.pairwise(own)), initial=0.0))
+        k = math.ceil(arc[-1] / 1.5)
+        for i in range(k + 1):
+            at = arc[-1] * i / k
+            j = max(j for j in range(len(own) - 1) if arc[j] <= at)
+            t = min(1.0, (at - arc[j]) / (arc[j + 1] - arc[j]))
+            want[c, i] = tuple(a + t * (b - a) for a, b in zip(own[j], own[j + 1]))
+    assert got.keys() == want.keys() and all(max(abs(a - b) for a, b in zip(got[k], want[k])) < 1e-12 for k in want)
