@@ -94,3 +94,36 @@ def test_linear_resampling_takes_one_exchange(spark, tmp_path):
             t = min(1.0, (at - arc[j]) / (arc[j + 1] - arc[j]))
             want[c, i] = tuple(a + t * (b - a) for a, b in zip(own[j], own[j + 1]))
     assert got.keys() == want.keys() and all(max(abs(a - b) for a, b in zip(got[k], want[k])) < 1e-12 for k in want)
+
+
+def test_bridging_halves_cubes_and_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    # six components of each case in one space, on places that repeat, so that distances tie; a seventh lies too far off
+    nodes = [(c, k, rng.choice(("A", "B", "C", None)), *(float(rng.randrange(24)) * 0.5 for _ in range(3))) for c in range(2) for k in range(180)]
+    nodes += [(0, 190, "A", 99.0, 0.0, 0.0), (0, 191, "A", None, 0.0, 0.0)]
+    edges = [(c, k, k + 6) for c in range(2) for k in range(174)]
+    held, plans, real = [], [], G.cut_lineage
+    monkeypatch.setattr(N, "MET_PAIRS", 40)
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().toString())
+        out = real(df)
+        if "a_n" in out.columns and "nearest" not in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", cut)
+    monkeypatch.setattr(N, "cut_lineage", cut)
+    frames = _file(spark.createDataFrame(nodes, "case_id long, node_id long, class_name string, x double, y double, z double"), tmp_path / "nodes"), _file(spark.createDataFrame(edges, "case_id long, src long, dst long"), tmp_path / "edges")
+    got = {(r["case_id"], r["src"], r["dst"], round(r["distance"], 9)) for r in G.join_components(*frames, {"A": "B"}, F.col("node_id") == 0, 3.0).collect()}
+    want = set()
+    for case in range(2):
+        inside = {n[1]: n for n in nodes if n[0] == case and n[1] < 180 and n[1] % 6 == 0}
+        for part in range(1, 6):
+            own = [n for n in nodes if n[0] == case and n[1] < 180 and n[1] % 6 == part]
+            rank = lambda a, b: 0 if a == b and a is not None else 1 if (a, b) == ("A", "B") else 2
+            best = min((rank(n[2], m[2]), math.dist(n[3:], m[3:]), n[1], m[1]) for n in own for m in inside.values() if math.dist(n[3:], m[3:]) <= 3.0)
+            want.add((case, best[2], best[3], round(best[1], 9)))
+    assert got == want
+    assert not any("Broadcast" in p for p in plans)
+    assert held and max(held) < 2 * 150 * 30 / 3
