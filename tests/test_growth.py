@@ -127,3 +127,22 @@ def test_bridging_halves_cubes_and_broadcasts_nothing(spark, tmp_path, monkeypat
     assert got == want
     assert not any("Broadcast" in p for p in plans)
     assert held and max(held) < 2 * 150 * 30 / 3
+
+
+def test_origins_compare_few_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(c, 1000 * c + k, name, *(rng.randrange(60) * 0.25 for _ in range(3))) for c in range(2) for k, name in enumerate(["AA"] * 300 + ["BT"] * 300 + ["RSA"] * 40)]
+    rows += [(0, 900, "LSA", 70.0, 0.0, 0.0), (0, 901, "LSA", None, 0.0, 0.0), (3, 5, "BT", 0.0, 0.0, 0.0)]
+    held, real = [], N.cut_lineage if hasattr(N, "cut_lineage") else None
+    monkeypatch.setattr(N, "MET_PAIRS", 2000, raising=False)
+    monkeypatch.setattr(N, "cut_lineage", lambda df: held.append(real(df)) or held[-1], raising=False)
+    frame = spark.createDataFrame(rows, "case_id long, node_id long, class_name string, x double, y double, z double")
+    met = []
+    close = N.closest_pairs
+    monkeypatch.setattr(N, "closest_pairs", lambda a, b, radius: met.append(radius) or close(a, b, radius))
+    got = {(r["case_id"], r["class_name"]): (r["node_id"], r["distance"]) for r in N.origins(frame, ["BT", "RSA", "LSA"], "AA").collect()}
+    want = {}
+    for case, name in ((0, "BT"), (0, "RSA"), (0, "LSA"), (1, "BT"), (1, "RSA")):
+        near = min((math.dist(a[3:], b[3:]), a[1]) for a in rows for b in rows if a[0] == b[0] == case and a[2] == name and b[2] == "AA" and a[3] is not None)
+        want[case, name] = (near[1], near[0])
+    assert got == want and met == [16.0, 64.0]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tubula.functions.geom import clamp, direction_angles, dist, dot, norm, sub, unit, vec
+from tubula.functions.runtime import spread
 from tubula.operators.polyline import KEYS, order, arc_length
 
 
@@ -249,17 +250,18 @@ def ovality(inner: Column, outer: Column) -> Column:
     return F.when(outer == 0, 1.0).otherwise(F.try_divide(inner, outer))
 
 
-def arch_type(nodes: DataFrame) -> DataFrame:
+def arch_type(nodes: DataFrame, begins: DataFrame | None = None) -> DataFrame:
     """1, 2 or 3 for each case: how far the origin of BT lies below the apex of AA (highest node plus its radius), against
     the diameter of LCCA at its origin: below 1, below 2, or more; 1 when a part is missing or the apex isn't above 0.
     Origins are the nodes nearest to any AA node, less than 100 mm away; blanked ones (column blanking, if there)
-    don't count. nodes: case_id, node_id, class_name, x, y, z, radius."""
-    from tubula.operators.nearest import origin
+    don't count. nodes: case_id, node_id, class_name, x, y, z, radius. begins: origins of BT and LCCA, if they are known."""
+    from tubula.operators.nearest import origins
 
     seen = nodes.filter("class_name = 'AA' or blanking = 0") if "blanking" in nodes.columns else nodes
+    begins = origins(seen, ["BT", "LCCA"], "AA") if begins is None else begins
     apex = nodes.filter("class_name = 'AA'").groupBy("case_id").agg(F.max(F.col("z") + F.col("radius")).alias("apex"))
-    bt = origin(seen, "BT", "AA").select("case_id", F.col("z").alias("origin"))
-    wide = origin(seen, "LCCA", "AA").join(nodes.select("case_id", "node_id", (2 * F.col("radius")).alias("diameter")), ["case_id", "node_id"]).select("case_id", "diameter")
+    bt = begins.filter("class_name = 'BT'").select("case_id", F.col("z").alias("origin"))
+    wide = spread(nodes.select("case_id", "node_id", (2 * F.col("radius")).alias("diameter"))).join(spread(begins.filter("class_name = 'LCCA'").select("case_id", "node_id")), ["case_id", "node_id"]).select("case_id", "diameter")
     j = nodes.select("case_id").distinct().join(apex, "case_id", "left").join(bt, "case_id", "left").join(wide, "case_id", "left")
     ratio = F.when(F.col("apex") > 0, F.abs(F.col("apex") - F.col("origin")) / F.nullif("diameter", F.lit(0.0)))
     return j.select("case_id", F.when(ratio >= 2, 3).when(ratio >= 1, 2).otherwise(1).alias("arch_type"))

@@ -305,11 +305,15 @@ def features_by_vessel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def anatomy_row(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Arch type, bovine flag and ARSA flag: case_id, arch_type, bovine, arsa. Bovine: the LCCA's origin touches BT. ARSA: the
     RSA's origin touches AA, and its level is below that of the LSA's origin; without an LSA there is none."""
-    from tubula.operators.nearest import origin
-
-    level = lambda c, name: origin(nodes, c, "AA").join(nodes.select("case_id", "node_id", F.col("hierarchy").alias(name)), ["case_id", "node_id"]).select("case_id", name)
-    flag = lambda a, b, name: G.contact_flags(nodes, edges, a, b).withColumnRenamed("touches", name)
-    j = S.arch_type(nodes).join(flag("LCCA", "BT", "bovine"), "case_id").join(flag("RSA", "AA", "_touches"), "case_id").join(level("RSA", "_r"), "case_id", "left").join(level("LSA", "_l"), "case_id", "left")
+    from tubula.operators.nearest import origins
+
+    begins = cut_lineage(origins(nodes, ["BT", "LCCA", "RSA", "LSA"], "AA"))
+    touch = G.contacts(nodes, edges, [("LCCA", "BT"), ("RSA", "AA")], begins=begins)
+    flag = lambda a, name: touch.filter(F.col("a") == a).select("case_id", F.col("touches").alias(name))
+    at = spread(nodes.select("case_id", "node_id", "hierarchy")).join(spread(begins.select("case_id", "node_id", F.col("class_name").alias("_c"))), ["case_id", "node_id"])
+    levels = at.groupBy("case_id").agg(*(F.max(F.when(F.col("_c") == c, F.col("hierarchy"))).alias(n) for c, n in (("RSA", "_r"), ("LSA", "_l"))))
+    arch = S.arch_type(nodes, None if "blanking" in nodes.columns else begins)
+    j = arch.join(flag("LCCA", "bovine"), "case_id").join(flag("RSA", "_touches"), "case_id").join(levels, "case_id", "left")
     return j.select("case_id", "arch_type", "bovine", (F.col("_touches") & F.coalesce(F.col("_r") < F.col("_l"), F.lit(False))).alias("arsa"))
 
 
