@@ -13,6 +13,7 @@ from tubula.operators import graph as G
 from tubula.operators import nearest as N
 from tubula.operators import polyline as P
 from tubula.operators import vessels as A
+from tubula.streaming.incremental import apply_per_case
 
 
 def _file(df, path):
@@ -146,3 +147,43 @@ def test_origins_compare_few_of_all_pairs(spark, monkeypatch):
         near = min((math.dist(a[3:], b[3:]), a[1]) for a in rows for b in rows if a[0] == b[0] == case and a[2] == name and b[2] == "AA" and a[3] is not None)
         want[case, name] = (near[1], near[0])
     assert got == want and met == [16.0, 64.0]
+
+
+def test_cases_are_dealt_to_all_tasks(spark):
+    rows = [(c, v) for c in [*range(40), None] for v in (1, 2 if c is None or c % 3 else None, 3)]
+    df = spark.createDataFrame(rows, "case_id long, v long").repartition(1)
+
+    def total(part):
+        if part["case_id"].iloc[0] == 7:
+            raise ValueError("seven")
+        return part.assign(n=len(part), kind=str(part["v"].dtype))[["case_id", "n", "kind"]].head(1)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        out = apply_per_case(df, total, "case_id long, n long, kind string")
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["case_id"], r["n"], r["kind"], r["error"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(c, 3, "int64" if c is None or c % 3 else "float64", None) for c in [*range(40), None] if c != 7} | {(7, None, None, "error: seven")}
+
+
+def test_curvature_takes_batches_of_rows(spark):
+    rows = [(1, c, i, math.cos(i / 3), math.sin(i / 3), i * 0.2 * c) for c in range(3) for i in range(9)] + [(1, 5, i, 1.0, 2.0, 3.0) for i in range(4)] + [(1, 6, 0, 1.0, 2.0, 3.0)]
+    df = P.local_curvature(spark.createDataFrame(rows, "case_id long, cell_id long, point_idx int, x double, y double, z double"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+    def grad(v):
+        return [v[min(i + 1, len(v) - 1)] - v[max(i - 1, 0)] if i in (0, len(v) - 1) else (v[i + 1] - v[i - 1]) / 2 for i in range(len(v))]
+
+    for r in df.collect():
+        own = [p[3:] for p in rows if p[1] == r["cell_id"]][max(r["point_idx"] - 2, 0) : r["point_idx"] + 3]
+        at = 1 if r["point_idx"] == 0 else len(own) - 2 if r["point_idx"] == len([p for p in rows if p[1] == r["cell_id"]]) - 1 else min(r["point_idx"], 2)
+        if r["cell_id"] > 4:
+            assert r["local_curvature"] is None and r["local_torsion"] is None
+            continue
+        g = [grad([p[k] for p in own]) for k in range(3)]
+        speed = [math.hypot(*(c[i] for c in g)) for i in range(len(own))]
+        t = [[v / s for v, s in zip(c, speed)] for c in g]
+        bend = [grad(c)[at] / speed[at] for c in t]
+        assert abs(math.hypot(*bend) - r["local_curvature"]) < 1e-12

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Partition columns of the table of keys.
@@ -36,11 +41,17 @@ def run_incremental(spark: SparkSession, source: str, schema: str, out: str, che
     query.awaitTermination()
 
 
+#: Types that pandas sees the same way in a batch as in a case of its own (for keys: those before the floats).
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "string", "boolean", "float", "double")
+
+
 def apply_per_case(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "case_id") -> DataFrame:
     """A function over the rows of each case, which come as one frame: a case must be bounded, so aggregate
     what can be before. The result has the function's columns and an error column; a case that fails gives
-    one row with its id and message, and the others go on."""
+    one row with its id and message, and the others go on. Cases of plain columns are dealt to all tasks of an exchange, as they
+    cost time, not bytes, and come sorted, many in a batch."""
     names = [c.split()[0] for c in schema.split(",")]
+    spark = df.sparkSession
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         try:
@@ -48,7 +59,50 @@ def apply_per_case(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFram
         except Exception as e:  # noqa: BLE001  the error is the row's result
             return pd.DataFrame([{n: part[key].iloc[0] if n == key else None for n in names} | {"error": f"error: {e}"}])
 
-    return df.groupBy(key).applyInPandas(run, f"{schema}, error string")
+    whole = StructType.fromDDL(f"{schema}, error string")
+    kinds = [k for fields in (df.dtypes, [(f.name, f.dataType.simpleString()) for f in whole]) for _, k in fields]
+    if any(k not in _PLAIN for k in kinds) or dict(df.dtypes)[key] not in _PLAIN[:6]:
+        return df.groupBy(key).applyInPandas(run, whole)
+    shape = to_arrow_schema(whole)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pd.DataFrame]]:
+        """The cases of each batch; the one that a batch ends in waits for the next batch."""
+        held = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*held, batch])
+            k = rows.column(key).combine_chunks()
+            now, last = k.slice(1), k.slice(0, max(len(k) - 1, 0))
+            new = pc.or_(pc.fill_null(pc.not_equal(now, last), False), pc.not_equal(now.is_null(), last.is_null()))
+            at = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist()]
+            yield cut(rows, at)
+            held = rows.slice(at[-1]).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield cut(rows, [0, rows.num_rows])
+
+    def cut(rows: pa.Table, at: list[int]) -> list[pd.DataFrame]:
+        """Cases between places; a column with NULL somewhere may be of another type in a case that has none."""
+        if any(c.null_count for c in rows.columns):
+            return [rows.slice(i, j - i).to_pandas() for i, j in itertools.pairwise(at)]
+        one = rows.to_pandas()
+        return [one.iloc[i:j].set_axis(pd.RangeIndex(j - i)) for i, j in itertools.pairwise(at)]
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cases in frames(b for b in batches if b.num_rows):
+            if done := [columns(part) for part in cases]:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*done, strict=True)], schema=shape)
+
+    def columns(part: pd.DataFrame) -> list[pa.Array]:
+        try:
+            result = function(part)
+        except Exception as e:  # noqa: BLE001  the error is the row's result
+            one = {key: part[key].iloc[0], "error": f"error: {e}"}
+            return [pa.array([one.get(f.name)], f.type, from_pandas=True) for f in shape]
+        return [*(pa.array(result[n], shape.field(n).type, from_pandas=True) for n in names), pa.nulls(len(result), pa.string())]
+
+    # by a hash of the key: by the key itself, adaptive execution would join the few bytes of many cases in one task
+    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+    return dealt.sortWithinPartitions(key).mapInArrow(many, whole)
 
 
 def errors(results: DataFrame) -> DataFrame:
