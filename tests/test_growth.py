@@ -12,6 +12,7 @@ from tubula.functions import geom
 from tubula.operators import graph as G
 from tubula.operators import nearest as N
 from tubula.operators import polyline as P
+from tubula.operators import segments as S
 from tubula.operators import vessels as A
 from tubula.streaming.incremental import apply_per_case
 
@@ -187,3 +188,20 @@ def test_curvature_takes_batches_of_rows(spark):
         t = [[v / s for v, s in zip(c, speed)] for c in g]
         bend = [grad(c)[at] / speed[at] for c in t]
         assert abs(math.hypot(*bend) - r["local_curvature"]) < 1e-12
+
+
+def test_partial_features_take_one_exchange(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(1, c, i, rng.uniform(0, 20), rng.uniform(0, 9), float(i % 2), rng.uniform(1, 4), int(rng.random() < 0.3)) for c in range(6) for i in range(1 + 2 * c)]
+    points = _file(spark.createDataFrame(rows, "case_id long, cell_id long, point_idx int, x double, y double, z double, radius double, blanking int"), tmp_path / "points")
+    df = S.partial_features(points)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r["cell_id"]: r for r in df.collect()}
+    assert got.keys() == set(range(6))
+    for name, length, start in (("first_50", 50, True), ("last_10", 10, False), ("last_20", 20, False), ("last_30", 30, False)):
+        for r in S.tortuosity(S.partial_segment(points, length, start).drop("arc")).collect():
+            one = got[r["cell_id"]][f"tortuosity_{name}"]
+            assert (one is None and r["tortuosity"] is None) or abs(one - r["tortuosity"]) < 1e-12
+    for n in (5, 10):
+        for r in S.partial_segment(points, n, False).groupBy("cell_id").agg(S.unblanked(F.avg, 2 * F.col("radius")).alias("d")).collect():
+            assert abs(got[r["cell_id"]][f"diameter_last_{n}"] - r["d"]) < 1e-12

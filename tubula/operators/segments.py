@@ -97,15 +97,18 @@ def partial_segment(points: DataFrame, length: float, start: bool = True) -> Dat
 
 
 def partial_features(points: DataFrame) -> DataFrame:
-    """Mean diameter of the last 5 and 10 mm, tortuosity of the first 50 and the last 10, 20, 30 mm."""
-    out = points.select(*KEYS).distinct()
-    for n in (5, 10):
-        d = partial_segment(points, n, False).groupBy(*KEYS).agg(unblanked(F.avg, 2 * F.col("radius")).alias(f"diameter_last_{n}"))
-        out = out.join(d, KEYS, "left")
-    for name, n, start in (("first_50", 50, True), ("last_10", 10, False), ("last_20", 20, False), ("last_30", 30, False)):
-        part = tortuosity(partial_segment(points, n, start).drop("arc")).select(*KEYS, F.col("tortuosity").alias(f"tortuosity_{name}"))
-        out = out.join(part, KEYS, "left")
-    return out
+    """Mean diameter of the last 5 and 10 mm, tortuosity of the first 50 and the last 10, 20, 30 mm (parts as partial_segment
+    cuts them), by one ordering of the points and one aggregation."""
+    p = arc_length(points).withColumns({"_back": F.max("arc").over(Window.partitionBy(*KEYS)) - F.col("arc"), "_before": F.lag("arc").over(order())})
+    p = p.withColumn("_next", F.lead("_back").over(order()))
+    last = lambda n: F.coalesce(F.col("_next") < n, F.lit(True))
+    xyz, i, d = F.struct(*"xyz"), F.col("point_idx"), 2 * F.col("radius")
+    parts = {"first_50": (F.coalesce(F.col("_before") < 50, F.lit(True)), "arc"), **{f"last_{n}": (last(n), "_back") for n in (10, 20, 30)}}
+    found = [c for name, (keep, size) in parts.items() for c in (F.max(F.when(keep, F.col(size))).alias(f"_{name}_l"), F.min_by(xyz, F.when(keep, i)).alias(f"_{name}_a"), F.max_by(xyz, F.when(keep, i)).alias(f"_{name}_b"))]
+    tails = [F.coalesce(F.avg(F.when(last(n) & _open(), d)), F.avg(F.when(last(n), d))).alias(f"diameter_last_{n}") for n in (5, 10)]
+    g = p.groupBy(*KEYS).agg(*tails, *found)
+    chord = lambda name: dist(*(tuple(F.col(f"_{name}_{e}.{n}") for n in "xyz") for e in "ab"))
+    return g.select(*KEYS, "diameter_last_5", "diameter_last_10", *((1 - chord(name) / F.nullif(F.col(f"_{name}_l"), F.lit(0.0))).alias(f"tortuosity_{name}") for name in parts))
 
 
 def segment_features(nodes: DataFrame) -> DataFrame:
