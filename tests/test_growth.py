@@ -205,3 +205,75 @@ def test_partial_features_take_one_exchange(spark, tmp_path):
     for n in (5, 10):
         for r in S.partial_segment(points, n, False).groupBy("cell_id").agg(S.unblanked(F.avg, 2 * F.col("radius")).alias("d")).collect():
             assert abs(got[r["cell_id"]][f"diameter_last_{n}"] - r["d"]) < 1e-12
+
+
+def _cells(spark, seed=5, n=40):
+    """Cells of 1 to 17 points, one of them long, some points repeated, some without a place or radius."""
+    rng = random.Random(seed)
+    rows = []
+    for cell in range(n):
+        for i in range(150 if cell == 7 else rng.randrange(1, 18)):
+            at = rows[-1][3:6] if i and rng.random() < 0.1 else [rng.uniform(0, 9) for _ in range(3)]
+            rows.append((cell % 3, cell, i, *(at if cell % 10 != 9 or i != 2 else (None, 1.0, 2.0)), None if cell % 10 == 8 and i == 1 else rng.uniform(1, 2)))
+    return spark.createDataFrame(rows, "case_id long, cell_id long, point_idx int, x double, y double, z double, radius double")
+
+
+def _small_batches(spark, make):
+    """Rows of make(), once with batches that cut cells and once without."""
+    got = []
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got.append(sorted(map(tuple, make().collect()), key=lambda r: r[:3]))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1]
+    return got[1]
+
+
+def test_splines_take_no_array_of_a_cell(spark):
+    cells = _cells(spark)
+    plan = P.resample_cubic(cells, 0.5)._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange ") == 1
+    rows = _small_batches(spark, lambda: P.resample_cubic(cells, 0.5))
+    own = {}
+    for r in rows:
+        own.setdefault(r[1], []).append(r)
+    given = {}
+    for r in cells.orderBy("cell_id", "point_idx").collect():
+        given.setdefault(r["cell_id"], []).append(r)
+    assert own.keys() == given.keys()
+    for cell, before in given.items():
+        length = sum(math.dist(a[3:6], b[3:6]) for a, b in itertools.pairwise(before) if None not in (*a[3:6], *b[3:6]))
+        after = own[cell]
+        assert len(after) == (math.ceil(length / 0.5) + 1 if length > 0.5 else len(before))
+        assert [r[2] for r in after] == list(range(len(after))) and after[0][3:] == tuple(before[0][3:]) and after[-1][3:] == tuple(before[-1][3:])
+
+
+def test_frames_take_no_array_of_a_cell(spark):
+    cells = P.tangents(_cells(spark)).withColumn("name", F.lit("AA"))
+    plan = P.transported_frames(cells)._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan and "Join" not in plan
+    rows = _small_batches(spark, lambda: P.transported_frames(cells))
+    assert len(rows) == cells.count() and all(r[10] == "AA" for r in rows)
+    at = {r[:2]: [] for r in rows}
+    for r in rows:
+        at[r[:2]].append(r)
+    dots = lambda a, b: sum(p * q for p, q in zip(a, b))
+    mirror = lambda a, v: a if dots(v, v) < 1e-20 else [p - 2 * dots(v, a) / dots(v, v) * q for p, q in zip(a, v)]
+    for cell in at.values():
+        if any(c is None for r in cell for c in r[3:6]):
+            continue
+        for a, b in itertools.pairwise(cell):
+            v = [q - p for p, q in zip(a[3:6], b[3:6])]
+            want = a[11:14]
+            if dots(v, v) >= 1e-20:
+                want = mirror(mirror(a[11:14], v), [q - p for p, q in zip(mirror(a[7:10], v), b[7:10])])
+                size = math.sqrt(dots(want, want))
+                want = [c / size if size else c for c in want]
+            assert all(abs(p - q) < 1e-9 for p, q in zip(want, b[11:14]))
+
+
+def test_local_features_collect_no_points(spark):
+    plan = A.local_features(_cells(spark))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "min_by" not in plan

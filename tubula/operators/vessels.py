@@ -180,7 +180,8 @@ def local_features(points: DataFrame, voxels: DataFrame | None = None) -> DataFr
     i, j, k, value). Artificial rows (a boolean column, if there) aren't neighbours of any; they come back
     with NULL features."""
     own = points.filter("not artificial") if "artificial" in points.columns else points
-    first, last = (f(F.struct(*"xyz"), "point_idx").over(P.order().rowsBetween(-2, 2)) for f in (F.min_by, F.max_by))
+    at = F.struct(*"xyz")
+    first, last = (F.coalesce(f(at, 2).over(P.order()), f(at, 1).over(P.order()), at) for f in (F.lag, F.lead))
     direction = tuple(last[n] - first[n] for n in "xyz")
     _, polar, azimuth = spherical(direction)
     done = P.mean_step(P.local_curvature(P.arc_length(own.withColumns({"polar": polar, "azimuth": azimuth}))))
