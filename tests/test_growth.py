@@ -277,3 +277,19 @@ def test_frames_take_no_array_of_a_cell(spark):
 def test_local_features_collect_no_points(spark):
     plan = A.local_features(_cells(spark))._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "min_by" not in plan
+
+
+def test_circles_of_small_groups_take_no_jobs(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(g, rng.uniform(-5, 5), rng.uniform(-5, 5)) for g in range(30) for _ in range(1 + g * g)] + [(50, 1.0, 2.0)] * 9 + [(51, float(i), 0.0) for i in range(9)] + [(52, None, 1.0), (None, 1.0, 1.0)]
+    pts = spark.createDataFrame(rows, "g int, u double, v double")
+    key = lambda df: {r["g"]: (r["cu"], r["cv"], r["radius"]) for r in df.collect()}
+    large = key(S.enclosing_circle(pts, ["g"], most=0))
+    mixed = key(S.enclosing_circle(pts, ["g"], most=100))
+    monkeypatch.setattr(S, "_circles_by_rounds", None)  # small groups need no rounds of jobs
+    small = _small_batches(spark, lambda: S.enclosing_circle(pts, ["g"]))
+    small = {r[0]: r[1:] for r in small}
+    assert small.keys() == large.keys() == mixed.keys() == {*range(30), 50, 51} and small[50] == (1.0, 2.0, 0.0) and small[51] == (4.0, 0.0, 4.0)
+    for g, want in large.items():
+        for got in (small[g], mixed[g]):
+            assert all(abs(a - b) < 1e-5 for a, b in zip(got, want))

@@ -5,11 +5,16 @@ where a segment has others. Undefined values are NULL."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tubula.functions.cells import by_size, in_groups, numbers, padded
 from tubula.functions.geom import clamp, direction_angles, dist, dot, norm, sub, unit, vec
 from tubula.functions.runtime import spread
 from tubula.operators.polyline import KEYS, order, arc_length
@@ -210,26 +215,95 @@ def polygon_area(ring: DataFrame, keys: list[str]) -> DataFrame:
     return ring.withColumns({"_u": nxt("u"), "_v": nxt("v")}).groupBy(*keys).agg(area.alias("area")).withColumn("radius", F.sqrt(F.col("area") / math.pi))
 
 
-def enclosing_circle(points: DataFrame, keys: list[str], rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+#: Points of a group up to which one task finds its circle; larger groups take rounds of jobs.
+CIRCLE_POINTS = 10_000
+
+
+def enclosing_circle(points: DataFrame, keys: list[str], rounds: int = 60, tolerance: float = 1e-6, most: int | None = None) -> DataFrame:
     """Smallest circle around planar points (keys, u, v), all groups at once: each round adds the farthest
     point to the at most three points that hold the circle and takes the smallest circle around these. Its
-    radius is never above the answer, the farthest distance never below; it ends when they differ by less
-    than ``tolerance`` of the radius in every group, and fails if that takes more than so many rounds.
-    Points without both coordinates don't count."""
+    radius is never above the answer, the farthest distance never below; a group is done when they differ by less
+    than ``tolerance`` of the radius, and fails if that takes more than so many rounds. Groups of at most ``most`` points
+    (default CIRCLE_POINTS) go through their rounds in one task, many at a time; a round of larger ones is a job that
+    meets only those not done. Points without a key or without both coordinates don't count."""
+    from tubula.functions.runtime import cut_lineage
+
+    most = CIRCLE_POINTS if most is None else most
+    points = points.select(*keys, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).dropna(subset=["u", "v"])
+    points = cut_lineage(points.filter(" and ".join(f"`{k}` is not null" for k in keys)))
+    large = cut_lineage(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*keys))
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    run = lambda rows, begin: _circles(rows, begin, keys, rounds, tolerance)
+    few = lambda df: in_groups(df, keys, [], run, f"{kinds}, cu double, cv double, radius double")
+    if not large.limit(1).count():
+        return few(points)
+    rest = cut_lineage(points.join(large, keys, "left_semi").distinct())
+    return few(points.join(large, keys, "left_anti")).unionByName(_circles_by_rounds(rest, keys, rounds, tolerance))
+
+
+def _circles_by_rounds(points: DataFrame, keys: list[str], rounds: int, tolerance: float) -> DataFrame:
     from tubula.functions.runtime import cut_lineage
 
-    points = cut_lineage(points.select(*keys, "u", "v").dropna(subset=["u", "v"]).distinct())
     own = points.groupBy(*keys).agg(F.min(F.struct("u", "v")).alias("a")).select(*keys, *(F.col("a").alias(n) for n in ("a", "b", "c")), F.col("a.u").alias("cu"), F.col("a.v").alias("cv"), F.lit(0.0).alias("least"))
-    held = ("a", "b", "c", "cu", "cv", "least")
+    held, done = ("a", "b", "c", "cu", "cv", "least"), []
     for _ in range(rounds + 1):
         away = points.join(own, keys).withColumn("d", F.hypot(F.col("u") - F.col("cu"), F.col("v") - F.col("cv")))
         g = cut_lineage(away.groupBy(*keys).agg(*(F.first(n).alias(n) for n in held), F.max_by(F.struct("u", "v"), F.struct("d", "u", "v")).alias("f"), F.max("d").alias("radius")))
-        if not g.filter(F.col("radius") > F.col("least") * (1 + tolerance)).limit(1).count():
-            return g.select(*keys, "cu", "cv", "radius")
-        own = g.select(*keys, _smallest_circle(("a", "b", "c", "f")).alias("s")).select(*keys, *(f"s.{n}" for n in held))
+        open_ = F.col("radius") > F.col("least") * (1 + tolerance)
+        done.append(g.filter(~open_).select(*keys, "cu", "cv", "radius"))
+        if not g.filter(open_).limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        own = g.filter(open_).select(*keys, _smallest_circle(("a", "b", "c", "f")).alias("s")).select(*keys, *(f"s.{n}" for n in held))
     raise RuntimeError("enclosing circles did not settle")
 
 
+def _circles(rows: pa.Table, begin: np.ndarray, keys: list[str], rounds: int, tolerance: float) -> Iterator[pa.Table]:
+    """The rounds of enclosing_circle for all groups of a batch."""
+    u, v = (numbers(rows, n)[0] for n in "uv")
+    sizes, out = np.diff(begin), np.empty((len(begin) - 1, 3))
+    for group in by_size(sizes):
+        at = padded(begin[group], sizes[group])
+        x, y = u[at], v[at]
+        low = x.min(1)
+        first = np.stack([low, np.where(x == low[:, None], y, np.inf).min(1)], 1)
+        held, centre, least = np.repeat(first[:, None], 3, 1), first, np.zeros(len(group))
+        for turn in range(rounds + 1):
+            away = np.hypot(x - centre[:, :1], y - centre[:, 1:])
+            radius = away.max(1)
+            open_ = ~(radius <= least * (1 + tolerance))
+            out[group[~open_]] = np.column_stack([centre, radius])[~open_]
+            if not open_.any():
+                break
+            x, y, away, group, held = x[open_], y[open_], away[open_], group[open_], held[open_]
+            far = away == away.max(1)[:, None]
+            right = np.where(far, x, -np.inf).max(1)
+            top = np.where(far & (x == right[:, None]), y, -np.inf).max(1)
+            centre, least, held = _circle_of_four(np.concatenate([held, np.stack([right, top], 1)[:, None]], 1))
+        else:
+            raise RuntimeError("enclosing circles did not settle")
+    groups = rows.select(keys).take(pa.array(begin[:-1]))
+    yield pa.table([*groups.columns, *(pa.array(out[:, i]) for i in range(3))], [*keys, "cu", "cv", "radius"])
+
+
+def _circle_of_four(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest circles around four points each, as _smallest_circle: centres, radii and the points on them."""
+    found = []
+    with np.errstate(all="ignore"):
+        for on in [*combinations(range(4), 2), *combinations(range(4), 3)]:
+            a, b, c = p[:, on[0]], p[:, on[1]], p[:, on[-1]]
+            if len(on) == 2:
+                centre, flat = (a + b) / 2, np.zeros(len(p), bool)
+            else:
+                (bu, bv), (du, dv) = (b - a).T, (c - a).T
+                b2, d2, twice = bu * bu + bv * bv, du * du + dv * dv, 2 * (bu * dv - bv * du)
+                centre, flat = np.stack([a[:, 0] + (dv * b2 - bv * d2) / twice, a[:, 1] + (bu * d2 - du * b2) / twice], 1), twice == 0
+            gap = np.hypot(p[..., 0] - centre[:, :1], p[..., 1] - centre[:, 1:]).max(1)
+            found.append((np.where(flat | np.isnan(gap), np.inf, gap), centre, np.stack([a, b, c], 1)))
+    least, centre, on = np.stack([f[0] for f in found], 1), np.stack([f[1] for f in found], 1), np.stack([f[2] for f in found], 1)
+    best, each = np.lexsort((centre[..., 1], centre[..., 0], least), axis=1)[:, 0], np.arange(len(p))
+    return centre[each, best], least[each, best], on[each, best]
+
+
 def _smallest_circle(names: tuple[str, ...]) -> Column:
     """Smallest circle around a few points (structs u, v): of the circles on two or three of them, the
     centre whose farthest point is nearest. Struct of least (radius), cu, cv and the points a, b, c on it."""
