@@ -293,3 +293,30 @@ def test_circles_of_small_groups_take_no_jobs(spark, monkeypatch):
     for g, want in large.items():
         for got in (small[g], mixed[g]):
             assert all(abs(a - b) < 1e-5 for a, b in zip(got, want))
+
+
+def test_few_neighbours_in_a_dense_cloud(spark, monkeypatch):
+    rng = random.Random(9)
+    at = [(0, rng.gauss(0, 0.5), rng.gauss(0, 0.5), rng.gauss(0, 0.5)) for _ in range(900)] + [(0, rng.uniform(-30, 30), rng.uniform(-30, 30), 0.0) for _ in range(100)]
+    at += [(0, 0.1, 0.2, 0.3)] * 40 + [(1, 1.0, 1.0, 1.0), (1, 2.0, 1.0, 1.0), (1, None, 1.0, 1.0), (2, 5.0, 5.0, 5.0)]
+    rows = [(c, 7 * i % len(at), x, y, z) for i, (c, x, y, z) in enumerate(at)]
+    assert len({r[1] for r in rows}) == len(rows)
+    nodes = spark.createDataFrame(rows, "case_id long, node_id long, x double, y double, z double")
+    met, real = [], N.within
+
+    def counted(a, b, *more):
+        out = real(a, b, *more)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "within", counted)
+    placed = [r for r in rows if r[2] is not None]
+    for loops in (False, True):
+        got = sorted(map(tuple, N.radius_graph(nodes, "node_id", 10.0, 5, loops).collect()))
+        want = []
+        for a in placed:
+            near = sorted((math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2), b[1]) for b in placed if a[0] == b[0] and (loops or a[1] != b[1]))
+            want += [(a[0], a[1], dst, d) for d, dst in near[:5] if d <= 10]
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, sorted(want)))
+    assert 0 < sum(met) < 200 * 2 * len(rows)  # all pairs within the radius: over 800,000 each time
+    assert N.radius_graph(nodes.filter("x > 1e9"), "node_id", 10.0, 5).count() == 0
