@@ -128,3 +128,17 @@ def test_all_documents(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     want = con.execute(f"SELECT {', '.join(NAMES)} FROM ({colloc.OP11_SQL})").fetchall()
     assert sorted(map(tuple, colloc.op11_collocations(spark, sf).collect())) == sorted(want) and np.unique([r[0] for r in want]).size == 4
+
+
+def test_stored_automata_are_small_and_whole():
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 4000}" for _ in range(300)) for _ in range(200)]
+    words, piece, _ = colloc.word_pieces(pa.array(texts))
+    g = colloc.count_grams(words, piece, len(words))
+    for part in (g, g.rows(slice(0, 0)).narrow(), g.rows(slice(0, 1)).narrow()):
+        a = colloc.CountAutomaton.of(part)
+        b = colloc.CountAutomaton.from_bytes(a.to_bytes())
+        assert b.words.equals(a.words) and all(np.array_equal(getattr(a, k), getattr(b, k)) for k in a.FIELDS)
+    a = colloc.CountAutomaton.of(g)
+    plain = sum(len(pa.compress(colloc._small(np.diff(x, prepend=0) if k in a.ASCENDING else x).tobytes(), codec="zstd", asbytes=True)) for k in a.FIELDS for x in [getattr(a, k)])
+    assert len(a.to_bytes()) < 0.9 * plain

@@ -188,6 +188,8 @@ class CountAutomaton:
     FIELDS = ("word1", "n1", "to1", "state2", "word2", "n2", "to2", "state3", "word3", "n3")
     #: Fields in ascending order, stored as differences.
     ASCENDING = ("word1", "state2", "state3")
+    #: Fields that ascend within a state.
+    WITHIN = {"word2": "state2", "word3": "state3"}
 
     def __init__(self, words: pa.Array, **arrays: np.ndarray):
         self.words = words
@@ -248,10 +250,22 @@ class CountAutomaton:
 
     def to_bytes(self) -> bytes:
         size = pc.binary_length(self.words).to_numpy(zero_copy_only=False)
-        arrays = [_small(size), *(_small(np.diff(getattr(self, k), prepend=0) if k in self.ASCENDING else getattr(self, k)) for k in self.FIELDS)]
+        arrays = [_small(size), *(_small(self._apart(k)) for k in self.FIELDS)]
         head = np.array([len(arrays), *[x for y in arrays for x in (y.itemsize, len(y))]], np.int64)
-        data = b"".join([head.tobytes(), *(x.tobytes() for x in arrays), b"".join(self.words.to_pylist())])
-        return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+        # all first bytes of an array's numbers, then all second ones: these are smaller compressed
+        planes = (x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+        data = b"".join([head.tobytes(), *planes, b"".join(self.words.to_pylist())])
+        return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+    def _apart(self, k: str) -> np.ndarray:
+        """Numbers of a field, as what they add to the one before where they ascend (words: within a state)."""
+        x = getattr(self, k)
+        if k in self.ASCENDING:
+            return np.diff(x, prepend=0)
+        if k in self.WITHIN:
+            state = getattr(self, self.WITHIN[k])
+            return np.where(np.diff(state, prepend=-1) == 0, np.diff(x, prepend=0), x)
+        return x
 
     @staticmethod
     def from_bytes(data: bytes) -> CountAutomaton:
@@ -260,11 +274,16 @@ class CountAutomaton:
         shape = np.frombuffer(data, np.int64, 2 * count, 8).reshape(count, 2)
         at, arrays = 8 + 16 * count, []
         for width, n in shape.tolist():
-            arrays.append(np.frombuffer(data, f"u{width}", n, at).astype(np.int64))
+            plane = np.frombuffer(data, np.uint8, width * n, at).reshape(width, n)
+            arrays.append(np.ascontiguousarray(plane.T).view(f"<u{width}")[:, 0].astype(np.int64) if n else np.zeros(0, np.int64))
             at += width * n
         offsets = np.concatenate([[0], np.cumsum(arrays[0])]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(arrays[0]), [None, pa.py_buffer(offsets), pa.py_buffer(data[at:])])
         fields = {k: np.cumsum(x) if k in CountAutomaton.ASCENDING else x for k, x in zip(CountAutomaton.FIELDS, arrays[1:], strict=True)}
+        for k, state in CountAutomaton.WITHIN.items():
+            x, first = fields[k], np.flatnonzero(np.diff(fields[state], prepend=-1) != 0)
+            total = np.cumsum(x)
+            fields[k] = total - np.repeat((total - x)[first], np.diff(np.append(first, len(x))))
         return CountAutomaton(words, **fields)
 
 
