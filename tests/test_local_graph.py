@@ -115,3 +115,38 @@ def test_no_starts_and_lone_edges(spark):
     rows = {r["node_id"]: r for r in vessels.local_graph_features(nodes, edges, starts).collect()}
     assert rows[1]["accumulated"] == 5.0 and all(rows[n][c] == 0.0 for n in (0, 1) for c in NAMES)
     assert vessels.local_graph_features(nodes, edges, starts.limit(0)).count() == 0
+
+
+def _hubs(rng):
+    """Graphs with hubs, cycles, lone edges and places that repeat: nodes, edges, starts and their features."""
+    nodes, edges, starts, want = [], [], [], {}
+    for case in (1, 2):
+        pos = {n: tuple(float(rng.randrange(4)) for _ in range(3)) for n in range(40)}
+        own = [(20, n, n % 9 == 0) for n in range(21, 34)] + [(n, n + 1, n == 5) for n in range(20)] + [(34, 35, False), (35, 36, False), (36, 39, True)]
+        own += [(3, 11, False), (33, 15, False)] if case == 1 else []  # of odd length: no node has two parents
+        nodes += [(case, n, *p) for n, p in pos.items()]
+        edges += [(case, *e) for e in own] + [(case, 4, 4, False), (case, 1, 0, False)]
+        for access, node in (("femoral", 0), ("radial", 33), ("other", 35)):
+            starts.append((case, access, node))
+            want |= {(case, access, n): row for n, row in brute(pos, own, node).items()}
+    return nodes, edges, starts, want
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_hubs_and_cycles_without_arrays_of_neighbours_or_broadcasts(spark, tmp_path, monkeypatch, limit):
+    nodes, edges, starts, want = _hubs(random.Random(3))
+    frames = []
+    for name, rows, schema in (("n", nodes, "case_id long, node_id long, x double, y double, z double"), ("e", edges, "case_id long, src long, dst long, artificial boolean"), ("s", starts, "case_id long, access string, node_id long")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        frames.append(spark.read.parquet(str(tmp_path / name)))
+    held, kept = [], vessels.cut_lineage
+    monkeypatch.setattr(vessels, "cut_lineage", lambda df: held.append(df) or kept(df))
+    df = vessels.local_graph_features(*frames) if limit is None else vessels.local_graph_features(*frames, limit=limit)
+    got = {(r["case_id"], r["access"], r["node_id"]): r for r in df.collect()}
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        for c in (*NAMES, "level", "accumulated"):
+            assert got[k][c] == pytest.approx(row[c], rel=1e-6, abs=1e-6), (k, c)
+    assert not any(kind.startswith("array") for f in held for _, kind in f.dtypes)
+    if limit is None:
+        assert not any("Broadcast" in f._jdf.queryExecution().toString() for f in [df, *held])

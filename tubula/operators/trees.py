@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,10 @@ class Walk:
     """A case's graph with places instead of node ids; starts that have no edge are nodes, too."""
 
     def __init__(self, rows: pa.Table):
-        src, dst, w = (rows.column(c).to_pandas().to_numpy() for c in ("src", "dst", "w"))
-        edge = ~np.isnan(dst.astype(float)) if dst.dtype != np.int64 else np.ones(len(dst), bool)
-        begin = np.unique(src[~edge])
-        src, dst, w = src[edge], dst[edge].astype(np.int64), w[edge].astype(float)
+        edge = rows.column("dst").is_valid()
+        begin = np.unique(rows.column("src").filter(pc.invert(edge)).to_numpy())
+        arcs_ = rows.select(["src", "dst", "w"]).filter(edge)
+        src, dst, w = arcs_.column("src").to_numpy(), arcs_.column("dst").to_numpy(), arcs_.column("w").fill_null(np.nan).to_numpy()
         self.names = np.unique(np.concatenate([src, dst, begin]))
         a, b = np.searchsorted(self.names, src), np.searchsorted(self.names, dst)
         order = np.lexsort((w, b, a))
@@ -124,7 +125,8 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
     return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
 
 
-def _named(case, n: int, kind: pa.DataType) -> pa.Array:
+def named(case, n: int, kind: pa.DataType) -> pa.Array:
+    """A case's id in n rows."""
     return pa.array([case] * n, _nullable(kind))
 
 
@@ -134,7 +136,7 @@ def _case_levels(rows: pa.Table) -> pa.Table:
     at = np.flatnonzero(level >= 0)
     up = pa.array(np.where(parent[at] < 0, 0, walk.names[np.maximum(parent[at], 0)]), mask=parent[at] < 0)
     case = rows.column("case_id")
-    return pa.table({"case_id": _named(case[0].as_py(), len(at), case.type), "node_id": walk.names[at], "level": pa.array(level[at], pa.int32()), "parent": up, "acc": total[at]})
+    return pa.table({"case_id": named(case[0].as_py(), len(at), case.type), "node_id": walk.names[at], "level": pa.array(level[at], pa.int32()), "parent": up, "acc": total[at]})
 
 
 def _case_paths(rows: pa.Table) -> pa.Table:
@@ -142,19 +144,19 @@ def _case_paths(rows: pa.Table) -> pa.Table:
     names = walk.names.tolist()
     found = [(names[leaf], [names[v] for v in path]) for leaf, path in walk.paths()]
     case = rows.column("case_id")
-    return pa.table({"case_id": _named(case[0].as_py(), len(found), case.type), "leaf": pa.array([x for x, _ in found], pa.int64()), "path": pa.array([p for _, p in found], pa.list_(pa.int64()))})
+    return pa.table({"case_id": named(case[0].as_py(), len(found), case.type), "leaf": pa.array([x for x, _ in found], pa.int64()), "path": pa.array([p for _, p in found], pa.list_(pa.int64()))})
 
 
 def _case_components(rows: pa.Table) -> pa.Table:
     walk = Walk(rows)
     case = rows.column("case_id")
-    return pa.table({"case_id": _named(case[0].as_py(), len(walk.names), case.type), "node_id": walk.names, "component": walk.names[walk.components()]})
+    return pa.table({"case_id": named(case[0].as_py(), len(walk.names), case.type), "node_id": walk.names, "component": walk.names[walk.components()]})
 
 
 def _case_chains(rows: pa.Table) -> pa.Table:
     component, node, place, n, length = Walk(rows).chains()
     case = rows.column("case_id")
-    return pa.table({"case_id": _named(case[0].as_py(), len(node), case.type), "component": component, "node_id": node, "place": pa.array(place, pa.int32()), "n": pa.array(n, pa.int32()), "length": length})
+    return pa.table({"case_id": named(case[0].as_py(), len(node), case.type), "component": component, "node_id": node, "place": pa.array(place, pa.int32()), "n": pa.array(n, pa.int32()), "length": length})
 
 
 def _split(edges: DataFrame, start: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:

@@ -12,8 +12,9 @@ from tubula.functions.runtime import cut_lineage, discard, spread
 from tubula.operators import graph as G
 from tubula.operators import polyline as P
 from tubula.operators import segments as S
+from tubula.operators.around import FILLED, case_features
 from tubula.operators.polyline import KEYS
-from tubula.operators.trees import walk_chains
+from tubula.operators.trees import CASE_EDGES, walk_chains
 
 #: Access, side and circulation of the eight catheter pathways, the classes in their order, those that count twice
 #: and those that count against: fixed values.
@@ -196,8 +197,9 @@ def local_features(points: DataFrame, voxels: DataFrame | None = None) -> DataFr
 
 def _neighbourhoods(keyed: DataFrame) -> DataFrame:
     """Adds _pts, the ordered neighbourhood of each node, and _at, the node's place in it. keyed: case_id, node_id, level,
-    x, y, z and edges' ends around (array _near of structs node_id, level, x, y, z, degree, around; around is what
-    lies beyond, without the node itself)."""
+    x, y, z, degree and the neighbours that count (array _near of structs node_id, level, x, y, z, degree, around: both at
+    degree 2, else the first one upstream or the first one; around is what lies beyond, without the node itself, of many
+    the two smallest nodes and the smallest ones upstream and downstream)."""
     up = lambda a, level: F.filter(a, lambda v: v["level"] < level)
     down = lambda a, level: F.filter(a, lambda v: v["level"] > level)
     point = lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"))
@@ -221,7 +223,7 @@ def _neighbourhoods(keyed: DataFrame) -> DataFrame:
     return df.withColumn("_pts", F.when(F.size("_pts") >= 3, F.col("_pts"))).drop("_near")
 
 
-def local_graph_features(nodes: DataFrame, edges: DataFrame, starts: DataFrame, voxels: DataFrame | None = None) -> DataFrame:
+def local_graph_features(nodes: DataFrame, edges: DataFrame, starts: DataFrame, voxels: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Local features of every node of a graph for several accesses at once. nodes: case_id, node_id, x, y, z and more that
     stays; edges: case_id, src, dst, artificial; starts: case_id, access (text without a colon), node_id, one start for
     each case and access. Returns nodes' columns, access, level, accumulated (length from the start, artificial edges
@@ -229,58 +231,77 @@ def local_graph_features(nodes: DataFrame, edges: DataFrame, starts: DataFrame,
     (these replace columns of nodes that have their names);
     a row for each access and each node that its start leads to.
 
-    All accesses are walked in one pass, as cases of their own. A node's neighbourhood leaves artificial edges out: an end
+    Cases of at most ``limit`` edges (those that one task may hold, see ``trees``) take one exchange; of larger ones, accesses are walked
+    in one pass, as cases of their own, and neighbourhoods come from joins. A node's neighbourhood leaves artificial edges out: an end
     and the next two nodes; up to two nodes either way of a node of degree 2 (the second only past a node of degree 2);
     a branch, its upstream node and one beyond (a branch without an upstream node: its smallest neighbour and one beyond).
     Ties go to the smallest node_id. What is undefined takes the value of the nearest node upstream that has one, at
     the start of the first node (by level, then node_id) that has one, else 0; a missing voxel isn't undefined."""
     kind = dict(nodes.dtypes)["case_id"]
     place = dist(tuple(F.col(f"a.{n}") for n in "xyz"), tuple(F.col(f"b.{n}") for n in "xyz"))
-    at = nodes.select("case_id", "node_id", *"xyz")
-    measured = edges.filter("src <> dst").select("case_id", "src", "dst", F.coalesce("artificial", F.lit(False)).alias("artificial")).alias("e").join(at.alias("a"), (F.col("a.case_id") == F.col("e.case_id")) & (F.col("a.node_id") == F.col("e.src"))).join(at.alias("b"), (F.col("b.case_id") == F.col("e.case_id")) & (F.col("b.node_id") == F.col("e.dst"))).select("e.*", place.alias("length"))
-    key = F.concat("access", F.lit(":"), F.col("case_id").cast("string"))
+    at = spread(nodes.select("case_id", "node_id", *"xyz"))
+    measured = cut_lineage(edges.filter("src <> dst").select("case_id", "src", "dst", F.coalesce("artificial", F.lit(False)).alias("artificial")).alias("e").join(at.alias("a"), (F.col("a.case_id") == F.col("e.case_id")) & (F.col("a.node_id") == F.col("e.src"))).join(at.alias("b"), (F.col("b.case_id") == F.col("e.case_id")) & (F.col("b.node_id") == F.col("e.dst"))).select("e.*", place.alias("length"), *(F.col(f"{end}.{n}").cast("double").alias(f"{end}{n}") for end in "ab" for n in "xyz")))
     begins = starts.select("case_id", "access", "node_id").dropDuplicates(["case_id", "access"])
+    large = measured.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (CASE_EDGES if limit is None else limit)).select("case_id")
+    large = cut_lineage(large) if large.limit(1).count() else None
+    rows = measured.withColumns({"src": F.col("src").cast("long"), "dst": F.col("dst").cast("long")}).unionByName(begins.select("case_id", F.col("node_id").cast("long").alias("src"), "access"), allowMissingColumns=True)
+    rows = rows if large is None else rows.join(large, "case_id", "left_anti")
+    simple = measured.schema["case_id"].dataType.simpleString()
+    df = rows.groupBy("case_id").applyInArrow(case_features, f"case_id {simple}, access string, node_id long, level int, accumulated double, {', '.join(f'{c} double' for c in FILLED)}")
+    if large is not None:
+        few = lambda t: t.join(large, "case_id", "left_semi")
+        df = df.unionByName(_features_of_large_cases(at, few(measured), few(begins), kind))
+    df = df.join(spread(nodes.drop("access", "level", "accumulated", "value" if voxels is not None else "access", *FILLED)), ["case_id", "node_id"])
+    if voxels is not None:
+        df = df.withColumns({i: F.col(n).cast("int") for i, n in zip("ijk", "xyz", strict=True)}).join(spread(voxels.select("case_id", *"ijk", "value")), ["case_id", *"ijk"], "left").drop(*"ijk")
+    return df
+
+
+def _features_of_large_cases(at: DataFrame, measured: DataFrame, begins: DataFrame, kind: str) -> DataFrame:
+    """Local features by joins; ``at``: case_id, node_id, x, y, z."""
+    key = F.concat("access", F.lit(":"), F.col("case_id").cast("string"))
     walked = measured.join(begins.select("case_id", "access"), "case_id").select(key.alias("case_id"), "src", "dst", "length", "artificial")
-    levels = cut_lineage(G.bfs_levels(walked, begins.select(key.alias("case_id"), "node_id"), "length").withColumnRenamed("acc", "accumulated"))
+    levels = G.bfs_levels(walked, begins.select(key.alias("case_id"), "node_id"), "length").withColumnRenamed("acc", "accumulated")
     access = F.substring_index(F.col("_key"), ":", 1)
     case = F.expr("substring(_key, locate(':', _key) + 1)").cast(kind)
-    placed = levels.withColumnRenamed("case_id", "_key").withColumns({"case_id": case, "access": access}).join(at, ["case_id", "node_id"])
+    placed = cut_lineage(levels.withColumnRenamed("case_id", "_key").withColumns({"case_id": case, "access": access}).join(at, ["case_id", "node_id"]))
     real = G.both_ways(walked.filter("not artificial").select(F.col("case_id").alias("_key"), "src", "dst")).distinct()
-    # one hop: what each node sees; two hops: what its neighbours see, without the node
-    seen = real.join(placed.select("_key", F.col("node_id").alias("dst"), F.struct("node_id", "level", *"xyz").alias("v")), ["_key", "dst"])
-    around = cut_lineage(seen.groupBy("_key", F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list("v")).alias("_around")))
-    hop = seen.join(around.withColumnRenamed("node_id", "dst"), ["_key", "dst"])
-    beyond = F.filter("_around", lambda v: v["node_id"] != F.col("src"))
-    near = F.struct("v.node_id", "v.level", "v.x", "v.y", "v.z", F.size("_around").alias("degree"), beyond.alias("around"))
-    hop = hop.groupBy("_key", F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list(near)).alias("_near"), F.count(F.lit(1)).alias("degree"))
-    df = _neighbourhoods(placed.join(hop, ["_key", "node_id"], "left"))
+    # of what a node sees, however much: the two smallest nodes and the smallest ones of the lowest and of the highest level.
+    # Neighbours are at most a level apart, so these are the smallest ones upstream and downstream, where there are any
+    seen = real.join(spread(placed.select("_key", F.col("node_id").alias("dst"), F.struct("node_id", "level", *"xyz").alias("v"))), ["_key", "dst"])
+    seen = seen.withColumn("_r", F.row_number().over(Window.partitionBy("_key", "src").orderBy("dst")))
+    nth = lambda i: F.max(F.when(F.col("_r") == i, F.col("v")))
+    low, high = F.min_by("v", F.struct("v.level", "v.node_id")), F.max_by("v", F.struct(F.col("v.level"), -F.col("v.node_id")))
+    around = cut_lineage(seen.groupBy("_key", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"), nth(1).alias("_first"), nth(2).alias("_second"), low.alias("_low"), high.alias("_high")))
+    ends = placed.join(spread(around), ["_key", "node_id"], "left")
+    upstream = F.when(F.col("_low.level") < F.col("level"), F.col("_low")).otherwise(F.col("_first"))
+    # two hops: the one or two neighbours that count, with what they see but the node
+    chosen = F.filter(F.when(F.col("degree") == 2, F.array("_first", "_second")).otherwise(F.array(upstream)), lambda v: v.isNotNull())
+    picked = ends.select("_key", "node_id", F.explode(chosen).alias("v")).withColumn("_to", F.col("v.node_id"))
+    picked = picked.join(spread(around.select("_key", F.col("node_id").alias("_to"), "degree", F.array("_first", "_second", "_low", "_high").alias("_around"))), ["_key", "_to"])
+    beyond = F.array_sort(F.array_distinct(F.filter("_around", lambda v: v.isNotNull() & (v["node_id"] != F.col("node_id")))))
+    near = F.struct("v.node_id", "v.level", "v.x", "v.y", "v.z", "degree", beyond.alias("around"))
+    hop = picked.groupBy("_key", "node_id").agg(F.sort_array(F.collect_list(near)).alias("_near"))
+    df = _neighbourhoods(ends.drop("_first", "_second", "_low", "_high").join(spread(hop), ["_key", "node_id"], "left"))
     steps = F.transform(F.sequence(F.lit(1), F.size("_pts") - 1), lambda i: dist(tuple(F.col("_pts")[i - 1][n] for n in "xyz"), tuple(F.col("_pts")[i][n] for n in "xyz")))
     total = F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)
     module, polar, azimuth = spherical(tuple(F.element_at("_pts", -1)[n] - F.get("_pts", F.lit(0))[n] for n in "xyz"))
     df = df.withColumns({"mean_step": F.when(F.size("_pts") >= 3, total / (F.size("_pts") - 1)), "module": module, "polar": polar, "azimuth": azimuth}).withColumnRenamed("_key", "key")
     df = P.nested_gradients(df).withColumnsRenamed({"local_curvature": "curvature", "local_torsion": "torsion"})
-    df = _filled(df.select("key", "case_id", "access", "node_id", "level", "parent", "accumulated", *FILLED))
-    df = df.join(nodes.drop("access", "level", "accumulated", "value" if voxels is not None else "access", *FILLED), ["case_id", "node_id"])
-    if voxels is not None:
-        df = df.withColumns({i: F.col(n).cast("int") for i, n in zip("ijk", "xyz", strict=True)}).join(voxels.select("case_id", *"ijk", "value"), ["case_id", *"ijk"], "left").drop(*"ijk")
-    return df
-
-
-#: Local features that a node takes from others where they are undefined.
-FILLED = ["mean_step", "curvature", "torsion", "module", "polar", "azimuth"]
+    return _filled(df.select("key", "case_id", "access", "node_id", "level", "parent", "accumulated", *FILLED))
 
 
 def _filled(df: DataFrame) -> DataFrame:
     """Undefined features by the nearest valid node upstream: each round doubles how far up a node has looked."""
     valid = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
-    df = df.withColumns({c: valid(c) for c in FILLED})
+    df = cut_lineage(df.withColumns({c: valid(c) for c in FILLED}))
     first = df.groupBy("key").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("level", "node_id"))).alias(f"_{c}") for c in FILLED))
     df = df.join(first, "key").withColumns({c: F.when(F.col("parent").isNull(), F.coalesce(c, f"_{c}")).otherwise(F.col(c)) for c in FILLED}).drop(*(f"_{c}" for c in FILLED))
     df = cut_lineage(df.withColumn("_up", F.col("parent")))
     open_ = F.col("_up").isNotNull() & F.expr(" or ".join(f"{c} is null" for c in FILLED))
     while df.filter(open_).limit(1).count():
         above = df.select("key", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), *(F.col(c).alias(f"_{c}") for c in FILLED))
-        before, df = df, cut_lineage(df.join(above, ["key", "_up"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in FILLED}).withColumn("_up", F.col("_next")).drop("_next", *(f"_{c}" for c in FILLED)))
+        before, df = df, cut_lineage(df.join(spread(above), ["key", "_up"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in FILLED}).withColumn("_up", F.col("_next")).drop("_next", *(f"_{c}" for c in FILLED)))
         discard(before)
     return df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in FILLED}).drop("_up", "key", "parent")
 
