@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,22 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
     assert G.bfs_levels(frame, begin, "length").agg(F.max("level")).first()[0] == n - 1
     path = G.root_to_leaf_paths(frame, begin).collect()
     assert len(path) == 1 and path[0]["path"] == order
+
+
+def test_tours_broadcast_no_nodes_or_arcs_and_find_components_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    edges, starts = forest(rng, "a", 30) + forest(rng, "b", 20, 0), [("a", 0), ("b", 7)]
+    frames = []
+    for name, rows, schema in (("edges", edges, EDGE), ("starts", starts, "case_id string, node_id long")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        frames.append(spark.read.parquet(str(tmp_path / name)))
+    held, stars, kept, star = [], [], T.stored, T.star_components
+    monkeypatch.setattr(T, "stored", lambda df, name: held.append(df) or kept(df, name))
+    monkeypatch.setattr(T, "star_components", lambda e, keys: stars.append(keys) or star(e, keys))
+    found = G.root_to_leaf_paths(*frames, 0)
+    assert got(found.select("case_id", "leaf", "path")) == paths(edges, starts)
+    assert len(stars) == 1
+    # only the short lists of cases may be sent to all tasks
+    for df in [found, *held]:
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            assert not re.search(r"BroadcastHashJoin .*\b(node|node_id|src|dst|next|root|component|block)#", line), line

@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tubula.functions.runtime import discard, stored
+from tubula.functions.runtime import discard, spread, stored
 from tubula.operators.components import star_components
 
-#: Edges of a case that one task may hold (some 20 MB).
-CASE_EDGES = 500_000
+#: Edges of a case that one task may hold (64 MB as they come). 720,000 edges took 0.3 GB to walk and 0.5 GB with their paths.
+CASE_EDGES = 1_000_000
 
 
 def arcs(edges: DataFrame, *rest: str) -> DataFrame:
@@ -173,7 +173,7 @@ def _split(edges: DataFrame, start: DataFrame, limit: int) -> tuple[DataFrame, D
 def _jumped(list_: DataFrame, sums: list[str], keys: list[str]) -> DataFrame:
     """Pointer jumping over rows (keys..., node, next, sums...): each sum becomes the one over the row and all that
     follow it. A round doubles the pointers twice."""
-    once = lambda df: df.alias("a").join(df.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"), *(F.col(s).alias(f"_{s}") for s in sums)), [*keys, "next"], "left").select(*keys, "node", F.col("_next").alias("next"), *((F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums))
+    once = lambda df: df.alias("a").join(spread(df.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"), *(F.col(s).alias(f"_{s}") for s in sums))), [*keys, "next"], "left").select(*keys, "node", F.col("_next").alias("next"), *((F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums))
     done = stored(list_, "jumps")
     while done.filter("next is not null").limit(1).count():
         last, done = done, stored(once(once(done)), "jumps")
@@ -181,22 +181,23 @@ def _jumped(list_: DataFrame, sums: list[str], keys: list[str]) -> DataFrame:
     return done
 
 
-def euler_tour(edges: DataFrame, start: DataFrame) -> DataFrame:
+def euler_tour(edges: DataFrame, start: DataFrame, trees: DataFrame) -> DataFrame:
     """Forests (case_id, src, dst, w) with at most one start (case_id, node_id) in each tree: the arcs of trees that have
-    one, with their place in its tour: case_id, root, src, dst, w, place (from 0)."""
+    one, with their place in its tour: case_id, root, src, dst, w, place (from 0). trees: the component of each node and of
+    others (case_id, node, component)."""
     both = arcs(edges, "w")
-    label = stored(star_components(edges.select("case_id", "src", "dst"), ["case_id"]).select("case_id", F.col("node").alias("src"), "component"), "tour-trees")
+    label = spread(trees.select("case_id", F.col("node").alias("src"), "component"))
     root = label.join(start.select("case_id", F.col("node_id").alias("src")).distinct(), ["case_id", "src"]).select("case_id", "component", F.col("src").alias("root"))
     around = Window.partitionBy("case_id", "src").orderBy("dst")
-    own = both.join(label, ["case_id", "src"]).join(root, ["case_id", "component"])
+    own = both.join(label, ["case_id", "src"]).join(spread(root), ["case_id", "component"])
     own = stored(own.withColumns({"after": F.lead("dst").over(around), "lowest": F.min("dst").over(Window.partitionBy("case_id", "src"))}), "tour-arcs")
     name = F.struct("src", "dst")
     # after (u, v) comes (v, w): what v's row for u says; the tour ends where it would come to the root's first arc again
     turn = own.select("case_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.when(F.col("after").isNotNull(), F.col("after")).otherwise(F.when(F.col("src") != F.col("root"), F.col("lowest"))).alias("to"))
-    listed = own.join(turn, ["case_id", "src", "dst"]).select("case_id", name.alias("node"), F.when(F.col("to").isNotNull(), F.struct(F.col("dst").alias("src"), F.col("to").alias("dst"))).alias("next"), F.lit(1).cast("long").alias("behind"))
+    listed = own.join(spread(turn), ["case_id", "src", "dst"]).select("case_id", name.alias("node"), F.when(F.col("to").isNotNull(), F.struct(F.col("dst").alias("src"), F.col("to").alias("dst"))).alias("next"), F.lit(1).cast("long").alias("behind"))
     ranked = _jumped(listed, ["behind"], ["case_id"])
     total = own.groupBy("case_id", "root").agg(F.count(F.lit(1)).alias("_n"))
-    placed = own.join(ranked.select("case_id", "node.*", "behind"), ["case_id", "src", "dst"]).join(total, ["case_id", "root"])
+    placed = own.join(spread(ranked.select("case_id", "node.*", "behind")), ["case_id", "src", "dst"]).join(spread(total), ["case_id", "root"])
     return stored(placed.select("case_id", "root", "src", "dst", "w", (F.col("_n") - F.col("behind")).alias("place")), "tour")
 
 
@@ -204,14 +205,14 @@ def subtrees(tour: DataFrame) -> DataFrame:
     """Nodes below the roots with the interval of the tour in which their subtree lies: case_id, root, parent, node_id,
     w, low, high."""
     back = tour.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("place").alias("high"))
-    return tour.join(back, ["case_id", "src", "dst"]).filter("place < high").select("case_id", "root", F.col("src").alias("parent"), F.col("dst").alias("node_id"), "w", F.col("place").alias("low"), "high")
+    return tour.join(spread(back), ["case_id", "src", "dst"]).filter("place < high").select("case_id", "root", F.col("src").alias("parent"), F.col("dst").alias("node_id"), "w", F.col("place").alias("low"), "high")
 
 
 def _tour_levels(tour: DataFrame, start: DataFrame) -> DataFrame:
     below = stored(subtrees(tour), "tour-below")
     up = below.select("case_id", F.col("node_id").alias("node"), F.when(F.col("parent") != F.col("root"), F.col("parent")).alias("next"), F.lit(1).alias("level"), F.col("w").alias("acc"))
     done = _jumped(up, ["level", "acc"], ["case_id"]).select("case_id", F.col("node").alias("node_id"), F.col("level").cast("int"), "acc")
-    found = done.join(below.select("case_id", "node_id", "parent"), ["case_id", "node_id"]).select("case_id", "node_id", "level", "parent", "acc")
+    found = done.join(spread(below.select("case_id", "node_id", "parent")), ["case_id", "node_id"]).select("case_id", "node_id", "level", "parent", "acc")
     return found.unionByName(start.select("case_id", F.col("node_id").cast("long"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("acc")).distinct())
 
 
@@ -246,18 +247,18 @@ def _tour_paths(tour: DataFrame) -> DataFrame:
     schema = below.select("case_id", "root", "node_id", "low", "high").schema
     nodes = below.select(*schema.names).mapInArrow(_blocks, schema.add("block", "long"))
     leaves = below.filter("high = low + 1").select("case_id", "root", F.col("node_id").alias("leaf"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.call_function("shiftright", F.col("low") + F.lit(1 << 40), k))).alias("block"))
-    met = nodes.join(leaves, ["case_id", "root", "block"]).groupBy("case_id", "root", "leaf").agg(F.array_sort(F.collect_list(F.struct("low", "node_id"))).alias("p"))
+    met = nodes.join(spread(leaves), ["case_id", "root", "block"]).groupBy("case_id", "root", "leaf").agg(F.array_sort(F.collect_list(F.struct("low", "node_id"))).alias("p"))
     return met.select("case_id", "leaf", F.concat(F.array("root"), F.transform("p", lambda x: x["node_id"])).alias("path"))
 
 
-def _kinds(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cases that are forests with one start a tree at most, and the others (both: case_id)."""
+def _kinds(edges: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases that are forests with one start a tree at most, the others (both: case_id), and the component of each node."""
     label = stored(star_components(edges.select("case_id", "src", "dst"), ["case_id"]), "kinds")
     nodes = label.groupBy("case_id").agg((F.count(F.lit(1)) - F.countDistinct("component")).alias("bound"))
-    many = label.join(start.select("case_id", F.col("node_id").alias("node")).distinct(), ["case_id", "node"]).groupBy("case_id", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("case_id").distinct()
+    many = label.join(spread(start.select("case_id", F.col("node_id").alias("node")).distinct()), ["case_id", "node"]).groupBy("case_id", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("case_id").distinct()
     n = edges.filter("src <> dst").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     forest = stored(n.join(nodes, "case_id").filter("n = bound").select("case_id").join(many, "case_id", "left_anti"), "forests")
-    return forest, n.select("case_id").join(forest, "case_id", "left_anti")
+    return forest, n.select("case_id").join(forest, "case_id", "left_anti"), label
 
 
 def walk_levels(edges: DataFrame, start: DataFrame, slow, limit: int | None = None) -> DataFrame:
@@ -270,9 +271,9 @@ def walk_levels(edges: DataFrame, start: DataFrame, slow, limit: int | None = No
     if large is None:
         return out
     own, begin = (df.join(large, "case_id", "left_semi") for df in (edges, start))
-    forest, rest = _kinds(own, begin)
+    forest, rest, label = _kinds(own, begin)
     pick = lambda df, cases: df.join(cases, "case_id", "left_semi")
-    out = out.unionByName(_tour_levels(euler_tour(pick(own, forest), pick(begin, forest)), pick(begin, forest)))
+    out = out.unionByName(_tour_levels(euler_tour(pick(own, forest), pick(begin, forest), label), pick(begin, forest)))
     return out.unionByName(slow(pick(own, rest), pick(begin, rest))) if rest.limit(1).count() else out
 
 
@@ -285,9 +286,9 @@ def walk_paths(edges: DataFrame, start: DataFrame, slow, limit: int | None = Non
     if large is None:
         return out
     own, begin = (df.join(large, "case_id", "left_semi") for df in (edges, start))
-    forest, rest = _kinds(own, begin)
+    forest, rest, label = _kinds(own, begin)
     pick = lambda df, cases: df.join(cases, "case_id", "left_semi")
-    out = out.unionByName(_tour_paths(euler_tour(pick(own, forest), pick(begin, forest))))
+    out = out.unionByName(_tour_paths(euler_tour(pick(own, forest), pick(begin, forest), label)))
     return out.unionByName(slow(pick(own, rest), pick(begin, rest))) if rest.limit(1).count() else out
 
 
