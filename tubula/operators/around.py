@@ -13,6 +13,8 @@ from tubula.operators.trees import Walk, named
 
 #: Local features that a node takes from others where they are undefined.
 FILLED = ["mean_step", "curvature", "torsion", "module", "polar", "azimuth"]
+#: Nodes whose neighbourhoods a task holds at a time.
+NODES = 20_000
 
 
 class Around:
@@ -42,9 +44,9 @@ class Around:
         """The smallest neighbour of v but the node itself."""
         return np.where(self.first[v] == node, self.second[v], self.first[v])
 
-    def lines(self, level: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ordered neighbourhood of each of the nodes, five places wide, its size (0 below three) and the node's place."""
-        up, down = (self.smallest(w) for w in (level[self.dst] < level[self.src], level[self.dst] > level[self.src]))
+    def lines(self, up: np.ndarray, down: np.ndarray, level: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ordered neighbourhood of each of the nodes, five places wide, its size (0 below three) and the node's place. up, down:
+        each node's smallest neighbour upstream and downstream."""
         slots, degree = np.full((len(nodes), 9), -1), self.degree[nodes]
         two = np.flatnonzero(degree == 2)
         n = nodes[two]
@@ -93,6 +95,25 @@ def _filled(own: np.ndarray, level: np.ndarray, up: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(own), 0.0, own)
 
 
+def _own(around: Around, places: list[tuple[np.ndarray, np.ndarray]], up: np.ndarray, down: np.ndarray, level: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Features (a line each) of the nodes at these places, from their own neighbourhoods."""
+    line, size, place = around.lines(up, down, level, at)
+    inside = np.arange(5) < size[:, None]
+    with np.errstate(all="ignore"):
+        x, y, z = points = [np.where(inside, value[line], 0.0) for value, _ in places]
+        nulls = [~inside | null[line] for _, null in places]
+        bends = curved_lines(list(zip(points, nulls, strict=True)), size, place)
+        steps = np.zeros(len(at))
+        for i in range(1, 5):
+            dx, dy, dz = (c[:, i] - c[:, i - 1] for c in points)
+            steps += np.where(inside[:, i], np.sqrt(dx * dx + dy * dy + dz * dz), 0.0)
+        last = np.maximum(size - 1, 0)[:, None]
+        ends = [np.take_along_axis(c, last, 1)[:, 0] - c[:, 0] for c in (x, y, z)]
+        own = np.stack([steps / last[:, 0], *(f.fill_null(np.nan).to_numpy(zero_copy_only=False) for f in bends.flatten()), *_angles(*ends)])
+    own[:, size < 3] = np.nan
+    return own
+
+
 def case_features(rows: pa.Table) -> pa.Table:
     """Features of a case's nodes for all of its accesses. rows: edges (src, dst, artificial, length, ends ax to bz), and starts
     with a NULL dst (src, access)."""
@@ -118,20 +139,8 @@ def case_features(rows: pa.Table) -> pa.Table:
         walk.starts = np.searchsorted(walk.names, [start])
         level, parent, total = walk.levels()
         at = np.flatnonzero(level >= 0)
-        line, size, place = around.lines(level, at)
-        inside = np.arange(5) < size[:, None]
-        with np.errstate(all="ignore"):
-            x, y, z = points = [np.where(inside, value[line], 0.0) for value, _ in places]
-            nulls = [~inside | null[line] for _, null in places]
-            bends = curved_lines(list(zip(points, nulls, strict=True)), size, place)
-            steps = np.zeros(len(at))
-            for i in range(1, 5):
-                dx, dy, dz = (c[:, i] - c[:, i - 1] for c in points)
-                steps += np.where(inside[:, i], np.sqrt(dx * dx + dy * dy + dz * dz), 0.0)
-            last = np.maximum(size - 1, 0)[:, None]
-            ends = [np.take_along_axis(c, last, 1)[:, 0] - c[:, 0] for c in (x, y, z)]
-            own = np.stack([steps / last[:, 0], *(f.fill_null(np.nan).to_numpy(zero_copy_only=False) for f in bends.flatten()), *_angles(*ends)])
-        own[:, size < 3] = np.nan
+        up, down = (around.smallest(w) for w in (level[around.dst] < level[around.src], level[around.dst] > level[around.src]))
+        own = np.concatenate([np.zeros((len(FILLED), 0)), *(_own(around, places, up, down, level, at[i : i + NODES]) for i in range(0, len(at), NODES))], 1)
         own = _filled(own, level[at], np.where(parent[at] < 0, -1, np.searchsorted(at, parent[at])))
         out.append(pa.table({"case_id": named(case[0].as_py(), len(at), case.type), "access": pa.array([access]).take(pa.array(np.zeros(len(at), int))), "node_id": walk.names[at], "level": pa.array(level[at], pa.int32()), "accumulated": total[at], **dict(zip(FILLED, own, strict=True))}))
     if out:
