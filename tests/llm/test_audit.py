@@ -60,3 +60,16 @@ def test_all_documents(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(f"SELECT {', '.join(NAMES)} FROM ({audit.OP12_SQL})").fetchall()
     assert sorted(map(tuple, audit.op12_filter_audit(spark, sf).select(*NAMES).collect())) == sorted(want)
+
+
+def test_no_ids_survivors_or_labels_are_broadcast(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("short $ "), F.col("id") % 90).alias("text"), F.lit("a").alias("source"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    plans, real = [], audit.stored
+    monkeypatch.setattr(audit, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    rows, ids = audit.failing_ids(docs)
+    plans.clear()  # of the first doc_ids of equal texts, their digests bound the size of what is broadcast
+    found = audit.transitions(rows, ids, labels)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+    assert found.filter("filter is null and prefix = 0").first()["n"] == 400

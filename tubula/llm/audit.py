@@ -12,8 +12,10 @@
 4. Counts by part and prefix are small. Orders are looked up in them: step k of an order is the transition from the
    set of its first k - 1 filters.
 
-All joins are on the row number, which is unique on one side and occurs at most 32 times on the other: no key is
-hot, whatever the sources are. Parts are counted with partial aggregation.
+All joins of these steps are on the row number, which is unique on one side and occurs at most 32 times on the other: no
+key is hot, whatever the sources are. They sort and merge: the files of ids, and of survivors even more, are so small
+that Spark would broadcast millions of rows. Labels come to their rows by an inner join, which rows without a doc_id
+don't enter. Parts are counted with partial aggregation.
 
 Filters (words are maximal runs without ASCII white space): A under 50 words; B under 65 % distinct words; C over
 5 % capitals A-Z; D a character of ``#$%&*|``; E the text of a smaller doc_id (equal SHA-256 digests count as
@@ -34,6 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tubula.functions.runtime import spread
 from tubula.llm.common import WS, read, stored
 
 FILTERS = "ABCDE"
@@ -82,9 +85,10 @@ def transitions(rows: DataFrame, ids: dict[str, DataFrame], labels: DataFrame) -
     for k, own in ids.items():
         own = own.select("row", F.lit(_bit(k)).alias("bit"))
         fails = own if fails is None else fails.unionByName(own)
-    some = rows.join(fails.select("row"), "row", "left_semi").join(known, "doc_id", "left").select("row", "part", F.coalesce("quality", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    marked = rows.select("row", "doc_id").join(spread(known.filter("quality or toxic")), "doc_id").select("row", "quality", "toxic")
+    some = rows.join(spread(fails.select("row")), "row", "left_semi").join(spread(marked), "row", "left").select("row", "part", F.coalesce("quality", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
     under = some.withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit(SETS - 1))))
-    left = under.alias("u").join(fails.alias("f"), F.expr("u.row = f.row and u.prefix & f.bit != 0"), "left_anti")
+    left = under.alias("u").join(spread(fails).alias("f"), F.expr("u.row = f.row and u.prefix & f.bit != 0"), "left_anti")
     left = stored(left, "audit-survivors")
 
     zero = F.lit(0).cast("long")
@@ -95,13 +99,13 @@ def transitions(rows: DataFrame, ids: dict[str, DataFrame], labels: DataFrame) -
         return found.select("part", "prefix", F.lit(number).cast("int").alias("filter"), *[F.col(c) if c in values else zero.alias(c) for c in names])
 
     one = F.count(F.lit(1))
-    clean = rows.join(fails.select("row"), "row", "left_anti").withColumn("prefix", F.lit(SETS))
+    clean = rows.join(spread(fails.select("row")), "row", "left_anti").withColumn("prefix", F.lit(SETS))
     out = counted(left, None, n=one).unionByName(counted(clean, None, n=one))
     for k, own in ids.items():
         number = FILTERS.index(k)
         before = F.lit([s for s in range(SETS) if not s & _bit(k)])
-        removed = left.filter(F.col("prefix").bitwiseAND(_bit(k)) == 0).join(own.select("row"), "row", "left_semi")
-        late = own.withColumn("prefix", F.explode(before)).join(left.select("row", "prefix"), ["row", "prefix"], "left_anti")
+        removed = left.filter(F.col("prefix").bitwiseAND(_bit(k)) == 0).join(spread(own.select("row")), "row", "left_semi")
+        late = own.withColumn("prefix", F.explode(before)).join(spread(left.select("row", "prefix")), ["row", "prefix"], "left_anti")
         out = out.unionByName(counted(removed, number, removed=one, good_lost=F.count_if("good"), toxic_lost=F.count_if("toxic")))
         out = out.unionByName(counted(late, number, redundant=one))
     return out
@@ -133,7 +137,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     left = found.filter("filter is null").groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "n"))).alias("left"))
     steps = F.inline(F.from_json(F.lit(_steps()), "array<struct<filter_order: string, step: int, prefix: int, filter: int>>"))
-    each = left.join(own, "part", "left").select("part", "cells", "left", F.array(*[f"shapley_{k}" for k in FILTERS]).alias("shapley"), steps)
+    each = left.join(spread(own), "part", "left").select("part", "cells", "left", F.array(*[f"shapley_{k}" for k in FILTERS]).alias("shapley"), steps)
     bit = F.expr("shiftleft(1, filter)")
     n = lambda prefix: F.coalesce(F.try_element_at("left", prefix), F.lit(0))
     cell = lambda prefix, name: F.coalesce(F.try_element_at("cells", prefix * len(FILTERS) + F.col("filter"))[name], F.lit(0)).alias(name)
