@@ -320,3 +320,35 @@ def test_few_neighbours_in_a_dense_cloud(spark, monkeypatch):
         assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, sorted(want)))
     assert 0 < sum(met) < 200 * 2 * len(rows)  # all pairs within the radius: over 800,000 each time
     assert N.radius_graph(nodes.filter("x > 1e9"), "node_id", 10.0, 5).count() == 0
+
+
+def test_resampled_paths_stay_in_their_tasks(spark, monkeypatch):
+    cells = _cells(spark)
+    images = cells.select("case_id").distinct().select("case_id", *(F.lit(0.0).alias(f"corner_{n}") for n in "xyz"), *(F.lit(9.0).alias(f"size_{n}") for n in "xyz"))
+    stored, real = [], A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: stored.append(df) or real(df))
+    local, features = A.path_features(cells, images, 0.5)
+    for df in (local, features):
+        made, given = df._jdf.queryExecution().executedPlan().toString().split("Generate explode", 1)
+        assert "Exchange" not in made and given.count("MapInArrow") == 1
+    assert not stored
+    rows = local.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.max("accumulated").alias("length")).collect()
+    got = {r["cell_id"]: r["length"] for r in features.collect()}
+    assert len(got) > 30 and got.keys() == {r["cell_id"] for r in rows if r["n"] > 2} and all(abs(got[r["cell_id"]] - r["length"]) < 1e-9 for r in rows if r["n"] > 2)
+
+
+def test_pieces_make_the_same_points_in_parts(spark):
+    cells = _cells(spark)
+    points = lambda pieces: sorted(map(tuple, P.grid_points(pieces).collect()), key=lambda r: r[:3])
+    whole, parts = P.spline_pieces(cells, 0.05), P.spline_pieces(cells, 0.05, 7)
+    assert whole.count() <= 2 * cells.count() < parts.count() and parts.agg(F.max("made")).first()[0] == 7
+    assert points(whole) == points(parts)
+
+
+def test_curvature_by_columns_is_that_of_the_definition(spark):
+    cells = _cells(spark, 6, 60).union(spark.createDataFrame([(1, 99, i, float("nan") if i == 3 else float(i), float(i * i), 1.0, 1.0) for i in range(8)], "case_id long, cell_id long, point_idx int, x double, y double, z double, radius double"))
+    want = {r[:3]: r[3] for r in map(tuple, P.local_curvature(cells).select("case_id", "cell_id", "point_idx", "local_curvature").collect())}
+    df = P.near_curvature(cells)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r[:3]: r[3] for r in map(tuple, df.select("case_id", "cell_id", "point_idx", "curvature").collect())}
+    assert got.keys() == want.keys() and all(repr(got[k]) == repr(want[k]) for k in want) and {None} < {*want.values()}

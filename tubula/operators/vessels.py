@@ -175,17 +175,22 @@ def vessel_points(vessels: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     return vessels.join(nodes.select("case_id", "node_id", *rest), ["case_id", "node_id"]).select("case_id", F.col(by).alias("cell_id"), F.col("hierarchy").alias("point_idx"), "node_id", *rest)
 
 
+def _directed(points: DataFrame) -> DataFrame:
+    """Adds polar and azimuth of the direction between the points up to two before and after each one."""
+    at = F.struct(*"xyz")
+    first, last = (F.coalesce(f(at, 2).over(P.order()), f(at, 1).over(P.order()), at) for f in (F.lag, F.lead))
+    _, polar, azimuth = spherical(vec("_away"))
+    return points.withColumns({f"_away{n}": last[n] - first[n] for n in "xyz"}).withColumns({"polar": polar, "azimuth": azimuth}).drop(*(f"_away{n}" for n in "xyz"))
+
+
 def local_features(points: DataFrame, voxels: DataFrame | None = None) -> DataFrame:
     """Local features of ordered points: polar and azimuth of the local direction, local curvature and
     torsion, mean step, accumulated length, and the value of the voxel that holds the point (voxels: case_id,
     i, j, k, value). Artificial rows (a boolean column, if there) aren't neighbours of any; they come back
     with NULL features."""
     own = points.filter("not artificial") if "artificial" in points.columns else points
-    at = F.struct(*"xyz")
-    first, last = (F.coalesce(f(at, 2).over(P.order()), f(at, 1).over(P.order()), at) for f in (F.lag, F.lead))
-    direction = tuple(last[n] - first[n] for n in "xyz")
-    _, polar, azimuth = spherical(direction)
-    done = P.mean_step(P.local_curvature(P.arc_length(own.withColumns({"polar": polar, "azimuth": azimuth}))))
+    done = P.local_curvature(P.mean_step(P.arc_length(_directed(own))))  # Python last: its rows lose their exchange
+    done = done.select(*(c for c in done.columns if c != "mean_step"), "mean_step")
     done = done.withColumnsRenamed({"local_curvature": "curvature", "local_torsion": "torsion", "arc": "accumulated"})
     if voxels is not None:
         at = done.withColumns({i: F.col(n).cast("int") for i, n in zip("ijk", "xyz", strict=True)})
@@ -307,10 +312,12 @@ def _filled(df: DataFrame) -> DataFrame:
 
 
 def features_of_chains(points: DataFrame, least: int = 3) -> DataFrame:
-    """The 22 features of every chain of at least ``least`` points; local features are added where missing."""
+    """The 22 features of every chain of at least ``least`` points; the local features that they need are added where missing."""
     counted = points.withColumn("_n", F.count(F.lit(1)).over(P.whole())).filter(F.col("_n") >= least).drop("_n")
     counted = counted if "blanking" in counted.columns else counted.withColumn("blanking", F.lit(0))
-    return S.segment_features(counted if "curvature" in counted.columns else local_features(counted))
+    if "artificial" in counted.columns and "curvature" not in counted.columns:
+        return S.segment_features(local_features(counted))
+    return S.segment_features(counted if "curvature" in counted.columns else P.near_curvature(_directed(counted)))
 
 
 def features_by_cell(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -399,15 +406,16 @@ def access_rows(points: DataFrame, side: Column, least: int = 10, voxels: DataFr
 def path_features(points: DataFrame, images: DataFrame, step: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Named paths (points; images: case_id, corner_x.., size_x..): the order is reversed, points are shifted by
     the image's corner, paths that leave the image are dropped, the rest is resampled. Returns its local
-    features and its segment features without blanking."""
+    features and its segment features without blanking. Neither is stored, and what resampling makes stays in the task that
+    makes it: only the pieces of splines are dealt out, which are no more than the points."""
     last = F.max("point_idx").over(P.whole())
     moved = points.withColumn("point_idx", last - F.col("point_idx")).join(images, "case_id").withColumns({n: F.col(n) - F.col(f"corner_{n}") for n in "xyz"})
     ok = F.lit(True)
     for n in "xyz":
         ok = ok & F.col(n).between(0, F.col(f"size_{n}"))
     inside = moved.withColumn("_in", F.every(ok).over(P.whole())).filter("_in").select(*KEYS, "point_idx", *"xyz", "radius")
-    local = cut_lineage(local_features(P.resample_cubic(inside, step)))
-    return local, features_of_chains(local)
+    rows = P.grid_points(P.spline_pieces(inside, step).repartition(*KEYS))
+    return local_features(rows), features_of_chains(rows)
 
 
 def section_radii(points: DataFrame, sections: DataFrame) -> DataFrame:
